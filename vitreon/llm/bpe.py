@@ -15,136 +15,224 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of words whose encodings a worker keeps at most; beyond it the cache starts anew.
-CACHE_BYTES = 48 << 20
-#: Words that are looked up at once, so that a very long text needs no list of all its words.
+from .common import spans, texts
+
+#: Distinct words that a worker keeps encoded; beyond it the vocabulary of words starts anew.
+WORDS_KEPT = 600_000
+#: Bytes of text whose new words are encoded together.
+SLICE = 24 << 20
+#: Words of one text that are looked up at once, so that a very long text needs no list of all its words.
 WORDS_AT_ONCE = 500_000
+#: Positions of one rank below which plain Python beats array operations.
+FEW = 12
+NONE = np.int32(1 << 30)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The concatenation of arange(first[i], first[i] + size[i])."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
 class Codec:
     """Ranks of byte strings (ids are ranks) and the pattern that cuts text into words."""
 
-    def __init__(self, ranks: bytes, pattern: str, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, ranks: bytes, pattern: str, words_kept: int = WORDS_KEPT):
         import regex
 
-        pairs = [line.split() for line in ranks.splitlines() if line.strip()]
-        self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
+        lines = [line.split() for line in ranks.splitlines() if line.strip()]
+        self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.bytes = {v: k for k, v in self.ranks.items()}
-        self.single = [self.ranks.get(bytes([i])) for i in range(256)]
+        if any(bytes([i]) not in self.ranks for i in range(256)):
+            raise ValueError("the ranks lack a single byte")
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = {}
+        for token, r in self.ranks.items():
+            for i in range(1, len(token)):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a << 24 | b] = r
+        self.pairs = pairs
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        if not len(self.keys):
+            self.keys, self.made = np.array([-1], np.int64), np.array([NONE], np.int32)
         self.find = regex.compile(pattern).finditer
         self.findall = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.cache: dict[str, bytes] = {}
-        self.room = self.cache_bytes = cache_bytes
-
-    def learn(self, words: list[str]) -> None:
-        """Encode these words by replaying merges over all of them at once."""
-        sym: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        word: list[int] = []
-        first: list[int] = []
-        for w, text in enumerate(words):
-            ids = [self.single[b] for b in text.encode("utf-8", "replace")]
-            if None in ids:
-                raise ValueError("the ranks lack a single byte")
-            at = len(sym)
-            first.append(at)
-            sym += ids
-            word += [w] * len(ids)
-            prv += [-1, *range(at, at + len(ids) - 1)]
-            nxt += [*range(at + 1, at + len(ids)), -1]
-        pairs, ranks, spelled = self.pairs, self.ranks, self.bytes
-        rank_at: list[int | None] = [None] * len(sym)  # rank of the pair that starts here
-        index: dict[int, list[int]] = {}
-        heap: list[int] = []
-
-        def note(p: int) -> int | None:
-            q = nxt[p]
-            if q < 0:
-                rank_at[p] = None
-                return None
-            key = (sym[p], sym[q])
-            try:
-                r = pairs[key]
-            except KeyError:
-                r = pairs[key] = ranks.get(spelled[key[0]] + spelled[key[1]])
-            rank_at[p] = r
-            if r is not None:
-                if r in index:
-                    index[r].append(p)
-                else:
-                    index[r] = [p]
-                    heappush(heap, r)
-            return r
+        self.words_kept = words_kept
+        self.forget()
 
-        for p in range(len(sym)):
-            note(p)
-        while heap:
-            r = heappop(heap)
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.known = 0
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 24 | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.made[at], NONE)
+
+    def learn(self) -> None:
+        """Encode the words numbered since the last time, replaying the merges over all of them at once."""
+        words = list(islice(self.number, self.known, None))
+        if not words:
+            return
+        raw = [w.encode("utf-8", "replace") for w in words]
+        size = np.array([len(r) for r in raw], np.int64)
+        ids, n = self.replay(np.frombuffer(b"".join(raw), np.uint8), size)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+        self.size = np.concatenate([self.size, n])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known += len(words)
+
+    def replay(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words that lie in data one after another, and each word's number of them."""
+        m = len(data)
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        sym = self.single[data]
+        nxt, prv = np.arange(1, m + 1, dtype=np.int32), np.arange(-1, m - 1, dtype=np.int32)
+        ends = np.cumsum(size)[size > 0]
+        nxt[ends - 1] = -1
+        prv[np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]] = -1
+        at = np.full(m, NONE, np.int32)  # rank of the pair that starts here
+        inner = np.flatnonzero(nxt >= 0)
+        at[inner] = self.pair_ranks(sym[inner], sym[inner + 1])
+        # The index: positions by rank, first those of the plain bytes, then what merges add
+        start = np.flatnonzero(at < NONE)
+        start = start[np.argsort(at[start], kind="stable")]
+        have, where = np.unique(at[start], return_index=True)
+        index: dict[int, list[np.ndarray]] = {r: [x] for r, x in zip(have.tolist(), np.split(start, where[1:]), strict=True)} if len(have) else {}
+        heap = have.tolist()  # sorted, hence a heap
+        pairs = self.pairs
+
+        def note(p: int, r: int) -> None:
+            if r in index:
+                index[r].append(np.array([p]))
+            else:
+                index[r] = [np.array([p])]
+                heappush(heap, r)
+
+        def one_by_one(r: int, some: list[int]) -> None:
+            """Merge r at these positions from left to right; a word that gains a pair of r or lower waits."""
             waiting: set[int] = set()
-            for p in sorted(index.pop(r)):
-                if rank_at[p] != r:
+            for p in some:
+                if at[p] != r:
                     continue
-                if word[p] in waiting:
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
-                        heappush(heap, r)
+                w = int(word[p])
+                if w in waiting:
+                    note(p, r)
                     continue
-                q = nxt[p]
-                sym[p], nxt[p], rank_at[q] = r, nxt[q], None
-                if nxt[q] >= 0:
-                    prv[nxt[q]] = p
-                made = [note(p)]
-                if prv[p] >= 0:
-                    made.append(note(prv[p]))
-                if any(x is not None and x <= r for x in made):
-                    waiting.add(word[p])
-        for w, text in enumerate(words):
-            p, ids = first[w], []
-            if text:
-                while p >= 0:
-                    ids.append(sym[p])
-                    p = nxt[p]
-            self.cache[text] = np.array(ids, "<u4").tobytes()
-            self.room -= 4 * len(ids) + len(text) + 200
-
-    def spell(self, words: list[str]) -> bytes:
-        get = self.cache.__getitem__
-        try:
-            return b"".join(map(get, words))
-        except KeyError:
-            if self.room < 0:
-                self.cache.clear()
-                self.pairs.clear()
-                self.room = self.cache_bytes
-            self.learn(list(set(words) - self.cache.keys()))
-            return b"".join(map(self.cache.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+                q = int(nxt[p])
+                after, before = int(nxt[q]), int(prv[p])
+                sym[p], nxt[p], at[q] = r, after, NONE
+                new = NONE
+                if after >= 0:
+                    prv[after] = p
+                    new = pairs.get(r << 24 | int(sym[after]), NONE)
+                at[p] = new
+                if new != NONE:
+                    note(p, int(new))
+                    if new <= r:
+                        waiting.add(w)
+                if before >= 0:
+                    new = pairs.get(int(sym[before]) << 24 | r, NONE)
+                    at[before] = new
+                    if new != NONE:
+                        note(before, int(new))
+                        if new <= r:
+                            waiting.add(w)
+
+        while heap:
+            r = heappop(heap)
+            found = index.pop(r)
+            p = found[0] if len(found) == 1 else np.concatenate(found)
+            p = p[at[p] == r]
+            if len(found) > 1:
+                p = np.unique(p)
+            if len(p) <= FEW:
+                one_by_one(r, p.tolist())
+                continue
+            w = word[p]
+            alone = np.ones(len(p), bool)
+            same = w[1:] == w[:-1]
+            alone[1:] &= ~same
+            alone[:-1] &= ~same
+            if not alone.all():
+                one_by_one(r, p[~alone].tolist())
+                p = p[alone]
+            q = nxt[p]
+            after, before = nxt[q], prv[p]
+            sym[p], nxt[p], at[q], at[p] = r, after, NONE, NONE
+            a, b = after >= 0, before >= 0
+            pa_, after, pb, before = p[a], after[a], p[b], before[b]
+            prv[after] = pa_
+            spot = np.concatenate([pa_, before])
+            rank = self.pair_ranks(np.concatenate([sym[pa_], sym[before]]), np.concatenate([sym[after], sym[pb]]))
+            at[spot] = rank
+            live = rank < NONE
+            spot, rank = spot[live], rank[live]
+            if len(spot):
+                order = np.argsort(rank, kind="stable")
+                spot, rank = spot[order], rank[order]
+                cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+                lo = 0
+                for hi, x in zip([*cuts.tolist(), len(spot)], rank[np.concatenate([cuts - 1, [len(rank) - 1]])].tolist(), strict=True):
+                    if x in index:
+                        index[x].append(spot[lo:hi])
+                    else:
+                        index[x] = [spot[lo:hi]]
+                        heappush(heap, x)
+                    lo = hi
+        alive = np.ones(m, bool)
+        inner = nxt[nxt >= 0]
+        # a position lives if it begins a word or another living one leads to it
+        alive[:] = False
+        alive[np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]] = True
+        lead = np.flatnonzero(nxt >= 0)
+        alive[nxt[lead[prv[nxt[lead]] == lead]]] = True
+        return sym[alive], np.bincount(word[alive], minlength=len(size))
+
+    def words(self, text: str) -> np.ndarray:
+        """The numbers of a text's words."""
+        get = self.number.__getitem__
         if len(text) < 1_000_000:
-            return self.spell(self.findall(text))
-        out, words = [], []
-        for m in self.find(text):
-            words.append(m[0])
-            if len(words) == WORDS_AT_ONCE:
-                out.append(self.spell(words))
-                words = []
-        return b"".join([*out, self.spell(words)])
+            found = self.findall(text)
+            return np.fromiter(map(get, found), np.int32, len(found))
+        return np.fromiter((get(m[0]) for m in self.find(text)), np.int32)
+
+    def spell(self, words: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.first[words], self.size[words])]
+
+    def encode_batch(self, batch: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        if len(self.number) > self.words_kept:
+            self.forget()
+        numbers = [self.words(t) for t in batch]
+        self.learn()
+        for x in numbers:
+            if len(x) <= WORDS_AT_ONCE:
+                yield self.spell(x)
+            else:
+                yield np.concatenate([self.spell(x[i : i + WORDS_AT_ONCE]) for i in range(0, len(x), WORDS_AT_ONCE)])
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_batch([text]))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -170,25 +258,24 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for b in batches:
-            ids_, texts_ = b.column(0), b.column(1)
-            for start in range(0, b.num_rows, 512):
+            off = texts(b)[1]
+            for start, stop in spans(off, SLICE):
                 rows = []
-                for t in texts_.slice(start, 512):
-                    raw = t.as_py()
-                    ids = codec.encode(raw.decode("utf-8", "replace")) if raw else b""
+                batch = [(t.as_py() or b"").decode("utf-8", "replace") for t in b.column(1).slice(start, stop - start)]
+                for ids in codec.encode_batch(batch):
                     back = codec.decode(ids)
                     if digests:
-                        rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+                        rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
                     else:
-                        rows.append((np.frombuffer(ids, "<u4").astype(np.int32), back.decode("utf-8", "replace")))
+                        rows.append((ids, back.decode("utf-8", "replace")))
                 if digests:
                     n, a, c = zip(*rows, strict=True)
                     cols = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())]
-                    yield pa.record_batch([ids_.slice(start, 512), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.record_batch([b.column(0).slice(start, stop - start), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     ids, back = zip(*rows, strict=True)
                     cols = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
-                    yield pa.record_batch([ids_.slice(start, 512), *cols], ["doc_id", "ids", "decoded"])
+                    yield pa.record_batch([b.column(0).slice(start, stop - start), *cols], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
