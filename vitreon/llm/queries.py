@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, linededup, mixing, quality, toxicity
 from .common import table
 
 QUERIES = {
     "op2_bpe": lambda spark, d: bpe.query(spark, table(spark, d, "documents")),
+    "op3_line_dedup": lambda spark, d: linededup.query(spark, table(spark, d, "documents")),
+    "op6_toxicity": lambda spark, d: toxicity.query(spark, table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_quality": lambda spark, d: quality.query(spark, table(spark, d, "documents"), table(spark, d, "labels")),
+    "op10_mixing": lambda spark, d: mixing.query(spark, table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.ORACLE,
+}
