@@ -171,53 +171,177 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of k consecutive words within a row, distinct in each row, sorted by (row, hash).
+    """Hashes of k consecutive words within a row, and n_rows + 1 offsets; repeats and the text's order are kept.
 
     A row with fewer than k words has its whole sequence as its only shingle; without words it has none.
     """
     size = np.bincount(row, minlength=n_rows)
     first = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    made = np.where(size >= k, size - k + 1, size > 0)
+    off = np.concatenate([np.zeros(1, np.int64), np.cumsum(made)])
+    out = np.zeros(off[-1], np.uint64)
+    short = np.flatnonzero((size > 0) & (size < k))
+    m = len(h) - k + 1
+
+    def fold(x, v):
+        x = (x ^ v) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(29))
+
     with np.errstate(over="ignore"):
-        acc, m = np.zeros(max(0, len(h) - k + 1), np.uint64), len(h) - k + 1
-        for j in range(k):
-            if m > 0:
-                acc = (acc ^ h[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
-                acc ^= acc >> np.uint64(29)
-        whole = row[: max(m, 0)] == row[k - 1 :] if m > 0 else np.zeros(0, bool)
-        hs, rs = [acc[whole]], [row[: max(m, 0)][whole]]
-        for r in np.flatnonzero((size > 0) & (size < k)):
-            x = np.uint64(size[r])
+        if m > 0:
+            acc = np.zeros(m, np.uint64)
+            for j in range(k):
+                acc = fold(acc, h[j : j + m])
+            full = np.ones(len(out), bool)
+            full[off[short]] = False
+            out[full] = acc[row[:m] == row[k - 1 :]]
+        for r in short.tolist():
+            x = np.zeros(1, np.uint64)
             for v in h[first[r] : first[r + 1]]:
-                x = (x ^ v) * np.uint64(0x9E3779B97F4A7C15)
-                x ^= x >> np.uint64(29)
-            hs.append(np.array([x], np.uint64))
-            rs.append(np.array([r], row.dtype))
-    h2, r2 = mix(np.concatenate(hs)), np.concatenate(rs)
-    order = np.lexsort((h2, r2))
-    h2, r2 = h2[order], r2[order]
-    fresh = np.ones(len(h2), bool)
-    fresh[1:] = (h2[1:] != h2[:-1]) | (r2[1:] != r2[:-1])
-    return h2[fresh], r2[fresh]
-
-
-def pack_sorted(h: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit numbers as zstd-compressed byte planes of their differences."""
+                x = fold(x, v)
+            out[off[r]] = x[0]
+    return mix(out), off
+
+
+def sort_rows(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct values in ascending order, and the rows' new offsets."""
+    h = h.copy()
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        h[a:b].sort()
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[off[:-1][off[:-1] < len(h)]] = True
+    return h[fresh], np.concatenate([np.zeros(1, np.int64), np.cumsum(fresh)])[off]
+
+
+def pack(h: np.ndarray, ascending: bool = True) -> bytes:
+    """Unsigned numbers as zstd-compressed byte planes, of their differences if they ascend."""
     import zstandard
 
-    d = np.diff(h, prepend=h[:1] * 0).astype("<u8")
+    d = (np.diff(h, prepend=h[:1] * 0) if ascending else h).astype("<u8")
     planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T)
     used = max(1, int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1)
     return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes, ascending: bool = True) -> np.ndarray:
     import zstandard
 
     used = blob[0]
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(used, -1)
     planes = np.zeros((raw.shape[1], 8), np.uint8)
     planes[:, :used] = raw.T
-    return np.cumsum(planes.reshape(-1).view("<u8"), dtype=np.uint64)
+    out = planes.reshape(-1).view("<u8")
+    return np.cumsum(out, dtype=np.uint64) if ascending else out
+
+
+# --- which hashes stand more than once ------------------------------------------------------------
+
+#: Hashes of a slice of owners that a map task combines before it sends them on.
+COMBINE = 3 << 20
+FOUND = "part int, owners array<bigint>, hashes binary, places binary"
+
+
+class Slices:
+    """Map side of `repeated`: gathers (owner, hashes), combines a slice, and yields its rows of schema FOUND.
+
+    A hash that stands twice in the slice is known to be repeated: its owners' rows (part -1) are final, and one
+    entry without an owner tells the others. So a hash that a third of all owners hold costs one entry a slice.
+    """
+
+    def __init__(self, n_parts: int, bits: int = 64, give: str = "places"):
+        self.n, self.bits, self.give = n_parts, bits, give
+        self.h: list[np.ndarray] = []
+        self.owner: list[np.ndarray] = []
+        self.place: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, owners: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """owners: id of each hash's owner; places: a number below 2**32 that comes back with a repeated hash."""
+        self.h.append(hashes)
+        self.owner.append(owners)
+        self.place.append(places)
+        self.size += len(hashes)
+        if self.size >= COMBINE:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        h, owner, place = (np.concatenate(x) for x in (self.h, self.owner, self.place))
+        self.h, self.owner, self.place, self.size = [], [], [], 0
+        if self.bits < 64:
+            h = h >> np.uint64(64 - self.bits)
+        order = np.argsort(h, kind="stable")
+        h, owner, place = h[order], owner[order], place[order]
+        twice = np.zeros(len(h), bool)
+        same = h[1:] == h[:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
+        what = h[twice] if self.give == "hashes" else place[twice].astype(np.uint64)
+        rows = [(-1, o, b"", pack(p, False)) for o, p in grouped(owner[twice], what)]
+        lone = np.ones(len(h), bool)
+        lone[1:] = ~same
+        h, owner, place, mark = h[lone], owner[lone], place[lone], twice[lone]
+        ids, which = np.unique(owner, return_inverse=True)
+        which = np.where(mark, 0, which + 1).astype(np.uint64)
+        # part by the hash's leading bits: a part is a range of hashes
+        part = (h >> np.uint64(self.bits - 24)) * np.uint64(self.n) >> np.uint64(24)
+        cuts = np.searchsorted(part, np.arange(self.n + 1))
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if a < b:
+                rows.append((k, None, pack(h[a:b]), pack(which[a:b] << np.uint64(32) | place[a:b].astype(np.uint64), False)))
+        for i in range(0, len(rows), 2000):
+            some = rows[i : i + 2000]
+            own = pa.array([ids if o is None else [o] for _, o, _, _ in some], pa.list_(pa.int64()))
+            yield pa.record_batch(
+                [pa.array([r[0] for r in some], pa.int32()), own, pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.binary())],
+                ["part", "owners", "hashes", "places"],
+            )
+
+
+def grouped(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    ids, at = np.unique(owner, return_index=True)
+    return list(zip(ids.tolist(), np.split(place, at[1:]), strict=True)) if len(ids) else []
+
+
+def repeated(found: DataFrame, give: str = "places") -> DataFrame:
+    """(owner, places binary) of every hash of `found` (kept rows of Slices) that stands more than once; with
+    give="hashes" the hashes themselves instead of their places.
+
+    A part is a range of hash values, of which a reducer sees one entry a slice and hash at most; an owner may have
+    several rows.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        hs, whos, places, base, all_ids = [], [], [], 0, []
+        for own, h, w in zip(table.column("owners"), table.column("hashes"), table.column("places"), strict=True):
+            ids = own.values.to_numpy()
+            w = unpack(w.as_py(), False)
+            who = (w >> np.uint64(32)).astype(np.int64)
+            hs.append(unpack(h.as_py()))
+            whos.append(np.where(who == 0, -1, who - 1 + base))
+            places.append(hs[-1] if give == "hashes" else w & np.uint64(0xFFFFFFFF))
+            all_ids.append(ids)
+            base += len(ids)
+        h, who, place, ids = (np.concatenate(x) for x in (hs, whos, places, all_ids))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        twice = np.zeros(len(h), bool)
+        same = h[1:] == h[:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
+        hit = order[twice]
+        hit = hit[who[hit] >= 0]
+        # a hash marked by one slice as repeated is settled there; its other slices' entries meet it here
+        got = grouped(ids[who[hit]], place[hit])
+        return pa.table({"owner": pa.array([g[0] for g in got], pa.int64()), "places": pa.array([pack(g[1], False) for g in got], pa.binary())})
+
+    settled = found.where("part < 0").select(F.element_at("owners", 1).alias("owner"), "places")
+    met = found.where("part >= 0").groupBy("part").applyInArrow(meet, "owner bigint, places binary")
+    return settled.union(met)
 
 
 # --- components ----------------------------------------------------------------------------------

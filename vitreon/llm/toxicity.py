@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, mix, powers, prefix_hash, spans, texts, word_bounds, BASE_INV
+from .common import _LOWER, BASE_INV, mix, powers, prefix_hash, spans, texts, word_bounds
 from .samples import fold, labelled
 
 #: Hash buckets of the features.
@@ -23,7 +23,7 @@ BUCKETS = 1 << 19
 #: Beginnings of words, in bytes, that are features beside the whole word.
 STARTS = (4, 5, 6)
 #: Documents of each label that training reads at most.
-PER_CLASS = 2500
+PER_CLASS = 1200
 STEPS = 120
 FOLDS = 5
 SLICE = 2 << 20
@@ -65,7 +65,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sentence_logits(x: np.ndarray, sent: np.ndarray, n: int, w: np.ndarray, bias: float) -> np.ndarray:
-    return bias + np.bincount(sent, w[x].sum(1), minlength=n)
+    return bias + np.bincount(sent, sum(w[x[:, c]] for c in range(x.shape[1])), minlength=n)
 
 
 def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -81,7 +81,13 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, l1: float = 4e-6
         return w.astype(np.float32), -20.0 if not y.sum() else 2.0
     data = np.frombuffer(b"".join(s[0] for s in samples), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(s[0]) for s in samples])]).astype(np.int64)
-    x, sent, row, _ = features(data, off)
+    pieces, n_sent = [], 0
+    for i, j in spans(off, SLICE):  # as when scoring, so that the arrays of positions stay small
+        fx, fs, fr, _ = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        pieces.append((fx, (fs + n_sent).astype(np.int32), (fr + i).astype(np.int32)))
+        n_sent += len(fr)
+    x, sent, row = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    del pieces
     # Start: how much likelier a feature's presence makes the label, damped; noisy-or needs a start off zero
     doc = row[sent]
     pres = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
@@ -93,8 +99,11 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, l1: float = 4e-6
     odds = np.log((pres[1] / pos + 2 / pos) / (pres[0] / neg + 2 / neg))
     w = np.where(pres[1] + pres[0] >= 3, np.clip(odds, 0, 4) * (odds > 1.5), 0.0)
     bias = -6.0
-    used, inv = np.unique(x, return_inverse=True)
-    inv = inv.reshape(x.shape)
+    used = np.flatnonzero(np.bincount(x.ravel(), minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    inv = number[x]
+    del x
     w = w[used]
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
@@ -106,7 +115,8 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, l1: float = 4e-6
         # d loss / d log(1 - P): -1 without the label, (1 - P) / P with it; times d / dz = -sigmoid(z)
         g_doc = np.where(y == 1, np.exp(log_not) / np.maximum(p, 1e-9), -1.0) * weight
         gz = -g_doc[row] / (1 + np.exp(-np.clip(z, -60, 60)))
-        gw = np.bincount(inv.ravel(), np.repeat(gz[sent], inv.shape[1]), minlength=len(used))
+        of_word = gz[sent]
+        gw = sum(np.bincount(inv[:, c], of_word, minlength=len(used)) for c in range(inv.shape[1]))
         gb = gz.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
