@@ -245,8 +245,9 @@ FOUND = "part int, owners array<bigint>, hashes binary, places binary"
 class Slices:
     """Map side of `repeated`: gathers (owner, hashes), combines a slice, and yields its rows of schema FOUND.
 
-    A hash that stands twice in the slice is known to be repeated: its owners' rows (part -1) are final, and one
-    entry without an owner tells the others. So a hash that a third of all owners hold costs one entry a slice.
+    A hash that stands twice in the slice is known to be repeated: its owners' rows (parts from n on) are final, and
+    one entry without an owner tells the others. So a hash that a third of all owners hold costs one entry a slice.
+    Hashes of `witness` are only met by others and get no answer, which saves their owners and places.
     """
 
     def __init__(self, n_parts: int, bits: int = 64, give: str = "places"):
@@ -254,10 +255,14 @@ class Slices:
         self.h: list[np.ndarray] = []
         self.owner: list[np.ndarray] = []
         self.place: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, owners: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, owners: np.ndarray, hashes: np.ndarray, places: np.ndarray, witness: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         """owners: id of each hash's owner; places: a number below 2**32 that comes back with a repeated hash."""
+        if witness is not None:
+            self.seen.append(witness)
+            self.size += len(witness)
         self.h.append(hashes)
         self.owner.append(owners)
         self.place.append(places)
@@ -269,20 +274,35 @@ class Slices:
         if not self.size:
             return
         h, owner, place = (np.concatenate(x) for x in (self.h, self.owner, self.place))
-        self.h, self.owner, self.place, self.size = [], [], [], 0
+        seen = np.concatenate(self.seen) if self.seen else np.zeros(0, np.uint64)
+        self.h, self.owner, self.place, self.seen, self.size = [], [], [], [], 0
         if self.bits < 64:
-            h = h >> np.uint64(64 - self.bits)
+            h, seen = h >> np.uint64(64 - self.bits), seen >> np.uint64(64 - self.bits)
         order = np.argsort(h, kind="stable")
         h, owner, place = h[order], owner[order], place[order]
         twice = np.zeros(len(h), bool)
         same = h[1:] == h[:-1]
         twice[1:] |= same
         twice[:-1] |= same
+        if len(seen):
+            seen.sort()
+            fresh = np.append(True, seen[1:] != seen[:-1])
+            seen = seen[fresh]
+            at = np.searchsorted(seen, h)
+            at[at == len(seen)] = 0
+            twice |= seen[at] == h
         what = h[twice] if self.give == "hashes" else place[twice].astype(np.uint64)
-        rows = [(-1, o, b"", pack(p, False)) for o, p in grouped(owner[twice], what)]
+        # settled rows go past a reducer untouched; parts from n on say so and spread them
+        rows = [(self.n + o % self.n, o, b"", pack(p, False)) for o, p in grouped(owner[twice], what)]
         lone = np.ones(len(h), bool)
         lone[1:] = ~same
         h, owner, place, mark = h[lone], owner[lone], place[lone], twice[lone]
+        if len(seen):
+            rest = seen[~np.isin(seen, h, assume_unique=True)]
+            h = np.concatenate([h, rest])
+            owner, place, mark = (np.concatenate([x, np.full(len(rest), y, x.dtype)]) for x, y in ((owner, owner[0] if len(owner) else 0), (place, 0), (mark, True)))
+            order = np.argsort(h, kind="stable")
+            h, owner, place, mark = h[order], owner[order], place[order], mark[order]
         ids, which = np.unique(owner, return_inverse=True)
         which = np.where(mark, 0, which + 1).astype(np.uint64)
         # part by the hash's leading bits: a part is a range of hashes
@@ -308,14 +328,18 @@ def grouped(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]
 
 
 def repeated(found: DataFrame, give: str = "places") -> DataFrame:
-    """(owner, places binary) of every hash of `found` (kept rows of Slices) that stands more than once; with
+    """(owner, places binary) of every hash of `found` (rows of Slices for `parts` parts) that stands more than once; with
     give="hashes" the hashes themselves instead of their places.
 
     A part is a range of hash values, of which a reducer sees one entry a slice and hash at most; an owner may have
     several rows.
     """
 
+    n = parts(found.sparkSession)
+
     def meet(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() >= n:
+            return pa.table({"owner": table.column("owners").combine_chunks().flatten(), "places": table.column("places")})
         hs, whos, places, base, all_ids = [], [], [], 0, []
         for own, h, w in zip(table.column("owners"), table.column("hashes"), table.column("places"), strict=True):
             ids = own.values.to_numpy()
@@ -339,9 +363,7 @@ def repeated(found: DataFrame, give: str = "places") -> DataFrame:
         got = grouped(ids[who[hit]], place[hit])
         return pa.table({"owner": pa.array([g[0] for g in got], pa.int64()), "places": pa.array([pack(g[1], False) for g in got], pa.binary())})
 
-    settled = found.where("part < 0").select(F.element_at("owners", 1).alias("owner"), "places")
-    met = found.where("part >= 0").groupBy("part").applyInArrow(meet, "owner bigint, places binary")
-    return settled.union(met)
+    return found.groupBy("part").applyInArrow(meet, "owner bigint, places binary")
 
 
 # --- components ----------------------------------------------------------------------------------

@@ -68,11 +68,12 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     by_doc = repeats.groupBy("doc_id", "_dig").agg(F.collect_list("c").alias("_found"))
     by_doc = scratch.keep(by_doc.withColumnRenamed("doc_id", "_id"), "found")
     full = docs.withColumn("_d", F.md5(F.col("text").cast("binary")))
-    full = scratch.keep(full.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_dig")), "left").drop("_id", "_dig"), "texts")
+    # by_doc grows with the corpus, so the plan is the same at every size: no broadcast
+    full = scratch.keep(full.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_dig")), "left").drop("_id", "_dig"), "texts")
     # byte comparison of every repeat with the occurrence that stays
     shown = full.where("_found is not null").select("doc_id", "_d", F.split("text", "\n", -1).alias("_lines"), F.explode("_found").alias("c"))
     shown = shown.select("doc_id", "_d", F.col("c.key").alias("key"), F.col("c.start").alias("start"), F.col("c.keeps").alias("keeps"), F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("_chunk"))
-    keeper = shown.where("keeps").select("key", F.col("_chunk").alias("_kept")).dropDuplicates(["key"])
+    keeper = scratch.keep(shown.where("keeps").select("key", F.col("_chunk").alias("_kept")).dropDuplicates(["key"]), "kept")
     unlike = scratch.keep(
         shown.where("not keeps").join(keeper, "key").where("_chunk <> _kept").groupBy("doc_id", "_d").agg(F.collect_set("start").alias("_not")), "unlike"
     )

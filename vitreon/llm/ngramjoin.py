@@ -139,7 +139,7 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
             yield from s.add(own, (h << np.uint64(6)) | (h >> np.uint64(58)), np.zeros(len(h), np.int64))
         yield from s.flush()
 
-    found = scratch.keep(groups.select("gid", "prefix").mapInArrow(send, FOUND), "found")
+    found = groups.select("gid", "prefix").mapInArrow(send, FOUND)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +150,6 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
 
     pairs = repeated(found, "hashes").mapInArrow(spread, "tok bigint, gid bigint")
     out = scratch.keep(pairs.join(groups.select("gid", "n"), "gid"), "entries")
-    scratch.drop(found)
     return out
 
 
