@@ -1,17 +1,75 @@
-"""A corpus pipeline over documents: each stage is one of the operators of vitreon.llm."""
+"""A corpus pipeline over documents: each stage calls one operator of vitreon.llm.
+
+Stages keep the columns of documents up to the last, which turns what is left into token ids. run() writes every
+stage's result to the shared scratch folder and reads it again, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from vitreon.llm import bpe, linededup, mixing, ngramjoin, toxicity
+from vitreon.llm.common import Scratch, table
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in df.columns else df
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among these, doesn't call toxic."""
+    return toxicity.clean(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without chunks of lines that stand elsewhere already."""
+    return _sized(linededup.dedup(docs).select(*docs.columns))
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles with similarity 0.8 join: the lowest doc_id.
+
+    Documents without words are in no group, nor are those without doc_id; all of them stay.
+    """
+    joined = ngramjoin.join(docs)
+    gone = Scratch(spark, "gone").keep(joined.where("doc_id <> component_id").select("doc_id").distinct())
+    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    once = rest.where("doc_id is not null").withColumn("_n", first).where("_n = 1").drop("_n")
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once or twice."""
+    return mixing.copies(mixing.mix(docs)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row."""
+    return bpe.encode(docs, *bpe.tokenizer())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_group),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
-#: Models and fingerprints are beyond SQL.
+#: A trained classifier and entropy balancing are beyond SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The rows of the last stage over the whole table documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.keep(docs, f"stage{i}")
+            scratch.drop(before)
     return docs

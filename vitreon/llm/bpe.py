@@ -247,11 +247,13 @@ def _codec(ranks, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -> DataFrame:
-    """doc_id with its token ids (digests=False: ids array<int>, decoded string) or their digests.
+    """doc_id, n_tokens and ids array<int>; with digests instead of ids their SHA-256 (as little-endian unsigned
+    32-bit integers) and that of the bytes they decode to.
 
     ranks: content of a rank file (a line per token: base64 of its bytes, its id). It has the vocabulary's size,
-    whatever the corpus, and is broadcast. A null or empty text has no tokens and decodes to the empty string; repeated rows and null
-    doc_ids pass through row by row; columns other than doc_id and text are ignored; an empty table gives none.
+    whatever the corpus, and is broadcast. A null or empty text has no tokens and decodes to the empty string;
+    rows pass one by one, repeated or not, a null doc_id included; other columns are ignored; an empty table gives
+    an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -260,28 +262,36 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -
         for b in batches:
             off = texts(b)[1]
             for start, stop in spans(off, SLICE):
-                rows = []
-                batch = [(t.as_py() or b"").decode("utf-8", "replace") for t in b.column(1).slice(start, stop - start)]
-                for ids in codec.encode_batch(batch):
-                    back = codec.decode(ids)
-                    if digests:
-                        rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
-                    else:
-                        rows.append((ids, back.decode("utf-8", "replace")))
+                made = codec.encode_batch([(t.as_py() or b"").decode("utf-8", "replace") for t in b.column(1).slice(start, stop - start)])
+                who = b.column(0).slice(start, stop - start)
                 if digests:
-                    n, a, c = zip(*rows, strict=True)
-                    cols = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())]
-                    yield pa.record_batch([b.column(0).slice(start, stop - start), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    ids, back = zip(*rows, strict=True)
-                    cols = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
-                    yield pa.record_batch([b.column(0).slice(start, stop - start), *cols], ["doc_id", "ids", "decoded"])
+                    rows = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()) for ids in made]
+                    n, x, y = zip(*rows, strict=True)
+                    yield pa.record_batch([who, pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    continue
+                ids = list(made)
+                n = np.array([len(x) for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.record_batch([who, pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    schema = f"doc_id {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """doc_id and the text (bytes that aren't UTF-8 replaced) of rows of doc_id and ids; null ids give the empty text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, pattern)
+        for b in batches:
+            text = [codec.decode(np.array(x.as_py() or [], np.int32)).decode("utf-8", "replace") for x in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
     """A public rank file and the pattern that goes with it."""
     import public_tokenizers as P

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, linededup, mixing, ngramjoin, quality, toxicity
+from . import bpe, fingerprints, linededup, mixing, neardup, ngramjoin, quality, suffixdedup, surrogates, toxicity
 from .common import table
 
 QUERIES = {
     "op1_ngram_join": lambda spark, d: ngramjoin.query(spark, table(spark, d, "documents")),
     "op2_bpe": lambda spark, d: bpe.query(spark, table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: linededup.query(spark, table(spark, d, "documents")),
+    "op4_pii_surrogates": lambda spark, d: surrogates.query(spark, table(spark, d, "documents")),
+    "op5_embedding_neardup": lambda spark, d: neardup.query(spark, table(spark, d, "embeddings")),
     "op6_toxicity": lambda spark, d: toxicity.query(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_quality": lambda spark, d: quality.query(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_fingerprints": lambda spark, d: fingerprints.query(spark, table(spark, d, "documents")),
+    "op9_suffix_dedup": lambda spark, d: suffixdedup.query(spark, table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.query(spark, table(spark, d, "documents")),
 }
 

@@ -163,6 +163,22 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """The rows of docs whose score is below 0.5, with all their columns (null and blank texts stay)."""
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b0 = model.value
+        for b in batches:
+            data, off = texts(b)
+            for i, j in spans(off, SLICE):
+                x, sent, row, _ = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                p = -np.expm1(noisy_or(sentence_logits(x, sent, len(row), w, b0), row, j - i))
+                yield b.slice(i, j - i).filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     return train(labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, per_class))
 
