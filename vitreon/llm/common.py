@@ -291,7 +291,7 @@ class Slices:
             at = np.searchsorted(seen, h)
             at[at == len(seen)] = 0
             twice |= seen[at] == h
-        what = h[twice] if self.give == "hashes" else place[twice].astype(np.uint64)
+        what = answer(h[twice], place[twice].astype(np.uint64), self.give)
         # settled rows go past a reducer untouched; parts from n on say so and spread them
         rows = [(self.n + o % self.n, o, b"", pack(p, False)) for o, p in grouped(owner[twice], what)]
         lone = np.ones(len(h), bool)
@@ -320,6 +320,11 @@ class Slices:
             )
 
 
+def answer(h: np.ndarray, place: np.ndarray, give: str) -> np.ndarray:
+    """What comes back for a repeated hash: its place, or its upper 48 bits and the place (65,535 at most) below."""
+    return place if give == "places" else h & ~np.uint64(0xFFFF) | np.minimum(place, np.uint64(0xFFFF))
+
+
 def grouped(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
     order = np.lexsort((place, owner))
     owner, place = owner[order], place[order]
@@ -329,7 +334,7 @@ def grouped(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]
 
 def repeated(found: DataFrame, give: str = "places") -> DataFrame:
     """(owner, places binary) of every hash of `found` (rows of Slices for `parts` parts) that stands more than once; with
-    give="hashes" the hashes themselves instead of their places.
+    give="hashes" the hashes' upper 48 bits above their places.
 
     A part is a range of hash values, of which a reducer sees one entry a slice and hash at most; an owner may have
     several rows.
@@ -347,7 +352,7 @@ def repeated(found: DataFrame, give: str = "places") -> DataFrame:
             who = (w >> np.uint64(32)).astype(np.int64)
             hs.append(unpack(h.as_py()))
             whos.append(np.where(who == 0, -1, who - 1 + base))
-            places.append(hs[-1] if give == "hashes" else w & np.uint64(0xFFFFFFFF))
+            places.append(answer(hs[-1], w & np.uint64(0xFFFFFFFF), give))
             all_ids.append(ids)
             base += len(ids)
         h, who, place, ids = (np.concatenate(x) for x in (hs, whos, places, all_ids))

@@ -8,8 +8,9 @@
 3. Groups that share a prefix shingle are candidates. A shingle that many groups share gives no pair of all its groups: each
    group meets the shingle's pivot of its own and of the next size band. Pairs are verified on the texts, verified links
    give components, and only shingles whose groups still lie in several components are looked at again: once more
-   with other pivots, then with every remaining pair across components. So no link that joins two components is lost, and
-   a group of near copies costs pairs in proportion to its size.
+   with other pivots, then with every remaining pair across components. Pairs whose places of the shingle rule out
+   the threshold are left out. So no link that joins two components is lost, and a group of near copies costs pairs
+   in proportion to its size.
 4. Groups with several different sets expand to all of them before pairs are verified.
 
 Sizes: the order table is fixed; every shuffle carries prefixes, ids or candidates; the texts of candidates move to
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Slices, components, pack, parts, release, repeated, shingles, sort_rows, spans, texts, unpack, word_hashes, FOUND
+from .bpe import ranges
+from .common import FOUND, Scratch, Slices, components, pack, parts, release, repeated, shingles, sort_rows, spans, texts, unpack, word_hashes
 
 #: Shingles and threshold of the operator unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -126,7 +128,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFr
 
 
 def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tok, gid, n) for every prefix shingle that two groups or more have."""
+    """(tok, gid, pos, n) for every prefix shingle that two groups or more have; pos: its place in the order."""
     n_parts = parts(groups.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +136,11 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
         for b in batches:
             pre = b.column(1)
             h = pre.flatten().to_numpy().view(np.uint64)
-            own = np.repeat(b.column(0).to_numpy(), pre.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            size = pre.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.repeat(b.column(0).to_numpy(), size)
+            place = ranges(np.zeros(len(size), np.int64), size)
             # spread: the order key's leading bits are the level
-            yield from s.add(own, (h << np.uint64(6)) | (h >> np.uint64(58)), np.zeros(len(h), np.int64))
+            yield from s.add(own, (h << np.uint64(6)) | (h >> np.uint64(58)), place)
         yield from s.flush()
 
     found = groups.select("gid", "prefix").mapInArrow(send, FOUND)
@@ -146,9 +150,11 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 toks = [unpack(x.as_py(), False) for x in b.column(1).slice(i, 500)]
                 own = np.repeat(b.column(0).slice(i, 500).to_numpy(), [len(x) for x in toks])
-                yield pa.record_batch([pa.array(np.concatenate(toks).view(np.int64)), pa.array(own)], ["tok", "gid"])
+                all_ = np.concatenate(toks)
+                pos = (all_ & np.uint64(0xFFFF)).astype(np.int32)
+                yield pa.record_batch([pa.array((all_ >> np.uint64(16)).view(np.int64)), pa.array(own), pa.array(pos)], ["tok", "gid", "pos"])
 
-    pairs = repeated(found, "hashes").mapInArrow(spread, "tok bigint, gid bigint")
+    pairs = repeated(found, "hashes").mapInArrow(spread, "tok bigint, gid bigint, pos int")
     out = scratch.keep(pairs.join(groups.select("gid", "n"), "gid"), "entries")
     return out
 
@@ -188,13 +194,20 @@ def verify(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(run, "u bigint, v bigint, shared bigint, total bigint")
 
 
-def _meet(entries: DataFrame, key, ratio: float) -> DataFrame:
-    """Distinct pairs (gid, other) of groups with a pivot of their shingle in their own or the next lower size band."""
-    banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / ratio))).cast("int"))
-    pivot = banded.groupBy("tok", "band").agg(F.min(F.struct(key.alias("key"), "gid", "n", "comp")).alias("p")).select("tok", "band", F.col("p.gid").alias("other"), F.col("p.n").alias("m"), F.col("p.comp").alias("with"))
-    probe = banded.select("tok", "gid", "n", "comp", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    met = probe.join(pivot, ["tok", "band"]).where((F.col("comp") != F.col("with")) & (F.least("n", "m") >= F.greatest("n", "m") * ratio))
-    return met.select(F.least("gid", "other").alias("u"), F.greatest("gid", "other").alias("v")).distinct()
+def _near(n, p, m, q, percent: int):
+    """Whether sets of n and m shingles whose first common one stands at the places p and q can still be alike: at
+    most min(n - p, m - q) are common, and percent / (100 + percent) of n + m must be."""
+    return (100 + percent) * F.least(n - p, m - q) >= percent * (n + m)
+
+
+def _meet(entries: DataFrame, key, percent: int) -> DataFrame:
+    """Distinct pairs of groups with a pivot of their shingle in their own or the next lower size band."""
+    banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int"))
+    pivot = banded.groupBy("tok", "band").agg(F.min(F.struct(key.alias("key"), "n", "gid", "pos", "comp")).alias("p"))
+    pivot = pivot.select("tok", "band", *(F.col(f"p.{c}").alias(f"{c}_") for c in ("gid", "n", "pos", "comp")))
+    probe = banded.select("tok", "gid", "n", "pos", "comp", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    met = probe.join(pivot, ["tok", "band"]).where((F.col("comp") != F.col("comp_")) & _near(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
+    return met.select(F.least("gid", "gid_").alias("u"), F.greatest("gid", "gid_").alias("v")).distinct()
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
@@ -208,7 +221,6 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    ratio = percent / 100
     table = order_table(docs, k)
     pre = scratch.keep(prefixes(docs, table, k, percent), "prefixes")
     live = pre.where("n > 0 and doc_id is not null")
@@ -228,7 +240,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: i
     seen = []
     for turn in range(star_rounds + 1):
         if comps is None:
-            now = entries.withColumn("comp", F.col("gid"))
+            now = entries.withColumns({"comp": F.col("gid"), "most": F.col("gid")})
             label = members.withColumn("comp", F.col("cid"))
         else:
             at = comps.withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
@@ -236,16 +248,18 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: i
             of_group = label.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("most"))
             now = entries.join(of_group, "gid")
             open_ = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("most").alias("hi")).where("lo < hi").select("tok")
-            now = scratch.keep(now.drop("most").join(scratch.keep(open_, "open"), "tok"), "rest")
+            now = scratch.keep(now.join(scratch.keep(open_, "open"), "tok"), "rest")
         if turn < star_rounds:
             # representatives of groups; sets within a group meet its first set
-            key = F.col("n") if turn == 0 else F.xxhash64("gid", F.lit(turn))
-            pairs = _meet(now, key, ratio)
+            # the first pivot has the fewest rarer shingles: of near copies, the one closest to their origin
+            key = F.col("pos").cast("bigint") if turn == 0 else F.xxhash64("gid", F.lit(turn))
+            pairs = _meet(now, key, percent)
             own = label.where("cid <> gid").select(F.col("gid").alias("u"), F.col("cid").alias("v")) if turn == 0 else None
             pairs = pairs.union(own) if own is not None else pairs
         else:
             a, b = now.alias("a"), now.alias("b")
-            met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.gid") < F.col("b.gid")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * ratio))
+            near = _near(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent)
+            met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.gid") < F.col("b.gid")) & ((F.col("a.comp") != F.col("b.comp")) | (F.col("a.most") != F.col("b.most")) | (F.col("a.comp") != F.col("a.most"))) & near)
             met = met.select(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2")).distinct()
             left, right = label.select(F.col("gid").alias("g1"), F.col("cid").alias("u"), F.col("comp").alias("cu")), label.select(F.col("gid").alias("g2"), F.col("cid").alias("v"), F.col("comp").alias("cv"))
             wide = label.join(several, "gid", "left_semi")
