@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import structures
+
+QUERIES = {**structures.QUERIES}
+ORACLES = {**structures.ORACLES}
