@@ -292,8 +292,8 @@ class Slices:
             at[at == len(seen)] = 0
             twice |= seen[at] == h
         what = answer(h[twice], place[twice].astype(np.uint64), self.give)
-        # settled rows go past a reducer untouched; parts from n on say so and spread them
-        rows = [(self.n + o % self.n, o, b"", pack(p, False)) for o, p in grouped(owner[twice], what)]
+        # settled rows go past a reducer untouched; parts from n on say so and name the owners' bucket
+        rows = [(self.n + k, o, pack(c, False), pack(p, False)) for k, o, c, p in bucketed(owner[twice], what, self.n)]
         lone = np.ones(len(h), bool)
         lone[1:] = ~same
         h, owner, place, mark = h[lone], owner[lone], place[lone], twice[lone]
@@ -313,7 +313,7 @@ class Slices:
                 rows.append((k, None, pack(h[a:b]), pack(which[a:b] << np.uint64(32) | place[a:b].astype(np.uint64), False)))
         for i in range(0, len(rows), 2000):
             some = rows[i : i + 2000]
-            own = pa.array([ids if o is None else [o] for _, o, _, _ in some], pa.list_(pa.int64()))
+            own = pa.array([ids if o is None else o for _, o, _, _ in some], pa.list_(pa.int64()))
             yield pa.record_batch(
                 [pa.array([r[0] for r in some], pa.int32()), own, pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.binary())],
                 ["part", "owners", "hashes", "places"],
@@ -325,26 +325,45 @@ def answer(h: np.ndarray, place: np.ndarray, give: str) -> np.ndarray:
     return place if give == "places" else h & ~np.uint64(0xFFFF) | np.minimum(place, np.uint64(0xFFFF))
 
 
-def grouped(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.lexsort((place, owner))
-    owner, place = owner[order], place[order]
-    ids, at = np.unique(owner, return_index=True)
-    return list(zip(ids.tolist(), np.split(place, at[1:]), strict=True)) if len(ids) else []
+def bucketed(owner: np.ndarray, value: np.ndarray, n: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, distinct owners, their numbers of values, values) by bucket of owners, sorted by owner and value."""
+    if not len(owner):
+        return []
+    order = np.lexsort((value, owner, owner % n))
+    owner, value = owner[order], value[order]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    size = np.diff(np.append(first, len(owner))).astype(np.uint64)
+    ids = owner[first]
+    cut = np.flatnonzero(np.append(True, (ids % n)[1:] != (ids % n)[:-1]))
+    out = []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+        lo, hi = first[a], first[b] if b < len(first) else len(owner)
+        out.append((int(ids[a] % n), ids[a:b], size[a:b], value[lo:hi]))
+    return out
 
 
 def repeated(found: DataFrame, give: str = "places") -> DataFrame:
-    """(owner, places binary) of every hash of `found` (rows of Slices for `parts` parts) that stands more than once; with
-    give="hashes" the hashes' upper 48 bits above their places.
+    """(owner, places) of every hash of `found` (rows of Slices for `parts` parts) that stands more than once: ascending
+    distinct places, packed; with give="hashes" the hashes' upper 48 bits above their places.
 
-    A part is a range of hash values, of which a reducer sees one entry a slice and hash at most; an owner may have
-    several rows.
+    A part is a range of hash values, of which a reducer sees one entry a slice and hash at most. Its answers leave by
+    buckets of owners, and a second exchange brings each owner's together.
     """
-
     n = parts(found.sparkSession)
+    schema = "bucket int, owners array<bigint>, sizes binary, places binary"
+
+    def rows(packed: list) -> pa.Table:
+        return pa.table({
+            "bucket": pa.array([r[0] for r in packed], pa.int32()),
+            "owners": pa.array([r[1] for r in packed], pa.list_(pa.int64())),
+            "sizes": pa.array([pack(r[2], False) for r in packed], pa.binary()),
+            "places": pa.array([pack(r[3], False) for r in packed], pa.binary()),
+        })
 
     def meet(table: pa.Table) -> pa.Table:
-        if table.column("part")[0].as_py() >= n:
-            return pa.table({"owner": table.column("owners").combine_chunks().flatten(), "places": table.column("places")})
+        part = table.column("part")[0].as_py()
+        if part >= n:
+            return pa.table({"bucket": pa.array([part - n] * len(table), pa.int32()), "owners": table.column("owners"), "sizes": table.column("hashes"), "places": table.column("places")})
         hs, whos, places, base, all_ids = [], [], [], 0, []
         for own, h, w in zip(table.column("owners"), table.column("hashes"), table.column("places"), strict=True):
             ids = own.values.to_numpy()
@@ -365,10 +384,20 @@ def repeated(found: DataFrame, give: str = "places") -> DataFrame:
         hit = order[twice]
         hit = hit[who[hit] >= 0]
         # a hash marked by one slice as repeated is settled there; its other slices' entries meet it here
-        got = grouped(ids[who[hit]], place[hit])
-        return pa.table({"owner": pa.array([g[0] for g in got], pa.int64()), "places": pa.array([pack(g[1], False) for g in got], pa.binary())})
-
-    return found.groupBy("part").applyInArrow(meet, "owner bigint, places binary")
+        return rows(bucketed(ids[who[hit]], place[hit], n))
+
+    def merge(table: pa.Table) -> pa.Table:
+        owner = np.concatenate([np.repeat(o.values.to_numpy(), unpack(c.as_py(), False).astype(np.int64)) for o, c in zip(table.column("owners"), table.column("sizes"), strict=True)])
+        value = np.concatenate([unpack(p.as_py(), False) for p in table.column("places")])
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        fresh = np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))
+        owner, value = owner[fresh], value[fresh]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        ends = [*first[1:].tolist(), len(owner)]
+        return pa.table({"owner": pa.array(owner[first]), "places": pa.array([pack(value[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())})
+
+    return found.groupBy("part").applyInArrow(meet, schema).groupBy("bucket").applyInArrow(merge, "owner bigint, places binary")
 
 
 # --- components ----------------------------------------------------------------------------------

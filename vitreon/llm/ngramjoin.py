@@ -148,7 +148,7 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                toks = [unpack(x.as_py(), False) for x in b.column(1).slice(i, 500)]
+                toks = [unpack(x.as_py()) for x in b.column(1).slice(i, 500)]
                 own = np.repeat(b.column(0).slice(i, 500).to_numpy(), [len(x) for x in toks])
                 all_ = np.concatenate(toks)
                 pos = (all_ & np.uint64(0xFFFF)).astype(np.int32)

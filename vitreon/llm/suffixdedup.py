@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import FOUND, Scratch, Slices, pack, parts, prefix_hash, release, repeated, span_hash, spans, texts, unpack
+from .common import FOUND, Scratch, Slices, parts, prefix_hash, release, repeated, span_hash, spans, texts, unpack
 
 LENGTH = 200
 #: A perfect difference set modulo V (fixed values): every residue is a difference of two of its members.
@@ -94,7 +94,7 @@ def first_names(docs: DataFrame) -> DataFrame:
 
 
 def _places(col) -> list[np.ndarray]:
-    return [np.unique(np.concatenate([unpack(x, False) for x in v])).astype(np.int64) if v else np.zeros(0, np.int64) for v in col.to_pylist()]
+    return [unpack(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in col.to_pylist()]
 
 
 def whole_names(held: DataFrame) -> DataFrame:
@@ -178,10 +178,6 @@ def cut(held: DataFrame) -> DataFrame:
     return held.select("owner", "text", "s", "u").mapInArrow(run, "owner bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
-def _gather(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("owner").agg(F.collect_list("places").alias(name))
-
-
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (with_text: also kept, the remaining bytes).
 
@@ -195,7 +191,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     info = scratch.keep(survey(raw), "survey")
     classes = scratch.keep(info.groupBy("owner", "sha256", "n_bytes").agg(F.min(F.struct("doc_id")).getField("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
-    a = scratch.keep(_gather(repeated(first_names(raw)), "a"), "a")
+    a = scratch.keep(repeated(first_names(raw)).withColumnRenamed("places", "a"), "a")
     release(spark)
     # one row of every class that may hold a repeat; the texts move once, in a plan that is the same at all sizes
     wanted = classes.join(a, "owner").select(F.col("id").alias("_id"), F.col("sha256").alias("_sha"), "owner", "a")
@@ -204,14 +200,14 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     held = scratch.keep(held.dropDuplicates(["doc_id", "_s"]).select("owner", "text", "a"), "held")
     scratch.drop(a)
     release(spark)
-    s = scratch.keep(_gather(repeated(whole_names(held)), "s"), "s")
-    more = scratch.keep(held.join(s.hint("merge"), "owner", "left").withColumn("s", F.coalesce("s", F.array().cast("array<binary>"))), "more")
+    s = scratch.keep(repeated(whole_names(held)).withColumnRenamed("places", "s"), "s")
+    more = scratch.keep(held.join(s.hint("merge"), "owner", "left"), "more")
     scratch.drop(held, s)
     release(spark)
-    u = scratch.keep(_gather(repeated(other_names(more)), "u"), "u")
+    u = scratch.keep(repeated(other_names(more)).withColumnRenamed("places", "u"), "u")
     release(spark)
-    last = more.drop("a").join(u.hint("merge"), "owner", "left").withColumn("u", F.coalesce("u", F.array().cast("array<binary>")))
-    done = scratch.keep(cut(last.where("size(s) + size(u) > 0")) if with_text else cut(last.where("size(s) + size(u) > 0")).drop("kept"), "cut")
+    last = more.drop("a").join(u.hint("merge"), "owner", "left")
+    done = scratch.keep(cut(last.where("s is not null or u is not null")) if with_text else cut(last.where("s is not null or u is not null")).drop("kept"), "cut")
     scratch.drop(more, u)
     labels = classes.join(done.hint("merge"), "owner", "left").select(F.col("owner").alias("_o"), "rows", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
     labels = scratch.keep(labels, "labels")
