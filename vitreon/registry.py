@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import structures
+from .plans import materials, structures
 
-QUERIES = {**structures.QUERIES}
-ORACLES = {**structures.ORACLES}
+QUERIES = {**structures.QUERIES, **materials.QUERIES}
+ORACLES = {**structures.ORACLES, **materials.ORACLES}
