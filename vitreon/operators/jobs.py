@@ -92,11 +92,14 @@ def merged_results(base: Column, *others: Column) -> Column:
     """Union of maps in which later ones win."""
     out = base
     for m in others:
-        keys = F.map_keys(m)
-        out = F.map_concat(F.map_filter(out, lambda k, _, keys=keys: ~F.array_contains(keys, k)), m)
+        out = F.map_concat(_without(out, F.map_keys(m)), m)
     return out
 
 
+def _without(m: Column, keys: Column) -> Column:
+    return F.map_filter(m, lambda k, _: ~F.array_contains(keys, k))
+
+
 def step_status(events: DataFrame, base: str) -> DataFrame:
     """job_id, step, status, error of the last event of every step; other steps are pending until base is completed."""
     now = events.groupBy("job_id", "step").agg(F.max_by(F.struct("status", "error"), F.struct("ts", "event_id")).alias("s"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import materials, structures
+from .plans import ledger, materials, signals, structures
 
-QUERIES = {**structures.QUERIES, **materials.QUERIES}
-ORACLES = {**structures.ORACLES, **materials.ORACLES}
+_PLANS = (structures, materials, signals, ledger)
+QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
