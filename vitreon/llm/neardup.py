@@ -165,3 +165,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, margin: float = MARGIN) ->
 
 def query(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     return link(vectors)
+
+
+#: The same rows in DuckDB's SQL, all pairs compared; for tables whose vectors are all usable.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+c AS (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept FROM v LEFT JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""

@@ -288,4 +288,18 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: i
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return join(docs, k=4, percent=85)
+    return join(docs, k=4, percent=85).drop("class_id")
+
+
+#: The query's rows in DuckDB's SQL: every pair that shares a shingle is compared, then links are followed.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+c AS (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.u = d.doc_id
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngramjoin.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
+    "op5_embedding_neardup": neardup.ORACLE,
 }
