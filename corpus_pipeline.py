@@ -37,7 +37,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     gone = Scratch(spark, "gone").keep(joined.where("doc_id <> component_id").select("doc_id").distinct())
     rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    once = rest.where("doc_id is not null").withColumn("_n", first).where("_n = 1").drop("_n")
+    once = rest.where("doc_id is not null").withColumn("__first", first).where("__first = 1").drop("__first")
     return once.unionByName(docs.where("doc_id is null"))
 
 

@@ -112,11 +112,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     docs = docs.drop("size", "source_size", "target", "rate", "copies", "taken")
+    names = docs.columns
+    # the caller's columns travel as one, so that none can clash with those made here
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", "source", "text")
     named = docs.withColumns({
         "size": word_count(F.col("text")),
         "_slice": F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"),
         "_h": F.xxhash64("doc_id", F.lit(1)),
-    })
+    }).drop("text")
     fine = scratch.keep(named.groupBy("source", "size", "_slice").agg(F.count("*").alias("n")), "fine")
     hist = scratch.keep(fine.groupBy("source", "size").agg(F.sum("n").alias("n")), "hist")
     rows = solve(hist, weights, share)
@@ -169,12 +172,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .join(share_of.alias("p"), same("d", "p", key))
         .withColumn("copies", (F.col("_whole") + (F.row_number().over(ranked) <= F.col("_extra")).cast("int")).cast("int"))
     )
-    return out.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("d.size"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("d.size")).cast("long").alias("taken"))
+    return out.select(*(F.col(f"d._row.`{c}`").alias(c) for c in names), F.col("d.size"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("d.size")).cast("long").alias("taken"))
 
 
 def copies(mixed: DataFrame) -> DataFrame:
     """The mixed corpus itself: every row as often as its copies say."""
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0")
+    return mixed.where("copies > 0").select("*", F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
