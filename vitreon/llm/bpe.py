@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans, texts
+from .common import spans, texts, tidy
 
 #: Distinct words that a worker keeps encoded; beyond it the vocabulary of words starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 #: Bytes of text whose new words are encoded together.
 SLICE = 24 << 20
 #: Words of one text that are looked up at once, so that a very long text needs no list of all its words.
@@ -257,8 +257,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
+        codec.forget()  # words of an earlier partition: their memory is worth more than their encoding
         for b in batches:
             off = texts(b)[1]
             for start, stop in spans(off, SLICE):
@@ -273,6 +275,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -
                 n = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.record_batch([who, pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
+        codec.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
@@ -283,6 +286,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id and the text (bytes that aren't UTF-8 replaced) of rows of doc_id and ids; null ids give the empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for b in batches:

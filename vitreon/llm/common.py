@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -67,6 +68,35 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# --- Python workers ---------------------------------------------------------------------------------
+
+
+def trim() -> None:
+    """Give freed memory back: an idle Python worker shares its executor's memory with later stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that trims when its partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 # --- Arrow and bytes -----------------------------------------------------------------------------
 
 
@@ -123,7 +153,7 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
         p[0] = 1
         with np.errstate(over="ignore"):
             np.cumprod(p, out=p)
-        if size > 1 << 24:  # very long texts: not worth keeping
+        if size > 1 << 22:  # very long texts: not worth keeping
             return p[:n]
         _POW[str(base)] = have = p
     return have[:n]
@@ -238,7 +268,7 @@ def unpack(blob: bytes, ascending: bool = True) -> np.ndarray:
 # --- which hashes stand more than once ------------------------------------------------------------
 
 #: Hashes of a slice of owners that a map task combines before it sends them on.
-COMBINE = 3 << 20
+COMBINE = 2 << 20
 FOUND = "part int, owners array<bigint>, hashes binary, places binary"
 
 

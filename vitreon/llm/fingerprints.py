@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, parts, spans, texts
+from .common import mix, parts, spans, texts, tidy
 
 SPAN = 10
 SKETCH = 64
@@ -211,6 +211,7 @@ def compare(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty one.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None  # the last row so far, whose successor comes with the next slice
         seen = None

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, tidy
 
 COSINE = 0.95
 #: How much less similar than the best a centroid may be for a vector to stand in its cell too.
@@ -48,6 +48,7 @@ def unit(raw: list[bytes]) -> np.ndarray:
 def usable(table: DataFrame) -> DataFrame:
     """vec_id and raw (the vector's doubles as bytes; null if it can link with nothing)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -85,6 +86,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, margin: float = MARGIN) ->
     cells = centroids(unit([bytes(r["raw"]) for r in sample]), k) if sample else np.zeros((1, dim // 8))
     model = spark.sparkContext.broadcast(cells)
 
+    @tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.value
         for b in batches:

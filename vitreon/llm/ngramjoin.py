@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import FOUND, Scratch, Slices, components, pack, parts, release, repeated, shingles, sort_rows, spans, texts, unpack, word_hashes
+from .common import FOUND, Scratch, Slices, components, pack, parts, release, repeated, shingles, sort_rows, spans, texts, tidy, unpack, word_hashes
 
 #: Shingles and threshold of the operator unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
 #: Bits of the hashes that are counted, slots of the order table, and the least count that it tells apart.
 COUNT_BITS, SLOTS, LEAST = 40, 1 << 22, 8
 #: Bytes of text that are hashed at once, and shingles that a map task combines before sending.
-SLICE, COMBINE = 2 << 20, 2 << 20
+SLICE, COMBINE = 1 << 20, 2 << 20
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +47,7 @@ def order_table(docs: DataFrame, k: int) -> np.ndarray:
     n = parts(docs.sparkSession)
     shift = np.uint64(64 - COUNT_BITS)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -100,6 +101,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFr
     """doc_id, n (set size), d1, d2 (digest of the set), g (digest of the prefix), prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for b in batches:
@@ -131,6 +133,7 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(tok, gid, pos, n) for every prefix shingle that two groups or more have; pos: its place in the order."""
     n_parts = parts(groups.sparkSession)
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Slices(n_parts, give="hashes")
         for b in batches:
@@ -145,6 +148,7 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
 
     found = groups.select("gid", "prefix").mapInArrow(send, FOUND)
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
@@ -162,6 +166,7 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
 def verify(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v, shared, total) of the pairs (u, v) whose sets have 100 * shared >= percent * total; text: id, text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, v = b.column(0).to_numpy(), b.column(1).to_numpy()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .samples import fold, labelled
 
 #: Labelled documents of each label that training reads at most.
@@ -112,6 +113,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dg, db, beta = shared.value
         key = hash((dg, db))

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import FOUND, Scratch, Slices, parts, prefix_hash, release, repeated, span_hash, spans, texts, unpack
+from .common import FOUND, Scratch, Slices, parts, prefix_hash, release, repeated, span_hash, spans, texts, unpack, tidy
 
 LENGTH = 200
 #: A perfect difference set modulo V (fixed values): every residue is a difference of two of its members.
 V = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 FIRST = LENGTH - V
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def is_cover(cover: tuple[int, ...], v: int) -> bool:
@@ -58,6 +58,7 @@ def _text_key(sha: list[bytes]) -> np.ndarray:
 def survey(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, sha256, owner (a number for the text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = texts(b)
@@ -74,6 +75,7 @@ def survey(docs: DataFrame) -> DataFrame:
 def first_names(docs: DataFrame) -> DataFrame:
     n_parts = parts(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Slices(n_parts, bits=44)
         for b in batches:
@@ -101,6 +103,7 @@ def whole_names(held: DataFrame) -> DataFrame:
     """held: owner, text, a (places of repeated first names). Strings of LENGTH bytes at p where p and p + V are such."""
     n_parts = parts(held.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Slices(n_parts)
         for b in batches:
@@ -132,6 +135,7 @@ def other_names(held: DataFrame) -> DataFrame:
     """held: owner, text, a, s (places of repeated whole strings). All other strings that may be repeats."""
     n_parts = parts(held.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Slices(n_parts)
         for b in batches:
@@ -163,6 +167,7 @@ def other_names(held: DataFrame) -> DataFrame:
 def cut(held: DataFrame) -> DataFrame:
     """held: owner, text, s, u (places of repeats). The text without the bytes that they cover."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = texts(b)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Entities with a further attempt that are broadcast at most; more are joined.
 EXCEPTIONS = 20_000
@@ -237,6 +237,7 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, norm) of a slice of documents; slices overlap."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = dict.fromkeys((k, n) for t in b.column(0) for _, _, k, n in find((t.as_py() or b"").decode("utf-8", "replace")))
@@ -248,6 +249,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def _tried(ents: DataFrame, key: bytes) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [surrogate(key, k, n, a) for k, n, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
@@ -282,6 +284,7 @@ def settle(ents: DataFrame, key: bytes, scratch: Scratch, most: int = 200) -> Da
 def _rewrite(docs: DataFrame, key: bytes, shared: dict, has_own: bool) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(shared)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempts = common.value
         for b in batches:
@@ -317,6 +320,7 @@ def mask(docs: DataFrame, key: bytes, exceptions: int = EXCEPTIONS) -> DataFrame
     if len(rows) <= exceptions:
         return _rewrite(raw, key, {(r["kind"], r["norm"]): r["attempt"] for r in rows}, False)
 
+    @tidy
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(h, k, n) for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for _, _, k, n in find((t.as_py() or b"").decode("utf-8", "replace"))]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, BASE_INV, mix, powers, prefix_hash, spans, texts, word_bounds
+from .common import _LOWER, BASE_INV, mix, powers, prefix_hash, spans, texts, word_bounds, tidy
 from .samples import fold, labelled
 
 #: Hash buckets of the features.
@@ -26,7 +26,7 @@ STARTS = (4, 5, 6)
 PER_CLASS = 1200
 STEPS = 120
 FOLDS = 5
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".!?\n"]] = True
@@ -137,6 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = model.value
         for b in batches:
@@ -167,6 +168,7 @@ def clean(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """The rows of docs whose score is below 0.5, with all their columns (null and blank texts stay)."""
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = model.value
         for b in batches:
