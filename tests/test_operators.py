@@ -261,3 +261,57 @@ def test_symbols(spark):
 def test_constants():
     assert len(C.SYMBOLS) == 118 and C.Z["Og"] == 118
     assert len(C.DENSITY_TERMS) + 2 == 101
+
+
+def test_job_store(spark, tmp_path):
+    from vitreon.sources.jobstore import JobStore, deserialize, serialize
+
+    s = JobStore(spark, str(tmp_path / "jobs"))
+    rows = [("a", "h1", "SiO2 100", "pmmcs", "pending"), ("b", "h1", "SiO2 100", "shik", "running"), ("c", "h2", "SiO2 100", "pmmcs", "completed")]
+    s.create(spark.createDataFrame(rows, "job_id string, request_hash string, composition string, potential string, status string"))
+    s.update("b", status="completed", result_data='{"structure": 1, "cte": 2}', elemental_vector=[0.5, 0.5])
+    s.update("nobody", status="failed")
+    assert s.jobs().count() == 3 and s.get("b").first().version == 2
+    assert s.find_completed_by_hash("h1").first().job_id == "b" and s.find_completed_by_hash("h2").count() == 0
+    assert {r.job_id for r in s.search_by_composition("SiO2 100").collect()} == {"b", "c"}
+    assert s.search_by_composition("SiO2 100", "shik").count() == 1
+    assert s.list_compositions().first().n_jobs == 2 and s.completed_vectors().first().elemental_vector == [0.5, 0.5]
+    assert s.cancel("a") and not s.cancel("c") and s.get("a").first().status == "cancelled"
+    s.set_tags("c", ["z", "a", "z"])
+    got = {r.job_id: r.tags for r in s.tags(spark.createDataFrame([("a",), ("c",)], "job_id string")).collect()}
+    assert got == {"a": [], "c": ["a", "z"]}
+    assert {tuple(r.missing) for r in s.lookup("SiO2 100", ["cte", "viscosity"]).collect()} <= {("viscosity",), ("cte", "viscosity")}
+    s.clear_results("h1")
+    assert s.find_completed_by_hash("h1").count() == 0
+    with pytest.raises(ValueError):
+        s.update("a", status="odd")
+    a = spark.createDataFrame([("s", 0, 2, "O", 1.0, 0.0, 0.0), ("s", 0, 1, "Si", 0.0, 0.0, 0.0)], "structure_id string, frame int, atom_id long, element string, x double, y double, z double")
+    back = deserialize(serialize(a))
+    assert [(r.atom_id, r.element) for r in back.orderBy("atom_id").collect()] == [(1, "Si"), (2, "O")]
+    assert deserialize(spark.createDataFrame([("s", 0, "no json")], "structure_id string, frame int, atoms string")).count() == 0
+
+
+def test_analysis(spark):
+    """A square of four corner-sharing formers: all oxygens bridge, every former has Q2, one ring of four."""
+    from vitreon.plans.analyze import analyze, pair_class
+
+    pts = [(14, (4, 4, 10)), (14, (7.2, 4, 10)), (14, (7.2, 7.2, 10)), (14, (4, 7.2, 10)), (8, (5.6, 4, 10)), (8, (7.2, 5.6, 10)), (8, (5.6, 7.2, 10)), (8, (4, 5.6, 10)), (11, (15, 15, 15))]
+    a, f = make(spark, pts, cube(20))
+    r = analyze(a, f, 9.0, 450).first()
+    assert r.oxygen == {"BO": 4} and r.qn["2"] == 4 and r.connectivity == 2.0
+    assert r.rings == {"4": 1} and r.angles == {"90": 4} or sum(r.angles.values()) == 4
+    assert r.coordination["Si"] == {"2": 4} and r.coordination["Na"] == {"0": 1}
+    assert r.elements == {"Si": "former", "O": "oxygen", "Na": "modifier"} and r.n_atoms == 9
+    df = spark.createDataFrame([(8, 8), (8, 14), (11, 8), (14, 14)], "za int, zb int").select(pair_class().alias("c"))
+    assert [x.c for x in df.collect()] == ["oo", "former", "modifier", None]
+
+
+def test_wide_rows_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([("g", 0, 2), ("g", 3, 5)], "comp string, cn int, n int")
+    w = T.wide_histogram(df, "comp", "cn", "n", "Si", 4).first()
+    assert (w.Si_0, w.Si_1, w.Si_3, w.Si_tot) == (2, 0, 5, 7)
+    T.write_histogram(T.wide_histogram(df, "comp", "cn", "n", "Si", 4), str(tmp_path / "h"))
+    T.write_pair_table(potentials.pair_table(spark, ("Si", "O"), n=100), "Si-O", str(tmp_path))
+    lines = spark.read.text(str(tmp_path / "table_Si-O.tbl")).collect()
+    assert lines[0].value == "SHIK_Buck_r24" and len(lines) == 103
+    assert T.wide_curve(df.withColumn("v", F.col("n") * 0.5), "comp", "cn", "v", [0.5, 1.5, 2.5, 3.5]).first()["3.50"] == 2.5

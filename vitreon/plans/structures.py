@@ -260,3 +260,16 @@ ORACLES = {
     "former_edges": EDGES, "rings_3": TRIANGLES, "atom_roles": ROLES, "number_density": DENSITY, "min_distance": FREE_SPACE, "replicate": REPLICAS,
     "random_structure": RANDOM, "structure_text": XYZ,
 }
+
+
+def analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The nested record of every structure, its maps as JSON."""
+    from . import analyze
+
+    a = atoms(spark, d)
+    out = analyze.analyze(a, frames(a), 5.0, 100, 36, 8)
+    maps = ["elements", "coordination", "oxygen", "qn", "angles", "rings"]
+    return out.select("structure_id", "n_atoms", F.round("density", 9).alias("density"), F.round("connectivity", 6).alias("connectivity"), *(F.to_json(m).alias(m) for m in maps))
+
+
+QUERIES["structural_analysis"] = analysis
