@@ -23,7 +23,7 @@ COSINE = 0.95
 #: How much less similar than the best a centroid may be for a vector to stand in its cell too.
 MARGIN = 0.13
 #: Vectors the centroids are fitted on at most, classes a cell should hold, and cells at most.
-SAMPLE, PER_CELL, CELLS = 20_000, 400, 2048
+SAMPLE, PER_CELL, CELLS = 20_000, 120, 2048
 BLOCK = 1024
 ROUNDS = 8
 
