@@ -49,7 +49,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     # the caller's columns travel as one, so that none can clash with those made here
-    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", "text")
+    rest = [F.col(f"`{c}`") for c in names if c != "text"]
+    docs = docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")
     ident = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_dig"), F.split("text", "\n", -1).alias("_lines")).where("size(_lines) >= %d" % least)
     cut = (
         ident.withColumn("_h", F.transform("_lines", line_hash))
@@ -90,7 +91,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     full = full.withColumns({"_gone": gone, "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")})
     kept = F.filter(lines, lambda _, i: ~F.exists("_gone", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
     hit = F.coalesce(F.size("_gone") > 0, F.lit(False))
-    out = {c: F.col(f"_row.`{c}`") for c in names} | {"text": F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))}
+    cut_text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    out = {c: cut_text if c == "text" else F.col(f"_row.`{c}`") for c in names}
     removed = F.when(hit, F.aggregate("_gone", F.lit(0), lambda a, c: a + c["n"])).otherwise(F.lit(0)).cast("long")
     return full.select(*(v.alias(c) for c, v in out.items()), "n_lines", removed.alias("n_removed"))
 

@@ -30,7 +30,7 @@ MOST = 2
 STEPS = 60
 PHASES = 32
 #: Slices of the documents of one source and size, so that a group of copies is ranked by many tasks.
-SLICES = 4096
+SLICES = 512
 #: Fractions of copies are counted in units of 2**-UNIT.
 UNIT = 20
 #: Sources are names of corpora: metadata the driver may hold. More than this many is refused.
@@ -119,8 +119,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         "size": word_count(F.col("text")),
         "_slice": F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"),
         "_h": F.xxhash64("doc_id", F.lit(1)),
+        # the source without null, so that join and window below share one exchange of the texts
+        "_key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
     }).drop("text")
-    fine = scratch.keep(named.groupBy("source", "size", "_slice").agg(F.count("*").alias("n")), "fine")
+    fine = scratch.keep(named.groupBy("source", "_key", "size", "_slice").agg(F.count("*").alias("n")), "fine")
     hist = scratch.keep(fine.groupBy("source", "size").agg(F.sum("n").alias("n")), "hist")
     rows = solve(hist, weights, share)
     source = hist.schema["source"].dataType
@@ -154,13 +156,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     ]
     phase = spark.createDataFrame(best, T.StructType([T.StructField("_s", source), T.StructField("_phase", T.LongType())]))
     within = W.partitionBy("source", "size").orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    key = ["source", "size", "_slice"]
+    key = ["_key", "size", "_slice"]
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     share_of = (
         fine.alias("f")
         .join(steps.drop("n").alias("s"), same("f", "s", ["source", "size"]))
         .join(F.broadcast(phase), F.col("f.source").eqNullSafe(F.col("_s")))
-        .select("f.source", "f.size", "_slice", "n", "source_size", "target", "rate", "_whole", "_part", "_start", "_phase")
+        .select("f.source", "f._key", "f.size", "_slice", "n", "source_size", "target", "rate", "_whole", "_part", "_start", "_phase")
         .withColumn("_to", F.col("_start") + F.sum(F.col("_part") * F.col("n")).over(within))
         .withColumn("_extra", above(F.col("_to"), F.col("_phase")) - above(F.col("_to") - F.col("_part") * F.col("n"), F.col("_phase")))
         .select(*key, "source_size", "target", "rate", "_whole", "_extra")
@@ -169,7 +171,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     ranked = W.partitionBy(*(F.col(f"d.{c}") for c in key)).orderBy("_h", "doc_id")
     out = (
         named.alias("d")
-        .join(share_of.alias("p"), same("d", "p", key))
+        .join(share_of.hint("merge").alias("p"), [F.col(f"d.{c}") == F.col(f"p.{c}") for c in key])
         .withColumn("copies", (F.col("_whole") + (F.row_number().over(ranked) <= F.col("_extra")).cast("int")).cast("int"))
     )
     return out.select(*(F.col(f"d._row.`{c}`").alias(c) for c in names), F.col("d.size"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("d.size")).cast("long").alias("taken"))
