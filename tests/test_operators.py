@@ -315,3 +315,34 @@ def test_wide_rows_and_tables(spark, tmp_path):
     lines = spark.read.text(str(tmp_path / "table_Si-O.tbl")).collect()
     assert lines[0].value == "SHIK_Buck_r24" and len(lines) == 103
     assert T.wide_curve(df.withColumn("v", F.col("n") * 0.5), "comp", "cn", "v", [0.5, 1.5, 2.5, 3.5]).first()["3.50"] == 2.5
+
+
+def test_small_pieces(spark):
+    from vitreon.functions import geometry as G
+
+    d = spark.range(1).select(G.cubic_distance(F.lit(9.0), F.lit(0.5), F.lit(-1.0), F.lit(10.0)).alias("d")).first().d
+    assert d == pytest.approx(math.sqrt(1 + 0.25 + 1))
+    fits = spark.createDataFrame([("x", -2.0, 4000.0, 500.0), ("flat", 5.0, 4000.0, 500.0)], "id string, a double, b double, t0 double")
+    got = {r.id: (r.t4, r.t7_6) for r in series.reference_temperatures(fits).collect()}
+    assert got["x"] == (round(500 + 4000 / 6 - 273.15, 1), round(500 + 4000 / 9.6 - 273.15, 1)) and got["flat"][0] is None
+    scan = spark.createDataFrame([("a", 300.0), ("a", 300.0), ("b", 300.0), ("b", 400.0)], "id string, temperature double")
+    assert {r.id: (r.status, r.repeated) for r in series.scan_inputs(scan, ["id"]).collect()} == {"a": ("too few", True), "b": ("ok", False)}
+
+
+def test_strain(spark):
+    a, f = make(spark, [(8, (1.0, 2.0, 3.0))], cube(10))
+    b, g = series.strained(a, f, [[0.01, 0, 0], [0, 0, 0.02], [0, 0.02, 0]])
+    assert (b.first().x, b.first().y, b.first().z) == (pytest.approx(1.01), pytest.approx(2.06), pytest.approx(3.04))
+    assert g.first().c00 == pytest.approx(10.1) and g.first().c12 == pytest.approx(0.2)
+
+
+def test_flat_rdf_gives_flat_structure_factor(spark):
+    a, f = make(spark, [(8, (i, 0, 0)) for i in range(4)] + [(14, (i, 5, 5)) for i in range(4)], cube(10))
+    g = structure.rdf(a, f, 5.0, 50).withColumn("g", F.lit(1.0))
+    s = structure.structure_factor(g, 1.0, 5.0, 5)
+    assert all(r.s == pytest.approx(1.0) for r in s.collect())
+    p = spark.createDataFrame([(8, [(3.0, 10.0)]), (14, [(6.0, 5.0)])], "atomic_number int, terms array<struct<a: double, b: double>>")
+    w = structure.xray_form_factors(p, 1.0, 5.0, 5)
+    q = (1.0 / (4 * math.pi)) ** 2
+    assert w.where("k = 0 and atomic_number = 8").first().b == pytest.approx(8 - 41.78214 * q * 3 * math.exp(-10 * q))
+    assert all(r.s == pytest.approx(1.0) for r in structure.structure_factor(g, 1.0, 5.0, 5, weights=w).collect())

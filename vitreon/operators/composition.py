@@ -236,3 +236,22 @@ def oxygen_charge(counts: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("element") != "O", F.col("q") * F.col("atoms")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("element") == "O", F.col("atoms")).otherwise(0)).alias("n")
     )
     return got.select("comp_id", (-F.col("plus") / F.nullif(F.col("n"), F.lit(0))).alias("charge"))
+
+
+def choose_potential(requests: DataFrame, elements: DataFrame, default: str = "pmmcs") -> DataFrame:
+    """requests (comp_id, potential or null) with chosen and status: a named potential must cover the elements ('unsupported'
+    if not); the default gives way to the best that does ('none' if there is none)."""
+    df = requests.join(compatible(elements), "comp_id", "left")
+    asked = F.coalesce("potential", F.lit(default))
+    covers = F.coalesce(F.array_contains("potentials", asked), F.lit(False))
+    best = F.try_element_at("potentials", F.lit(1))
+    chosen = F.when(covers, asked).when(asked == default, best)
+    status = F.when(chosen.isNotNull(), "ok").when(asked == default, "none").otherwise("unsupported")
+    return df.select("comp_id", chosen.alias("chosen"), status.alias("status"))
+
+
+def actual_composition(counts: DataFrame) -> DataFrame:
+    """comp_id, atoms, text: 'Na 40, O 180, Si 80' of element counts, elements in order."""
+    item = F.struct("element", "atoms")
+    rows = counts.groupBy("comp_id").agg(F.sum("atoms").alias("atoms"), F.array_sort(F.collect_list(item)).alias("l"))
+    return rows.select("comp_id", "atoms", F.array_join(F.transform("l", lambda e: F.concat_ws(" ", e["element"], e["atoms"].cast("string"))), ", ").alias("text"))

@@ -373,3 +373,29 @@ def protocol(schedules: DataFrame, stages: DataFrame) -> DataFrame:
     df = df.withColumn("steps", steps)
     before = F.sum("steps").over(W.partitionBy("id").orderBy("stage").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("steps")
     return df.select("id", "potential", "stage", at("_a").alias("t_from"), at("_b").alias("t_to"), "steps", before.alias("first_step"), "p_from", "p_to")
+
+
+def scan_inputs(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_temperatures, repeated, status of temperature scans (rows of temperature): 'ok', or 'too few' below two
+    different temperatures."""
+    n = F.count_distinct("temperature")
+    return df.groupBy(*by).agg(n.alias("n_temperatures"), (F.count("temperature") > n).alias("repeated"), F.when(n >= 2, "ok").otherwise("too few").alias("status"))
+
+
+def temperature_program(stages: DataFrame) -> DataFrame:
+    """id, step, temperature: the corners of each schedule's temperature curve, from protocol()'s rows."""
+    ends = F.array(F.struct(F.col("first_step").alias("step"), F.col("t_from").alias("t")), F.struct((F.col("first_step") + F.col("steps")).alias("step"), F.col("t_to").alias("t")))
+    return stages.select("id", "stage", F.explode(ends).alias("e")).select("id", F.col("e.step").alias("step"), F.col("e.t").alias("temperature")).distinct()
+
+
+def total_steps(stages: DataFrame) -> DataFrame:
+    return stages.groupBy("id").agg(F.sum("steps").alias("steps"))
+
+
+#: log10 of the viscosity in dPa s at named temperatures (fixed values).
+REFERENCE = {"t4": 4.0, "t7_6": 7.6}
+
+
+def reference_temperatures(fits: DataFrame) -> DataFrame:
+    """fits (a, b, t0 of decimal laws in dPa s) with the reference temperatures in degrees Celsius, one decimal."""
+    return fits.withColumns({k: F.round(vft_inverse(F.lit(v), F.col("a"), F.col("b"), F.col("t0")) - 273.15, 1) for k, v in REFERENCE.items()})

@@ -168,12 +168,24 @@ def stream_settled(spark: SparkSession, d: str) -> DataFrame:
     return J.latest(df, ["run_id"], [F.col("n")]).select("run_id", "n", F.round("mean", 10).alias("mean"), F.round("sem", 8).alias("sem"))
 
 
+def search(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs of one composition (a label), then the ten nearest others, all tagged 'even'."""
+    v = _vectors(spark, d).select("job_id", "elemental_vector", F.lit("completed").alias("status"), F.col("label").cast("string").alias("composition"), F.array(F.when(F.col("job_id") % 2 == 0, "even").otherwise("odd")).alias("tags"))
+    got = J.search(v, "2", [0.125] * 64, tags=["even"], threshold=10.0, most=10)
+    return got.select("job_id", "match", F.round("distance", 4).alias("distance"))
+
+
+SEARCH = """WITH v AS (SELECT vec_id, label, list_distance(CAST(embedding AS DOUBLE[]), list_resize([]::DOUBLE[], 64, 0.125)) AS d FROM embeddings),
+c AS (SELECT * FROM v WHERE label <> 2 ORDER BY d, vec_id LIMIT 10)
+SELECT vec_id AS job_id, 'exact' AS "match", 0.0::DOUBLE AS distance FROM v WHERE label = 2 AND vec_id % 2 = 0 UNION ALL SELECT vec_id, 'close', round(d, 4) FROM c WHERE vec_id % 2 = 0"""
+
+
 QUERIES = {
-    "jobs_latest": latest, "jobs_cache_hit": hits, "jobs_list": listing, "vector_topk": topk, "tags_filter": tags, "missing_analyses": missing, "step_status": step_status,
+    "jobs_search": search, "jobs_latest": latest, "jobs_cache_hit": hits, "jobs_list": listing, "vector_topk": topk, "tags_filter": tags, "missing_analyses": missing, "step_status": step_status,
     "job_status": status, "step_timings": timings, "request_hash": hashes, "merged_results": merged, "stream_status": stream_status, "stream_rates": stream_rates, "stream_settled": stream_settled,
 }
 ORACLES = {
-    "jobs_latest": LATEST, "jobs_cache_hit": HITS, "jobs_list": LISTING, "vector_topk": TOPK, "tags_filter": TAGS, "missing_analyses": MISSING, "step_status": STEP_STATUS,
+    "jobs_search": SEARCH, "jobs_latest": LATEST, "jobs_cache_hit": HITS, "jobs_list": LISTING, "vector_topk": TOPK, "tags_filter": TAGS, "missing_analyses": MISSING, "step_status": STEP_STATUS,
     "job_status": STATUS, "step_timings": TIMINGS, "request_hash": HASHES, "merged_results": MERGED, "stream_status": STREAM_STATUS, "stream_rates": STREAM_RATES,
     "stream_settled": "SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS n, round(avg(value), 10) AS mean, round(stddev_samp(value) / sqrt(count(*)), 8) AS sem FROM events GROUP BY ALL",
 }

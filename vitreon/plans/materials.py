@@ -206,6 +206,30 @@ def protocols(spark: SparkSession, d: str) -> DataFrame:
     return series.protocol(s, L.protocol_stages(spark)).select("id", "stage", "t_from", "t_to", "steps", "first_step", "p_from", "p_to")
 
 
+def temperatures(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import series
+
+    return series.temperature_program(protocols(spark, d).withColumn("potential", F.col("id")))
+
+
+def choices(spark: SparkSession, d: str) -> DataFrame:
+    g = glasses(spark)
+    e = K.element_fractions(g).select("comp_id", "element")
+    asked = g.select("comp_id").distinct().withColumn("potential", F.when(F.col("comp_id").isin("cas", "ns"), F.lit("bjp")))
+    return K.choose_potential(asked, e)
+
+
+CHOICES = """SELECT * FROM (VALUES ('window', 'pmmcs', 'ok'), ('boro', 'shik', 'ok'), ('nbs', 'shik', 'ok'), ('cas', 'bjp', 'ok'), ('ns', NULL, 'unsupported'), ('lead', NULL, 'none')) AS t(comp_id, chosen, status)"""
+
+
+def actual(spark: SparkSession, d: str) -> DataFrame:
+    return K.actual_composition(K.element_counts(K.plan(glasses(spark), 333, "molecules")))
+
+
+ACTUAL = f"""WITH u AS ({MOLECULES}), {G}, {PARSE}, c AS (SELECT comp_id, element, CAST(sum(units * cnt) AS BIGINT) AS n FROM u JOIN el USING (oxide) GROUP BY ALL)
+SELECT comp_id, CAST(sum(n) AS BIGINT) AS atoms, string_agg(element || ' ' || n, ', ' ORDER BY element) AS text FROM c GROUP BY ALL"""
+
+
 def _protocol_sql() -> str:
     rows = []
     for p, stages in C.PROTOCOLS.items():
@@ -248,13 +272,14 @@ QUERIES = {
     "formula_parse": formula_parse, "formula_mass": formula_mass, "composition_check": check, "weight_to_mol": weight_to_mol, "element_fractions": elements,
     "elemental_vector": vector, "composition_distance": distances, "density_model": density, "canonical_composition": canonical, "fu_search": fu_search,
     "molecule_counts": from_molecules, "box_length": box, "compatible_potentials": potentials, "potential_configs": configs, "oxygen_charge": charge,
-    "pair_table": pair_table, "melt_quench_schedule": protocols, "composition_share": shares, "largest_remainder": remainders,
+    "pair_table": pair_table, "melt_quench_schedule": protocols, "temperature_program": temperatures, "choose_potential": choices, "actual_composition": actual, "composition_share": shares, "largest_remainder": remainders,
 }
 ORACLES = {
     "formula_parse": f"WITH {G}, {PARSE} SELECT oxide AS formula, element, cnt FROM el",
     "formula_mass": f"WITH {G}, {PARSE}, {M}, t AS (SELECT oxide, sum(cnt * mass) AS s, count(mass) = count(*) AS whole FROM el LEFT JOIN m USING (element) GROUP BY ALL) SELECT oxide AS formula, round(CASE WHEN whole THEN s END, 6) AS mass FROM t",
     "composition_check": CHECK, "weight_to_mol": WEIGHT, "element_fractions": ELEMENTS, "elemental_vector": VECTOR, "composition_distance": DISTANCES,
     "density_model": _density_sql(), "canonical_composition": CANONICAL, "fu_search": FU_SEARCH, "molecule_counts": MOLECULES, "box_length": BOX,
-    "compatible_potentials": POTENTIALS, "oxygen_charge": CHARGE, "pair_table": PAIR_TABLE, "melt_quench_schedule": _protocol_sql(),
+    "compatible_potentials": POTENTIALS, "oxygen_charge": CHARGE, "pair_table": PAIR_TABLE, "melt_quench_schedule": _protocol_sql(), "choose_potential": CHOICES, "actual_composition": ACTUAL,
+    "temperature_program": f"WITH p AS ({_protocol_sql()}) SELECT id, first_step AS step, t_from AS temperature FROM p UNION SELECT id, first_step + steps, t_to FROM p",
     "composition_share": SHARES, "largest_remainder": REMAINDERS,
 }
