@@ -346,3 +346,16 @@ def test_flat_rdf_gives_flat_structure_factor(spark):
     q = (1.0 / (4 * math.pi)) ** 2
     assert w.where("k = 0 and atomic_number = 8").first().b == pytest.approx(8 - 41.78214 * q * 3 * math.exp(-10 * q))
     assert all(r.s == pytest.approx(1.0) for r in structure.structure_factor(g, 1.0, 5.0, 5, weights=w).collect())
+
+
+def test_xyz_and_data_files(spark, tmp_path):
+    a, f = make(spark, [(14, (0, 0, 0)), (8, (1.6, 0, 0))], cube(8))
+    (tmp_path / "a.xyz").write_text(T.to_text(a, f, "extxyz").first().text + "\n")
+    got = T.read_xyz(spark, str(tmp_path / "a.xyz")).orderBy("atom_id").collect()
+    assert [(r.atom_id, r.element, r.x) for r in got] == [(1, "Si", 0.0), (2, "O", 1.6)]
+    (tmp_path / "b.data").write_text("# made\n\n2 atoms\n2 atom types\n0 8 xlo xhi\n\nMasses\n\n1 22.99\n2 16.0\n\nAtoms  # atomic\n\n1 1 0.5 0 0\n2 2 1.5 2.5 3.5\n\nVelocities\n\n1 0 0 0\n2 0 0 0\n")
+    got = T.read_data(spark, str(tmp_path / "b.data"), {1: "Na", 2: "O"}).orderBy("atom_id").collect()
+    assert [(r.atom_id, r.element, r.x, r.z) for r in got] == [(1, "Na", 0.5, 0.0), (2, "O", 1.5, 3.5)]
+    (tmp_path / "c.json").write_text('{"data": {"T": [300, 400], "V": [1.5, 2.5], "note": "text"}, "other": 1}')
+    got = T.read_cte(spark, str(tmp_path / "c.json")).collect()
+    assert {(r.series, r.i, r.value) for r in got} == {("T", 0, 300.0), ("T", 1, 400.0), ("V", 0, 1.5), ("V", 1, 2.5)}
