@@ -3,8 +3,8 @@
 A slice of documents becomes one array of code points with modular prefix sums for two primes below 2**31. Any
 span's hash is then two subtractions and multiplications, so equality of any two spans is a comparison, and the
 longest common extension of two positions a binary search over lengths. A fingerprint holds the text's length, its
-whole-span hash and the SKETCH smallest distinct hashes of its spans of SPAN code points; the likeness of two
-fingerprints is the Dice coefficient that their sketches estimate.
+whole-span hash and the SKETCH smallest hashes of its spans of SPAN code points (and of its shorter beginnings), a
+span that stands again counting anew; the likeness of two fingerprints is the Dice coefficient (the share in common) that their sketches estimate.
 
 An edited text's hashes are not computed anew: its windows are windows of the text, windows of the next document,
 and SPAN - 1 that straddle the seam, whose hashes are sums of the two parts' shifted span hashes.
@@ -87,13 +87,17 @@ class Prefixes:
 
 
 def smallest(h: np.ndarray, k: int = SKETCH) -> np.ndarray:
-    """The k smallest distinct values, ascending, as 32-bit numbers."""
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    if len(h) > 8 * k:
-        u = np.unique(np.partition(h, 4 * k)[: 4 * k])
-        if len(u) > k:  # the 4k smallest hold more than k different ones: these are the smallest
-            return u[:k]
-    return np.unique(h)[:k]
+    """The k smallest values of a multiset of hashes, ascending, as 32-bit numbers: each further occurrence of a hash
+    counts as a value of its own."""
+    h = np.sort(h)
+    first = np.append(True, h[1:] != h[:-1])[: len(h)]
+    at = np.flatnonzero(first)
+    place = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    with np.errstate(over="ignore"):
+        v = (mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    if len(v) > 2 * k:
+        v = np.partition(v, 2 * k)[: 2 * k]
+    return np.unique(v)[:k]
 
 
 def spell(n: int, whole: int, sketch: np.ndarray) -> str:
@@ -135,6 +139,20 @@ def decoded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return data, points, np.append(lead, len(data)), np.searchsorted(lead, off)
 
 
+def beginnings(pre: Prefixes, a: np.ndarray, keep: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the beginnings of 1 to SPAN - 1 code points of texts of n that consist of keep ones from a on and others
+    from b on. With them a text has as many spans as code points, however short it is.
+    """
+    j = np.arange(1, SPAN)[None, :]
+    own = np.minimum(j, keep[:, None])
+    more = np.where(j <= n[:, None], j - own, 0)
+    start, other = np.broadcast_to(a[:, None], own.shape), np.broadcast_to(b[:, None], own.shape)
+    key = Prefixes.key(pre.join(pre.values(start, start + own), own, pre.values(other, other + more)))
+    with np.errstate(over="ignore"):
+        key = mix(key + j.astype(np.uint64))
+    return [k[: min(SPAN - 1, m)] for k, m in zip(key, n.tolist(), strict=True)]
+
+
 def prints(data: np.ndarray, off: np.ndarray, emit: np.ndarray) -> tuple:
     """Fingerprints of rows and of their edited texts; row i's next document is row i + 1, and emit says which
     rows have one. Returns lists over the emitted rows.
@@ -147,7 +165,8 @@ def prints(data: np.ndarray, off: np.ndarray, emit: np.ndarray) -> tuple:
     i = np.arange(max(0, total - SPAN + 1))
     h = Prefixes.key(pre.values(i, i + SPAN)) if len(i) else np.zeros(0, np.uint64)
     whole = Prefixes.key(pre.values(at[:-1], at[1:]))
-    sketch = [smallest(h[a : b - SPAN + 1]) if b - a >= SPAN else smallest(whole[r : r + 1]) if b > a else np.zeros(0, np.uint32) for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+    begin = beginnings(pre, at[:-1], n, at[:-1], n)
+    sketch = [smallest(np.concatenate([g, h[a : max(a, b - SPAN + 1)]])) for g, a, b in zip(begin, at[:-1].tolist(), at[1:].tolist(), strict=True)]
     text = [spell(int(n[r]), int(whole[r]), sketch[r]) for r in range(len(n))]
     rows = np.flatnonzero(emit)
     if not len(rows):
@@ -158,19 +177,16 @@ def prints(data: np.ndarray, off: np.ndarray, emit: np.ndarray) -> tuple:
     a0, b0 = at[rows], at[nxt]
     whole2 = Prefixes.key(pre.join(pre.values(a0, a0 + keep), keep, pre.values(b0, b0 + take)))
     common = keep + pre.extension(a0 + keep, b0, take)
+    begin = beginnings(pre, a0, keep, b0, keep + take)
     edited, sha, near_edited, near_next = [], [], [], []
     raw = data.tobytes()
-    for r, x, kp, tk, a, b, w in zip(rows.tolist(), nxt.tolist(), keep.tolist(), take.tolist(), a0.tolist(), b0.tolist(), whole2, strict=True):
-        if kp + tk < SPAN:
-            s = smallest(np.array([w])) if kp + tk else np.zeros(0, np.uint32)
-        else:
-            lo = max(0, kp - SPAN + 1)
-            left = np.arange(lo, min(kp, kp + tk - SPAN + 1))
-            found = [h[a : a + max(0, kp - SPAN + 1)], h[b : b + max(0, tk - SPAN + 1)]]
-            if len(left):
-                size = kp - left
-                found.append(Prefixes.key(pre.join(pre.values(a + left, np.full(len(left), a + kp)), size, pre.values(np.full(len(left), b), b + SPAN - size))))
-            s = smallest(np.concatenate(found))
+    for r, x, kp, tk, a, b, w, g in zip(rows.tolist(), nxt.tolist(), keep.tolist(), take.tolist(), a0.tolist(), b0.tolist(), whole2, begin, strict=True):
+        left = np.arange(max(0, kp - SPAN + 1), min(kp, kp + tk - SPAN + 1))
+        found = [g, h[a : a + max(0, kp - SPAN + 1)], h[b : b + max(0, tk - SPAN + 1)]]
+        if len(left):
+            size = kp - left
+            found.append(Prefixes.key(pre.join(pre.values(a + left, np.full(len(left), a + kp)), size, pre.values(np.full(len(left), b), b + SPAN - size))))
+        s = smallest(np.concatenate(found))
         e = spell(kp + tk, int(w), s)
         edited.append(e)
         sha.append(hashlib.sha256(raw[lead[a] : lead[a + kp]] + raw[lead[b] : lead[b + tk]]).hexdigest())
