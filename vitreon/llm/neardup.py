@@ -24,7 +24,7 @@ COSINE = 0.95
 MARGIN = 0.13
 #: Vectors the centroids are fitted on at most, classes a cell should hold, and cells at most.
 SAMPLE, PER_CELL, CELLS = 20_000, 120, 2048
-BLOCK = 1024
+BLOCK = 2048
 ROUNDS = 8
 
 
