@@ -88,9 +88,18 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         full = full.join(unlike, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_d").eqNullSafe(F.col("_dig")), "left").drop("_id", "_dig")
     gone = F.filter("_found", lambda c: ~c["keeps"] & ~F.coalesce(F.array_contains("_not", c["start"]), F.lit(False)))
     lines = F.split("text", "\n", -1)
-    full = full.withColumns({"_gone": gone, "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")})
-    kept = F.filter(lines, lambda _, i: ~F.exists("_gone", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"])))
+    full = full.withColumns({"_gone": F.array_sort(gone), "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")})
     hit = F.coalesce(F.size("_gone") > 0, F.lit(False))
+
+    def between(k: Column) -> Column:
+        """The lines between the removed chunks k - 1 and k, so that a text is put together in one pass."""
+        before, after = F.element_at("_gone", F.greatest(k, F.lit(1))), F.element_at("_gone", F.least(k + 1, F.size("_gone")))
+        lo = F.when(k == 0, F.lit(0)).otherwise(before["start"] + before["n"])
+        hi = F.when(k == F.size("_gone"), F.col("n_lines").cast("int")).otherwise(after["start"])
+        return F.slice("_all", lo + 1, hi - lo)
+
+    full = full.withColumn("_all", lines)
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), between))
     cut_text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))
     out = {c: cut_text if c == "text" else F.col(f"_row.`{c}`") for c in names}
     removed = F.when(hit, F.aggregate("_gone", F.lit(0), lambda a, c: a + c["n"])).otherwise(F.lit(0)).cast("long")
