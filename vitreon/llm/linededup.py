@@ -27,14 +27,35 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _chunks(lines: Column, hashes: Column) -> Column:
-    """Array of (start, n) of the chunks of a document's lines."""
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once: the optimizer moves projected expressions into lambdas, where they would be
+    computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _ends(hashes: Column) -> Column:
+    """Last lines of the chunks of a document with these line hashes."""
     last = F.size(hashes) - 1
-    ends = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (i == last) | (F.pmod(F.element_at(hashes, i + 1) + F.when(i > 0, F.lit(31) * F.element_at(hashes, F.greatest(i, F.lit(1)))).otherwise(F.lit(0)), F.lit(CUT)) == 0),
-    )
-    return ends
+    before = lambda i: F.when(i > 0, F.lit(31) * F.element_at(hashes, F.greatest(i, F.lit(1)))).otherwise(F.lit(0))
+    return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.element_at(hashes, i + 1) + before(i), F.lit(CUT)) == 0))
+
+
+def _keyed(lines: Column, least: int) -> Column:
+    """Array of (start, n, key) of the chunks of at least so many lines."""
+
+    def spans(ends: Column) -> Column:
+        first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))) + 1)
+        return F.filter(F.transform(ends, lambda e, k: F.struct(first(k).alias("start"), (e - first(k) + 1).alias("n"))), lambda s: s["n"] >= least)
+
+    def keys(ends: Column) -> Column:
+        text = lambda s: _chunk_text(lines, s["start"], s["n"])
+        return F.transform(spans(ends), lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.unhex(F.md5(text(s).cast("binary"))).alias("key")))
+
+    return let(F.transform(lines, line_hash), lambda h: let(_ends(h), keys))
+
+
+def _chunk_text(lines: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -51,14 +72,13 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # the caller's columns travel as one, so that none can clash with those made here
     rest = [F.col(f"`{c}`") for c in names if c != "text"]
     docs = docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")
-    ident = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_dig"), F.split("text", "\n", -1).alias("_lines")).where("size(_lines) >= %d" % least)
+    lines = F.split("text", "\n", -1)
     cut = (
-        ident.withColumn("_h", F.transform("_lines", line_hash))
-        .withColumn("_ends", _chunks(F.col("_lines"), F.col("_h")))
-        .withColumn("_spans", F.transform("_ends", lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.element_at("_ends", F.greatest(k, F.lit(1))) + 1).alias("start"), e.alias("end"))))
-        .select("doc_id", "_dig", "_lines", F.explode(F.filter("_spans", lambda s: s["end"] - s["start"] + 1 >= least)).alias("s"))
-        .select("doc_id", "_dig", F.col("s.start").alias("start"), (F.col("s.end") - F.col("s.start") + 1).alias("n"), F.array_join(F.slice("_lines", F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), "\n").alias("_chunk"))
-        .select("doc_id", "_dig", "start", "n", F.unhex(F.md5(F.col("_chunk").cast("binary"))).alias("key"))
+        docs.where("text is not null")
+        # all that needs the text comes before the explosion, whose rows would each carry it
+        .select("doc_id", F.md5(F.col("text").cast("binary")).alias("_dig"), let(lines, lambda x: _keyed(x, least)).alias("_s"))
+        .select("doc_id", "_dig", F.explode("_s").alias("s"))
+        .select("doc_id", "_dig", "s.*")
         .distinct()
     )
     cut = scratch.keep(cut, "chunks")
@@ -75,8 +95,9 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # by_doc grows with the corpus, so the plan is the same at every size: no broadcast
     full = scratch.keep(full.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_dig")), "left").drop("_id", "_dig"), "texts")
     # byte comparison of every repeat with the occurrence that stays
-    shown = full.where("_found is not null").select("doc_id", "_d", F.split("text", "\n", -1).alias("_lines"), F.explode("_found").alias("c"))
-    shown = shown.select("doc_id", "_d", F.col("c.key").alias("key"), F.col("c.start").alias("start"), F.col("c.keeps").alias("keeps"), F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("_chunk"))
+    shown = full.where("_found is not null")
+    texts = let(lines, lambda x: F.transform("_found", lambda c: F.struct(c["key"].alias("key"), c["start"].alias("start"), c["keeps"].alias("keeps"), _chunk_text(x, c["start"], c["n"]).alias("_chunk"))))
+    shown = shown.select("doc_id", "_d", texts.alias("_t")).select("doc_id", "_d", F.explode("_t").alias("c")).select("doc_id", "_d", "c.*")
     keeper = scratch.keep(shown.where("keeps").select("key", F.col("_chunk").alias("_kept")).dropDuplicates(["key"]), "kept")
     unlike = scratch.keep(
         shown.where("not keeps").join(keeper, "key").where("_chunk <> _kept").groupBy("doc_id", "_d").agg(F.collect_set("start").alias("_not")), "unlike"
@@ -87,20 +108,22 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         unlike = unlike.select(F.col("doc_id").alias("_id"), F.col("_d").alias("_dig"), "_not")
         full = full.join(unlike, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_d").eqNullSafe(F.col("_dig")), "left").drop("_id", "_dig")
     gone = F.filter("_found", lambda c: ~c["keeps"] & ~F.coalesce(F.array_contains("_not", c["start"]), F.lit(False)))
-    lines = F.split("text", "\n", -1)
     full = full.withColumns({"_gone": F.array_sort(gone), "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")})
     hit = F.coalesce(F.size("_gone") > 0, F.lit(False))
 
-    def between(k: Column) -> Column:
-        """The lines between the removed chunks k - 1 and k, so that a text is put together in one pass."""
-        before, after = F.element_at("_gone", F.greatest(k, F.lit(1))), F.element_at("_gone", F.least(k + 1, F.size("_gone")))
-        lo = F.when(k == 0, F.lit(0)).otherwise(before["start"] + before["n"])
-        hi = F.when(k == F.size("_gone"), F.col("n_lines").cast("int")).otherwise(after["start"])
-        return F.slice("_all", lo + 1, hi - lo)
+    def rest_of(all_: Column, cuts: Column) -> Column:
+        """The lines around the removed chunks, so that a text is put together in one pass."""
+        n = F.size(cuts)
+
+        def between(k: Column) -> Column:
+            before, after = F.element_at(cuts, F.greatest(k, F.lit(1))), F.element_at(cuts, F.least(k + 1, n))
+            lo = F.when(k == 0, F.lit(0)).otherwise(before["start"] + before["n"])
+            return F.slice(all_, lo + 1, F.when(k == n, F.size(all_)).otherwise(after["start"]) - lo)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
 
-    full = full.withColumn("_all", lines)
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), between))
-    cut_text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    kept = let(lines, lambda x: let(F.col("_gone"), lambda g: rest_of(x, g)))
+    cut_text = F.when(hit, kept).otherwise(F.col("text"))
     out = {c: cut_text if c == "text" else F.col(f"_row.`{c}`") for c in names}
     removed = F.when(hit, F.aggregate("_gone", F.lit(0), lambda a, c: a + c["n"])).otherwise(F.lit(0)).cast("long")
     return full.select(*(v.alias(c) for c, v in out.items()), "n_lines", removed.alias("n_removed"))
