@@ -66,6 +66,22 @@ def line_dedup(rows):
     return [(i, 0, 0, None) if t is None else (i, *made[i, t]) for i, t in rows]
 
 
+def line_passages(rows, least=2):
+    """[(doc_id, n_lines, n_removed, text)]"""
+    order = sorted({(i is not None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows if t is not None})
+    runs = {d: ["\n".join(d[3].split("\n")[s : s + least]) for s in range(len(d[3].split("\n")) - least + 1)] for d in order}
+    times, first = Counter(x for d in order for x in runs[d]), {}
+    made = {}
+    for d in order:
+        lines, gone, stay = d[3].split("\n"), set(), set()
+        for s, x in enumerate(runs[d]):
+            if times[x] > 1:
+                (stay if first.setdefault(x, (d, s)) == (d, s) else gone).update(range(s, s + least))
+        gone -= stay
+        made[(d[1] if d[0] else None), d[3]] = (len(lines), len(gone), "\n".join(x for j, x in enumerate(lines) if j not in gone))
+    return [(i, 0, 0, None) if t is None else (i, *made[i, t]) for i, t in rows]
+
+
 def suffix_dedup(rows, length=200):
     """[(doc_id, n_bytes, n_removed, n_spans, sha of what is left)]"""
     raw = [(i, (t or "").encode()) for i, t in rows]

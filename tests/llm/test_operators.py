@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,26 @@ def test_line_dedup_shift(spark):
     assert all(r.n_removed >= 15 for r in got if r.doc_id)
 
 
+def test_line_passages(spark, odd, none, small):
+    """Passages of 2 to 5 lines go wherever they stand, with nothing of the lines around them."""
+    rows = []
+    for n in (2, 3, 4, 5):
+        for i in range(12):
+            rows.append((100 * n + i, "\n".join([f"own {n} {i} {j}" for j in range(i)] + [f"line {j} of {n}" for j in range(n)] + [f"tail {n} {i}"])))
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), every=True).select("doc_id", "n_lines", "n_removed", "text").collect()
+    same(got, brute.line_passages(rows))
+    assert all(r.n_removed == (r.doc_id // 100 if r.doc_id % 100 else 0) for r in got)
+    for df, plain in ((odd, PAIRS), (small, [(r.doc_id, r.text) for r in small.collect()])):
+        same(linededup.dedup(df, every=True).select("doc_id", "n_lines", "n_removed", "text").collect(), brute.line_passages(plain))
+    assert linededup.dedup(none, every=True).collect() == []
+
+
+def test_line_passages_sql(small):
+    documents = small.toPandas()  # noqa: F841: the SQL reads it
+    want = duckdb.sql(linededup.ORACLE_PASSAGES).fetchall()
+    same(linededup.query_passages(small.sparkSession, small).collect(), want)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 
 

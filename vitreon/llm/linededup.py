@@ -5,6 +5,10 @@ divisible by CUT, so inserting or deleting lines moves only the boundaries next
 lines that stand anywhere else are removed except for their first occurrence (lowest doc_id, then position),
 after their bytes were compared with that occurrence. Single-line chunks always stay.
 
+Chunk boundaries next to a passage's ends depend on the lines around it, so short passages mostly stay. With every=True each
+run of LEAST lines is a key, wherever it starts: a line goes if it lies in a run that stands earlier, unless it lies in
+the first occurrence of another repeated run. So every repeated run of LEAST and more lines is found, and still stands once.
+
 Only keys and positions move while repeats are sought: counts and first occurrences are pre-aggregated in the map
 tasks, and a chunk that stands in a third of all documents meets one row a key, in a join that AQE can split. The
 texts are dealt by document once.
@@ -54,12 +58,23 @@ def _keyed(lines: Column, least: int) -> Column:
     return let(F.transform(lines, line_hash), lambda h: let(_ends(h), keys))
 
 
+def _windows(lines: Column, size: int) -> Column:
+    """Array of (start, n, key) of every run of so many lines."""
+    text = lambda i: _chunk_text(lines, i, F.lit(size))
+    starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.greatest(F.size(lines) - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("n"), F.unhex(F.md5(text(i).cast("binary"))).alias("key")))
+
+
+def _lines_of(cuts: Column) -> Column:
+    return F.flatten(F.transform(cuts, lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
+
+
 def _chunk_text(lines: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
-def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The columns of docs, with repeated chunks cut from text, and n_lines, n_removed (lines).
+def dedup(docs: DataFrame, least: int = LEAST, every: bool = False) -> DataFrame:
+    """The columns of docs, with repeated chunks (every: runs of lines) cut from text, and n_lines, n_removed (lines).
 
     Lines are what \\n separates. A null text stays null with 0 lines; an empty text is one empty line. All lines
     of a document may go, leaving the empty text; the row stays. Rows with equal doc_id and text are one document
@@ -76,7 +91,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     cut = (
         docs.where("text is not null")
         # all that needs the text comes before the explosion, whose rows would each carry it
-        .select("doc_id", F.md5(F.col("text").cast("binary")).alias("_dig"), let(lines, lambda x: _keyed(x, least)).alias("_s"))
+        .select("doc_id", F.md5(F.col("text").cast("binary")).alias("_dig"), let(lines, lambda x: _windows(x, least) if every else _keyed(x, least)).alias("_s"))
         .select("doc_id", "_dig", F.explode("_s").alias("s"))
         .select("doc_id", "_dig", "s.*")
         .distinct()
@@ -108,6 +123,9 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         unlike = unlike.select(F.col("doc_id").alias("_id"), F.col("_d").alias("_dig"), "_not")
         full = full.join(unlike, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_d").eqNullSafe(F.col("_dig")), "left").drop("_id", "_dig")
     gone = F.filter("_found", lambda c: ~c["keeps"] & ~F.coalesce(F.array_contains("_not", c["start"]), F.lit(False)))
+    if every:  # runs overlap: single lines go, but none of a run that stands here first
+        gone = F.array_except(_lines_of(gone), _lines_of(F.filter("_found", lambda c: c["keeps"])))
+        gone = F.transform(gone, lambda i: F.struct(i.alias("start"), F.lit(1).alias("n")))
     full = full.withColumns({"_gone": F.array_sort(gone), "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")})
     hit = F.coalesce(F.size("_gone") > 0, F.lit(False))
 
@@ -133,6 +151,10 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def query_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return dedup(docs, every=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 #: The same rows in DuckDB's SQL.
 ORACLE = f"""
 WITH d AS (SELECT DISTINCT doc_id, text, md5(text) AS dig, string_split(text, chr(10)) AS lines FROM documents),
@@ -148,3 +170,17 @@ t AS (SELECT g.doc_id, g.dig, count(*) AS n_lines, count(*) FILTER (WHERE coales
 SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN s.text IS NULL THEN NULL ELSE kept END AS text
 FROM documents s LEFT JOIN t ON s.doc_id = t.doc_id AND md5(s.text) = t.dig
 """
+
+#: The rows of query_passages in DuckDB's SQL.
+ORACLE_PASSAGES = """
+WITH d AS (SELECT DISTINCT doc_id, text, md5(text) AS dig, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, dig, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+w AS (SELECT *, line || chr(10) || lead(line) OVER (PARTITION BY doc_id, dig ORDER BY i) AS pair FROM l),
+r AS (SELECT doc_id, dig, i, count(*) OVER (PARTITION BY pair) AS times, row_number() OVER (PARTITION BY pair ORDER BY doc_id, dig, i) AS k FROM w WHERE pair IS NOT NULL),
+c AS (SELECT doc_id, dig, i + o.range AS i, NOT bool_or(k = 1) AS gone FROM r CROSS JOIN range(2) AS o WHERE times > 1 GROUP BY doc_id, dig, i + o.range),
+t AS (SELECT l.doc_id, l.dig, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE NOT coalesce(gone, false)), '') AS kept
+  FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.dig = c.dig AND l.i = c.i GROUP BY l.doc_id, l.dig)
+SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN s.text IS NULL THEN NULL ELSE kept END AS text
+FROM documents s LEFT JOIN t ON s.doc_id = t.doc_id AND md5(s.text) = t.dig
+"""

@@ -9,6 +9,7 @@ QUERIES = {
     "op1_ngram_join": lambda spark, d: ngramjoin.query(spark, table(spark, d, "documents")),
     "op2_bpe": lambda spark, d: bpe.query(spark, table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: linededup.query(spark, table(spark, d, "documents")),
+    "op3_line_passages": lambda spark, d: linededup.query_passages(spark, table(spark, d, "documents")),
     "op4_pii_surrogates": lambda spark, d: surrogates.query(spark, table(spark, d, "documents")),
     "op5_embedding_neardup": lambda spark, d: neardup.query(spark, table(spark, d, "embeddings")),
     "op6_toxicity": lambda spark, d: toxicity.query(spark, table(spark, d, "documents"), table(spark, d, "labels")),
@@ -21,5 +22,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngramjoin.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
+    "op3_line_passages": linededup.ORACLE_PASSAGES,
     "op5_embedding_neardup": neardup.ORACLE,
 }
