@@ -38,6 +38,17 @@ def ngram_join(rows, k, percent):
     return [(i, len(s), comp.get(i)) for i, s in sets]
 
 
+def ngram_links(rows, k, percent):
+    """[(doc_id, n_shingles, component_id, class_id, n_links)]"""
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    out = []
+    for (i, s), (_, n, comp) in zip(sets, ngram_join(rows, k, percent), strict=True):
+        near = {j for j, t in sets if j is not None and s and t and 100 * len(s & t) >= percent * len(s | t)}
+        alike = min((j for j, t in sets if j is not None and s and t == s), default=i)
+        out.append((i, n, comp, alike, len(near - {i})) if i is not None else (None, n, None, None, None))
+    return out
+
+
 def line_chunks(text, cut=3):
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]

@@ -58,6 +58,25 @@ def test_ngram_join_all_pairs_round(spark):
     same(ngramjoin.join(df, 2, 60, star_rounds=0).select("doc_id", "n_shingles", "component_id").collect(), brute.ngram_join(rows, 2, 60))
 
 
+def test_ngram_links(spark, odd, none, small):
+    """All links of a group of near copies count, with exact copies, and doc_ids whose rows have different texts."""
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        w = words.copy()
+        w[3 * i] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[7][1]), (51, rows[7][1]), (9, " ".join(words)), (9, rows[3][1]), (60, "a text that has no link"), (60, rows[5][1]), (61, "a text that has no link")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((4, 85), (5, 80)):
+        got = ngramjoin.link_counts(df, k, percent).collect()
+        same(got, brute.ngram_links(rows, k, percent))
+        assert max(r.n_links for r in got) > 40
+    same(ngramjoin.link_counts(odd).distinct().collect(), set(brute.ngram_links(PAIRS, 5, 80)))
+    same(ngramjoin.query_links(spark, small).collect(), brute.ngram_links([(r.doc_id, r.text) for r in small.collect()], 4, 85))
+    assert ngramjoin.link_counts(none).collect() == []
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 

@@ -224,6 +224,11 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: i
     empty set, which links with nothing, and stands alone. Rows with one doc_id are one node; a null doc_id stays
     out and gets null ids. Other columns are ignored; an empty table gives an empty one.
     """
+    return _joined(docs, k, percent, star_rounds)[0]
+
+
+def _joined(docs: DataFrame, k: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of join, and the links (u, v) of classes that were verified: without star rounds all there are."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     table = order_table(docs, k)
@@ -289,13 +294,48 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_rounds: i
     alone = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     klass = F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("doc_id"))
     known = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, alone).alias("component_id"), F.when(known, klass).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, alone).alias("component_id"), F.when(known, klass).alias("class_id")), links
+
+
+def link_counts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The columns of join and n_links: every candidate pair is verified, inside components too.
+
+    n_links is the number of other doc_ids with a row whose set links with this row's set or equals it; 0 for the empty
+    set, null for a null doc_id. Links are verified once a pair of different sets and counted by the documents that have
+    them. Rows are told apart by a 64-bit hash of doc_id and text; equal rows are one.
+    """
+    scratch = Scratch(docs.sparkSession, "links")
+    own = F.col("doc_id").cast("bigint")
+    row = F.when(own.isNotNull(), F.xxhash64(own, "text"))
+    found, links = _joined(docs.select(row.alias("doc_id"), "text"), k, percent, 0)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("comp"), F.col("class_id").alias("class"))
+    ids = docs.where("doc_id is not null").select(row.alias("row"), "doc_id").distinct()
+    rows = scratch.keep(found.join(ids, "row", "left"), "rows")
+    low = scratch.keep(rows.where("row is not null").groupBy("comp").agg(F.min("doc_id").alias("low")), "low")
+    # rows of one doc_id join the components that they lie in
+    nodes = components(scratch, rows.join(low, "comp").select(F.col("doc_id").cast("bigint").alias("u"), F.col("low").cast("bigint").alias("v")))
+    classes = rows.where("row is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    member = scratch.keep(rows.where("row is not null and n_shingles > 0").select("class", "doc_id").distinct(), "members")
+    # documents whose rows have several sets are counted apart, each once
+    several = scratch.keep(member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "several")
+    size = member.join(several, "doc_id", "left_anti").groupBy("class").agg(F.count("*").alias("size"))
+    near = links.union(links.select("v", "u")).union(member.select("class", "class").distinct()).toDF("class", "other")
+    met = near.join(size.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("size").alias("once"))
+    also = near.join(member.join(several, "doc_id").withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.countDistinct("doc_id").alias("also"))
+    out = rows.join(classes, "class", "left").join(met, "class", "left").join(also, "class", "left").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    n = F.when(F.col("n_shingles") > 0, F.coalesce("once", F.lit(0)) + F.coalesce("also", F.lit(0)) - 1).otherwise(F.lit(0)).cast("long")
+    known = F.col("row").isNotNull()
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "class_id", F.when(known, n).alias("n_links"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return join(docs, k=4, percent=85).drop("class_id")
 
 
+def query_links(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return link_counts(docs, k=4, percent=85)
+
+
 #: The query's rows in DuckDB's SQL: every pair that shares a shingle is compared, then links are followed.
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

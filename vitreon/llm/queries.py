@@ -7,6 +7,7 @@ from .common import table
 
 QUERIES = {
     "op1_ngram_join": lambda spark, d: ngramjoin.query(spark, table(spark, d, "documents")),
+    "op1_ngram_links": lambda spark, d: ngramjoin.query_links(spark, table(spark, d, "documents")),
     "op2_bpe": lambda spark, d: bpe.query(spark, table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: linededup.query(spark, table(spark, d, "documents")),
     "op3_line_passages": lambda spark, d: linededup.query_passages(spark, table(spark, d, "documents")),
