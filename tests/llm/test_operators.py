@@ -227,6 +227,15 @@ def test_surrogate_forms():
     assert surrogates.replace(clean, b"k", {}) == (clean, [])
 
 
+def test_iban_before_words():
+    """Upper-case words and other numbers beside an IBAN leave it whole."""
+    iban = "ES91 2100 0418 4502 0005 1332"
+    for text in (f"{iban} BIC CAIXESBB", f"{iban} EUR 50", f"{iban} BANK OF", f"XX12 3456 ABCD {iban} EUR", f"to {iban}", "ES9121000418450200051332 BIC"):
+        assert [x[2:] for x in surrogates.find(text) if x[2] == "iban"] == [("iban", iban.replace(" ", ""))], text
+    assert [text[a:b] for text in [f"{iban} {iban} BIC"] for a, b, *_ in surrogates.find(text)] == [iban, iban]
+    assert not [x for x in surrogates.find("ES92 2100 0418 4502 0005 1332 BIC") if x[2] == "iban"]
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 

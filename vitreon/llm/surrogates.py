@@ -91,6 +91,17 @@ def _valid(kind: str, found: str) -> bool:
     return True
 
 
+def _iban_end(found: str) -> int:
+    """Length of the longest valid IBAN that the match begins with and that ends before a space or with it; 0 if none is.
+
+    The pattern takes short upper-case words that follow along.
+    """
+    end = len(found)
+    while end > 0 and not _valid("iban", found[:end]):
+        end = found.rfind(" ", 0, end)
+    return max(end, 0)
+
+
 def normal(kind: str, found: str) -> str:
     if kind == "phone":
         d = _digits(found)
@@ -109,8 +120,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out: list[tuple[int, int, str, str]] = []
     if _HINT.search(text):
         for kind, pattern in PATTERNS:
-            for m in pattern.finditer(text):
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
                 a, b = m.span(m.lastindex or 0)
+                if kind == "iban":  # what follows the valid part, or the first group if none is, may be the next one
+                    n = _iban_end(m[0])
+                    at, b = (a + n, a + n) if n else (a + 4, b)
                 if _valid(kind, text[a:b]):
                     out.append((a, b, kind, normal(kind, text[a:b])))
     if any(t in text for t in TITLES):
