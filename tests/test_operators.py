@@ -176,6 +176,20 @@ def test_viscosity_is_positive(spark):
     assert series.viscosity(th.where("step < 1"), 1.0).first().viscosity is None
 
 
+def test_bulk_viscosity(spark):
+    """The trace's autocorrelation, product by product; shears and their order of rows don't matter."""
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(60, 6)) + 2
+    rows = [("r", i, 3000.0, 8000.0, *p[i].tolist()) for i in rng.permutation(60).tolist()]
+    th = spark.createDataFrame(rows, "run_id string, step long, temperature double, volume double, pxx double, pyy double, pzz double, pxy double, pxz double, pyz double")
+    x = (p[:, 0] + p[:, 1] + p[:, 2]) * 1e9
+    x -= x.mean()
+    c = [sum(x[i] * x[i + k] for i in range(60 - k)) / (60 - k) for k in range(30)]
+    want = 8000e-30 / (9 * 1.380649e-23 * 3000) * sum((a + b) / 2 * 2e-15 for a, b in zip(c[:-1], c[1:], strict=True))
+    assert series.viscosity(th, 2.0, "helfand").first().bulk_viscosity == pytest.approx(want)
+    assert series.viscosity(th.drop("pzz"), 2.0, "helfand").first().bulk_viscosity is None
+
+
 def test_first_minimum():
     r = np.linspace(0.01, 5, 500)
     g = 3 * np.exp(-(((r - 1.6) / 0.1) ** 2)) + 1.5 * np.exp(-(((r - 3.2) / 0.4) ** 2))

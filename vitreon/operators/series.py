@@ -231,20 +231,33 @@ def helfand(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, m
     return {"viscosity": eta, "shear_modulus": g, "maxwell_time": eta / g if g else float("nan")}
 
 
+def bulk_viscosity(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int | None = None) -> float:
+    """In Pa s from normal stresses (rows, 3) in GPa: the integrated autocorrelation of their trace about its mean."""
+    trace = p.sum(axis=1) * 1e9
+    y = autocorrelation(trace - trace.mean(), max_lag or len(p) // 2)
+    return float(np.trapezoid(y, dx=dt_fs * 1e-15)) * volume_a3 * 1e-30 / (9 * C.K_B_J * temperature)
+
+
 def viscosity(thermo: DataFrame, dt_fs: float, method: str = "green_kubo", max_lag: int = 1_000_000) -> DataFrame:
-    """run_id, temperature, viscosity, shear_modulus, maxwell_time of each run. One group is one run."""
+    """run_id, temperature, viscosity, shear_modulus, maxwell_time, bulk_viscosity of each run. One group is one run.
+
+    bulk_viscosity comes with the Helfand method, and is null where thermo lacks pxx, pyy or pzz.
+    """
+    normals = [c for c in ("pxx", "pyy", "pzz") if c in thermo.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
         p, v, t = pdf[list(SHEARS)].to_numpy(float), float(pdf["volume"].mean()), float(pdf["temperature"].mean())
-        row = {"run_id": pdf["run_id"].iloc[0], "temperature": t, "viscosity": None, "shear_modulus": None, "maxwell_time": None}
+        row = {"run_id": pdf["run_id"].iloc[0], "temperature": t, "viscosity": None, "shear_modulus": None, "maxwell_time": None, "bulk_viscosity": None}
         if method == "helfand":
             row |= helfand(p, dt_fs, v, t) if len(p) > 3 else {}
+            if len(normals) == 3 and len(p) > 3:
+                row["bulk_viscosity"] = bulk_viscosity(pdf[normals].to_numpy(float), dt_fs, v, t)
         elif (got := green_kubo(p, dt_fs, v, t, max_lag)) is not None:
             row["viscosity"] = got[0]
         return pd.DataFrame([row])
 
-    return thermo.select("run_id", "step", "temperature", "volume", *SHEARS).groupBy("run_id").applyInPandas(run, "run_id string, temperature double, viscosity double, shear_modulus double, maxwell_time double")
+    return thermo.select("run_id", "step", "temperature", "volume", *SHEARS, *normals).groupBy("run_id").applyInPandas(run, "run_id string, temperature double, viscosity double, shear_modulus double, maxwell_time double, bulk_viscosity double")
 
 
 def ensemble(df: DataFrame, by: list[str], value: str) -> DataFrame:
