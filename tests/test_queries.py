@@ -1,5 +1,6 @@
 """Every registered query runs; where SQL can express it, its rows are those of the SQL."""
 
+import json
 import math
 from pathlib import Path
 
@@ -7,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vitreon import registry
 
@@ -42,6 +44,18 @@ def test_query(spark, sf, sql, name):
         assert len(got.columns)
 
 
+def test_rings_to_24(spark, sf, monkeypatch):
+    """The queries find a ring of 20 formers, were a structure to have one."""
+    from vitreon.operators import graph
+    from vitreon.plans import structures
+
+    name = structures.atoms(spark, sf).first().structure_id
+    ring = spark.createDataFrame([(name, 0, *sorted((i, (i + 1) % 20))) for i in range(20)], "structure_id string, frame int, u long, v long")
+    monkeypatch.setattr(graph, "former_edges", lambda *_: ring)
+    assert structures.rings(spark, sf).collect() == [(name, 20, 1)]
+    assert json.loads(structures.analysis(spark, sf).where(F.col("structure_id") == name).first().rings) == {"20": 1}
+
+
 def test_entry(spark, sf):
     import __spark_entry__ as e
 

@@ -177,7 +177,7 @@ JOIN e AS z ON z.structure_id = x.structure_id AND z.u = x.u AND z.v = y.v GROUP
 
 def rings(spark: SparkSession, d: str) -> DataFrame:
     _, p = _found(spark, d, 3.0)
-    return graph.ring_histogram(graph.rings(graph.former_edges(p, [SI, NA]), 12)).select("structure_id", "size", "n")
+    return graph.ring_histogram(graph.rings(graph.former_edges(p, [SI, NA]))).select("structure_id", "size", "n")
 
 
 def cavities(spark: SparkSession, d: str) -> DataFrame:
@@ -267,7 +267,7 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
     from . import analyze
 
     a = atoms(spark, d)
-    out = analyze.analyze(a, frames(a), 5.0, 100, 36, 8)
+    out = analyze.analyze(a, frames(a), 5.0, 100, 36)
     maps = ["elements", "coordination", "oxygen", "qn", "angles", "rings"]
     return out.select("structure_id", "n_atoms", F.round("density", 9).alias("density"), F.round("connectivity", 6).alias("connectivity"), *(F.to_json(m).alias(m) for m in maps))
 
