@@ -47,8 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
-    return bpe.encode(docs, *bpe.tokenizer())
+    """doc_id, n_tokens and ids of every row, and decoded_sha256 of the bytes that the ids decode to."""
+    return bpe.encode(docs, *bpe.tokenizer(), decoded=True)
 
 
 STAGES = [

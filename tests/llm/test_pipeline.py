@@ -89,6 +89,13 @@ def test_tokens(stages):
     assert Counter((r.doc_id, tuple(r.ids)) for r in after) == want
 
 
+def test_decoded(spark):
+    """The last stage's ids decode to the text that went in; a null text to the empty string."""
+    docs = docs_of(spark, ODD)
+    got = Counter((r.doc_id, r.decoded_sha256) for r in P.encode(spark, docs, SF).collect())
+    assert got == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in ODD)
+
+
 def test_run(spark, stages):
     got = P.run(spark, SF)
     digest = lambda rows: Counter((r.doc_id, hashlib.sha256(str(list(r.ids)).encode()).hexdigest()) for r in rows)

@@ -246,8 +246,8 @@ def _codec(ranks, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens and ids array<int>; with digests instead of ids their SHA-256 (as little-endian unsigned
+def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids array<int>; with decoded also the SHA-256 of the bytes they decode to; with digests instead of ids their SHA-256 (as little-endian unsigned
     32-bit integers) and that of the bytes they decode to.
 
     ranks: content of a rank file (a line per token: base64 of its bytes, its id). It has the vocabulary's size,
@@ -274,11 +274,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, digests: bool = False) -
                 ids = list(made)
                 n = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.record_batch([who, pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
+                cols = {"doc_id": who, "n_tokens": pa.array(n), "ids": lists}
+                if decoded:
+                    cols["decoded_sha256"] = pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string())
+                yield pa.record_batch(list(cols.values()), list(cols))
         codec.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
+    schema = f"doc_id {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded_sha256 string" * decoded)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
