@@ -44,3 +44,12 @@ def none(spark):
 def small(spark):
     """The smallest driver table."""
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(autouse=True)
+def swept():
+    """What a test leaves in the scratch folder goes with it."""
+    yield
+    from vitreon.llm.common import sweep
+
+    sweep()

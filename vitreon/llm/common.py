@@ -11,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a driver may gather: metadata of partitions, models, counters. Never documents or links.
-DRIVER_ROWS = 100_000
-
 #: Blanks of the words of the contracts, as bytes: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,21 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_roots: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables in the folder that spark.checkpoint.dir names: they cut lineage and outlive executors.
 
-    Parts of a scratch that later steps no longer read are dropped, so disk holds one generation.
+    Tables that later steps no longer read are dropped; those that a returned DataFrame reads stay until sweep().
+    Without a shared folder only a single machine can go on, in a temporary folder of its own.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # tests and single machines only: no cluster names a shared folder
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
-            base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="vitreon-")
+            base = tempfile.mkdtemp(prefix="vitreon-")
+            _roots[base] = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots[self.root] = spark
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -48,12 +59,17 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete kept tables that nothing lazy still reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
+
+
+def sweep() -> None:
+    """Delete all scratch tables of this process; call it when the results that read them have been used or stored."""
+    while _roots:
+        root, spark = _roots.popitem()
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, root)
 
 
 def release(spark: SparkSession) -> None:
