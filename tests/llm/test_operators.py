@@ -227,6 +227,87 @@ def test_surrogate_forms():
     assert surrogates.replace(clean, b"k", {}) == (clean, [])
 
 
+def masked_brute(rows, key):
+    """Surrogates settled round by round in plain dictionaries, and texts put together from the found places."""
+    found = {i: surrogates.find(t or "") for i, t in rows}
+    ents = sorted({(k, n) for f in found.values() for _, _, k, n in f})
+    attempt, turn = dict.fromkeys(ents, 0), 0
+    free = lambda k: k.startswith("first:") or k == "date"
+    while True:
+        new = {e: surrogates.surrogate(key, *e, attempt[e]) for e in ents}
+        by = {}
+        for e in ents:
+            by.setdefault((e[0], new[e]), []).append((attempt[e], e[1]))
+        again = {(k, n) for (k, _), es in by.items() for a, n in es if (a, n) != min(es)}
+        again |= {e for e in ents if not free(e[0]) and attempt[e] == turn and (e[0], new[e]) in attempt}
+        if not again:
+            break
+        turn += 1
+        attempt |= dict.fromkeys(again, turn)
+    out = []
+    for i, t in rows:
+        x = t
+        for a, b, k, n in reversed(found[i]):
+            x = x[:a] + surrogates.rendered(k, x[a:b], n, new[k, n]) + x[b:]
+        out.append((i, len(found[i]), x))
+    return out
+
+
+PRIVATE = [
+    "Mr John Smith came. Smith said so. John left with JOHN SMITH.",
+    "password: ******** and token=секретный, password = '123456'",
+    "call +49 30 1234567, +44 30 1234567 or (988) 555-2485, i.e. +1 988-555-2485",
+    "Dr Peter Miller met Aisha Khan <aisha.khan@mail.org>. Later Khan wrote.",
+    "host 2001:db8::8a2e:370:7334 is 2001:0db8:0000:0000:0000:8a2e:0370:7334",
+    "born on 12 March 1985, DOB: 03/25/1990, born 1985-03-12",
+    "ghp_abcdefghijklmnopqrstuvwxyz0123456789 a@b.co c@d.co 123-45-6789",
+    "Hannah Meier, Людмила Петрова сказала; My name is Otto Brandt-Lang.",
+    *(f"token: {i:06d} x@{c}.org" for i, c in zip(range(60), "abcdefghijklmnopqrstuvwxyz" * 3)),
+]
+
+
+def test_surrogates_equal_the_plain_version(spark, small):
+    rows = [(i, t) for i, t in enumerate(PRIVATE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for key in (b"k", surrogates.KEY):
+        for most in (20_000, 0):
+            got = surrogates.mask(df, key, most).select("doc_id", "n_entities", "text").collect()
+            same(got, masked_brute(rows, key))
+    plain = [(r.doc_id, r.text) for r in small.collect()]
+    same(surrogates.query(spark, small).select("doc_id", "n_entities", "text").collect(), masked_brute(plain, surrogates.KEY))
+
+
+def test_surrogates_leave_nothing():
+    """No surrogate is its original, names go wherever they stand, and equal entities stay equal."""
+    for key in (b"a", b"b", surrogates.KEY):
+        for t in PRIVATE:
+            for _, _, k, n in surrogates.find(t):
+                assert all(surrogates.surrogate(key, k, n, a) != n for a in (0, 1, 7, 20, 70)), (k, n)
+        out = [surrogates.replace(t, key, {})[0] for t in PRIVATE]
+        for private in ("John", "JOHN", "Smith", "SMITH", "*****", "секрет", "1234567", "Miller", "Aisha", "Khan", "8a2e", "12 March 1985", "03/25/1990", "1985-03-12", "abcdefgh", "123-45", "Hannah", "Meier", "Людмила", "Петрова", "Otto", "Brandt"):
+            assert not any(private in x for x in out), private
+        assert out[2].startswith("call +49 ") and ", +44 " in out[2]
+        a, b = out[2].split(" or ")[1].split(", i.e. +1 ")
+        assert surrogates._digits(a)[-10:] == surrogates._digits(b)
+        x, y, z = (surrogates._day(d)[0] for d in (out[5][8 : out[5].index(",")], out[5].split("DOB: ")[1][:10], out[5][-10:]))
+        assert x == z != y
+        short, long = out[4].removeprefix("host ").split(" is ")
+        assert surrogates.normal("ip6", short) == long
+    days = [surrogates.date(1900, 1, 1) + surrogates.timedelta(i) for i in range(0, surrogates._DAYS, 7)]
+    new = {surrogates._other_day(b"k", d) for d in days}
+    assert len(new) == len(days) and all(surrogates._other_day(b"k", d) != d for d in days)
+
+
+def test_surrogates_of_small_spaces(spark):
+    """One-letter addresses, all digits of a token, signs alone: distinct ones stay distinct and none is a real one."""
+    import string
+
+    rows = [(i, f"{c}@{h}.org") for i, (c, h) in enumerate((c, h) for c in string.ascii_lowercase for h in string.ascii_lowercase)]
+    rows += [(1000 + i, f"pwd: {'*' * (6 + i)}") for i in range(5)]
+    got = surrogates.mask(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    assert len({r.text for r in got}) == len(rows) and not {r.text for r in got} & {t for _, t in rows}
+
+
 def test_iban_before_words():
     """Upper-case words and other numbers beside an IBAN leave it whole."""
     iban = "ES91 2100 0418 4502 0005 1332"
