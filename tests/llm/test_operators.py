@@ -342,6 +342,20 @@ def test_neardup(spark, monkeypatch):
     assert neardup.link(df.limit(0)).collect() == []
 
 
+def test_neardup_extremes(spark, monkeypatch):
+    """Squares that overflow or vanish, single precision, and a hot cell of many blocks with guests."""
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [2e-200, 0.0]), (4, [0.0, 5e-324]), (5, [0.0, 1e308]), (6, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(neardup.link(df).collect(), [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)])
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=6)
+    rows = [(i, (hot + 0.1 * rng.normal(size=6) if i % 3 else rng.normal(size=6)).astype(np.float32).tolist()) for i in range(600)]
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PER_CELL", 8)
+    for kind in ("float", "double"):
+        same(neardup.link(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), margin=0.5).collect(), near_brute(rows))
+
+
 def test_neardup_recall(spark):
     """Links at the threshold itself, the hardest to find: at least 0.9 of them (measured: see README)."""
     rng = np.random.default_rng(2)
