@@ -498,6 +498,24 @@ def test_suffix_dedup_passages(spark):
     assert {i: hashlib.sha256(t).hexdigest() for i, t in kept.items()} == {r[0]: r[4] for r in brute.suffix_dedup(rows)}
 
 
+def test_suffix_dedup_collisions(spark, monkeypatch, small):
+    """Names of 8 bits, told apart by the second hash alone, and texts that share their number: the same result."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    long = word(700)
+    rows = [(k, word(120) + long[s : s + n] + word(90)) for k, (s, n) in enumerate([(0, 240), (100, 250), (300, 200), (299, 205), (450, 250), (460, 199)])]
+    rows += [(k, word(260)) for k in range(50, 90)] + [(90, rows[0][1])]
+    monkeypatch.setattr(suffixdedup, "widths", lambda n: (8, 8, 62))
+    monkeypatch.setattr(suffixdedup, "OWNER_BITS", 4)
+    same(suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute.suffix_dedup(rows))
+
+
+def test_name_widths():
+    for n in (1, 10**9, 10**14):
+        first, whole, extra = suffixdedup.widths(n)
+        assert first <= 64 and whole + extra >= min(126, 2 * np.log2(n) + suffixdedup.SPARE)
+
+
 def test_difference_cover():
     assert suffixdedup.is_cover(suffixdedup.COVER, suffixdedup.V) and not suffixdedup.is_cover((0, 1, 2), 7)
 

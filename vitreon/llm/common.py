@@ -283,9 +283,18 @@ def unpack(blob: bytes, ascending: bool = True) -> np.ndarray:
 
 # --- which hashes stand more than once ------------------------------------------------------------
 
-#: Hashes of a slice of owners that a map task combines before it sends them on.
-COMBINE = 2 << 20
-FOUND = "part int, owners array<bigint>, hashes binary, places binary"
+#: Hashes of a slice of owners that a map task combines before it sends them on: at least so many, and with many parts
+#: so many a part, up to MOST_COMBINED.
+COMBINE, A_PART, MOST_COMBINED = 2 << 20, 128, 12 << 20
+#: Hashes of a part, which a reducer holds at once, on average.
+PART = 6 << 20
+FOUND = "part int, owners array<bigint>, hashes binary, extra binary, places binary"
+
+
+def parts_for(spark: SparkSession, hashes: int) -> int:
+    """Parts that this number of hashes is dealt to: as the input grows there are more, not larger ones. Several to a
+    task, so that tasks are alike."""
+    return max(4 * parts(spark), -(-hashes // PART))
 
 
 class Slices:
@@ -293,77 +302,85 @@ class Slices:
 
     A hash that stands twice in the slice is known to be repeated: its owners' rows (parts from n on) are final, and
     one entry without an owner tells the others. So a hash that a third of all owners hold costs one entry a slice.
-    Hashes of `witness` are only met by others and get no answer, which saves their owners and places.
+    Hashes of `witness` are only met by others and get no answer, which saves their owners and places. bits are kept of
+    the hashes, and extra bits of the second hashes that some callers give beside them; equal are those that agree in both.
     """
 
-    def __init__(self, n_parts: int, bits: int = 64, give: str = "places"):
-        self.n, self.bits, self.give = n_parts, bits, give
-        self.h: list[np.ndarray] = []
-        self.owner: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []
-        self.seen: list[np.ndarray] = []
+    def __init__(self, n_parts: int, bits: int = 64, give: str = "places", extra: int = 0):
+        self.n, self.bits, self.give, self.extra = n_parts, bits, give, extra
+        self.most = max(COMBINE, min(MOST_COMBINED, A_PART * n_parts))
+        self.held: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None]] = []
         self.size = 0
 
-    def add(self, owners: np.ndarray, hashes: np.ndarray, places: np.ndarray, witness: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def add(self, owners: np.ndarray, hashes: np.ndarray, places: np.ndarray, witness: np.ndarray | None = None, second: np.ndarray | None = None, witness_second: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         """owners: id of each hash's owner; places: a number below 2**32 that comes back with a repeated hash."""
-        if witness is not None:
-            self.seen.append(witness)
-            self.size += len(witness)
-        self.h.append(hashes)
-        self.owner.append(owners)
-        self.place.append(places)
+        self.held.append((hashes, second, owners, places))
         self.size += len(hashes)
-        if self.size >= COMBINE:
+        if witness is not None and len(witness):
+            self.held.append((witness, witness_second, None, None))
+            self.size += len(witness)
+        if self.size >= self.most:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        h, owner, place = (np.concatenate(x) for x in (self.h, self.owner, self.place))
-        seen = np.concatenate(self.seen) if self.seen else np.zeros(0, np.uint64)
-        self.h, self.owner, self.place, self.seen, self.size = [], [], [], [], 0
+        held, self.held, self.size = self.held, [], 0
+        h = np.concatenate([x[0] for x in held])
+        asks = np.concatenate([np.full(len(x[0]), x[2] is not None) for x in held])
+        owner = np.concatenate([np.zeros(len(x[0]), np.int64) if x[2] is None else x[2] for x in held])
+        place = np.concatenate([np.zeros(len(x[0]), np.int64) if x[3] is None else x[3] for x in held])
+        second = np.concatenate([x[1] for x in held]) >> np.uint64(64 - self.extra) if self.extra else None
+        del held
         if self.bits < 64:
-            h, seen = h >> np.uint64(64 - self.bits), seen >> np.uint64(64 - self.bits)
-        order = np.argsort(h, kind="stable")
-        h, owner, place = h[order], owner[order], place[order]
-        twice = np.zeros(len(h), bool)
-        same = h[1:] == h[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        if len(seen):
-            seen.sort()
-            fresh = np.append(True, seen[1:] != seen[:-1])
-            seen = seen[fresh]
-            at = np.searchsorted(seen, h)
-            at[at == len(seen)] = 0
-            twice |= seen[at] == h
+            h = h >> np.uint64(64 - self.bits)
+        order = by_name(h, second)
+        h, owner, place, asks = h[order], owner[order], place[order], asks[order]
+        if second is not None:
+            second = second[order]
+        first = fresh(h, second)
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(h)))
+        twice = np.repeat(size > 1, size) & asks
         what = answer(h[twice], place[twice].astype(np.uint64), self.give)
         # settled rows go past a reducer untouched; parts from n on say so and name the owners' bucket
-        rows = [(self.n + k, o, pack(c, False), pack(p, False)) for k, o, c, p in bucketed(owner[twice], what, self.n)]
-        lone = np.ones(len(h), bool)
-        lone[1:] = ~same
-        h, owner, place, mark = h[lone], owner[lone], place[lone], twice[lone]
-        if len(seen):
-            rest = seen[~np.isin(seen, h, assume_unique=True)]
-            h = np.concatenate([h, rest])
-            owner, place, mark = (np.concatenate([x, np.full(len(rest), y, x.dtype)]) for x, y in ((owner, owner[0] if len(owner) else 0), (place, 0), (mark, True)))
-            order = np.argsort(h, kind="stable")
-            h, owner, place, mark = h[order], owner[order], place[order], mark[order]
-        ids, which = np.unique(owner, return_inverse=True)
-        which = np.where(mark, 0, which + 1).astype(np.uint64)
+        rows = [(self.n + k, o, pack(c, False), None, pack(p, False)) for k, o, c, p in bucketed(owner[twice], what, self.n)]
+        mark = (size > 1) | ~asks[at]
+        h, owner, place = h[at], owner[at], place[at].astype(np.uint64)
+        second = second[at] if second is not None else None
         # part by the hash's leading bits: a part is a range of hashes
-        part = (h >> np.uint64(self.bits - 24)) * np.uint64(self.n) >> np.uint64(24)
+        low = min(24, self.bits)
+        part = (h >> np.uint64(self.bits - low)) * np.uint64(self.n) >> np.uint64(low)
         cuts = np.searchsorted(part, np.arange(self.n + 1))
-        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if a < b:
-                rows.append((k, None, pack(h[a:b]), pack(which[a:b] << np.uint64(32) | place[a:b].astype(np.uint64), False)))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[k], cuts[k + 1]
+            ids, which = np.unique(owner[a:b], return_inverse=True)
+            which = np.where(mark[a:b], 0, which + 1).astype(np.uint64)
+            lone = np.where(mark[a:b], np.uint64(0), place[a:b])
+            rows.append((k, ids, pack(h[a:b]), pack(second[a:b], False) if second is not None else None, pack(which << np.uint64(32) | lone, False)))
+        kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
         for i in range(0, len(rows), 2000):
-            some = rows[i : i + 2000]
-            own = pa.array([ids if o is None else o for _, o, _, _ in some], pa.list_(pa.int64()))
-            yield pa.record_batch(
-                [pa.array([r[0] for r in some], pa.int32()), own, pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.binary())],
-                ["part", "owners", "hashes", "places"],
-            )
+            some = list(zip(*rows[i : i + 2000], strict=True))
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(some, kinds, strict=True)], ["part", "owners", "hashes", "extra", "places"])
+
+
+def by_name(h: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """The order by hash and second hash; the second rarely matters."""
+    order = np.argsort(h, kind="stable")
+    if second is not None:
+        x, y = h[order], second[order]
+        if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+            return np.lexsort((second, h))
+    return order
+
+
+def fresh(h: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """Whether each of the sorted entries differs from the one before."""
+    out = np.ones(len(h), bool)
+    out[1:] = h[1:] != h[:-1]
+    if second is not None:
+        out[1:] |= second[1:] != second[:-1]
+    return out
 
 
 def answer(h: np.ndarray, place: np.ndarray, give: str) -> np.ndarray:
@@ -388,14 +405,13 @@ def bucketed(owner: np.ndarray, value: np.ndarray, n: int) -> list[tuple[int, np
     return out
 
 
-def repeated(found: DataFrame, give: str = "places") -> DataFrame:
-    """(owner, places) of every hash of `found` (rows of Slices for `parts` parts) that stands more than once: ascending
+def repeated(found: DataFrame, n: int, give: str = "places") -> DataFrame:
+    """(owner, places) of every hash of `found` (rows of Slices for n parts) that stands more than once: ascending
     distinct places, packed; with give="hashes" the hashes' upper 48 bits above their places.
 
     A part is a range of hash values, of which a reducer sees one entry a slice and hash at most. Its answers leave by
     buckets of owners, and a second exchange brings each owner's together.
     """
-    n = parts(found.sparkSession)
     schema = "bucket int, owners array<bigint>, sizes binary, places binary"
 
     def rows(packed: list) -> pa.Table:
@@ -410,24 +426,24 @@ def repeated(found: DataFrame, give: str = "places") -> DataFrame:
         part = table.column("part")[0].as_py()
         if part >= n:
             return pa.table({"bucket": pa.array([part - n] * len(table), pa.int32()), "owners": table.column("owners"), "sizes": table.column("hashes"), "places": table.column("places")})
-        hs, whos, places, base, all_ids = [], [], [], 0, []
-        for own, h, w in zip(table.column("owners"), table.column("hashes"), table.column("places"), strict=True):
+        hs, seconds, whos, places, base, all_ids = [], [], [], [], 0, []
+        for own, h, x, w in zip(table.column("owners"), table.column("hashes"), table.column("extra"), table.column("places"), strict=True):
             ids = own.values.to_numpy()
             w = unpack(w.as_py(), False)
             who = (w >> np.uint64(32)).astype(np.int64)
             hs.append(unpack(h.as_py()))
+            if x.is_valid:
+                seconds.append(unpack(x.as_py(), False))
             whos.append(np.where(who == 0, -1, who - 1 + base))
             places.append(answer(hs[-1], w & np.uint64(0xFFFFFFFF), give))
             all_ids.append(ids)
             base += len(ids)
         h, who, place, ids = (np.concatenate(x) for x in (hs, whos, places, all_ids))
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        twice = np.zeros(len(h), bool)
-        same = h[1:] == h[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        hit = order[twice]
+        second = np.concatenate(seconds) if seconds else None
+        order = by_name(h, second)
+        at = np.flatnonzero(fresh(h[order], second[order] if second is not None else None))
+        size = np.diff(np.append(at, len(h)))
+        hit = order[np.repeat(size > 1, size)]
         hit = hit[who[hit] >= 0]
         # a hash marked by one slice as repeated is settled there; its other slices' entries meet it here
         return rows(bucketed(ids[who[hit]], place[hit], n))

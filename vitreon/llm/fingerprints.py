@@ -48,11 +48,11 @@ def powers(p: int, base: int, n: int) -> np.ndarray:
 class Prefixes:
     """Prefix arrays of an array of code points; spans are half-open."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, moduli: tuple = MODULI):
         self.n = len(points)
         c = points.astype(np.uint64) + np.uint64(1)
         self.parts = []
-        for p, base in MODULI:
+        for p, base in moduli:
             m = np.uint64(p)
             s = np.zeros(self.n + 1, np.uint64)
             np.cumsum(c * powers(p, base, self.n) % m, out=s[1:])  # fewer than 2**33 terms below 2**31

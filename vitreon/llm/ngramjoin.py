@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import FOUND, Scratch, Slices, components, pack, parts, release, repeated, shingles, sort_rows, spans, texts, tidy, unpack, word_hashes
+from .common import FOUND, Scratch, Slices, components, pack, parts, parts_for, release, repeated, shingles, sort_rows, spans, texts, tidy, unpack, word_hashes
 
 #: Shingles and threshold of the operator unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -131,7 +131,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFr
 
 def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(tok, gid, pos, n) for every prefix shingle that two groups or more have; pos: its place in the order."""
-    n_parts = parts(groups.sparkSession)
+    n_parts = parts_for(groups.sparkSession, groups.agg(F.sum(F.size("prefix"))).first()[0] or 0)
 
     @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
                 pos = (all_ & np.uint64(0xFFFF)).astype(np.int32)
                 yield pa.record_batch([pa.array((all_ >> np.uint64(16)).view(np.int64)), pa.array(own), pa.array(pos)], ["tok", "gid", "pos"])
 
-    pairs = repeated(found, "hashes").mapInArrow(spread, "tok bigint, gid bigint, pos int")
+    pairs = repeated(found, n_parts, "hashes").mapInArrow(spread, "tok bigint, gid bigint, pos int")
     out = scratch.keep(pairs.join(groups.select("gid", "n"), "gid"), "entries")
     return out
 

@@ -12,10 +12,12 @@ and suffixes whose name stands once are dropped at every stage instead of being
    lies less than V behind its start. These strings are named; those that reach beyond settled bytes ask, the others
    are witnesses: adjacent equal names in the sorted order prove a repeat.
 
-Names are 64-bit fingerprints of the bytes (44 bits for the first pruning, where a collision only costs work).
-Sorted runs of names are compressed by difference and dealt by range; a run holds a name once, so a passage that
-a third of all documents hold costs one entry a map task. Equal documents are one class throughout: a class of two
-and more documents is a repeat as a whole.
+Names are as wide as the corpus needs: first names have the logarithm of their number and SPARE_FIRST bits, since a
+collision there only costs work; whole strings have twice the logarithm of their number and SPARE bits, so that two
+different strings of the whole corpus share a name with a chance of 2**-SPARE, whatever its size (128 bits at most, of
+two independent hashes). Sorted runs of names are compressed by difference and dealt by range, in ranges whose number
+grows with the input; a run holds a name once, so a passage that a third of all documents hold costs one entry a map
+task. Equal documents are one class throughout: a class of two and more documents is a repeat as a whole.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import FOUND, Scratch, Slices, parts, prefix_hash, release, repeated, span_hash, spans, texts, unpack, tidy
+from .fingerprints import MODULI, Prefixes
+from .common import FOUND, Scratch, Slices, parts_for, prefix_hash, release, repeated, span_hash, spans, texts, tidy, unpack
 
 LENGTH = 200
 #: A perfect difference set modulo V (fixed values): every residue is a difference of two of its members.
@@ -37,6 +40,31 @@ V = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 FIRST = LENGTH - V
 SLICE = 1 << 20
+#: Bits of names beyond those that tell the strings of the corpus apart.
+SPARE_FIRST, SPARE = 8, 20
+#: Bits of the number that stands for a text; texts that share it get others.
+OWNER_BITS = 64
+
+
+def widths(size: int) -> tuple[int, int, int]:
+    """Bits of first names, of whole names, and of the second hash beside those, for texts of this many bytes."""
+    log = max(1, size).bit_length()
+    return min(64, max(24, log + SPARE_FIRST)), 64, min(62, max(0, 2 * log + SPARE - 64))
+
+
+class Names:
+    """Hashes and second hashes of spans of a byte array."""
+
+    def __init__(self, data: np.ndarray, extra: int):
+        self.first = prefix_hash(data)
+        self.second = Prefixes(data, MODULI[: 1 + (extra > 31)]) if extra else None
+
+    def of(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray | None]:
+        h = span_hash(self.first, at, at + length)
+        if self.second is None:
+            return h, None
+        v = self.second.values(at, at + length)
+        return h, v[0] << np.uint64(33) | (v[1] << np.uint64(2) if len(v) > 1 else np.uint64(0))
 
 
 def is_cover(cover: tuple[int, ...], v: int) -> bool:
@@ -51,8 +79,19 @@ def sampled(n: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     return at[ranges(np.zeros(len(n), np.int64), size)], size
 
 
-def _text_key(sha: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(s[:8] for s in sha), "<i8")
+def _text_key(sha: list[bytes], other: dict[bytes, int] | None = None) -> np.ndarray:
+    key = np.frombuffer(b"".join(s[:8] for s in sha), "<i8") >> np.int64(64 - OWNER_BITS)
+    if other:
+        key = np.array([other.get(s, k) for s, k in zip(sha, key.tolist(), strict=True)], np.int64)
+    return key
+
+
+def other_owners(classes: DataFrame) -> dict[bytes, int]:
+    """Numbers of the texts that share theirs with another: about the square of the number of texts over 2**65."""
+    shared = classes.groupBy("owner").agg(F.count("*").alias("c"), F.min("sha256").alias("keep")).where("c > 1")
+    rows = classes.join(shared.hint("merge"), "owner").where("sha256 <> keep").select("sha256").collect()
+    sha = [bytes.fromhex(r["sha256"]) for r in rows]
+    return {s: int.from_bytes(hashlib.sha256(s).digest()[:8], "little", signed=True) for s in sha}
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -72,12 +111,10 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, sha256 string, owner bigint")
 
 
-def first_names(docs: DataFrame) -> DataFrame:
-    n_parts = parts(docs.sparkSession)
-
+def first_names(docs: DataFrame, n_parts: int, bits: int, other: dict[bytes, int]) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Slices(n_parts, bits=44)
+        s = Slices(n_parts, bits=bits)
         for b in batches:
             data, off = texts(b)
             for i, j in spans(off, SLICE):
@@ -87,7 +124,7 @@ def first_names(docs: DataFrame) -> DataFrame:
                     continue
                 d = data[off[i] : off[j]]
                 p, size = sampled(n, FIRST)
-                owner = _text_key([hashlib.sha256(d[x:y]).digest() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)])
+                owner = _text_key([hashlib.sha256(d[x:y]).digest() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], other)
                 g = p + np.repeat(o[:-1], size)
                 yield from s.add(np.repeat(owner, size), span_hash(prefix_hash(d), g, g + FIRST), p)
         yield from s.flush()
@@ -99,26 +136,25 @@ def _places(col) -> list[np.ndarray]:
     return [unpack(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in col.to_pylist()]
 
 
-def whole_names(held: DataFrame) -> DataFrame:
+def whole_names(held: DataFrame, n_parts: int, bits: int, extra: int) -> DataFrame:
     """held: owner, text, a (places of repeated first names). Strings of LENGTH bytes at p where p and p + V are such."""
-    n_parts = parts(held.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Slices(n_parts)
+        s = Slices(n_parts, bits, extra=extra)
         for b in batches:
             data, off = texts(b)
             owner, places = b.column(0).to_numpy(), _places(b.column(2))
             for i, j in spans(off, SLICE):
-                pre, at, who = prefix_hash(data[off[i] : off[j]]), [], []
+                names, at, who = Names(data[off[i] : off[j]], extra), [], []
                 for r in range(i, j):
                     p = places[r]
                     p = p[np.isin(p + V, p, assume_unique=True)]
                     at.append(p)
                     who.append(len(p))
                 p = np.concatenate(at)
-                g = p + np.repeat(off[i:j] - off[i], who)
-                yield from s.add(np.repeat(owner[i:j], who), span_hash(pre, g, g + LENGTH), p)
+                h, second = names.of(p + np.repeat(off[i:j] - off[i], who), LENGTH)
+                yield from s.add(np.repeat(owner[i:j], who), h, p, second=second)
         yield from s.flush()
 
     return held.select("owner", "text", "a").mapInArrow(run, FOUND)
@@ -131,18 +167,17 @@ def _covered(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def other_names(held: DataFrame) -> DataFrame:
+def other_names(held: DataFrame, n_parts: int, bits: int, extra: int) -> DataFrame:
     """held: owner, text, a, s (places of repeated whole strings). All other strings that may be repeats."""
-    n_parts = parts(held.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Slices(n_parts)
+        out = Slices(n_parts, bits, extra=extra)
         for b in batches:
             data, off = texts(b)
             owner, firsts, settled = b.column(0).to_numpy(), _places(b.column(2)), _places(b.column(3))
             for i, j in spans(off, SLICE):
-                pre = prefix_hash(data[off[i] : off[j]])
+                names = Names(data[off[i] : off[j]], extra)
                 ask, see, who = [], [], []
                 for r in range(i, j):
                     n, base = int(off[r + 1] - off[r]), off[r] - off[i]
@@ -157,8 +192,9 @@ def other_names(held: DataFrame) -> DataFrame:
                     see.append(start[~new] + base)
                     who.append(int(new.sum()))
                 p, w = np.concatenate(ask), np.concatenate(see)
-                g = p + np.repeat(off[i:j] - off[i], who)
-                yield from out.add(np.repeat(owner[i:j], who), span_hash(pre, g, g + LENGTH), p, span_hash(pre, w, w + LENGTH))
+                h, second = names.of(p + np.repeat(off[i:j] - off[i], who), LENGTH)
+                seen, seen_second = names.of(w, LENGTH)
+                yield from out.add(np.repeat(owner[i:j], who), h, p, seen, second, seen_second)
         yield from out.flush()
 
     return held.select("owner", "text", "a", "s").mapInArrow(run, FOUND)
@@ -195,27 +231,39 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     scratch = Scratch(spark, "suffixes")
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     info = scratch.keep(survey(raw), "survey")
-    classes = scratch.keep(info.groupBy("owner", "sha256", "n_bytes").agg(F.min(F.struct("doc_id")).getField("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
-    a = scratch.keep(repeated(first_names(raw)).withColumnRenamed("places", "a"), "a")
+    grouped = lambda t: t.groupBy("owner", "sha256", "n_bytes").agg(F.min(F.struct("doc_id")).getField("doc_id").alias("id"), F.count("*").alias("rows"))
+    classes = scratch.keep(grouped(info), "classes")
+    if other := other_owners(classes):
+        new = spark.createDataFrame([(s.hex(), o) for s, o in other.items()], "sha256 string, _other bigint")
+        info = info.join(F.broadcast(new), "sha256", "left").withColumn("owner", F.coalesce("_other", "owner")).drop("_other")
+        classes = scratch.keep(grouped(info), "classes")
+    size = classes.agg(F.sum("n_bytes")).first()[0] or 0
+    first, whole, extra = widths(size)
+    n = parts_for(spark, size * len(COVER) // V)
+    a = scratch.keep(repeated(first_names(raw, n, first, other), n).withColumnRenamed("places", "a"), "a")
     release(spark)
     # one row of every class that may hold a repeat; the texts move once, in a plan that is the same at all sizes
-    wanted = classes.join(a, "owner").select(F.col("id").alias("_id"), F.col("sha256").alias("_sha"), "owner", "a")
+    wanted = classes.join(a, "owner").select(F.col("id").alias("_id"), F.col("sha256").alias("_sha"), "owner", "n_bytes", "a")
     keyed = raw.withColumn("_s", F.sha2("text", 256)).where(F.octet_length("text") >= LENGTH)
     held = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
-    held = scratch.keep(held.dropDuplicates(["doc_id", "_s"]).select("owner", "text", "a"), "held")
+    held = scratch.keep(held.dropDuplicates(["doc_id", "_s"]).select("owner", "n_bytes", "text", "a"), "held")
     scratch.drop(a)
     release(spark)
-    s = scratch.keep(repeated(whole_names(held)).withColumnRenamed("places", "s"), "s")
+    size = held.agg(F.sum("n_bytes")).first()[0] or 0
+    n = parts_for(spark, size * len(COVER) // V)
+    s = scratch.keep(repeated(whole_names(held, n, whole, extra), n).withColumnRenamed("places", "s"), "s")
     more = scratch.keep(held.join(s.hint("merge"), "owner", "left"), "more")
     scratch.drop(held, s)
     release(spark)
-    u = scratch.keep(repeated(other_names(more)).withColumnRenamed("places", "u"), "u")
+    n = parts_for(spark, size)  # as many strings as bytes at most
+    u = scratch.keep(repeated(other_names(more, n, whole, extra), n).withColumnRenamed("places", "u"), "u")
     release(spark)
     last = more.drop("a").join(u.hint("merge"), "owner", "left")
     done = scratch.keep(cut(last.where("s is not null or u is not null")) if with_text else cut(last.where("s is not null or u is not null")).drop("kept"), "cut")
     scratch.drop(more, u)
     labels = classes.join(done.hint("merge"), "owner", "left").select(F.col("owner").alias("_o"), "rows", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
     labels = scratch.keep(labels, "labels")
+    scratch.drop(classes, done)
     out = info.join(labels, F.col("owner") == F.col("_o"))
     copy = (F.col("rows") > 1) & (F.col("n_bytes") >= LENGTH)
     cols = [
