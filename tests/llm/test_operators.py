@@ -58,6 +58,34 @@ def test_ngram_join_all_pairs_round(spark):
     same(ngramjoin.join(df, 2, 60, star_rounds=0).select("doc_id", "n_shingles", "component_id").collect(), brute.ngram_join(rows, 2, 60))
 
 
+def test_ngram_join_signatures(spark, monkeypatch):
+    """Short signatures and small blocks change nothing; unlike documents of common shingles leave no pair to verify."""
+    rng = np.random.default_rng(9)
+    lines = [f"line {i} of the common stock of lines" for i in range(60)]
+    rows = [(i, "\n".join(lines[j] for j in sorted(rng.choice(60, 30 if i % 4 else 55, replace=False)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.ngram_join(rows, 4, 85)
+    made = []
+    monkeypatch.setattr(ngramjoin, "verify", lambda pairs, *a, f=ngramjoin.verify: made.append(pairs.count()) or f(pairs, *a))
+    same(ngramjoin.join(df, 4, 85).select("doc_id", "n_shingles", "component_id").collect(), want)
+    assert sum(made) < 3 * len(rows), made
+    monkeypatch.setattr(ngramjoin, "BITS", 64)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 2)
+    same(ngramjoin.join(df, 4, 85, star_rounds=0).select("doc_id", "n_shingles", "component_id").collect(), want)
+
+
+def test_ngram_order_table(spark, monkeypatch):
+    """The table takes the most frequent shingles and leaves most slots empty, whatever the corpus."""
+    from vitreon.llm.common import Scratch
+
+    rows = [(i, " ".join(f"w{i % m}x{m}" for m in (1, 2, 4, 16, 64, 3000))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for load, least in ((0.125, 5), (2e-6, 9)):
+        monkeypatch.setattr(ngramjoin, "LOAD", load)
+        table = ngramjoin.order_table(df, 1, Scratch(spark, "order"))
+        assert table.max() == 11 and (table > 0).sum() < 100 and table[table > 0].min() == least
+
+
 def test_ngram_links(spark, odd, none, small):
     """All links of a group of near copies count, with exact copies, and doc_ids whose rows have different texts."""
     words = [f"w{i}" for i in range(120)]

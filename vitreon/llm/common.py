@@ -47,6 +47,7 @@ class Scratch:
             _roots[base] = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.kept: set[str] = set()
         _roots[self.root] = spark
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -55,19 +56,34 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete kept tables that nothing lazy still reads."""
         for df in frames:
-            if path := getattr(df, "_scratch_path", None):
+            path = getattr(df, "_scratch_path", None)
+            if path in self.kept:
+                self.kept.discard(path)
                 _delete(self.spark, path)
 
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all kept tables but these, which a result reads."""
+        wanted = {df._scratch_path for df in frames}
+        for path in self.kept - wanted:
+            _delete(self.spark, path)
+        self.kept &= wanted
 
-def sweep() -> None:
-    """Delete all scratch tables of this process; call it when the results that read them have been used or stored."""
-    while _roots:
-        root, spark = _roots.popitem()
+
+def roots() -> set[str]:
+    """The scratch folders there are."""
+    return set(_roots)
+
+
+def sweep(but: set[str] = frozenset()) -> None:
+    """Delete the scratch folders of this process; call it when the results that read them have been used or stored."""
+    for root in _roots.keys() - but:
+        spark = _roots.pop(root)
         if spark.sparkContext._jsc is not None:
             _delete(spark, root)
 
