@@ -86,8 +86,10 @@ _NAMED = re.compile(rf"(?<!\w)((?:{'|'.join(GENDER)}) {_NAME})(?!\w)")
 _LABELS = ["name is", "Name:", "name:", "Patient:", "Customer:", "Contact:", "Employee:", "heiße", "Name ist", "me llamo", "Me llamo", "nombre es", "Nombre:", "m'appelle", "Nom:", "Nom :", "меня зовут", "Меня зовут", "Имя:"]
 _GREETINGS = ["Dear", "Hello", "Sincerely,", "Regards,", "regards,", "Signed,", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Уважаемый", "Уважаемая"]
 _SPEECH = ["said", "says", "wrote", "writes", "called", "asked", "replied", "signed", "sagte", "schrieb", "dijo", "escribió", "a dit", "a écrit", "сказал", "сказала", "написал", "написала"]
-#: (needed somewhere in the text, pattern) of names in context.
+#: What a text must hold somewhere for a pattern of names to be tried, and the pattern.
 _CONTEXT = [
+    (list(TITLES), _TITLED),
+    (list(GENDER), _NAMED),
     (_LABELS, re.compile(rf"(?<!\w)(?:{'|'.join(_LABELS)}) *({_FULL})")),
     (_GREETINGS, re.compile(rf"(?<!\w)(?:{'|'.join(_GREETINGS)})\s+({_FULL})")),
     (_SPEECH, re.compile(rf"(?<!\w)({_FULL}),? (?:{'|'.join(_SPEECH)})(?!\w)")),
@@ -197,18 +199,26 @@ def _person(text: str, a: int, b: int, gender: str = "n") -> Iterator[tuple[int,
             yield i, j, f"first:{_script(w)}:{GENDER.get(w, ('', gender))[1]}", w.lower()
 
 
+@functools.cache
+def _hints():
+    """An automaton over the words that the patterns of _CONTEXT need; each leads to the numbers of its patterns."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for k, (words, _) in enumerate(_CONTEXT):
+        for w in words:
+            found.add_word(w, (*found.get(w, ()), k))
+    found.make_automaton()
+    return found
+
+
 def _persons(text: str, others: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
-    if any(t in text for t in TITLES):
-        for m in _TITLED.finditer(text):
-            if len(m[2]) > 1:
-                yield from _person(text, *m.span(2), TITLES[m[1]])
-    if any(n in text for n in GENDER):
-        for m in _NAMED.finditer(text):
-            yield from _person(text, *m.span(1))
-    for needs, pattern in _CONTEXT:
-        if any(n in text for n in needs):
-            for m in pattern.finditer(text):
+    for k in sorted({k for _, ks in _hints().iter(text) for k in ks}):
+        for m in _CONTEXT[k][1].finditer(text):
+            if k > 0:
                 yield from _person(text, *m.span(1))
+            elif len(m[2]) > 1:
+                yield from _person(text, *m.span(2), TITLES[m[1]])
     for a, b, kind, norm in others:
         if kind in ("email", "phone", "card", "iban", "ssn", "date") and (m := _BEFORE.search(text, max(0, a - 80), a)):
             yield from _person(text, *m.span(1))
