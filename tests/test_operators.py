@@ -373,3 +373,116 @@ def test_xyz_and_data_files(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"data": {"T": [300, 400], "V": [1.5, 2.5], "note": "text"}, "other": 1}')
     got = T.read_cte(spark, str(tmp_path / "c.json")).collect()
     assert {(r.series, r.i, r.value) for r in got} == {("T", 0, 300.0), ("T", 1, 400.0), ("V", 0, 1.5), ("V", 1, 2.5)}
+
+
+def test_viscosity_outputs(spark):
+    """Each output against its definition, lag by lag, for all cutoff methods and both formalisms."""
+    rng = np.random.default_rng(11)
+    n, dt, v, t = 400, 50.0, 9000.0, 2500.0
+    y = np.zeros((n, 6))
+    for k in range(1, n):
+        y[k] = 0.9 * y[k - 1] + rng.normal(size=6)
+    rows = [("r", i, t, v, *y[i].tolist()) for i in range(n)]
+    th = spark.createDataFrame(rows, "run_id string, step long, temperature double, volume double, pxx double, pyy double, pzz double, pxy double, pxz double, pyz double")
+    shear = y[:, 3:]
+    corr = lambda x, lag: sum(x[i] * x[i + lag] for i in range(n - lag)) / (n - lag)
+    for method in ("noise_threshold", "cumulative_integral", "self_consistent"):
+        r = series.viscosity(th, dt, cutoff=method).first()
+        lags = len(r.lag_time)
+        c = np.array([[corr(shear[:, k], lag) for lag in range(lags)] for k in range(3)])
+        scale = v * 1e-30 / (1.380649e-23 * t) * 1e18 * dt * 1e-15
+        integral = [scale * np.mean([sum((c[k][i] + c[k][i + 1]) / 2 for i in range(m)) for k in range(3)]) for m in range(lags)]
+        assert r.lag_time == pytest.approx([i * dt / 1000 for i in range(lags)]) and r.integral == pytest.approx(integral) and r.viscosity == pytest.approx(integral[-1])
+        assert r.sacf == pytest.approx(list((c / c[:, :1]).mean(0))) and r.sacf[0] == pytest.approx(1) and r.tau >= 10
+        assert r.window % 2 == 0 and int(n * dt / 1000) % (r.window // 2) == 0 and r.msd is None
+    r = series.viscosity(th, dt, "helfand").first()
+    chi = np.cumsum(shear * 1e9, axis=0) * dt * 1e-15
+    msd = [2 * np.mean([corr(chi[:, k], 0) - corr(chi[:, k], lag) for k in range(3)]) for lag in range(1, n // 2 + 1)]
+    assert r.msd == pytest.approx(msd) and len(r.lag_time) == len(msd) and r.integral is None
+    assert r.mean_pressure == pytest.approx(y[:, :3].mean()) and r.fit_residual > 0 and r.viscosity == pytest.approx(r.slope * v * 1e-30 / (2 * 1.380649e-23 * t))
+    with pytest.raises(ValueError):
+        series.viscosity(th, dt, cutoff="other").collect()
+    fit = series.fit_vft(spark.createDataFrame([("a", 1000.0 + 100 * i, -2.0 + 4000 / (700 + 100 * i) + 0.01 * (i % 3)) for i in range(9)], "id string, t double, l double"), ["id"], "t", "l").first()
+    assert np.array(fit.covariance).shape == (3, 3) and (np.diag(fit.covariance) > 0).all()
+
+
+def test_own_ranges(spark):
+    """A tiny cell neither cuts the others' range nor stops them."""
+    rows = [(s, 0, i, 8 if i % 2 else 14, x, x / 2, x / 3) for s in ("big", "tiny") for i, x in enumerate((0.1, 0.9, 1.3, 1.8))]
+    a = spark.createDataFrame(rows, "structure_id string, frame int, atom_id bigint, atomic_number int, x double, y double, z double")
+    cell = lambda e: [float(e) if i == j else 0.0 for i in range(3) for j in range(3)]
+    f = spark.createDataFrame([("big", 0, *cell(20)), ("tiny", 0, *cell(1.5)), ("mid", 0, *cell(7))], "structure_id string, frame int, " + ", ".join(f"c{i}{j} double" for i in range(3) for j in range(3)))
+    ranges = {r.structure_id: r.r_max for r in structure.with_r_max(f, 8.0).collect()}
+    assert ranges == {"big": 8.0, "tiny": None, "mid": 3.0}
+    got = structure.rdf(a, structure.with_r_max(f, 8.0), 8.0, 50)
+    alone = structure.rdf(a, f.where("structure_id = 'big'"), 8.0, 50)
+    key = lambda df: sorted(tuple(r) for r in df.select("structure_id", "za", "zb", "bin", "r", "g").collect())
+    assert key(got) == key(alone)
+
+
+def test_analysis_curves(spark, sf):
+    from vitreon.plans import analyze, structures
+
+    a = structures.atoms(spark, sf).where("structure_id < '3'")
+    f = structures.frames(a)
+    out = analyze.analyze(a, f, 5.0, 60, 36, 8, n_q=20)
+    rows = {r.structure_id: r for r in out.collect()}
+    g = structure.rdf(a, f, 5.0, 60)
+    for x, name in (("neutron", "sq_neutron"), ("xray", "sq_xray")):
+        s = structure.structure_factor(g, 0.5, 20.0, 20, radiation=x).where("za is null").orderBy("k").collect()
+        for i, r in rows.items():
+            assert list(r[name]) == pytest.approx([y.s for y in s if y.structure_id == i])
+    for r in rows.values():
+        assert len(r.q) == 20 and len(r.r) == 60 and all(len(v) == 60 for v in r.g.values())
+        assert "O-Si" in r.g and {"O-Si", "Si-O"} <= set(r.cumulative) and "O-Si" in r.sq_partial
+    out.release()
+    with pytest.raises(ValueError):
+        structure.structure_factor(g, radiation="electron")
+
+
+def test_form_factors(spark):
+    """At q = 0 a form factor is the number of electrons; it falls with q and is positive up to 10."""
+    from vitreon.constants import XRAY_TERMS
+
+    p = spark.createDataFrame([(z, [{"a": a, "b": b} for a, b in zip(v[::2], v[1::2], strict=True)]) for z, v in XRAY_TERMS.items()], "atomic_number int, terms array<struct<a: double, b: double>>")
+    f = structure.xray_form_factors(p, 0.0, 10.0, 11)
+    for z in XRAY_TERMS:
+        b = [r.b for r in f.where(F.col("atomic_number") == z).orderBy("k").collect()]
+        assert b[0] == pytest.approx(z) and all(x > y > 0 for x, y in zip(b, b[1:], strict=False))
+
+
+def test_repeated_steps(spark, tmp_path):
+    """Steps that stand again after a restart are frames of their own, in order of the file."""
+    frame = lambda step, x: f"ITEM: TIMESTEP\n{step}\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS pp pp pp\n0 10\n0 10\n0 10\nITEM: ATOMS id type x y z\n1 1 {x} 0 0\n"
+    (tmp_path / "a.dump").write_text("".join(frame(s, x) for x, s in enumerate((0, 100, 100, 200, 50))))
+    (tmp_path / "b.dump").write_text("".join(frame(7, x) for x in range(3)))
+    atoms, frames = T.read_dump(spark, str(tmp_path), {1: "Si"})
+    rows = sorted((r.structure_id[-6:], r.frame, r.x) for r in atoms.collect())
+    assert rows == [("a.dump", i, float(i)) for i in range(5)] + [("b.dump", i, float(i)) for i in range(3)]
+    steps = sorted((r.structure_id[-6:], r.frame, r.step) for r in frames.collect())
+    assert [s for p, _, s in steps if p == "a.dump"] == [0, 100, 100, 200, 50]
+    some, _ = T.read_dump(spark, str(tmp_path / "a.dump"), {1: "Si"}, start=1, stop=5, step=2)
+    assert sorted((r.frame, r.x) for r in some.collect()) == [(1, 1.0), (3, 3.0)]
+
+
+def test_distance_of_given_pairs(spark):
+    a = spark.createDataFrame([("p", "O", 0.6), ("p", "Si", 0.4), ("q", "Na", 1.0)], "comp_id string, element string, fraction double")
+    pairs = spark.createDataFrame([("p", "p"), ("p", "q"), ("q", "none")], "id_a string, id_b string")
+    got = {(r.id_a, r.id_b): r.distance for r in K.distance(a, a, pairs).collect()}
+    assert got == {("p", "p"): 0.0, ("p", "q"): pytest.approx((0.36 + 0.16 + 1) ** 0.5), ("q", "none"): 1.0}
+
+
+def test_large_divisors(spark):
+    got = series.closest_divisor(spark.createDataFrame([(10_000_000_000, 99_999), (97, 50), (0, 1)], "n long, x long"), "n", "x")
+    assert {r.n: r.divisor for r in got.collect()} == {10_000_000_000: 100_000, 97: 1 if 49 < 47 else 97, 0: None}
+
+
+def test_job_days(spark, tmp_path):
+    from vitreon.sources.jobstore import JobStore
+
+    s = JobStore(spark, str(tmp_path / "jobs"))
+    s.create(spark.sql("SELECT * FROM VALUES ('a', 'h', 'x', TIMESTAMP '2024-01-02 03:04:05'), ('b', 'h', 'y', TIMESTAMP '2024-01-03 00:00:00') AS t(job_id, request_hash, result_data, created_at)"))
+    assert sorted(p.name for p in (tmp_path / "jobs").iterdir() if p.is_dir()) == ["day=2024-01-02", "day=2024-01-03"]
+    s.clear_results("h")
+    rows = {r.job_id: (r.version, r.result_data) for r in s.jobs().collect()}
+    assert rows == {"a": (2, None), "b": (2, None)}

@@ -65,6 +65,22 @@ NEUTRON_B = {
     81: 8.776, 82: 9.405, 83: 8.532, 88: 10.0, 90: 10.31, 91: 9.1, 92: 8.417, 93: 10.55,
 }
 
+# a1 b1 ... a4 b4 of the electron scattering factors of Doyle and Turner (1968) by atomic number, for the elements
+# of common glasses. Other elements' parameters are the caller's.
+XRAY_TERMS = {
+    3: (1.6108, 107.6384, 1.2460, 30.4795, 0.3257, 4.5331, 0.0986, 0.4951),
+    5: (0.9446, 46.4438, 1.3120, 14.1778, 0.4188, 3.2228, 0.1159, 0.3767),
+    6: (0.7307, 36.9951, 1.1951, 11.2966, 0.4563, 2.8139, 0.1247, 0.3456),
+    7: (0.5717, 28.8465, 1.0425, 9.0542, 0.4647, 2.4213, 0.1311, 0.3167),
+    8: (0.4548, 23.7803, 0.9173, 7.6220, 0.4719, 2.1440, 0.1384, 0.2959),
+    11: (2.2406, 108.0039, 1.3326, 24.5047, 0.9070, 3.3914, 0.2863, 0.4346),
+    12: (2.2682, 73.6704, 1.8025, 20.1749, 0.8394, 3.0181, 0.2892, 0.4046),
+    13: (2.2756, 72.3220, 2.4280, 19.7729, 0.8578, 3.0799, 0.3166, 0.4076),
+    14: (2.1293, 57.7748, 2.5333, 16.4756, 0.8349, 2.8796, 0.3216, 0.3860),
+    15: (1.8882, 44.8756, 2.4685, 13.5383, 0.8046, 2.6424, 0.3204, 0.3608),
+    20: (4.4696, 99.5228, 2.9708, 22.6958, 1.9696, 4.1954, 0.4818, 0.4165),
+}
+
 # Coefficients of the density polynomial over mol% (name _2 and _3: square and cube; a_b and a_b_c: products).
 DENSITY_B0, DENSITY_REMAINDER = 2.121560704, 0.02514614
 DENSITY_TERMS = {

@@ -121,19 +121,20 @@ def from_canonical(rows: DataFrame) -> DataFrame:
     return one.select("comp_id", "pos", F.regexp_extract("t", r"^(\S+)", 1).alias("oxide"), F.regexp_extract("t", r"(\S+)$", 1).cast("double").alias("amount"))
 
 
-def distance(a: DataFrame, b: DataFrame) -> DataFrame:
-    """id_a, id_b, distance of element fractions (comp_id, element, fraction); a missing element is 0.
+def distance(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (id_a, id_b) with the distance of their element fractions (comp_id, element, fraction) in a and b.
 
-    Pairs share an element; |a - b|^2 = |a|^2 + |b|^2 - 2 a.b needs no row for what only one side has. Compositions
-    without a common element are at sqrt(|a|^2 + |b|^2) and have no row.
+    A missing element is 0, so every pair has a row; an unknown id is a composition without elements. Each side becomes one
+    map a composition, and meets the pairs by id: nothing is joined by element.
     """
-    na = a.groupBy(F.col("comp_id").alias("id_a")).agg(F.sum(F.col("fraction") * F.col("fraction")).alias("na"))
-    nb = b.groupBy(F.col("comp_id").alias("id_b")).agg(F.sum(F.col("fraction") * F.col("fraction")).alias("nb"))
-    left = a.select(F.col("comp_id").alias("id_a"), "element", F.col("fraction").alias("fa"))
-    right = b.select(F.col("comp_id").alias("id_b"), "element", F.col("fraction").alias("fb"))
-    dot = left.join(right, "element").groupBy("id_a", "id_b").agg(F.sum(F.col("fa") * F.col("fb")).alias("ab"))
-    d2 = F.col("na") + F.col("nb") - 2 * F.col("ab")
-    return dot.join(na, "id_a").join(nb, "id_b").select("id_a", "id_b", F.sqrt(F.greatest(d2, F.lit(0.0))).alias("distance"))
+    whole = lambda df, i, m: df.groupBy(F.col("comp_id").alias(i)).agg(F.map_from_entries(F.collect_list(F.struct("element", "fraction"))).alias(m))
+    none = F.create_map().cast("map<string,double>")
+    df = pairs.join(whole(a, "id_a", "_a"), "id_a", "left").join(whole(b, "id_b", "_b"), "id_b", "left")
+    df = df.withColumns({"_a": F.coalesce("_a", none), "_b": F.coalesce("_b", none)})
+    keys = F.array_sort(F.array_union(F.map_keys("_a"), F.map_keys("_b")))
+    gap = lambda e: F.coalesce(F.element_at("_a", e), F.lit(0.0)) - F.coalesce(F.element_at("_b", e), F.lit(0.0))
+    d2 = F.aggregate(F.transform(keys, lambda e: gap(e) * gap(e)), F.lit(0.0), lambda x, y: x + y)
+    return df.select("id_a", "id_b", F.sqrt(d2).alias("distance"))
 
 
 # Oxides that the density model lumps together.

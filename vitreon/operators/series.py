@@ -93,8 +93,13 @@ def self_consistent_cutoff(df: DataFrame, by: list[str], lag: str, value: str, d
 
 
 def closest_divisor(df: DataFrame, target: str, near: str) -> DataFrame:
-    """df with divisor: that of target nearest to near, the smaller on ties; null unless target is positive."""
-    all_ = F.filter(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col(target).cast("bigint"), F.lit(1))), lambda d: F.col(target) % d == 0)
+    """df with divisor: that of target nearest to near, the smaller on ties; null unless target is positive.
+
+    Divisors come in pairs, one of which is at most the square root.
+    """
+    n = F.greatest(F.col(target).cast("bigint"), F.lit(1))
+    low = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt(n.cast("double"))) + 1), lambda d: n % d == 0)
+    all_ = F.concat(low, F.transform(low, lambda d: (n / d).cast("bigint")))
     best = F.array_min(F.transform(all_, lambda d: F.struct(F.abs(d - F.col(near)).alias("gap"), d.alias("d"))))
     return df.withColumn("divisor", F.when(F.col(target) > 0, best["d"]))
 
@@ -188,32 +193,60 @@ def first_run_below(y: np.ndarray, epsilon: float, consecutive: int = 3) -> int:
 
 
 def divisor_near(n: int, x: int) -> int | None:
-    return min((d for d in range(1, n + 1) if n % d == 0), key=lambda d: (abs(d - x), d)) if n > 0 else None
-
-
-def green_kubo(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int = 1_000_000, epsilon: float = 1e-4) -> tuple[float, int] | None:
-    """Viscosity in Pa s and the lag it was integrated to, from shear stresses (rows, 3) in GPa; None for too short runs."""
+    low = [d for d in range(1, math.isqrt(max(n, 0)) + 1) if n % d == 0]
+    return min((*low, *(n // d for d in low)), key=lambda d: (abs(d - x), d), default=None)
+
+
+CUTOFF_METHODS = ("noise_threshold", "cumulative_integral", "self_consistent")
+
+
+def cutoff_lag(y: np.ndarray, method: str, epsilon: float = 1e-4, dt: float = 1.0, c: float = 5.0) -> int:
+    """The lag at which a normalised autocorrelation has decayed, by one of CUTOFF_METHODS; the last lag if it never does."""
+    end = len(y) - 1
+    area = np.cumsum((y[1:] + y[:-1]) / 2) * dt
+    if method == "noise_threshold":
+        return first_run_below(y, epsilon)
+    if method == "cumulative_integral":
+        if not len(area) or np.isclose(area[-1], 0.0):
+            return end
+        share = np.append(0.0, area / area[-1])
+        reach, still = np.flatnonzero(share >= 1 - epsilon), np.flatnonzero(np.abs(np.diff(share)) < epsilon)
+        return min(end, int(reach[0]) + 1 if len(reach) else int(still[0]) + 2 if len(still) else end)
+    if method == "self_consistent":
+        before = np.append(0.0, area)[:-1]
+        hit = np.flatnonzero((before > 0) & (before < np.arange(1, len(y)) * dt / c))
+        return int(hit[0]) + 1 if len(hit) else end
+    raise ValueError(f"not one of {CUTOFF_METHODS}: {method}")
+
+
+def green_kubo_curves(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int = 1_000_000, epsilon: float = 1e-4, method: str = "noise_threshold") -> dict | None:
+    """From shear stresses (rows, 3) in GPa: viscosity (Pa s), window (ps), tau (the longest decay time, ps), and over the lags
+    sacf (mean normalised autocorrelation) and integral (running viscosity). None for runs too short for a window.
+    """
     n, dt_ps = len(p), dt_fs / 1000
-    first = [autocorrelation(p[:, k], max_lag) for k in range(p.shape[1])]
-    windows = []
-    for y in first:
-        if y[0] == 0:
-            continue
-        cut = max(10.0, first_run_below(y / y[0], epsilon) * dt_ps)
-        d = divisor_near(int(n * dt_ps), int(cut))
-        if d is None:
-            return None
-        windows.append(2 * d)
-    if not windows:
+    first = [y / y[0] for y in (autocorrelation(p[:, k], max_lag) for k in range(p.shape[1])) if y[0] != 0]
+    taus = [max(10.0, cutoff_lag(y, method, epsilon, dt_ps) * dt_ps) for y in first]
+    windows = [divisor_near(int(n * dt_ps), int(t)) for t in taus]
+    if not windows or None in windows:
         return None
-    lag = max(2, min(n, int(max(windows) / dt_ps)))
+    window = 2 * max(windows)
+    lag = max(2, min(n, int(window / dt_ps)))
     scale = volume_a3 * 1e-30 / (C.K_B_J * temperature) * 1e18 * dt_fs * 1e-15
-    total = [np.concatenate([[0], np.cumsum((y[1:] + y[:-1]) / 2)]) * scale for y in (autocorrelation(p[:, k], lag) for k in range(p.shape[1]))]
-    return float(np.mean([t[-1] for t in total])), lag
+    last = [autocorrelation(p[:, k], lag) for k in range(p.shape[1])]
+    total = np.mean([np.concatenate([[0], np.cumsum((y[1:] + y[:-1]) / 2)]) for y in last], axis=0) * scale
+    sacf = np.mean([y / y[0] for y in last if y[0] != 0], axis=0)
+    return {"viscosity": float(total[-1]), "window": window, "tau": float(max(taus)), "sacf": sacf, "integral": total}
 
 
-def helfand(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int | None = None) -> dict[str, float]:
-    """Viscosity from the slope of the mean square displacement of the integrated stresses; also shear modulus and Maxwell time."""
+def green_kubo(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int = 1_000_000, epsilon: float = 1e-4) -> tuple[float, int] | None:
+    """Viscosity in Pa s and the lag it was integrated to; None for too short runs."""
+    got = green_kubo_curves(p, dt_fs, volume_a3, temperature, max_lag, epsilon)
+    return None if got is None else (got["viscosity"], len(got["integral"]))
+
+
+def helfand(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int | None = None) -> dict:
+    """Viscosity from the slope of the mean square displacement of the integrated stresses, and the residual of that fit as a
+    viscosity; also shear modulus, Maxwell time, the displacements (msd) over the lags from 1 on, and their slope."""
     n = len(p)
     lags = min(max_lag or n // 2, n - 1)
     dt = dt_fs * 1e-15
@@ -224,11 +257,12 @@ def helfand(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, m
     tau = int(below[0]) if len(below) else lags
     start = min(5 * tau, max(1, lags // 2))
     t = np.arange(1, lags + 1) * dt
-    slope = float(np.polyfit(t[start:], msd[start:], 1)[0]) if lags - start >= 2 else float("nan")
+    slope, base = np.polyfit(t[start:], msd[start:], 1) if lags - start >= 2 else (float("nan"), float("nan"))
+    rest = float(np.std(msd[start:] - slope * t[start:] - base))
     v = volume_a3 * 1e-30
     eta = slope * v / (2 * C.K_B_J * temperature)
     g = v / (C.K_B_J * temperature) * float(np.mean(np.var(p * 1e9, axis=0)))
-    return {"viscosity": eta, "shear_modulus": g, "maxwell_time": eta / g if g else float("nan")}
+    return {"viscosity": float(eta), "fit_residual": rest * v / (2 * C.K_B_J * temperature), "shear_modulus": g, "maxwell_time": float(eta / g) if g else float("nan"), "msd": msd, "slope": float(slope)}
 
 
 def bulk_viscosity(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: float, max_lag: int | None = None) -> float:
@@ -238,26 +272,40 @@ def bulk_viscosity(p: np.ndarray, dt_fs: float, volume_a3: float, temperature: f
     return float(np.trapezoid(y, dx=dt_fs * 1e-15)) * volume_a3 * 1e-30 / (9 * C.K_B_J * temperature)
 
 
-def viscosity(thermo: DataFrame, dt_fs: float, method: str = "green_kubo", max_lag: int = 1_000_000) -> DataFrame:
-    """run_id, temperature, viscosity, shear_modulus, maxwell_time, bulk_viscosity of each run. One group is one run.
+#: What viscosity() gives for a run; what the method doesn't have is null.
+VISCOSITY = """run_id string, temperature double, viscosity double, window double, tau double, shear_modulus double, maxwell_time double, bulk_viscosity double,
+mean_pressure double, fit_residual double, slope double, lag_time array<double>, sacf array<double>, integral array<double>, msd array<double>"""
+
+
+def viscosity(thermo: DataFrame, dt_fs: float, method: str = "green_kubo", max_lag: int | None = None, cutoff: str = "noise_threshold") -> DataFrame:
+    """One row a run (columns: VISCOSITY), in Pa s, ps and GPa; thermo: run_id, step, temperature, volume and stresses in GPa.
 
-    bulk_viscosity comes with the Helfand method, and is null where thermo lacks pxx, pyy or pzz.
+    green_kubo gives window, tau, and over lag_time sacf and the running integral; helfand the modulus, Maxwell time,
+    fit_residual, slope and over lag_time msd. bulk_viscosity and mean_pressure come with helfand, null where thermo lacks
+    pxx, pyy or pzz. One group is one run.
     """
+    if method not in ("green_kubo", "helfand"):
+        raise ValueError(f"unknown method: {method}")
+    if cutoff not in CUTOFF_METHODS:
+        raise ValueError(f"unknown cutoff method: {cutoff}")
     normals = [c for c in ("pxx", "pyy", "pzz") if c in thermo.columns]
+    names = [c.split()[0] for c in VISCOSITY.split(",")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
         p, v, t = pdf[list(SHEARS)].to_numpy(float), float(pdf["volume"].mean()), float(pdf["temperature"].mean())
-        row = {"run_id": pdf["run_id"].iloc[0], "temperature": t, "viscosity": None, "shear_modulus": None, "maxwell_time": None, "bulk_viscosity": None}
-        if method == "helfand":
-            row |= helfand(p, dt_fs, v, t) if len(p) > 3 else {}
-            if len(normals) == 3 and len(p) > 3:
-                row["bulk_viscosity"] = bulk_viscosity(pdf[normals].to_numpy(float), dt_fs, v, t)
-        elif (got := green_kubo(p, dt_fs, v, t, max_lag)) is not None:
-            row["viscosity"] = got[0]
+        row = dict.fromkeys(names) | {"run_id": pdf["run_id"].iloc[0], "temperature": t}
+        if method == "helfand" and len(p) > 3:
+            row |= helfand(p, dt_fs, v, t, max_lag)
+            row["lag_time"] = np.arange(1, len(row["msd"]) + 1) * dt_fs / 1000
+            if len(normals) == 3:
+                row["bulk_viscosity"] = bulk_viscosity(pdf[normals].to_numpy(float), dt_fs, v, t, max_lag)
+                row["mean_pressure"] = float(pdf[normals].to_numpy(float).mean())
+        elif method == "green_kubo" and (got := green_kubo_curves(p, dt_fs, v, t, max_lag or 1_000_000, method=cutoff)) is not None:
+            row |= got | {"lag_time": np.arange(len(got["integral"])) * dt_fs / 1000}
         return pd.DataFrame([row])
 
-    return thermo.select("run_id", "step", "temperature", "volume", *SHEARS, *normals).groupBy("run_id").applyInPandas(run, "run_id string, temperature double, viscosity double, shear_modulus double, maxwell_time double, bulk_viscosity double")
+    return thermo.select("run_id", "step", "temperature", "volume", *SHEARS, *normals).groupBy("run_id").applyInPandas(run, VISCOSITY)
 
 
 def ensemble(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -316,18 +364,18 @@ def levenberg(f: Callable[[np.ndarray], np.ndarray], p: np.ndarray, lower: np.nd
 
 
 def fit_vft(df: DataFrame, by: list[str], t: str, log_eta: str, natural: bool = False) -> DataFrame:
-    """by, a, b, t0, rmse of log_eta over t; null parameters for fewer than 3 points. One group is one curve."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", a double, b double, t0 double, rmse double"
+    """by, a, b, t0, rmse of log_eta over t, and the covariance of (a, b, t0); null for fewer than 3 points. One group is one curve."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", a double, b double, t0 double, rmse double, covariance array<array<double>>"
     unit = math.log10(math.e) if natural else 1.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[t].to_numpy(float), pdf[log_eta].to_numpy(float)
-        row = {c: pdf[c].iloc[0] for c in by} | {"a": None, "b": None, "t0": None, "rmse": None}
+        row = {c: pdf[c].iloc[0] for c in by} | {"a": None, "b": None, "t0": None, "rmse": None, "covariance": None}
         if len(x) >= 3:
             start = np.array([-3.0, 1000.0, 200.0]) if natural else np.array([y.min() - 1, max((y.max() - y.min()) * 300.0, 1.0), max(x.min() - 300.0, 0.0)])
             top = np.array([np.inf, np.inf, x.min() - 1])
-            p, _ = levenberg(lambda q: q[0] + q[1] / (x - q[2]) * unit - y, start, np.array([-np.inf, 0.0, 0.0]), top)
-            row |= {"a": p[0], "b": p[1], "t0": p[2], "rmse": float(np.sqrt(np.mean((p[0] + p[1] / (x - p[2]) * unit - y) ** 2)))}
+            p, cov = levenberg(lambda q: q[0] + q[1] / (x - q[2]) * unit - y, start, np.array([-np.inf, 0.0, 0.0]), top)
+            row |= {"a": p[0], "b": p[1], "t0": p[2], "rmse": float(np.sqrt(np.mean((p[0] + p[1] / (x - p[2]) * unit - y) ** 2))), "covariance": cov.tolist()}
         return pd.DataFrame([row])
 
     return df.select(*by, t, log_eta).groupBy(*by).applyInPandas(run, schema)

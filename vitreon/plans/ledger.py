@@ -137,10 +137,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that a stream gives for what is there now."""
-    spark = df.sparkSession
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return streams.drained(df, streams.folder(df.sparkSession, name), mode)
 
 
 def stream_status(spark: SparkSession, d: str) -> DataFrame:
@@ -153,19 +150,39 @@ def stream_status(spark: SparkSession, d: str) -> DataFrame:
 STREAM_STATUS = f"WITH {LAST} SELECT job_id, step, status FROM l WHERE r = 1"
 
 
+_LATE = "event_id % 20 = 0"
+
+
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select("ts", F.col("event_type").alias("step"), "value")
-    r = _drained(streams.rates(e), "stream_rates", "complete")
+    """Days that the watermark has closed. The events come in three batches by thirds of the time; some of the first two are held
+    back to the third, where those are too late to count whose day the watermark of the first batch has closed."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    upto = lambda k: (F.col("ts") <= F.lit(ends.lo + (ends.hi - ends.lo) * k / 3)) & ~F.expr(_LATE)
+    path = streams.folder(spark, "events")
+    for part in (upto(1), upto(2) & ~upto(1), ~upto(2)):
+        e.where(part).coalesce(1).write.mode("append").parquet(path)
+    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    r = _drained(streams.rates(files.select("ts", F.col("event_type").alias("step"), "value")), "stream_rates", "append")
     return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "step", "n", F.round("mean_value", 8).alias("mean_value"))
 
 
-STREAM_RATES = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS step, count(*) AS n, round(avg(value), 8) AS mean_value FROM events GROUP BY ALL"
+STREAM_RATES = f"""WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), m AS (SELECT *, {" , ".join(f"epoch_us(ts) <= lo + CAST(round_even((hi - lo) * {k} / 3, 0) AS BIGINT) AND NOT {_LATE} AS {name}" for k, name in ((1, "first"), (2, "early")))} FROM events CROSS JOIN b),
+w AS (SELECT max(ts) FILTER (WHERE first) - INTERVAL 1 HOUR AS mark, max(ts) - INTERVAL 1 HOUR AS last FROM m), k AS (SELECT *, date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM m CROSS JOIN w)
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS step, count(*) AS n, round(avg(value), 8) AS mean_value FROM k WHERE (early OR ends > mark) AND ends <= last GROUP BY ALL"""
 
 
 def stream_settled(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), "value")
-    df = _drained(streams.settle(e, 1e-9, 2, 1_000_000), "stream_settled", "update")
-    return J.latest(df, ["run_id"], [F.col("n")]).select("run_id", "n", F.round("mean", 10).alias("mean"), F.round("sem", 8).alias("sem"))
+    """Runs that stop at a standard error of 12 or after 25 results."""
+    e = _events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), "value", "ts", "event_id")
+    df = _drained(streams.settle(e, 12.0, 2, 25, ["ts", "event_id"]), "stream_settled", "update")
+    return J.latest(df, ["run_id"], [F.col("batch")]).select("run_id", "n", F.round("mean", 9).alias("mean"), F.round("sem", 8).alias("sem"), "done")
+
+
+STREAM_SETTLED = """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) OVER w AS n, count(*) OVER (PARTITION BY user_id) AS total, avg(value) OVER w AS mean, coalesce(stddev_samp(value) OVER w / sqrt(count(*) OVER w), 0) AS sem
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, n >= 25 OR n >= 2 AND sem < 12.0 AS done FROM r)
+SELECT run_id, min(n) AS n, round(arg_min(mean, n), 9) AS mean, round(arg_min(sem, n), 8) AS sem, arg_min(done, n) AS done FROM s WHERE done OR n = total GROUP BY run_id"""
 
 
 def search(spark: SparkSession, d: str) -> DataFrame:
@@ -187,5 +204,5 @@ QUERIES = {
 ORACLES = {
     "jobs_search": SEARCH, "jobs_latest": LATEST, "jobs_cache_hit": HITS, "jobs_list": LISTING, "vector_topk": TOPK, "tags_filter": TAGS, "missing_analyses": MISSING, "step_status": STEP_STATUS,
     "job_status": STATUS, "step_timings": TIMINGS, "request_hash": HASHES, "merged_results": MERGED, "stream_status": STREAM_STATUS, "stream_rates": STREAM_RATES,
-    "stream_settled": "SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS n, round(avg(value), 10) AS mean, round(stddev_samp(value) / sqrt(count(*)), 8) AS sem FROM events GROUP BY ALL",
+    "stream_settled": STREAM_SETTLED,
 }

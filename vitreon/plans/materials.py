@@ -87,7 +87,9 @@ VECTOR = f"WITH {_EF} SELECT comp_id, count(*) AS n, round(sum(fraction), 9) AS
 
 def distances(spark: SparkSession, d: str) -> DataFrame:
     e = K.element_fractions(glasses(spark))
-    return K.distance(e, e).where("id_a < id_b").select("id_a", "id_b", F.round("distance", 6).alias("distance"))
+    ids = e.select("comp_id").distinct()  # a handful of glasses
+    pairs = ids.select(F.col("comp_id").alias("id_a")).join(ids.select(F.col("comp_id").alias("id_b")), F.col("id_a") < F.col("id_b"))
+    return K.distance(e, e, pairs).select("id_a", "id_b", F.round("distance", 6).alias("distance"))
 
 
 DISTANCES = f"""WITH {_EF}, ids AS (SELECT DISTINCT comp_id FROM ef), al AS (SELECT DISTINCT element FROM ef)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import NEUTRON_B, XRAY_TERMS
 from ..functions import lookup as L
 from ..operators import graph, neighbors, placement, structure, voxels
 from ..schemas import CELL, KEY
@@ -231,34 +232,87 @@ SELECT structure_id, count(*) AS n, count(*) AS last, round(sum(x), 3) AS sum_x,
 
 
 def random_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms by element, and how many pairs of them are nearer than the least distance."""
     counts = atoms(spark, d).groupBy("structure_id", "atomic_number").agg(F.count("*").alias("atoms"))
     counts = counts.withColumn("element", F.when(F.col("atomic_number") == O, "O").when(F.col("atomic_number") == SI, "Si").otherwise("Na"))
     boxes = counts.groupBy("structure_id").agg((F.cbrt(F.sum("atoms") / 0.05)).alias("box"))
-    return placement.random_atoms(counts.select("structure_id", "element", "atoms"), boxes).groupBy("structure_id", "element").agg(F.count("*").alias("n"))
+    made = placement.random_atoms(counts.select("structure_id", "element", "atoms"), boxes).withColumn("frame", F.lit(0))
+    cells = boxes.select("structure_id", F.lit(0).alias("frame"), *((F.col("box") if c[1] == c[2] else F.lit(0.0)).alias(c) for c in CELL))
+    near = neighbors.pairs(made.withColumn("atomic_number", F.lit(1)), cells, 1.6, half=True).where("d2 < 2.56 - 1e-9").groupBy("structure_id").agg(F.count("*").alias("near"))
+    n = made.groupBy("structure_id", "element").agg(F.count("*").alias("n"), F.countDistinct("x", "y", "z").alias("places"))
+    return n.join(near, "structure_id", "left").select("structure_id", "element", "n", "places", F.coalesce("near", F.lit(0)).alias("too_near"))
 
 
-RANDOM = f"""WITH {ATOMS} SELECT structure_id, CASE zn WHEN {O} THEN 'O' WHEN {SI} THEN 'Si' ELSE 'Na' END AS element, count(*) AS n FROM a GROUP BY ALL"""
+RANDOM = f"""WITH {ATOMS} SELECT structure_id, CASE zn WHEN {O} THEN 'O' WHEN {SI} THEN 'Si' ELSE 'Na' END AS element, count(*) AS n, count(*) AS places, 0 AS too_near FROM a GROUP BY ALL"""
 
 
 def xyz(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d)
-    t = trajectories.to_text(a, frames(a), "extxyz")
-    return t.select("structure_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    """The texts themselves, of atoms on a grid of 1/64 so that eight places are exact."""
+    a = _on_grid(atoms(spark, d))
+    return trajectories.to_text(a, frames(a), "extxyz").select("structure_id", "text")
+
+
+def _on_grid(a: DataFrame) -> DataFrame:
+    return a.withColumns({c: F.floor(F.col(c) * 64) / 64 for c in "xyz"})
+
+
+XYZ = f"""WITH {ATOMS}, l AS (SELECT structure_id, id, CASE zn WHEN {O} THEN 'O' WHEN {SI} THEN 'Si' ELSE 'Na' END || printf(' %.8f %.8f %.8f', floor(x * 64) / 64, floor(y * 64) / 64, floor(z * 64) / 64) AS t FROM a)
+SELECT structure_id, count(*) || chr(10) || 'Lattice="{" ".join(f"{BOX if i == j else 0:.8f}" for i in range(3) for j in range(3))}" Properties=species:S:1:pos:R:3 pbc="T T T"' || chr(10) || string_agg(t, chr(10) ORDER BY id) AS text FROM l GROUP BY structure_id"""
+
+
+def xray(spark: SparkSession, d: str) -> DataFrame:
+    """Total S(q) for both radiations."""
+    g = _g(spark, d)
+    both = [structure.structure_factor(g, 0.5, 10.0, 20, radiation=x).where("za is null").select("structure_id", F.lit(x).alias("radiation"), "k", F.round("s", 5).alias("s")) for x in ("neutron", "xray")]
+    return both[0].unionByName(both[1])
+
+
+def _form_factor(z: str) -> str:
+    s2 = "pow(q / (4 * pi()), 2)"
+    terms = lambda n: " + ".join(f"{a!r} * exp(-{b!r} * {s2})" for a, b in zip(XRAY_TERMS[n][::2], XRAY_TERMS[n][1::2], strict=True))
+    return f"CASE {z} " + " ".join(f"WHEN {n} THEN {n} - 41.78214 * {s2} * ({terms(n)})" for n in (O, SI, NA)) + " END"
+
+
+def _length(z: str) -> str:
+    return f"CASE {z} " + " ".join(f"WHEN {n} THEN {NEUTRON_B[n]!r}" for n in (O, SI, NA)) + " END"
+
+
+XRAY = f"""WITH {_GRID}, q AS (SELECT CAST(range AS INT) AS k, 0.5 + range * {9.5 / 19!r} AS q FROM range(20)), nn AS (SELECT structure_id, count(*) AS n_all FROM a GROUP BY ALL),
+t AS (SELECT gr.structure_id, za, zb, na, nb, k, q, sum(r * (g - 1) * sin(pi() * r / {_LAST!r}) / (pi() * r / {_LAST!r}) * sin(q * r) * CASE WHEN bin IN (0, {_BINS - 1}) THEN 0.5 ELSE 1 END * {_RMAX / _BINS}) AS t
+  FROM gr CROSS JOIN q WHERE za <= zb GROUP BY ALL),
+s AS (SELECT t.*, n_all, 4 * pi() * (n_all / {BOX**3}) / q * t AS s FROM t JOIN nn ON t.structure_id = nn.structure_id),
+w AS (SELECT *, 'neutron' AS radiation, {_length('za')} AS ba, {_length('zb')} AS bb FROM s UNION ALL SELECT *, 'xray', {_form_factor('za')}, {_form_factor('zb')} FROM s)
+SELECT structure_id, radiation, k, round(1 + sum(CASE WHEN za = zb THEN 1 ELSE 2 END * (na / n_all) * (nb / n_all) * ba * bb * s) / pow(sum(CASE WHEN za = zb THEN na / n_all * ba ELSE 0 END), 2), 5) AS s
+FROM w GROUP BY structure_id, radiation, k"""
+
+
+def small_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of at most four nodes, which SQL can search as well."""
+    _, p = _found(spark, d, 3.0)
+    return graph.ring_histogram(graph.rings(graph.former_edges(p, [SI, NA]), 4)).select("structure_id", "size", "n")
+
 
+SMALL_RINGS = f"""WITH {_pairs_sql(3.0)}, {_E}, b AS (SELECT structure_id, u, v FROM e UNION ALL SELECT structure_id, v, u FROM e),
+t AS (SELECT DISTINCT x.structure_id, x.u, x.v, y.v AS w FROM e AS x JOIN b AS y ON y.structure_id = x.structure_id AND y.u = x.v JOIN b AS z ON z.structure_id = x.structure_id AND z.u = y.v AND z.v = x.u),
+four AS (SELECT e.structure_id, [e.u, x.v, y.v, e.v] AS r FROM e JOIN b AS x ON x.structure_id = e.structure_id AND x.u = e.u AND x.v <> e.v
+  JOIN b AS y ON y.structure_id = e.structure_id AND y.u = x.v AND y.v <> e.u JOIN b AS z ON z.structure_id = e.structure_id AND z.u = y.v AND z.v = e.v
+  WHERE y.v <> e.v AND NOT EXISTS (SELECT 1 FROM t WHERE t.structure_id = e.structure_id AND t.u = e.u AND t.v = e.v)),
+c AS (SELECT structure_id, r, list_position(r, list_min(r)) AS i FROM four)
+SELECT structure_id, CAST(3 AS INT) AS size, count(DISTINCT list_sort([u, v, w])) AS n FROM t GROUP BY ALL UNION ALL
+SELECT structure_id, CAST(4 AS INT), count(DISTINCT [list_min(r), r[(i + 1) % 4 + 1], least(r[i % 4 + 1], r[(i + 2) % 4 + 1]), greatest(r[i % 4 + 1], r[(i + 2) % 4 + 1])]) FROM c GROUP BY structure_id"""
 
-XYZ = "SELECT CAST(label AS VARCHAR) AS structure_id, count(*) + 2 AS n_lines FROM embeddings GROUP BY ALL"
 
 QUERIES = {
     "neighbor_coordination": coordination, "neighbor_pair_cutoffs": pair_cutoffs, "neighbor_lists": lists, "rdf_partial": rdf, "cn_cumulative": cumulative,
     "structure_factor": structure_factor, "bond_angles": angles, "oxygen_classes": oxygens, "qn_distribution": qn, "network_connectivity": connectivity,
     "former_edges": edges, "rings_3": triangles, "rings": rings, "cavities": cavities, "rdf_minima": minima, "atom_roles": roles, "number_density": density,
-    "min_distance": free_space, "replicate": replicas, "random_structure": random_structure, "structure_text": xyz,
+    "min_distance": free_space, "replicate": replicas, "random_structure": random_structure, "structure_text": xyz, "structure_factor_total": xray, "rings_small": small_rings,
 }
 ORACLES = {
     "neighbor_coordination": COORDINATION, "neighbor_pair_cutoffs": PAIR_CUTOFFS, "neighbor_lists": LISTS, "rdf_partial": RDF, "cn_cumulative": CUMULATIVE,
     "structure_factor": STRUCTURE_FACTOR, "bond_angles": ANGLES, "oxygen_classes": OXYGENS, "qn_distribution": QN, "network_connectivity": CONNECTIVITY,
     "former_edges": EDGES, "rings_3": TRIANGLES, "atom_roles": ROLES, "number_density": DENSITY, "min_distance": FREE_SPACE, "replicate": REPLICAS,
-    "random_structure": RANDOM, "structure_text": XYZ,
+    "random_structure": RANDOM, "structure_text": XYZ, "structure_factor_total": XRAY, "rings_small": SMALL_RINGS,
 }
 
 
@@ -268,8 +322,9 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
 
     a = atoms(spark, d)
     out = analyze.analyze(a, frames(a), 5.0, 100, 36)
-    maps = ["elements", "coordination", "oxygen", "qn", "angles", "rings"]
-    return out.select("structure_id", "n_atoms", F.round("density", 9).alias("density"), F.round("connectivity", 6).alias("connectivity"), *(F.to_json(m).alias(m) for m in maps))
+    maps = ["elements", "cutoffs", "coordination", "oxygen", "qn", "angles", "rings", "g", "cumulative", "sq_partial"]
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
+    return out.select("structure_id", "n_atoms", F.round("density", 9).alias("density"), F.round("connectivity", 6).alias("connectivity"), *(F.to_json(m).alias(m) for m in maps), *map(rounded, ("r", "q", "sq_neutron", "sq_xray")))
 
 
 QUERIES["structural_analysis"] = analysis

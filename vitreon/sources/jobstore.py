@@ -14,13 +14,16 @@ ATOMS = "array<struct<element: string, x: double, y: double, z: double>>"
 
 
 class JobStore:
-    """Jobs under a path that all executors reach; versions are partitioned by day of creation."""
+    """Jobs under a path that all executors reach; versions are partitioned by the day the job was created."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def versions(self) -> DataFrame:
-        return self.spark.read.schema(JOBS).parquet(self.path)
+        return self.spark.read.schema(JOBS).parquet(self.path).select(*(f.name for f in self.spark.createDataFrame([], JOBS).schema))
+
+    def _append(self, versions: DataFrame) -> None:
+        versions.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(self.path)
 
     def jobs(self) -> DataFrame:
         return J.latest(self.versions(), ["job_id"], [F.col("version")])
@@ -36,7 +39,7 @@ class JobStore:
             if field.name == "created_at":
                 c = F.coalesce(c.cast("timestamp"), F.current_timestamp())
             cols.append(c.cast(field.dataType).alias(field.name))
-        jobs.select(*cols).write.mode("append").parquet(self.path)
+        self._append(jobs.select(*cols))
 
     def get(self, job_id: str) -> DataFrame:
         return J.latest(self.versions().where(F.col("job_id") == job_id), ["job_id"], [F.col("version")])
@@ -47,7 +50,7 @@ class JobStore:
             raise ValueError(f"unknown status: {s}")
         kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], JOBS).schema}
         cols = {k: (v if isinstance(v, Column) else F.lit(v)).cast(kinds[k]) for k, v in fields.items()}
-        J.append(self.versions(), job_id, cols).select(*kinds).write.mode("append").parquet(self.path)
+        self._append(J.append(self.versions(), job_id, cols).select(*kinds))
 
     def cancel(self, job_id: str) -> bool:
         """Cancel a pending or running job; False for any other."""
@@ -82,8 +85,9 @@ class JobStore:
 
     def clear_results(self, request_hash: str) -> None:
         """Forget the results of a hash, so that the next request computes anew."""
-        for r in self.jobs().where((F.col("request_hash") == request_hash) & F.col("result_data").isNotNull()).select("job_id").toLocalIterator():
-            self.update(r["job_id"], result_data=None)
+        names = [f.name for f in self.spark.createDataFrame([], JOBS).schema]
+        last = self.jobs().where((F.col("request_hash") == request_hash) & F.col("result_data").isNotNull())
+        self._append(last.withColumns({"result_data": F.lit(None).cast("string"), "version": F.col("version") + 1}).select(*names))
 
     def lookup(self, composition: str, wanted: list[str]) -> DataFrame:
         """The newest completed job of a composition and the analyses that its results (a JSON object) lack."""
