@@ -538,6 +538,31 @@ def test_suffix_dedup_collisions(spark, monkeypatch, small):
     same(suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute.suffix_dedup(rows))
 
 
+def test_suffix_dedup_pieces(spark, monkeypatch):
+    """Long texts that go through in pieces: repeats across the seams, within a text and between texts."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    long = word(5000)
+    rows = [(1, long), (2, word(777) + long[1500:3300] + word(64)), (3, long[4000:] + word(900) + long[4000:]), (4, word(150)), (5, "é" * 900), (6, word(2700)), (7, long[4800:] + word(3000) + long[:199])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.suffix_dedup(rows)
+    for size in (suffixdedup.V * 7, suffixdedup.V * 11):
+        monkeypatch.setattr(suffixdedup, "SLICE", size)
+        same(suffixdedup.dedup(df).collect(), want)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    from vitreon.llm import common
+
+    rng = np.random.default_rng(13)
+    text = "".join(rng.choice(list("aB \n"), 9000)) + "x" * 700 + " " + "".join(rng.choice(list("ab "), 500))
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = common.word_hashes(data, np.array([0, len(data)]))[0]
+    monkeypatch.setattr(common, "PIECE", 300)
+    got, row = common.word_hashes(data, np.array([0, len(data)]))
+    assert (got == want).all() and not row.any() and len(got) == len(text.split())
+
+
 def test_name_widths():
     for n in (1, 10**9, 10**14):
         first, whole, extra = suffixdedup.widths(n)

@@ -219,8 +219,26 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Bytes of a longer text that are hashed at once.
+PIECE = 1 << 20
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every word of the rows data[off[i]:off[i+1]], and the words' row numbers."""
+    if len(off) == 2 and len(data) > 2 * PIECE:  # a long text goes through in pieces that end at blanks
+        found, lo = [], 0
+        while lo < len(data):
+            hi = min(lo + PIECE, len(data))
+            while hi < len(data) and not _BLANK[data[hi]]:
+                hi += 1
+            found.append(_word_hashes(data[lo:hi], np.array([0, hi - lo]), lower)[0])
+            lo = hi
+        h = np.concatenate(found)
+        return h, np.zeros(len(h), np.int64)
+    return _word_hashes(data, off, lower)
+
+
+def _word_hashes(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     gaps = np.arange(n, dtype=np.int64)
     flat = np.full(len(data) + n, 0x20, np.uint8)
@@ -303,14 +321,13 @@ def unpack(blob: bytes, ascending: bool = True) -> np.ndarray:
 #: so many a part, up to MOST_COMBINED.
 COMBINE, A_PART, MOST_COMBINED = 2 << 20, 128, 12 << 20
 #: Hashes of a part, which a reducer holds at once, on average.
-PART = 6 << 20
+PART = 3 << 20
 FOUND = "part int, owners array<bigint>, hashes binary, extra binary, places binary"
 
 
 def parts_for(spark: SparkSession, hashes: int) -> int:
-    """Parts that this number of hashes is dealt to: as the input grows there are more, not larger ones. Several to a
-    task, so that tasks are alike."""
-    return max(4 * parts(spark), -(-hashes // PART))
+    """Parts that this number of hashes is dealt to: as the input grows there are more, not larger ones."""
+    return max(parts(spark), -(-hashes // PART))
 
 
 class Slices:
@@ -318,51 +335,54 @@ class Slices:
 
     A hash that stands twice in the slice is known to be repeated: its owners' rows (parts from n on) are final, and
     one entry without an owner tells the others. So a hash that a third of all owners hold costs one entry a slice.
-    Hashes of `witness` are only met by others and get no answer, which saves their owners and places. bits are kept of
-    the hashes, and extra bits of the second hashes that some callers give beside them; equal are those that agree in both.
+    Hashes of `witness` are only met by others and get no answer, which saves their owners and places. Answers leave in
+    buckets of owners, as many as parts unless told otherwise. bits are kept of the hashes, and extra bits of the second hashes that some callers give beside them; equal are those that agree in both.
     """
 
-    def __init__(self, n_parts: int, bits: int = 64, give: str = "places", extra: int = 0):
+    def __init__(self, n_parts: int, bits: int = 64, give: str = "places", extra: int = 0, buckets: int | None = None):
         self.n, self.bits, self.give, self.extra = n_parts, bits, give, extra
         self.most = max(COMBINE, min(MOST_COMBINED, A_PART * n_parts))
+        self.buckets = n_parts if buckets is None else buckets
         self.held: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None]] = []
-        self.size = 0
-
-    def add(self, owners: np.ndarray, hashes: np.ndarray, places: np.ndarray, witness: np.ndarray | None = None, second: np.ndarray | None = None, witness_second: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """owners: id of each hash's owner; places: a number below 2**32 that comes back with a repeated hash."""
-        self.held.append((hashes, second, owners, places))
-        self.size += len(hashes)
+        self.ids: list[np.ndarray] = []
+        self.n_ids = self.size = 0
+
+    def add(self, owners: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, places: np.ndarray, witness: np.ndarray | None = None, second: np.ndarray | None = None, witness_second: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """owners, sizes: ids and how many of the hashes each has, one after another; places: a number below 2**32 that comes
+        back with a repeated hash."""
+        new = len(hashes) + (len(witness) if witness is not None else 0)
+        if self.size and self.size + new > self.most:
+            yield from self.flush()
+        self.held.append((hashes, second, np.repeat(np.arange(self.n_ids, self.n_ids + len(owners), dtype=np.int32), sizes), places.astype(np.uint32)))
+        self.ids.append(owners)
+        self.n_ids += len(owners)
+        self.size += new
         if witness is not None and len(witness):
             self.held.append((witness, witness_second, None, None))
-            self.size += len(witness)
-        if self.size >= self.most:
-            yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        held, self.held, self.size = self.held, [], 0
+        held, ids, self.held, self.ids, self.n_ids, self.size = self.held, np.concatenate(self.ids), [], [], 0, 0
         h = np.concatenate([x[0] for x in held])
-        asks = np.concatenate([np.full(len(x[0]), x[2] is not None) for x in held])
-        owner = np.concatenate([np.zeros(len(x[0]), np.int64) if x[2] is None else x[2] for x in held])
-        place = np.concatenate([np.zeros(len(x[0]), np.int64) if x[3] is None else x[3] for x in held])
+        who = np.concatenate([np.full(len(x[0]), -1, np.int32) if x[2] is None else x[2] for x in held])  # -1: a witness
+        place = np.concatenate([np.zeros(len(x[0]), np.uint32) if x[3] is None else x[3] for x in held])
         second = np.concatenate([x[1] for x in held]) >> np.uint64(64 - self.extra) if self.extra else None
         del held
         if self.bits < 64:
             h = h >> np.uint64(64 - self.bits)
         order = by_name(h, second)
-        h, owner, place, asks = h[order], owner[order], place[order], asks[order]
+        h, who, place = h[order], who[order], place[order]
         if second is not None:
             second = second[order]
-        first = fresh(h, second)
-        at = np.flatnonzero(first)
+        at = np.flatnonzero(fresh(h, second))
         size = np.diff(np.append(at, len(h)))
-        twice = np.repeat(size > 1, size) & asks
+        twice = np.repeat(size > 1, size) & (who >= 0)
         what = answer(h[twice], place[twice].astype(np.uint64), self.give)
         # settled rows go past a reducer untouched; parts from n on say so and name the owners' bucket
-        rows = [(self.n + k, o, pack(c, False), None, pack(p, False)) for k, o, c, p in bucketed(owner[twice], what, self.n)]
-        mark = (size > 1) | ~asks[at]
-        h, owner, place = h[at], owner[at], place[at].astype(np.uint64)
+        rows = [(self.n + k, o, pack(c, False), None, pack(p, False)) for k, o, c, p in bucketed(ids[who[twice]], what, self.buckets)]
+        mark = (size > 1) | (who[at] < 0)
+        h, who, place = h[at], np.where(mark, -1, who[at]), np.where(mark, np.uint32(0), place[at]).astype(np.uint64)
         second = second[at] if second is not None else None
         # part by the hash's leading bits: a part is a range of hashes
         low = min(24, self.bits)
@@ -370,10 +390,17 @@ class Slices:
         cuts = np.searchsorted(part, np.arange(self.n + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[k], cuts[k + 1]
-            ids, which = np.unique(owner[a:b], return_inverse=True)
-            which = np.where(mark[a:b], 0, which + 1).astype(np.uint64)
-            lone = np.where(mark[a:b], np.uint64(0), place[a:b])
-            rows.append((k, ids, pack(h[a:b]), pack(second[a:b], False) if second is not None else None, pack(which << np.uint64(32) | lone, False)))
+            w = who[a:b]
+            if b - a < len(ids):
+                some, local = np.unique(w, return_inverse=True)
+                local = local + (some[0] >= 0)
+                some = some[some >= 0]
+            else:
+                there = np.zeros(len(ids) + 1, bool)
+                there[w + 1] = True
+                there[0] = False
+                some, local = np.flatnonzero(there) - 1, np.cumsum(there)[w + 1] * (w >= 0)
+            rows.append((k, ids[some], pack(h[a:b]), pack(second[a:b], False) if second is not None else None, pack(local.astype(np.uint64) << np.uint64(32) | place[a:b], False)))
         kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
         for i in range(0, len(rows), 2000):
             some = list(zip(*rows[i : i + 2000], strict=True))
@@ -382,7 +409,7 @@ class Slices:
 
 def by_name(h: np.ndarray, second: np.ndarray | None) -> np.ndarray:
     """The order by hash and second hash; the second rarely matters."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     if second is not None:
         x, y = h[order], second[order]
         if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
@@ -421,14 +448,15 @@ def bucketed(owner: np.ndarray, value: np.ndarray, n: int) -> list[tuple[int, np
     return out
 
 
-def repeated(found: DataFrame, n: int, give: str = "places") -> DataFrame:
-    """(owner, places) of every hash of `found` (rows of Slices for n parts) that stands more than once: ascending
-    distinct places, packed; with give="hashes" the hashes' upper 48 bits above their places.
+def repeated(found: DataFrame, n: int, give: str = "places", buckets: int | None = None) -> DataFrame:
+    """(owner, places) of every hash of `found` (rows of Slices for n parts and these buckets) that stands more than once:
+    ascending distinct places, packed; with give="hashes" the hashes' upper 48 bits above their places.
 
     A part is a range of hash values, of which a reducer sees one entry a slice and hash at most. Its answers leave by
     buckets of owners, and a second exchange brings each owner's together.
     """
     schema = "bucket int, owners array<bigint>, sizes binary, places binary"
+    buckets = n if buckets is None else buckets
 
     def rows(packed: list) -> pa.Table:
         return pa.table({
@@ -462,7 +490,7 @@ def repeated(found: DataFrame, n: int, give: str = "places") -> DataFrame:
         hit = order[np.repeat(size > 1, size)]
         hit = hit[who[hit] >= 0]
         # a hash marked by one slice as repeated is settled there; its other slices' entries meet it here
-        return rows(bucketed(ids[who[hit]], place[hit], n))
+        return rows(bucketed(ids[who[hit]], place[hit], buckets))
 
     def merge(table: pa.Table) -> pa.Table:
         owner = np.concatenate([np.repeat(o.values.to_numpy(), unpack(c.as_py(), False).astype(np.int64)) for o, c in zip(table.column("owners"), table.column("sizes"), strict=True)])

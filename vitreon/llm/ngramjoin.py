@@ -82,7 +82,7 @@ def order_table(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     def level(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x.as_py()) for x in table.column("keys")])
         times = np.concatenate([unpack(x.as_py(), False) for x in table.column("times")]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, times = keys[order], times[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         total = np.add.reduceat(times, first)
@@ -159,10 +159,9 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
             pre = b.column(1)
             h = pre.flatten().to_numpy().view(np.uint64)
             size = pre.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            own = np.repeat(b.column(0).to_numpy(), size)
             place = ranges(np.zeros(len(size), np.int64), size)
             # spread: the order key's leading bits are the level
-            yield from s.add(own, (h << np.uint64(6)) | (h >> np.uint64(58)), place)
+            yield from s.add(b.column(0).to_numpy(), size, (h << np.uint64(6)) | (h >> np.uint64(58)), place)
         yield from s.flush()
 
     found = groups.select("gid", "prefix").mapInArrow(send, FOUND)

@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 
 from .bpe import ranges
 from .fingerprints import MODULI, Prefixes
-from .common import FOUND, Scratch, Slices, parts_for, prefix_hash, release, repeated, span_hash, spans, texts, tidy, unpack
+from .common import FOUND, Scratch, Slices, parts, parts_for, prefix_hash, release, repeated, span_hash, spans, texts, tidy, unpack
 
 LENGTH = 200
 #: A perfect difference set modulo V (fixed values): every residue is a difference of two of its members.
 V = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 FIRST = LENGTH - V
-SLICE = 1 << 20
+#: Bytes of text that are hashed at once; longer texts go through in pieces of so many, a multiple of V.
+SLICE = (1 << 19) // V * V
 #: Bits of names beyond those that tell the strings of the corpus apart.
 SPARE_FIRST, SPARE = 8, 20
 #: Bits of the number that stands for a text; texts that share it get others.
@@ -71,6 +72,14 @@ def is_cover(cover: tuple[int, ...], v: int) -> bool:
     return {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
+def pieces(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, lo, hi): the rows i to j - 1 with all their positions, or one long row with its positions from lo to hi."""
+    for i, j in spans(off, SLICE):
+        n = int(off[j] - off[i])
+        for lo in range(0, max(n, 1), SLICE) if j == i + 1 else (0,):
+            yield i, j, lo, lo + SLICE if j == i + 1 else n
+
+
 def sampled(n: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled positions p of texts of n bytes with p + need <= n, one after another, and how many each has."""
     most = max(0, int(n.max(initial=0)) - need + 1)
@@ -112,21 +121,25 @@ def survey(docs: DataFrame) -> DataFrame:
 
 
 def first_names(docs: DataFrame, n_parts: int, bits: int, other: dict[bytes, int]) -> DataFrame:
+    buckets = parts(docs.sparkSession)
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Slices(n_parts, bits=bits)
+        s = Slices(n_parts, bits, buckets=buckets)
         for b in batches:
             data, off = texts(b)
-            for i, j in spans(off, SLICE):
+            sha = [hashlib.sha256(data[x:y]).digest() if y - x >= LENGTH else bytes(32) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            owner = _text_key(sha, other)
+            for i, j, lo, hi in pieces(off):
                 o = off[i : j + 1] - off[i]
-                n = np.where(np.diff(o) >= LENGTH, np.diff(o), 0)
+                size = np.diff(o)
+                # a piece sees FIRST - 1 bytes beyond its positions
+                n = np.where(size >= LENGTH, np.minimum(size - lo, hi - lo + FIRST - 1), 0)
                 if not n.any():
                     continue
-                d = data[off[i] : off[j]]
-                p, size = sampled(n, FIRST)
-                owner = _text_key([hashlib.sha256(d[x:y]).digest() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], other)
-                g = p + np.repeat(o[:-1], size)
-                yield from s.add(np.repeat(owner, size), span_hash(prefix_hash(d), g, g + FIRST), p)
+                p, many = sampled(n, FIRST)
+                g = p + np.repeat(o[:-1], many)
+                yield from s.add(owner[i:j], many, span_hash(prefix_hash(data[off[i] + lo : min(off[j], off[i] + hi + FIRST)]), g, g + FIRST), p + lo)
         yield from s.flush()
 
     return docs.mapInArrow(run, FOUND)
@@ -138,63 +151,73 @@ def _places(col) -> list[np.ndarray]:
 
 def whole_names(held: DataFrame, n_parts: int, bits: int, extra: int) -> DataFrame:
     """held: owner, text, a (places of repeated first names). Strings of LENGTH bytes at p where p and p + V are such."""
+    buckets = parts(held.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Slices(n_parts, bits, extra=extra)
+        s = Slices(n_parts, bits, extra=extra, buckets=buckets)
         for b in batches:
             data, off = texts(b)
             owner, places = b.column(0).to_numpy(), _places(b.column(2))
-            for i, j in spans(off, SLICE):
-                names, at, who = Names(data[off[i] : off[j]], extra), [], []
+            for i, j, lo, hi in pieces(off):
+                names, at, who = Names(data[off[i] + lo : min(off[j], off[i] + hi + LENGTH)], extra), [], []
                 for r in range(i, j):
                     p = places[r]
                     p = p[np.isin(p + V, p, assume_unique=True)]
+                    p = p[(p >= lo) & (p < hi)]
                     at.append(p)
                     who.append(len(p))
                 p = np.concatenate(at)
-                h, second = names.of(p + np.repeat(off[i:j] - off[i], who), LENGTH)
-                yield from s.add(np.repeat(owner[i:j], who), h, p, second=second)
+                h, second = names.of(p - lo + np.repeat(off[i:j] - off[i], who), LENGTH)
+                yield from s.add(owner[i:j], who, h, p, second=second)
         yield from s.flush()
 
     return held.select("owner", "text", "a").mapInArrow(run, FOUND)
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:
+    """Whether strings from these starts on, some before 0 or beyond n, cover the bytes 0 to n - 1."""
     step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + LENGTH, n), -1)
+    np.add.at(step, np.clip(starts, 0, n), 1)
+    np.add.at(step, np.clip(starts + LENGTH, 0, n), -1)
     return np.cumsum(step[:-1]) > 0
 
 
 def other_names(held: DataFrame, n_parts: int, bits: int, extra: int) -> DataFrame:
     """held: owner, text, a, s (places of repeated whole strings). All other strings that may be repeats."""
+    buckets = parts(held.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Slices(n_parts, bits, extra=extra)
+        out = Slices(n_parts, bits, extra=extra, buckets=buckets)
         for b in batches:
             data, off = texts(b)
             owner, firsts, settled = b.column(0).to_numpy(), _places(b.column(2)), _places(b.column(3))
-            for i, j in spans(off, SLICE):
-                names = Names(data[off[i] : off[j]], extra)
+            for i, j, lo, hi in pieces(off):
+                names = Names(data[off[i] + lo : min(off[j], off[i] + hi + LENGTH)], extra)
                 ask, see, who = [], [], []
                 for r in range(i, j):
-                    n, base = int(off[r + 1] - off[r]), off[r] - off[i]
-                    # starts i with a repeated sample in i .. i + V - 1
-                    near = np.zeros(n + 1, np.int32)
-                    np.add.at(near, np.maximum(firsts[r] - V + 1, 0), 1)
-                    np.add.at(near, firsts[r] + 1, -1)
-                    start = np.flatnonzero(np.cumsum(near[: n - LENGTH + 1]) > 0)
-                    bare = np.concatenate([np.zeros(1, np.int64), np.cumsum(~_covered(n, settled[r]))])
+                    # the row's starts from lo on, and the bytes that their strings cover
+                    starts = min(int(off[r + 1] - off[r]) - LENGTH + 1, hi) - lo
+                    if starts <= 0:
+                        who.append(0)
+                        continue
+                    # starts with a repeated sample at most V - 1 behind
+                    a = firsts[r][(firsts[r] >= lo) & (firsts[r] < lo + starts + V)] - lo
+                    near = np.zeros(starts + V + 1, np.int32)
+                    np.add.at(near, np.maximum(a - V + 1, 0), 1)
+                    np.add.at(near, a + 1, -1)
+                    start = np.flatnonzero(np.cumsum(near[:starts]) > 0)
+                    s = settled[r][(settled[r] > lo - LENGTH) & (settled[r] < lo + starts + LENGTH)] - lo
+                    bare = np.concatenate([np.zeros(1, np.int64), np.cumsum(~_covered(starts + LENGTH, s))])
                     new = bare[start + LENGTH] > bare[start]
-                    ask.append(start[new])
-                    see.append(start[~new] + base)
+                    ask.append(start[new] + lo)
+                    see.append(start[~new] + off[r] - off[i])
                     who.append(int(new.sum()))
-                p, w = np.concatenate(ask), np.concatenate(see)
-                h, second = names.of(p + np.repeat(off[i:j] - off[i], who), LENGTH)
+                p, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ask, see))
+                h, second = names.of(p - lo + np.repeat(off[i:j] - off[i], who), LENGTH)
                 seen, seen_second = names.of(w, LENGTH)
-                yield from out.add(np.repeat(owner[i:j], who), h, p, seen, second, seen_second)
+                yield from out.add(owner[i:j], who, h, p, seen, second, seen_second)
         yield from out.flush()
 
     return held.select("owner", "text", "a", "s").mapInArrow(run, FOUND)
@@ -239,8 +262,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         classes = scratch.keep(grouped(info), "classes")
     size = classes.agg(F.sum("n_bytes")).first()[0] or 0
     first, whole, extra = widths(size)
-    n = parts_for(spark, size * len(COVER) // V)
-    a = scratch.keep(repeated(first_names(raw, n, first, other), n).withColumnRenamed("places", "a"), "a")
+    n, buckets = parts_for(spark, size * len(COVER) // V), parts(spark)
+    a = scratch.keep(repeated(first_names(raw, n, first, other), n, buckets=buckets).withColumnRenamed("places", "a"), "a")
     release(spark)
     # one row of every class that may hold a repeat; the texts move once, in a plan that is the same at all sizes
     wanted = classes.join(a, "owner").select(F.col("id").alias("_id"), F.col("sha256").alias("_sha"), "owner", "n_bytes", "a")
@@ -251,12 +274,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     release(spark)
     size = held.agg(F.sum("n_bytes")).first()[0] or 0
     n = parts_for(spark, size * len(COVER) // V)
-    s = scratch.keep(repeated(whole_names(held, n, whole, extra), n).withColumnRenamed("places", "s"), "s")
+    s = scratch.keep(repeated(whole_names(held, n, whole, extra), n, buckets=buckets).withColumnRenamed("places", "s"), "s")
     more = scratch.keep(held.join(s.hint("merge"), "owner", "left"), "more")
     scratch.drop(held, s)
     release(spark)
     n = parts_for(spark, size)  # as many strings as bytes at most
-    u = scratch.keep(repeated(other_names(more, n, whole, extra), n).withColumnRenamed("places", "u"), "u")
+    u = scratch.keep(repeated(other_names(more, n, whole, extra), n, buckets=buckets).withColumnRenamed("places", "u"), "u")
     release(spark)
     last = more.drop("a").join(u.hint("merge"), "owner", "left")
     done = scratch.keep(cut(last.where("s is not null or u is not null")) if with_text else cut(last.where("s is not null or u is not null")).drop("kept"), "cut")
