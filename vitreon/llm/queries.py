@@ -25,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
     "op3_line_passages": linededup.ORACLE_PASSAGES,
     "op5_embedding_neardup": neardup.ORACLE,
+    "op9_suffix_dedup": suffixdedup.ORACLE,
 }

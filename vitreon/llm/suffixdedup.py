@@ -304,3 +304,20 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return dedup(docs)
+
+
+#: The same rows in DuckDB's SQL: every string of every text is compared by its MD5.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, row_number() OVER (ORDER BY doc_id, text) AS r FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM d),
+s AS (SELECT r, b, unnest(range(n - {LENGTH - 1})) AS i FROM n WHERE n >= {LENGTH}),
+k AS (SELECT r, i, md5(b[i + 1:i + {LENGTH}]) AS h FROM s),
+f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM k) WHERE c > 1),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM f),
+u AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+m AS (SELECT r, run, min(i) AS a, max(i) + {LENGTH} AS z FROM u GROUP BY ALL),
+p AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS y FROM m),
+e AS (SELECT p.r, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS last, string_agg(hex(b[y + 1:a]), '' ORDER BY a) AS kept FROM p JOIN n ON n.r = p.r GROUP BY p.r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN e.r IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[last + 1:n]))) END AS kept_sha256
+FROM n LEFT JOIN e ON e.r = n.r
+"""
