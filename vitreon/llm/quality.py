@@ -34,7 +34,7 @@ def _blocks(text: bytes) -> list[bytes]:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary of these texts; too few of them give their plain concatenation."""
+    """A zstandard dictionary of these texts; too few of them to train one serve as they are, up to its size."""
     import zstandard
 
     pieces = [p[i : i + 1024] for t in texts for p in _blocks(t) for i in range(0, len(p), 1024)]
@@ -130,8 +130,9 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, difference double, ratio double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[bytes, bytes, np.ndarray]:
-    return train(labelled(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, per_class))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **bounds: int) -> tuple[bytes, bytes, np.ndarray]:
+    """The model of the labelled rows outside the held-out fold; bounds: text_bytes and label_bytes of samples.labelled."""
+    return train(labelled(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, per_class, **bounds))
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -181,8 +181,9 @@ def clean(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    return train(labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, per_class))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **bounds: int) -> tuple[np.ndarray, float]:
+    """The model of the labelled rows outside the held-out fold; bounds: text_bytes and label_bytes of samples.labelled."""
+    return train(labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, per_class, **bounds))
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
