@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitreon.llm import bpe, linededup, mixing, ngramjoin, toxicity
-from vitreon.llm.common import Scratch, table
+from vitreon.llm.common import Scratch, roots, sweep, table
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -29,16 +29,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles with similarity 0.8 join: the lowest doc_id.
+    """One row of each group that links of five-word shingles with similarity 0.8 join: that of the lowest doc_id, then text.
 
-    Documents without words are in no group, nor are those without doc_id; all of them stay.
+    Rows are told apart by doc_id and text, so rows of one doc_id with unlike texts are documents of their own. Documents
+    without words are in no group, nor are those without doc_id; all of them stay.
     """
-    joined = ngramjoin.join(docs)
-    gone = Scratch(spark, "gone").keep(joined.where("doc_id <> component_id").select("doc_id").distinct())
-    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    once = rest.where("doc_id is not null").withColumn("__first", first).where("__first = 1").drop("__first")
-    return once.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(spark, "groups")
+    row = F.xxhash64("doc_id", "text")
+    known = docs.where("doc_id is not null")
+    joined = ngramjoin.join(known.select(row.alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = known.select(row.alias("_row"), "doc_id", "text").join(joined.hint("merge"), "_row")
+    lowest = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", F.sha2("text", 256).alias("sha"), "_row")).alias("m")).select("m._row")
+    # rows in groups that aren't the one to stay; of equal rows, all but the first
+    fate = scratch.keep(joined.join(lowest.withColumn("_stays", F.lit(True)), "_row", "left").select("_row", F.coalesce("_stays", F.lit(False)).alias("_stays")), "fate")
+    # a row without doc_id has a key of its own, so that such rows are spread
+    key = F.when(F.col("doc_id").isNotNull(), row).otherwise(F.xxhash64(F.monotonically_increasing_id(), F.lit("row")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").isNotNull().alias("_known"), key.alias("_key"))
+    met = packed.join(fate.hint("merge"), F.col("_key") == F.col("_row"), "left").withColumn("_grouped", F.col("_known") & F.col("_row").isNotNull())
+    met = met.withColumn("_first", F.row_number().over(W.partitionBy("_key").orderBy("_known")))
+    return met.where(~F.col("_grouped") | F.col("_stays") & (F.col("_first") == 1)).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole table documents."""
+    others = roots()
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
@@ -72,4 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs = scratch.keep(docs, f"stage{i}")
             scratch.drop(before)
+            sweep(others | {scratch.root})
     return docs
