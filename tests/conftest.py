@@ -10,7 +10,13 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared(tmp_path_factory):
+    """The folder that stands for the one all executors share."""
+    return tmp_path_factory.mktemp("shared")
+
+
+@pytest.fixture(scope="session")
+def spark(shared):
     from pyspark.sql import SparkSession
 
     s = (
@@ -20,6 +26,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(shared))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -180,6 +180,36 @@ def configs(spark: SparkSession, d: str) -> DataFrame:
     return df.select("comp_id", "name", F.concat_ws(" ", "species").alias("species"), F.concat_ws("\n", "config").alias("config"))
 
 
+def config_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The inputs of the two potentials whose numbers are all fixed, line by line."""
+    e = K.element_fractions(glasses(spark)).select("comp_id", "element")
+    both = P.config(e, "pmmcs").unionByName(P.config(e, "bjp"))
+    return both.select("comp_id", "name", F.posexplode("config").alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+
+def _config_sql() -> str:
+    one = ", ".join(f"('{e}', '{v[0]}', '{' '.join(map(str, (*v[1], v[2])))}')" for e, v in C.PMMCS.items())
+    two = ", ".join(f"('{a}', '{b}', '{' '.join(f'{x:.6f}' for x in v)}')" for k, v in C.BJP.items() for a, b in [sorted(k)])
+    charges = ", ".join(f"('{e}', '{v}')" for e, v in C.BJP_CHARGES.items())
+    fixed = [("PMMCS", 4, "pair_style hybrid/overlay coul/dsf 0.25 8.0 pedone 5.5"), ("PMMCS", 4, "pair_coeff * * coul/dsf"), ("BJP", 4, "pair_style born/coul/dsf 0.25 8.0")]
+    fixed += [(n, s, t) for n in ("PMMCS", "BJP") for s, t in ((0, "units metal"), (0, "dimension 3"), (0, "atom_style charge"), (6, "pair_modify shift yes"))]
+    head = ", ".join(f"('{n}', {s}, '{t}')" for n, s, t in fixed)
+    return f"""WITH {OK}, {PARSE}, x AS (SELECT DISTINCT comp_id, element FROM ok JOIN el USING (oxide)), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY comp_id ORDER BY element) AS INT) AS k FROM x),
+a AS (SELECT * FROM (VALUES {one}) AS p(element, q, p)), b AS (SELECT * FROM (VALUES {two}) AS p(lo, hi, p)), c AS (SELECT * FROM (VALUES {charges}) AS p(element, q)),
+w AS (SELECT s.comp_id, s.k AS ks, r.k AS kr, b.p FROM t AS s JOIN t AS r ON s.comp_id = r.comp_id AND s.k <= r.k LEFT JOIN b ON b.lo = s.element AND b.hi = r.element),
+fit AS (SELECT 'PMMCS' AS name, comp_id FROM t LEFT JOIN a USING (element) GROUP BY comp_id HAVING bool_and(a.q IS NOT NULL) UNION ALL SELECT 'BJP', comp_id FROM w GROUP BY comp_id HAVING bool_and(p IS NOT NULL)),
+l AS (SELECT fit.comp_id, fit.name, h.s, 0 AS i, 0 AS j, h.text FROM fit JOIN (VALUES {head}) AS h(name, s, text) ON h.name = fit.name
+UNION ALL SELECT t.comp_id, fit.name, 1, k, 0, 'group ' || element || ' type ' || k FROM t JOIN fit ON fit.comp_id = t.comp_id
+UNION ALL SELECT t.comp_id, 'PMMCS', 3, k, 0, 'set type ' || k || ' charge ' || q FROM t JOIN a USING (element) JOIN fit ON fit.comp_id = t.comp_id AND name = 'PMMCS'
+UNION ALL SELECT t.comp_id, 'BJP', 3, k, 0, 'set type ' || k || ' charge ' || q FROM t JOIN c USING (element) JOIN fit ON fit.comp_id = t.comp_id AND name = 'BJP'
+UNION ALL SELECT t.comp_id, 'PMMCS', 5, t.k, 0, 'pair_coeff ' || t.k || ' ' || o.k || ' pedone ' || a.p FROM t JOIN a USING (element) JOIN t AS o ON o.comp_id = t.comp_id AND o.element = 'O' JOIN fit ON fit.comp_id = t.comp_id AND name = 'PMMCS'
+UNION ALL SELECT w.comp_id, 'BJP', 5, ks, kr, 'pair_coeff ' || ks || ' ' || kr || ' ' || p FROM w JOIN fit ON fit.comp_id = w.comp_id AND name = 'BJP')
+SELECT comp_id, name, row_number() OVER (PARTITION BY comp_id, name ORDER BY s, i, j, text) - 1 AS line, text FROM l"""
+
+
+CONFIG_LINES = _config_sql()
+
+
 def charge(spark: SparkSession, d: str) -> DataFrame:
     counts = K.element_counts(K.plan(glasses(spark).where("comp_id in ('ns', 'cas', 'nbs')"), 333, "molecules"))
     return K.oxygen_charge(counts).select("comp_id", F.round("charge", 9).alias("charge"))
@@ -273,7 +303,7 @@ SELECT comp_id, kind, CAST(floor(w) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS B
 QUERIES = {
     "formula_parse": formula_parse, "formula_mass": formula_mass, "composition_check": check, "weight_to_mol": weight_to_mol, "element_fractions": elements,
     "elemental_vector": vector, "composition_distance": distances, "density_model": density, "canonical_composition": canonical, "fu_search": fu_search,
-    "molecule_counts": from_molecules, "box_length": box, "compatible_potentials": potentials, "potential_configs": configs, "oxygen_charge": charge,
+    "molecule_counts": from_molecules, "box_length": box, "compatible_potentials": potentials, "potential_configs": configs, "potential_config_lines": config_lines, "oxygen_charge": charge,
     "pair_table": pair_table, "melt_quench_schedule": protocols, "temperature_program": temperatures, "choose_potential": choices, "actual_composition": actual, "composition_share": shares, "largest_remainder": remainders,
 }
 ORACLES = {
@@ -281,7 +311,7 @@ ORACLES = {
     "formula_mass": f"WITH {G}, {PARSE}, {M}, t AS (SELECT oxide, sum(cnt * mass) AS s, count(mass) = count(*) AS whole FROM el LEFT JOIN m USING (element) GROUP BY ALL) SELECT oxide AS formula, round(CASE WHEN whole THEN s END, 6) AS mass FROM t",
     "composition_check": CHECK, "weight_to_mol": WEIGHT, "element_fractions": ELEMENTS, "elemental_vector": VECTOR, "composition_distance": DISTANCES,
     "density_model": _density_sql(), "canonical_composition": CANONICAL, "fu_search": FU_SEARCH, "molecule_counts": MOLECULES, "box_length": BOX,
-    "compatible_potentials": POTENTIALS, "oxygen_charge": CHARGE, "pair_table": PAIR_TABLE, "melt_quench_schedule": _protocol_sql(), "choose_potential": CHOICES, "actual_composition": ACTUAL,
+    "compatible_potentials": POTENTIALS, "potential_config_lines": CONFIG_LINES, "oxygen_charge": CHARGE, "pair_table": PAIR_TABLE, "melt_quench_schedule": _protocol_sql(), "choose_potential": CHOICES, "actual_composition": ACTUAL,
     "temperature_program": f"WITH p AS ({_protocol_sql()}) SELECT id, first_step AS step, t_from AS temperature FROM p UNION SELECT id, first_step + steps, t_to FROM p",
     "composition_share": SHARES, "largest_remainder": REMAINDERS,
 }
