@@ -439,6 +439,62 @@ def test_scores_odd(spark, odd, none):
     assert all(r.score == 0.5 for r in quality.score(odd, quality.fit(odd, nothing)).collect())
 
 
+@pytest.fixture(scope="module")
+def marked(spark):
+    d = "/root/testdata/sf0.01"
+    return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+
+
+def test_quality_equals_the_plain_version(spark, odd, marked):
+    """Block by block with zstandard itself, the fitted dictionaries and the curve written out."""
+    import zstandard
+
+    docs, labels = marked
+    dg, db, beta = model = quality.fit(docs, labels)
+
+    def size(d, block):
+        kind = zstandard.ZstdCompressionDict(d)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+
+    for df in (odd.where("doc_id <> 11 or doc_id is null"), docs.where("doc_id < 60")):
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.score, r.predicted) for r in quality.score(df, model).collect()))
+        want = []
+        for r in df.select("doc_id", "text").collect():
+            t = (r.text or "").encode()
+            blocks = [t[i : i + 4096] for i in range(0, len(t), 4096)]
+            g, b = sum(size(dg, x) for x in blocks), sum(size(db, x) for x in blocks)
+            x = 10 * (b - g) / (b + g) if t else 0.0
+            y = min(2.0, min(g, b) / len(t)) if t else 0.0
+            z = beta[0] + beta[1] * x + beta[2] * y + beta[3] * x * y + beta[4] * y * y + beta[5] * x * x
+            p = 1 / (1 + np.exp(-max(-30, min(30, z))))
+            want.append((r.doc_id is None, r.doc_id or 0, p, int(p >= 0.5)))
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in sorted(want)]
+        assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)])
+
+
+def test_held_out_labels_change_nothing(spark, marked):
+    docs, labels = marked
+    for op, label, of, held in ((toxicity, "toxic", 5, 0), (quality, "quality", 3, 1)):
+        out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == held
+        flipped = labels.withColumn(label, F.when(out, 1 - F.col(label)).otherwise(F.col(label)))
+        assert not flipped.exceptAll(labels).isEmpty()
+        a, b = ({(r.doc_id, r.score, r.held_out) for r in op.query(spark, docs, x).collect()} for x in (labels, flipped))
+        assert a == b
+        renamed = docs.withColumns({"lang": F.lit("xx"), "source": F.lit("yy")})
+        assert {(r.doc_id, r.score, r.held_out) for r in op.query(spark, renamed, labels).collect()} == a
+
+
+def test_samples_are_bounded(spark, marked):
+    from vitreon.llm import samples
+
+    docs, labels = marked
+    all_ = samples.labelled(docs, labels, "toxic", F.lit(True), 50)
+    some = samples.labelled(docs, labels, "toxic", F.lit(True), 50, text_bytes=3000, label_bytes=20_000)
+    assert 0 < len(some) < len(all_) <= 100 and set(some) <= set(all_)
+    for y in (0, 1):
+        assert sum(len(t) for t, z in some if z == y) <= 20_000 and max(len(t) for t, z in some if z == y) <= 3000
+
+
 def test_toxic_sentence_is_located():
     bad = [f"Good day {i} to all. You are a moron and scum. Fine weather." for i in range(40)]
     good = [f"Good day {i} to all. You are a friend and kind. Fine weather." for i in range(40)]
@@ -612,3 +668,61 @@ def test_mixing_odd(odd, none):
         assert r["size"] == words and 0 <= r.taken <= 2 * words and r.component == 3
     assert mixing.mix(none).collect() == []
     assert mixing.query(odd.sparkSession, odd).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_mixing_many_sources(spark):
+    """More sources than partitions, one with a third of all rows: each meets its target, in code point order with null last."""
+    rng = np.random.default_rng(21)
+    names = ["hot", None, "Z", "a", "é", "日本", "🎉", "zz"] + [f"s{i:03d}" for i in range(80)]
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "hot" if i % 3 == 0 else names[int(rng.integers(1, len(names)))]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = brute.mixing_targets(sizes)
+    taken = {}
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source], rel=1e-9)
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 60, s
+
+
+def test_mixing_ties(spark):
+    """Of rows that share doc_id, size and source, the same are taken whatever the order of tasks."""
+    rows = [(7, f"w{i} x", "a") for i in range(50)] + [(8, "y z", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id, r.text, r.copies) for r in mixing.mix(df.repartition(n, "text")).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+# --- scratch tables -----------------------------------------------------------------------------------
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from vitreon.llm.common import _roots, Scratch, roots
+
+    before = roots()
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("local-cluster[3,2,1000]", "yarn", "spark://host:7077", "k8s://https://host"):
+        with pytest.raises(RuntimeError):
+            Scratch(session(master), "x")
+    assert Scratch(session("local[4]"), "x").root.startswith("/")
+    for r in roots() - before:
+        _roots.pop(r)
+
+
+def test_queries_leave_nothing(spark, shared):
+    """Tables go as soon as nothing reads them: few are left beside a result, none after a sweep."""
+    from vitreon.llm import common, queries
+
+    left = lambda: {p.parent.name for p in shared.rglob("*.parquet")}
+    common.sweep()
+    for name, query in queries.QUERIES.items():
+        query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        assert len(left()) <= 9, (name, left())
+        common.sweep()
+        assert not left(), name
