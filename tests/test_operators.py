@@ -486,3 +486,31 @@ def test_job_days(spark, tmp_path):
     s.clear_results("h")
     rows = {r.job_id: (r.version, r.result_data) for r in s.jobs().collect()}
     assert rows == {"a": (2, None), "b": (2, None)}
+
+
+def test_submission(spark, tmp_path):
+    """Normalised, completed, hashed; hit once a job is done, whatever the order and scale of amounts; faults by kind."""
+    from vitreon.sources.jobstore import JobStore
+
+    rows = [("a", 0, "SiO2", 80.0), ("a", 1, "Na2O", 20.0), ("b", 0, "Na2O", 0.2), ("b", 1, "SiO2", 0.8), ("c", 0, "SiO2", 50.0), ("c", 1, "Na2O", 10.0), ("d", 0, "SiO2", 70.0), ("d", 1, "Xx2O", 30.0), ("e", 0, "SiO2", 99.0), ("e", 1, "Na2O", 2.0)]
+    comps = spark.createDataFrame(rows, "comp_id string, pos int, oxide string, amount double")
+    kind = "comp_id string, potential string, density double, settings map<string,string>, tags array<string>"
+    ask = lambda *r: spark.createDataFrame(list(r), kind)
+    first = ask(("a", None, None, {"seed": "1", "rate": "2"}, ["x"]), ("c", None, None, None, None), ("d", None, None, None, None), ("e", "shik", 2.5, None, None), ("b", "bjp", None, None, None), ("z", None, None, None, None))
+    store = JobStore(spark, str(tmp_path / "jobs"))
+    store.create(spark.createDataFrame([], "job_id string"))
+    got = {r.comp_id: r for r in store.submit(first, comps, "one").collect()}
+    assert got["a"].error is None and got["a"].composition == "Na2O 20 - SiO2 80" and got["a"].potential == "pmmcs" and not got["a"].hit and got["a"].status == "pending"
+    assert got["a"].density == pytest.approx(2.391, abs=0.01)
+    assert got["c"].error == "composition: sum" and got["d"].error.startswith("composition") and got["z"].error == "composition: missing" and got["b"].error == "potential: unsupported"
+    assert got["e"].error is None and got["e"].density == 2.5 and got["e"].potential == "shik" and got["c"].job_id is None
+    assert store.jobs().count() == 2
+    job = got["a"].job_id
+    again = ask(("b", None, None, {"rate": "2", "seed": "1"}, ["y"]))
+    assert [r.hit for r in store.submit(again, comps, "two").collect()] == [False]  # not done yet
+    store.update(job, status="completed", result_data="{}")
+    r = store.submit(again, comps, "three").first()
+    assert r.hit and r.job_id == job and r.request_hash == got["a"].request_hash and r.tags == ["x", "y"]
+    assert store.get(job).first().tags == ["x", "y"]
+    forced = store.submit(again, comps, "four", force=True).first()
+    assert not forced.hit and forced.job_id != job

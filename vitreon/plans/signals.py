@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from .. import constants as C
 from ..operators import series as S
 
-BY, LAGS = ["run"], 16
+#: Lags reach over a whole run; the SQL counts up to more than any run has.
+BY, LAGS = ["run"], 1_000
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -89,17 +90,18 @@ CAST(coalesce(min(t) FILTER (WHERE before > 0 AND before < t / 5.0), max(t)) AS
 
 
 def helfand(spark: SparkSession, d: str) -> DataFrame:
-    """Mean square displacement of the running sum: 2 (C0 - C[lag])."""
+    """Mean square displacement of the running sum over lags up to half a run: 2 (C0 - C[lag])."""
     r = runs(spark, d)
     r = r.withColumn("chi", F.sum("y").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
     c = S.acf(r, BY, "t", "chi", LAGS)
+    n = r.groupBy("run").agg(F.count("*").alias("n"))
     first = F.first("acf").over(W.partitionBy("run").orderBy("lag").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return c.select("run", "lag", (2 * (first - F.col("acf"))).alias("msd")).where("lag > 0").select("run", "lag", F.round("msd", 2).alias("msd"))
+    return c.select("run", "lag", (2 * (first - F.col("acf"))).alias("msd")).join(n, "run").where("lag > 0 and lag <= n div 2").select("run", "lag", F.round("msd", 2).alias("msd"))
 
 
 HELFAND = f"""WITH {E}, x AS (SELECT run, t, sum(y) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS y FROM e), n AS (SELECT run, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT CAST(range AS INT) AS lag FROM range({LAGS})),
 c AS (SELECT n.run, k.lag, sum(a.y * b.y) / any_value(n.n - k.lag) AS acf FROM n JOIN k ON k.lag < n.n JOIN x AS a ON a.run = n.run JOIN x AS b ON b.run = a.run AND b.t = a.t + k.lag GROUP BY n.run, k.lag)
-SELECT c.run, c.lag, round(2 * (z.acf - c.acf), 2) AS msd FROM c JOIN c AS z ON z.run = c.run AND z.lag = 0 WHERE c.lag > 0"""
+SELECT c.run, c.lag, round(2 * (z.acf - c.acf), 2) AS msd FROM c JOIN c AS z ON z.run = c.run AND z.lag = 0 JOIN n ON n.run = c.run WHERE c.lag > 0 AND c.lag <= n.n // 2"""
 
 
 def fluctuations(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,24 @@ class JobStore:
             cols.append(c.cast(field.dataType).alias(field.name))
         self._append(jobs.select(*cols))
 
+    def submit(self, requests: DataFrame, compositions: DataFrame, batch: str, force: bool = False) -> DataFrame:
+        """plans.submit's rows; new jobs and changed tags are appended, each in one write. The batch's rows are kept beside the
+        jobs under its name, which must be new."""
+        from ..plans.submit import submit
+
+        kept = f"{self.path.rstrip('/')}-batches/{batch}"
+        submit(requests, compositions, self.jobs(), batch, force).write.parquet(kept)
+        out = self.spark.read.parquet(kept)
+        new = out.where("error is null and not hit")
+        request = F.to_json(F.struct("composition", "potential", "density", "settings"))
+        self.create(new.select("job_id", "request_hash", "composition", "potential", "status", "tags", request.alias("request_data")))
+        names = [f.name for f in self.spark.createDataFrame([], JOBS).schema]
+        # several requests may hit one job
+        more = out.where("hit").groupBy("job_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("_tags"))
+        old = self.jobs().join(more, "job_id").where(~F.col("_tags").eqNullSafe(J.merged_tags(F.col("tags"))))
+        self._append(old.withColumns({"tags": F.col("_tags"), "version": F.col("version") + 1}).select(*names))
+        return out
+
     def get(self, job_id: str) -> DataFrame:
         return J.latest(self.versions().where(F.col("job_id") == job_id), ["job_id"], [F.col("version")])
 
