@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import bpe, fingerprints, linededup, mixing, neardup, ngramjoin, quality, suffixdedup, surrogates, toxicity
-from .common import table
+from .common import sweep, table  # noqa: F401: sweep is for callers
 
 QUERIES = {
     "op1_ngram_join": lambda spark, d: ngramjoin.query(spark, table(spark, d, "documents")),
