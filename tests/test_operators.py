@@ -514,3 +514,12 @@ def test_submission(spark, tmp_path):
     assert store.get(job).first().tags == ["x", "y"]
     forced = store.submit(again, comps, "four", force=True).first()
     assert not forced.hit and forced.job_id != job
+
+
+def test_rings_in_batches(spark):
+    """Batches of a frame's edges find the rings that one search finds, each once."""
+    rng = np.random.default_rng(3)
+    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, 40, (90, 2)) if p[0] != p[1]}
+    e = spark.createDataFrame([(s, 0, u, v) for s in ("a", "b") for u, v in pairs], "structure_id string, frame int, u long, v long")
+    key = lambda df: sorted((r.structure_id, r["size"], tuple(r.ring)) for r in df.collect())
+    assert key(graph.rings(e, 8, at_once=7)) == key(graph.rings(e, 8)) != []
