@@ -523,3 +523,23 @@ def test_rings_in_batches(spark):
     e = spark.createDataFrame([(s, 0, u, v) for s in ("a", "b") for u, v in pairs], "structure_id string, frame int, u long, v long")
     key = lambda df: sorted((r.structure_id, r["size"], tuple(r.ring)) for r in df.collect())
     assert key(graph.rings(e, 8, at_once=7)) == key(graph.rings(e, 8)) != []
+
+
+def test_all_values_settle(spark, tmp_path):
+    """A run goes on until every value's error is small, over several batches, and then ignores what follows."""
+    from vitreon.streaming import jobs as streams
+
+    rng = np.random.default_rng(17)
+    rows = [(r, i, 10 + 0.1 * rng.normal(), 5 + (3.0 if r == "b" else 0.2) * rng.normal()) for i in range(30) for r in ("a", "b")]
+    schema = "run_id string, step int, v double, l double"
+    path = str(tmp_path / "in")
+    for part in range(3):
+        spark.createDataFrame([x for x in rows if x[1] // 10 == part], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = streams.drained(streams.settle_all(stream, ["v", "l"], 0.08, 3, 25, ["step"]), str(tmp_path / "out"), "update").collect()
+    for run in ("a", "b"):
+        x = np.array([r[2:] for r in rows if r[0] == run])
+        stop = next((n for n in range(1, 31) if n >= 25 or n >= 3 and (x[:n].std(0, ddof=1) / n**0.5).max() < 0.08), 30)
+        last = max((r for r in got if r.run_id == run), key=lambda r: r.batch)
+        assert last.n == stop and last.done and list(last.mean) == pytest.approx(list(x[:stop].mean(0)))
+        assert list(last.sem) == pytest.approx(list(x[:stop].std(0, ddof=1) / stop**0.5))
