@@ -545,6 +545,35 @@ def test_edited_fingerprint_is_that_of_the_edited_text(spark, odd):
         assert by[i if known else None, len(t)] == f
 
 
+def test_likeness_estimates_the_share(spark, odd, small):
+    """near_edited and near_next against the Dice coefficient of the multisets of spans and beginnings themselves."""
+    from collections import Counter
+
+    def spans_of(t):
+        k = fingerprints.SPAN
+        return Counter([t[i : i + k] for i in range(len(t) - k + 1)] + [("begins", t[:j]) for j in range(1, min(k, len(t) + 1))])
+
+    for df in (odd, small):
+        rows = sorted(((r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()) for r in df.select("doc_id", "text").collect()))
+        made, off = {}, []
+        for r in fingerprints.compare(df).collect():
+            made.setdefault((r.doc_id, r.edited_sha256), []).append(r)
+        for k, (known, i, t) in enumerate(rows):
+            t, nxt = t.decode(), rows[(k + 1) % len(rows)][2].decode()
+            e = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+            same_key = made[i if known else None, hashlib.sha256(e.encode()).hexdigest()]  # repeated rows share it
+            a = spans_of(t)
+            for other, name in ((e, "near_edited"), (nxt, "near_next")):
+                b = spans_of(other)
+                n = sum(a.values()) + sum(b.values())
+                want = 1.0 if t == other else 2 * sum((a & b).values()) / n if n else 0.0
+                near = min((r[name] for r in same_key), key=lambda x: abs(x - want))
+                off.append(abs(near - want))
+                if len(t) + len(other) < 40:  # a sketch holds all of it
+                    assert near == pytest.approx(want), (t, other)
+        assert max(off) < 0.3 and np.mean(off) < 0.06
+
+
 def test_spans_and_extensions():
     rng = np.random.default_rng(4)
     s = rng.integers(97, 99, 400).astype(np.uint32)
