@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import spans, texts, tidy
 
 #: Distinct words that a worker keeps encoded; beyond it the vocabulary of words starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Bytes of text whose new words are encoded together.
-SLICE = 24 << 20
+SLICE = 4 << 20
 #: Words of one text that are looked up at once, so that a very long text needs no list of all its words.
 WORDS_AT_ONCE = 500_000
 #: Positions of one rank below which plain Python beats array operations.

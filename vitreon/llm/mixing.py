@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, release
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -31,10 +31,6 @@ PHASES = 32
 SLICES = 512
 #: Fractions of copies are counted in units of 2**-UNIT.
 UNIT = 20
-#: Newton steps between two written states, and steps in all.
-CHAIN = 4
-
-
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-blank characters; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -102,14 +98,12 @@ def solve(hist: DataFrame, weights: tuple[float, ...], share: float, scratch: Sc
     # a full source needs no equation, its documents all stand at the ceiling
     state = goal.select("source", "words", "target", F.greatest(F.lit(1.0), F.col("words") / F.col("_n")).alias("mean"), F.when(F.col("full"), 1e9).otherwise(0.0).alias("l"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.col("full").alias("done"))
     state = scratch.keep(state, "state")
-    for _ in range(0, STEPS, CHAIN):
+    for _ in range(STEPS):
         if state.where("not done").isEmpty():
             break
-        old, new = state, state
-        for _ in range(CHAIN):
-            new = _step(new, hist)
-        state = scratch.keep(new, "state")
+        old, state = state, scratch.keep(_step(state, hist), "state")
         scratch.drop(old)
+    release(hist.sparkSession)
     return state.select(F.col("source").alias("_s"), F.col("words").alias("source_size"), "target", F.round("l", 9).alias("_l"), F.col("mean").alias("_m"))
 
 
@@ -175,6 +169,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     )
     share_of = scratch.keep(share_of, "share")
     scratch.only(share_of)
+    release(spark)
     places = W.partitionBy(*(F.col(f"d.{c}") for c in key)).orderBy("_h", "doc_id", "_t")
     out = (
         named.alias("d")

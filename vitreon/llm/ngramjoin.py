@@ -43,7 +43,7 @@ SLOTS = 1 << SLOT_BITS
 #: Bytes of text that are hashed at once, and shingles that a map task combines before sending.
 SLICE, COMBINE = 1 << 20, 2 << 20
 #: Bits of a signature, and partners that a text meets at once.
-BITS, BLOCK = 1024, 64
+BITS, BLOCK = 512, 64
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

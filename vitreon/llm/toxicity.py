@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, BASE_INV, mix, powers, prefix_hash, spans, texts, word_bounds, tidy
+from .common import _LOWER, BASE, BASE_INV, mix, powers, prefix_hash, release, spans, texts, tidy, trim, word_bounds
 from .samples import fold, labelled
 
 #: Hash buckets of the features.
@@ -102,21 +102,27 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, l1: float = 4e-6
     used = np.flatnonzero(np.bincount(x.ravel(), minlength=BUCKETS))
     number = np.zeros(BUCKETS, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    inv = number[x]
-    del x
+    # words repeat: a step works on the distinct ones and spreads their sums
+    key = np.zeros(len(x), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in range(x.shape[1]):
+            key = (key + x[:, c].astype(np.uint64) + np.uint64(1)) * BASE
+    _, at, which = np.unique(key, return_index=True, return_inverse=True)
+    words, which = number[x[at]], which.astype(np.int32)
+    del x, key
     w = w[used]
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
     ns, nd = len(row), len(y)
     for t in range(1, steps + 1):
-        z = sentence_logits(inv, sent, ns, w, bias)
+        z = bias + np.bincount(sent, sum(w[words[:, c]] for c in range(words.shape[1]))[which], minlength=ns)
         log_not = noisy_or(z, row, nd)
         p = -np.expm1(log_not)
         # d loss / d log(1 - P): -1 without the label, (1 - P) / P with it; times d / dz = -sigmoid(z)
         g_doc = np.where(y == 1, np.exp(log_not) / np.maximum(p, 1e-9), -1.0) * weight
         gz = -g_doc[row] / (1 + np.exp(-np.clip(z, -60, 60)))
-        of_word = gz[sent]
-        gw = sum(np.bincount(inv[:, c], of_word, minlength=len(used)) for c in range(inv.shape[1]))
+        of_word = np.bincount(which, gz[sent], minlength=len(words))
+        gw = sum(np.bincount(words[:, c], of_word, minlength=len(used)) for c in range(words.shape[1]))
         gb = gz.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -183,7 +189,10 @@ def clean(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **bounds: int) -> tuple[np.ndarray, float]:
     """The model of the labelled rows outside the held-out fold; bounds: text_bytes and label_bytes of samples.labelled."""
-    return train(labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, per_class, **bounds))
+    model = train(labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, per_class, **bounds))
+    trim()
+    release(docs.sparkSession)
+    return model
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
