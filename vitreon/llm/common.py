@@ -448,14 +448,16 @@ def bucketed(owner: np.ndarray, value: np.ndarray, n: int) -> list[tuple[int, np
     return out
 
 
-def repeated(found: DataFrame, n: int, give: str = "places", buckets: int | None = None) -> DataFrame:
+def repeated(found: DataFrame, n: int, give: str = "places", buckets: int | None = None, then=None, schema: str = "owner bigint, places binary") -> DataFrame:
     """(owner, places) of every hash of `found` (rows of Slices for n parts and these buckets) that stands more than once:
     ascending distinct places, packed; with give="hashes" the hashes' upper 48 bits above their places.
 
+    then, a function of all owners (one a value) and values of a bucket, makes other rows of them, of this schema.
+
     A part is a range of hash values, of which a reducer sees one entry a slice and hash at most. Its answers leave by
     buckets of owners, and a second exchange brings each owner's together.
     """
-    schema = "bucket int, owners array<bigint>, sizes binary, places binary"
+    answers = "bucket int, owners array<bigint>, sizes binary, places binary"
     buckets = n if buckets is None else buckets
 
     def rows(packed: list) -> pa.Table:
@@ -499,11 +501,13 @@ def repeated(found: DataFrame, n: int, give: str = "places", buckets: int | None
         owner, value = owner[order], value[order]
         fresh = np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))
         owner, value = owner[fresh], value[fresh]
+        if then is not None:
+            return then(owner, value)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         ends = [*first[1:].tolist(), len(owner)]
         return pa.table({"owner": pa.array(owner[first]), "places": pa.array([pack(value[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())})
 
-    return found.groupBy("part").applyInArrow(meet, schema).groupBy("bucket").applyInArrow(merge, "owner bigint, places binary")
+    return found.groupBy("part").applyInArrow(meet, answers).groupBy("bucket").applyInArrow(merge, schema)
 
 
 # --- components ----------------------------------------------------------------------------------

@@ -166,17 +166,11 @@ def shared_shingles(groups: DataFrame, scratch: Scratch) -> DataFrame:
 
     found = groups.select("gid", "prefix").mapInArrow(send, FOUND)
 
-    @tidy
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                toks = [unpack(x.as_py()) for x in b.column(1).slice(i, 500)]
-                own = np.repeat(b.column(0).slice(i, 500).to_numpy(), [len(x) for x in toks])
-                all_ = np.concatenate(toks)
-                pos = (all_ & np.uint64(0xFFFF)).astype(np.int32)
-                yield pa.record_batch([pa.array((all_ >> np.uint64(16)).view(np.int64)), pa.array(own), pa.array(pos)], ["tok", "gid", "pos"])
-
-    pairs = repeated(found, n_parts, "hashes").mapInArrow(spread, "tok bigint, gid bigint, pos int")
+    def spread(own: np.ndarray, value: np.ndarray) -> pa.Table:
+        return pa.table({"tok": pa.array((value >> np.uint64(16)).view(np.int64)), "gid": pa.array(own), "pos": pa.array((value & np.uint64(0xFFFF)).astype(np.int32))})
+
+    # one Python function a stage: every further one would be another worker beside it
+    pairs = repeated(found, n_parts, "hashes", then=spread, schema="tok bigint, gid bigint, pos int")
     out = scratch.keep(pairs.join(groups.select("gid", "n"), "gid"), "entries")
     return out
 
