@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +136,63 @@ def tilt(sizes, target):
         got = sum(s * min(2.0, math.exp(min(50.0, l * s / mean))) for s in sizes)
         low, high = (l, high) if got < target else (low, l)
     return (low + high) / 2, mean
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def lexical(docs, items, k=10):
+    """[(item_id, rank, doc_id, score)] of rows (doc_id, text) and (item_id, text)"""
+    found = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    found = [(i, c) for i, c in found if c]
+    n_docs, n_terms, df = len(found), sum(sum(c.values()) for _, c in found), Counter(t for _, c in found for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in found:
+            m = 100 - 75 + 75 * sum(c.values()) * n_docs // n_terms
+            one = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t in TERM.findall((text or "").translate(LOWER)) if t in c)
+            if one > 0:
+                scored.append((-one, i is None, i or 0))
+        out += [(item, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def _digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _leaf(*fields):
+    return _digest(*("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def _tree(nodes):
+    """The levels from the bottom up to one node."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([_digest(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def manifest(rows):
+    """[(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)] of rows (doc_id, source, lang, n_chars, text)"""
+    langs = {}
+    for r in rows:
+        langs.setdefault(r[2], []).append((r[0] is not None, r[0] or 0, _leaf(*r), r))
+    order = sorted(langs, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {g: _tree([x[2] for x in sorted(langs[g], key=lambda x: x[:3])]) for g in order}
+    top = _tree([trees[g][-1][0] for g in order])
+    out = []
+    for at, g in enumerate(order):
+        for pos, (_, _, leaf, r) in enumerate(sorted(langs[g], key=lambda x: x[:3])):
+            steps = []
+            for p, levels in ((pos, trees[g]), (at, top)):
+                for level in levels[:-1]:
+                    steps.append((p % 2, level[p ^ 1] if p ^ 1 < len(level) else ""))
+                    p //= 2
+            odd = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            h = _leaf(r[0], r[1], r[2], r[3] + 1 if odd and r[3] is not None else r[3], r[4])
+            for right, s in steps:
+                h = _digest(s, h) if right else _digest(h, s)
+            out.append((r[0], leaf, trees[g][-1][0], top[-1][0], _digest(*(s for _, s in steps)), h, h == top[-1][0]))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, linededup, mixing, neardup, ngramjoin, quality, suffixdedup, surrogates, toxicity
+from . import bpe, fingerprints, lexical, linededup, manifest, mixing, neardup, ngramjoin, quality, suffixdedup, surrogates, tokencounts, toxicity
 from .common import sweep, table  # noqa: F401: sweep is for callers
 
 QUERIES = {
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_fingerprints": lambda spark, d: fingerprints.query(spark, table(spark, d, "documents")),
     "op9_suffix_dedup": lambda spark, d: suffixdedup.query(spark, table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.query(spark, table(spark, d, "documents")),
+    "op11_token_counts": lambda spark, d: tokencounts.query(spark, table(spark, d, "documents")),
+    "op12_lexical_search": lambda spark, d: lexical.query(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_manifest": lambda spark, d: manifest.query(spark, table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op3_line_passages": linededup.ORACLE_PASSAGES,
     "op5_embedding_neardup": neardup.ORACLE,
     "op9_suffix_dedup": suffixdedup.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
