@@ -36,7 +36,7 @@ K = 10
 #: A node covers so many of the level below: 2**FAN.
 FAN = 3
 #: Bytes of text and documents of a segment.
-SEGMENT, SEGMENT_DOCS = 8 << 20, 1 << 16
+SEGMENT, SEGMENT_DOCS = 4 << 20, 1 << 16
 #: Items and bytes of their texts that a block has on average.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 
@@ -185,7 +185,7 @@ def build(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, v: int,
     """Levels of the max tree over n documents, from the postings up, and the root's (terms, maxima).
 
     A level lists, by node and term, the children that hold the term: (node * v + term ascending, first of each and the end,
-    child, its maximum).
+    child by its place in the node, its maximum).
     """
     levels, d = [], n
     while True:
@@ -193,7 +193,7 @@ def build(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, v: int,
         order = np.argsort(key, kind="stable")
         key, doc, impact = key[order], doc[order], impact[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        levels.append((key[at], np.append(at, len(key)), doc, impact))
+        levels.append((key[at], np.append(at, len(key)), doc & ((1 << fan) - 1), impact))
         impact = np.maximum.reduceat(impact, at) if len(at) else impact
         doc, term = key[at] // v, key[at] % v
         d = (d + (1 << fan) - 1) >> fan
@@ -230,7 +230,7 @@ def search_tree(levels: list[tuple], bound: int, terms: np.ndarray, weights: np.
         size = first[at + 1] - first[at]
         where = ranges(first[at], size)
         sums = np.zeros(1 << fan, np.int64)
-        np.add.at(sums, child[where] - (node << fan), np.repeat(weights[there], size) * most[where])
+        np.add.at(sums, child[where], np.repeat(weights[there], size) * most[where])
         for c, s in enumerate(sums.tolist()):
             if s < max(least, best[0] if len(best) == k else 1):
                 continue
@@ -245,8 +245,18 @@ def search_tree(levels: list[tuple], bound: int, terms: np.ndarray, weights: np.
     return [x for x in found if x[0] >= floor]
 
 
-_TREE = "seg bigint, ids array<{}>, levels array<struct<key:binary,first:binary,child:binary,most:binary>>, root_terms binary, root_most binary"
-_KINDS = ("<i8", "<i8", "<i4", "<i8")
+_TREE = "seg bigint, ids array<{}>, levels array<struct<key:binary,size:binary,child:binary,most:binary>>, root_terms binary, root_most binary"
+
+
+def _packed(level: tuple) -> dict[str, bytes]:
+    """A level as bytes: an impact is below 10**6, and a node has few children."""
+    key, first, child, most = level
+    return {"key": key.astype("<i8").tobytes(), "size": np.diff(first).astype("<u2").tobytes(), "child": child.astype("<u2").tobytes(), "most": most.astype("<u4").tobytes()}
+
+
+def _unpacked(level: dict[str, bytes]) -> tuple:
+    key, size, child, most = (np.frombuffer(level[c], t) for c, t in (("key", "<i8"), ("size", "<u2"), ("child", "<u2"), ("most", "<u4")))
+    return key, np.append(0, np.cumsum(size, dtype=np.int64)), child, most.astype(np.int64)
 
 
 def trees(found: DataFrame, v: int, n_docs: int, n_terms: int) -> DataFrame:
@@ -266,14 +276,14 @@ def trees(found: DataFrame, v: int, n_docs: int, n_terms: int) -> DataFrame:
                     m = np.array([25 + 75 * n * n_docs // n_terms for n in sizes.tolist()], np.int64)
                 impact = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])
                 levels, root = build(doc.astype(np.int64), term.astype(np.int64), impact, len(sizes), v)
-                packed = [dict(zip(("key", "first", "child", "most"), (x.astype(t).tobytes() for x, t in zip(level, _KINDS, strict=True)), strict=True)) for level in levels]
+                packed = [_packed(level) for level in levels]
                 cols = {"seg": b.column("seg").slice(i, 1), "ids": b.column("ids").slice(i, 1), "levels": pa.array([packed], pa.list_(_LEVEL)), "root_terms": pa.array([root[0].astype("<i8").tobytes()]), "root_most": pa.array([root[1].astype("<i8").tobytes()])}
                 yield pa.record_batch(list(cols.values()), list(cols))
 
     return found.mapInArrow(run, _TREE.format(kind))
 
 
-_LEVEL = pa.struct([(c, pa.binary()) for c in ("key", "first", "child", "most")])
+_LEVEL = pa.struct([(c, pa.binary()) for c in ("key", "size", "child", "most")])
 
 
 class Queries:
@@ -334,7 +344,7 @@ def _search(made: DataFrame, shared, least: dict[int, int], only: bool = False)
                     if bound < least_here:
                         continue
                     if levels is None:
-                        levels = [tuple(np.frombuffer(x[c], t) for c, t in zip(("key", "first", "child", "most"), _KINDS, strict=True)) for x in b.column("levels")[r].as_py()]
+                        levels = [_unpacked(x) for x in b.column("levels")[r].as_py()]
                         ids = b.column("ids")[r].values
                     found = search_tree(levels, bound, terms, weights, q.v, q.k, least_here, had)
                     more = [(s, ids[d].as_py()) for s, d in found]

@@ -165,8 +165,8 @@ def manifest(docs: DataFrame, bits: int = BITS, upper: int = UPPER) -> DataFrame
     outer = combine(scratch, inner.where("top is not null").select(F.col("lang").alias("key"), F.col("bucket").alias("node"), F.col("top").alias("h")), upper)
     subroots = outer.where("node = 0").select(F.lit(0).alias("all"), F.col("key").alias("lang"), F.col("root").alias("h"))
     langs = numbered(scratch, subroots, "all", ["lang"])
-    langs = scratch.keep(langs.select("lang", F.col("pos").alias("at"), "h"), "langs")
-    tops = combine(scratch, langs.select(F.lit(0).alias("key"), F.col("at").alias("node"), "h"), upper)
+    langs = scratch.keep(langs.select("all", "lang", F.col("pos").alias("at"), "h"), "langs")
+    tops = combine(scratch, langs.select(F.col("all").alias("key"), F.col("at").alias("node"), "h"), upper)
     tops = tops.join(langs, F.col("node") == F.col("at")).select("lang", F.col("h").alias("subroot"), F.col("steps").alias("_steps"), "root")
     ways = outer.select("key", "node", "steps").join(tops, F.col("key").eqNullSafe(F.col("lang")))
     ways = ways.select(F.col("key").alias("_lang"), F.col("node").alias("_bucket"), F.concat("steps", "_steps").alias("_steps"), "subroot", "root")
