@@ -94,7 +94,6 @@ def test_rings(spark):
     assert ring_sizes(spark, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (1, 4)], 10) == {3: 1, 4: 1}
     assert ring_sizes(spark, [(0, 1), (1, 2), (0, 2), (0, 3), (2, 3)], 10) == {3: 2}
     assert ring_sizes(spark, [(i, (i + 1) % 8) for i in range(8)], 6) == {}
-    assert graph.canonical_ring((5, 2, 9, 3)) == (2, 5, 3, 9)
 
 
 def comp(spark, c):
@@ -516,13 +515,99 @@ def test_submission(spark, tmp_path):
     assert not forced.hit and forced.job_id != job
 
 
-def test_rings_in_batches(spark):
-    """Batches of a frame's edges find the rings that one search finds, each once."""
-    rng = np.random.default_rng(3)
-    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, 40, (90, 2)) if p[0] != p[1]}
+def plain_rings(pairs, most):
+    """All shortest paths between the ends of each edge without it, as rings from their smallest node to its smaller neighbour."""
+    near = {}
+    for u, v in pairs:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    out = set()
+    for u, v in pairs:
+        paths = [(u,)]
+        seen = {u}
+        while paths and len(paths[0]) < most:
+            paths = [(*p, y) for p in paths for y in near[p[-1]] if y not in seen and {p[-1], y} != {u, v}]
+            seen |= {p[-1] for p in paths}
+            if v in seen:
+                for p in paths:
+                    if p[-1] == v:
+                        i = p.index(min(p))
+                        turn = p[i:] + p[:i]
+                        out.add(min(turn, (turn[0], *reversed(turn[1:]))))
+                break
+    return out
+
+
+@pytest.mark.parametrize(("nodes", "n", "most"), [(40, 90, 8), (60, 75, 24), (14, 60, 5), (9, 4, 24)])
+def test_rings_equal_the_plain_version(spark, nodes, n, most):
+    rng = np.random.default_rng(nodes)
+    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, nodes, (n, 2)) if p[0] != p[1]}
     e = spark.createDataFrame([(s, 0, u, v) for s in ("a", "b") for u, v in pairs], "structure_id string, frame int, u long, v long")
-    key = lambda df: sorted((r.structure_id, r["size"], tuple(r.ring)) for r in df.collect())
-    assert key(graph.rings(e, 8, at_once=7)) == key(graph.rings(e, 8)) != []
+    want = plain_rings(pairs, most)
+    got = graph.rings(e, most).collect()
+    assert len(got) == 2 * len(want)
+    for s in ("a", "b"):
+        assert {tuple(r.ring) for r in got if r.structure_id == s and r["size"] == len(r.ring)} == want
+
+
+def test_multiple_tau():
+    """Level 0 is the autocorrelation; higher levels are that of means; a state taken out and put back goes on alike."""
+    from vitreon.streaming.correlator import MultipleTau
+
+    x = np.random.default_rng(1).normal(size=(200, 2)).cumsum(axis=0)
+    whole, tau = MultipleTau(2, 8, 4), MultipleTau(2, 8, 4)
+    for i, v in enumerate(x):
+        whole.add(v)
+        if i % 37 == 0:
+            tau = MultipleTau.of(2, 8, 4, tau.state())
+        tau.add(v)
+    lag, c = tau.curve()
+    assert lag.tolist() == [*range(8), 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56] and np.array_equal(c, whole.curve()[1])
+    for k in range(8):
+        assert c[k] == pytest.approx((x[: 200 - k] * x[k:]).mean(axis=0))
+    b = x.reshape(50, 4, 2).mean(axis=1)
+    assert c[lag.tolist().index(20)] == pytest.approx((b[:-5] * b[5:]).mean(axis=0))
+
+
+def test_lifecycles(spark, tmp_path):
+    """No way back from an end, silence times out, late events are ignored, and ended jobs are forgotten."""
+    from datetime import datetime, timedelta
+
+    from vitreon.streaming import jobs as streams
+    from vitreon.streaming import lifecycle
+
+    lifecycle.use_rocksdb(spark)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    events = [
+        [("a", at(0), 1, "pending"), ("a", at(1), 2, "running"), ("b", at(0), 3, "running"), ("c", at(0), 4, "running"), ("d", at(0), 5, "completed")],
+        [("a", at(2), 6, "completed"), ("c", at(2.5), 7, "failed"), ("x", at(20), 8, "pending")],
+        [("a", at(19.5), 9, "running"), ("b", at(19.6), 10, "completed"), ("c", at(19.7), 11, "running"), ("d", at(19.8), 12, "running"), ("x", at(60), 13, "running")],
+    ]
+    parts = [spark.createDataFrame(rows, "job_id string, ts timestamp, event_id long, status string") for rows in events]
+    got = streams.in_turn(parts, lambda e: lifecycle.lifecycles(e, "10 hours", "17 hours"), str(tmp_path), "update").collect()
+    last = {}
+    for r in sorted(got, key=lambda r: (r.batch, r.ended_us is not None, r.ended_us or 0)):
+        last[r.job_id] = r.status
+    # d, ended at hour 0, is forgotten when the watermark passes hour 17; its later event begins a new life, which times out
+    assert last == {"a": "completed", "b": "timed_out", "c": "failed", "d": "timed_out", "x": "timed_out"}
+    assert [r.status for r in got if r.job_id == "a"][-1] == "completed"
+
+
+def test_moments_merge(spark, tmp_path):
+    """Increments written in any number, and written again, give the moments of all rows."""
+    from vitreon.operators import moments
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 3 if i % 3 else None, float(1e6 + x), float(x * 2 + y), i % 4) for i, (x, y) in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame([*rows, (1, None, 1.0, 0)], "g int, a double, b double, k int")
+    store = moments.Increments(spark, str(tmp_path), ["g"], ["a", "b"])
+    for k in (0, 1, 2, 3, 1):
+        store.add(str(k), df.where(f"k = {k}"))
+    got = {r.g: r for r in store.now().collect()}
+    for g in (None, 1, 2):
+        x = np.array([r[1:3] for r in rows if r[0] == g])
+        c = np.cov(x.T, bias=True) * len(x)
+        assert got[g].n == len(x) and got[g].mean_a == pytest.approx(x[:, 0].mean()) and got[g].m_a_b == pytest.approx(c[0, 1], rel=1e-6) and got[g].m_a_a == pytest.approx(c[0, 0], rel=1e-6)
 
 
 def test_all_values_settle(spark, tmp_path):

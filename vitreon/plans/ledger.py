@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import jobs as J
+from ..streaming import correlator, lifecycle
 from ..streaming import jobs as streams
 
 
@@ -153,25 +155,81 @@ STREAM_STATUS = f"WITH {LAST} SELECT job_id, step, status FROM l WHERE r = 1"
 _LATE = "event_id % 20 = 0"
 
 
-def stream_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Days that the watermark has closed. The events come in three batches by thirds of the time; some of the first two are held
-    back to the third, where those are too late to count whose day the watermark of the first batch has closed."""
+def _thirds(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The events in three batches by thirds of the time; some of the first two are held back to the third."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ends = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     upto = lambda k: (F.col("ts") <= F.lit(ends.lo + (ends.hi - ends.lo) * k / 3)) & ~F.expr(_LATE)
-    path = streams.folder(spark, "events")
-    for part in (upto(1), upto(2) & ~upto(1), ~upto(2)):
-        e.where(part).coalesce(1).write.mode("append").parquet(path)
-    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    r = _drained(streams.rates(files.select("ts", F.col("event_type").alias("step"), "value")), "stream_rates", "append")
+    return [e.where(part) for part in (upto(1), upto(2) & ~upto(1), ~upto(2))]
+
+
+def stream_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Days that the watermark has closed. What is held back is too late to count where the first two batches have closed its day."""
+    build = lambda e: streams.rates(e.select("ts", F.col("event_type").alias("step"), "value"))
+    r = streams.in_turn(_thirds(spark, d), build, streams.folder(spark, "stream_rates"), "append")
     return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "step", "n", F.round("mean_value", 8).alias("mean_value"))
 
 
-STREAM_RATES = f"""WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), m AS (SELECT *, {" , ".join(f"epoch_us(ts) <= lo + CAST(round_even((hi - lo) * {k} / 3, 0) AS BIGINT) AND NOT {_LATE} AS {name}" for k, name in ((1, "first"), (2, "early")))} FROM events CROSS JOIN b),
-w AS (SELECT max(ts) FILTER (WHERE first) - INTERVAL 1 HOUR AS mark, max(ts) - INTERVAL 1 HOUR AS last FROM m), k AS (SELECT *, date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM m CROSS JOIN w)
+_MARKS = f"""b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), m AS (SELECT *, {" , ".join(f"epoch_us(ts) <= lo + CAST(round_even((hi - lo) * {k} / 3, 0) AS BIGINT) AND NOT {_LATE} AS {name}" for k, name in ((1, "first"), (2, "early")))} FROM events CROSS JOIN b),
+w AS (SELECT max(ts) FILTER (WHERE early) - INTERVAL 1 HOUR AS mark, max(ts) - INTERVAL 1 HOUR AS last FROM m)"""
+STREAM_RATES = f"""WITH {_MARKS}, k AS (SELECT *, date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM m CROSS JOIN w)
 SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS step, count(*) AS n, round(avg(value), 8) AS mean_value FROM k WHERE (early OR ends > mark) AND ends <= last GROUP BY ALL"""
 
 
+_LIMIT = "4 days"
+
+
+def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """How the jobs (a user's events of one type) ended or stand: a time limit of four days, and no way back from an end."""
+    lifecycle.use_rocksdb(spark)
+    s = F.when(F.col("value") < 20, "pending").when(F.col("value") < 110, "running").when(F.col("value") < 160, "completed").otherwise("failed")
+    build = lambda e: lifecycle.lifecycles(e.select(F.concat_ws("/", "user_id", "event_type").alias("job_id"), "ts", "event_id", s.alias("status")), _LIMIT, "90 days")
+    r = streams.in_turn(_thirds(spark, d), build, streams.folder(spark, "stream_lifecycle"), "update")
+    # a later batch's row, and of one batch the end, is the last word
+    return J.latest(r, ["job_id"], [F.col("batch"), F.col("ended_us")]).select("job_id", "status", "last_us", "ended_us")
+
+
+STREAM_LIFECYCLE = f"""WITH {_MARKS}, a AS (SELECT user_id || '/' || event_type AS job_id, epoch_us(ts) AS t, event_id, CASE WHEN value < 20 THEN 'pending' WHEN value < 110 THEN 'running' WHEN value < 160 THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN first THEN 1 WHEN early THEN 2 ELSE 3 END AS batch, last FROM m CROSS JOIN w WHERE early OR ts > mark),
+o AS (SELECT *, max(t) OVER (PARTITION BY job_id ORDER BY batch, t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
+g AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY batch, t, event_id) AS k FROM o WHERE before IS NULL OR t >= before),
+e AS (SELECT *, t - lag(t) OVER (PARTITION BY job_id ORDER BY k) > epoch_us(INTERVAL {_LIMIT}) AS gap, lag(t) OVER (PARTITION BY job_id ORDER BY k) AS p FROM g),
+f AS (SELECT job_id, min(k) AS stop FROM e WHERE coalesce(gap, false) OR status IN ('completed', 'failed') GROUP BY ALL),
+x AS (SELECT e.*, stop FROM e LEFT JOIN f USING (job_id) WHERE stop IS NULL OR k <= stop),
+z AS (SELECT job_id, arg_max(coalesce(gap, false), k) AS gap, arg_max(status, k) AS s, arg_max(t, k) AS t, arg_max(p, k) AS p, any_value(stop) AS stop, bool_or(status = 'running') AS ran, any_value(epoch_us(last)) AS last FROM x GROUP BY job_id)
+SELECT job_id, CASE WHEN stop IS NULL THEN CASE WHEN t + epoch_us(INTERVAL {_LIMIT}) < last THEN 'timed_out' WHEN ran THEN 'running' ELSE 'pending' END WHEN gap THEN 'timed_out' ELSE s END AS status,
+CASE WHEN gap AND stop IS NOT NULL THEN p ELSE t END AS last_us,
+CASE WHEN stop IS NULL THEN CASE WHEN t + epoch_us(INTERVAL {_LIMIT}) < last THEN t + epoch_us(INTERVAL {_LIMIT}) END WHEN gap THEN p + epoch_us(INTERVAL {_LIMIT}) ELSE t END AS ended_us FROM z"""
+
+
+_TAU = {"p": 8, "levels": 5, "every": 16, "tolerance": 0.4, "stable": 2}
+
+
+def stream_viscosity(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose stresses come in three batches, extended until their viscosity has settled."""
+    lifecycle.use_rocksdb(spark)
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("step", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.select(F.col("user_id").cast("string").alias("run_id"), "step", "event_id", *(((F.col("value") % k) - k // 2).alias(c) for k, c in ((7, "pxy"), (5, "pxz"), (3, "pyz"))))
+    lo, hi = e.agg(F.min("step"), F.max("step")).first()
+    cut = [lo + (hi - lo) // 3, lo + 2 * ((hi - lo) // 3)]
+    parts = [e.where(F.col("step") <= cut[0]), e.where((F.col("step") > cut[0]) & (F.col("step") <= cut[1])), e.where(F.col("step") > cut[1])]
+    build = lambda s: correlator.viscosities(s, ["pxy", "pxz", "pyz"], 1000.0, 8000.0, 3000.0, **_TAU, order=("step", "event_id"))
+    r = streams.in_turn(parts, build, streams.folder(spark, "stream_viscosity"), "update")
+    return J.latest(r, ["run_id"], [F.col("batch")]).select("run_id", "n", F.round(F.col("viscosity") * 1e6, 2).alias("viscosity_upas"), "done")
+
+
+_SCALE = 8000.0 * 1e-30 / (C.K_B_J * 3000.0) * 1e18 * 1000.0 * 1e-15 * 1e6
+STREAM_VISCOSITY = f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, [value % 7 - 3, value % 5 - 2, value % 3 - 1] AS x FROM events),
+n AS (SELECT run_id, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT run_id, l.range AS l, t // (1 << l.range) AS b, avg(x[1]) AS x1, avg(x[2]) AS x2, avg(x[3]) AS x3 FROM e, range({_TAU['levels']}) AS l GROUP BY ALL HAVING count(*) = 1 << any_value(l.range)),
+c AS (SELECT run_id, m, m % {_TAU['every']} = 0 AS checked FROM (SELECT run_id, unnest(range({_TAU['every']}, n + 1, {_TAU['every']})) AS m FROM n UNION SELECT run_id, n FROM n)),
+p AS (SELECT i.run_id, i.l, j.b - i.b AS k, (j.b + 1) << i.l AS done_at, (i.x1 * j.x1 + i.x2 * j.x2 + i.x3 * j.x3) / 3 AS y FROM b AS i JOIN b AS j ON i.run_id = j.run_id AND i.l = j.l AND j.b BETWEEN i.b AND i.b + {_TAU['p'] - 1} WHERE i.l = 0 OR j.b - i.b >= {_TAU['p'] // 2}),
+a AS (SELECT c.run_id, m, checked, k << l AS lag, avg(y) AS y FROM c JOIN p ON p.run_id = c.run_id AND done_at <= m GROUP BY ALL),
+s AS (SELECT run_id, m, checked, coalesce((y + lag(y) OVER w) / 2 * (lag - lag(lag) OVER w), 0) AS s FROM a WINDOW w AS (PARTITION BY run_id, m ORDER BY lag)),
+v AS (SELECT run_id, m, checked, sum(s) * {_SCALE!r} AS eta FROM s GROUP BY ALL), q AS (SELECT *, checked AND abs(eta - lag(eta) OVER (PARTITION BY run_id ORDER BY m)) < {_TAU['tolerance']} * abs(eta) AS calm FROM v),
+r AS (SELECT *, coalesce(calm, false) AND coalesce(lag(calm) OVER (PARTITION BY run_id ORDER BY m), false) AS done FROM q), z AS (SELECT run_id, coalesce(min(m) FILTER (WHERE done), max(m)) AS m FROM r GROUP BY ALL)
+SELECT r.run_id, r.m AS n, round(eta, 2) AS viscosity_upas, done FROM r JOIN z ON z.run_id = r.run_id AND z.m = r.m"""
+
+
 def stream_settled(spark: SparkSession, d: str) -> DataFrame:
     """Runs that stop at a standard error of 12 or after 25 results."""
     e = _events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), "value", "ts", "event_id")
@@ -200,9 +258,10 @@ SELECT vec_id AS job_id, 'exact' AS "match", 0.0::DOUBLE AS distance FROM v WHER
 QUERIES = {
     "jobs_search": search, "jobs_latest": latest, "jobs_cache_hit": hits, "jobs_list": listing, "vector_topk": topk, "tags_filter": tags, "missing_analyses": missing, "step_status": step_status,
     "job_status": status, "step_timings": timings, "request_hash": hashes, "merged_results": merged, "stream_status": stream_status, "stream_rates": stream_rates, "stream_settled": stream_settled,
+    "stream_lifecycle": stream_lifecycle, "stream_viscosity": stream_viscosity,
 }
 ORACLES = {
     "jobs_search": SEARCH, "jobs_latest": LATEST, "jobs_cache_hit": HITS, "jobs_list": LISTING, "vector_topk": TOPK, "tags_filter": TAGS, "missing_analyses": MISSING, "step_status": STEP_STATUS,
     "job_status": STATUS, "step_timings": TIMINGS, "request_hash": HASHES, "merged_results": MERGED, "stream_status": STREAM_STATUS, "stream_rates": STREAM_RATES,
-    "stream_settled": STREAM_SETTLED,
+    "stream_settled": STREAM_SETTLED, "stream_lifecycle": STREAM_LIFECYCLE, "stream_viscosity": STREAM_VISCOSITY,
 }

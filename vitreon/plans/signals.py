@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import constants as C
+from ..operators import moments as M
 from ..operators import series as S
+from ..streaming.jobs import folder
 
 #: Lags reach over a whole run; the SQL counts up to more than any run has.
 BY, LAGS = ["run"], 1_000
@@ -125,6 +127,31 @@ def regression(spark: SparkSession, d: str) -> DataFrame:
 REGRESSION = f"WITH {E} SELECT run, round(regr_slope(1000.0 + y, 300.0 + t) / arg_min(1000.0 + y, t), 9) AS cte, round(regr_r2(1000.0 + y, 300.0 + t), 9) AS r2 FROM e GROUP BY ALL"
 
 
+_STAGE = 8
+
+
+def incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Expansion by run from moment records: the rows come in three increments, each read once. A run's rows are at
+    temperatures that rise every eight of them: by fluctuation within a temperature (the mean over these), and by the line
+    through all rows."""
+    r = runs(spark, d).withColumns({"temp": 300.0 + 10.0 * F.floor(F.col("t") / _STAGE), "v": 1000.0 + F.col("y") * 0.1, "h": F.col("y") + F.col("t") * 0.01})
+    store = M.Increments(spark, folder(spark, "moments"), ["run", "stage"], ["temp", "h", "v"])
+    r = r.withColumn("stage", F.col("temp"))
+    for k in range(3):
+        store.add(str(k), r.where(F.col("event_id") % 3 == k))
+    found = store.now()
+    one = M.fluctuation_expansion(found.where("n > 1"), "h", "v", F.col("mean_temp")).groupBy("run").agg(F.avg("cte").alias("by_fluctuation"), F.sum("n").alias("rows"))
+    fit = M.fitted_expansion(found, ["run"], "temp", "v")
+    return fit.join(one, "run").select("run", "rows", F.round("by_fluctuation", 6).alias("by_fluctuation"), F.round("cte", 9).alias("by_line"), F.round("r2", 7).alias("r2"))
+
+
+INCREMENTAL = f"""WITH {E}, r AS (SELECT *, 300.0 + 10.0 * (t // {_STAGE}) AS temp, 1000.0 + y * 0.1 AS v, y + t * 0.01 AS h FROM e),
+s AS (SELECT run, temp, count(*) AS n, avg(v) AS v, covar_pop(h, v) / (avg(v) * {C.K_B_EV!r} * temp * temp) AS cte FROM r GROUP BY run, temp),
+a AS (SELECT run, avg(cte) AS f, sum(n) AS rows FROM s WHERE n > 1 GROUP BY run), l AS (SELECT run, arg_min(v, temp) AS low FROM s GROUP BY run),
+b AS (SELECT run, regr_slope(v, temp) AS slope, regr_r2(v, temp) AS r2, count(DISTINCT temp) > 1 AS ok FROM r GROUP BY run)
+SELECT run, CAST(rows AS BIGINT) AS rows, round(f, 6) AS by_fluctuation, CASE WHEN ok THEN round(slope / low, 9) END AS by_line, CASE WHEN ok THEN round(r2, 7) END AS r2 FROM a JOIN b USING (run) JOIN l USING (run)"""
+
+
 def ensemble(spark: SparkSession, d: str) -> DataFrame:
     e = S.ensemble(runs(spark, d), ["event_type"], "y")
     return e.select("event_type", "n", *(F.round(c, 9).alias(c) for c in ("mean", "std", "sem")))
@@ -223,10 +250,10 @@ def viscosity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "running_mean": running_mean, "trapezoid": trapezoid, "cumulative_sem": sem, "acf": acf, "green_kubo": green_kubo, "noise_cutoff": noise_cutoff, "integral_cutoff": integral_cutoff,
     "helfand_msd": helfand, "cte_fluctuations": fluctuations, "cte_regression": regression, "ensemble_stats": ensemble, "cte_convergence": convergence, "plateau": plateau,
-    "log_downsample": downsample, "closest_divisor": divisors, "elastic_moduli": moduli, "stiffness": stiffness, "vft_fit": vft_fit, "vft_curve": vft_curve, "viscosity": viscosity,
+    "log_downsample": downsample, "closest_divisor": divisors, "elastic_moduli": moduli, "stiffness": stiffness, "vft_fit": vft_fit, "vft_curve": vft_curve, "viscosity": viscosity, "cte_incremental": incremental,
 }
 ORACLES = {
     "running_mean": RUNNING, "trapezoid": TRAPEZOID, "cumulative_sem": SEM, "acf": ACF, "green_kubo": GREEN_KUBO, "noise_cutoff": NOISE, "integral_cutoff": INTEGRAL,
     "helfand_msd": HELFAND, "cte_fluctuations": FLUCT, "cte_regression": REGRESSION, "ensemble_stats": ENSEMBLE, "cte_convergence": CONVERGENCE, "plateau": PLATEAU,
-    "log_downsample": DOWNSAMPLE, "closest_divisor": DIVISORS, "elastic_moduli": MODULI, "stiffness": STIFFNESS, "vft_fit": VFT_FIT, "vft_curve": VFT_CURVE,
+    "log_downsample": DOWNSAMPLE, "closest_divisor": DIVISORS, "elastic_moduli": MODULI, "stiffness": STIFFNESS, "vft_fit": VFT_FIT, "vft_curve": VFT_CURVE, "cte_incremental": INCREMENTAL,
 }

@@ -181,6 +181,27 @@ def rings(spark: SparkSession, d: str) -> DataFrame:
     return graph.ring_histogram(graph.rings(graph.former_edges(p, [SI, NA]))).select("structure_id", "size", "n")
 
 
+# Distances to v without the edge, then all paths from u along which they fall.
+RINGS = f"""WITH RECURSIVE {_pairs_sql(3.0)}, {_E}, b AS (SELECT structure_id, u AS x, v AS y FROM e UNION ALL SELECT structure_id, v, u FROM e),
+w AS (SELECT structure_id, u, v, v AS x, 0 AS d FROM e UNION SELECT w.structure_id, w.u, w.v, b.y, d + 1 FROM w JOIN b ON b.structure_id = w.structure_id AND b.x = w.x
+  WHERE d < 23 AND NOT (w.x = u AND b.y = v OR w.x = v AND b.y = u)),
+m AS (SELECT structure_id, u, v, x, min(d) AS d FROM w GROUP BY ALL),
+t AS (SELECT structure_id, u, v, [u] AS r, u AS x, d FROM m WHERE x = u AND d >= 2 UNION ALL SELECT t.structure_id, t.u, t.v, list_append(r, b.y), b.y, t.d - 1
+  FROM t JOIN b ON b.structure_id = t.structure_id AND b.x = t.x AND NOT (b.x = t.u AND b.y = t.v OR b.x = t.v AND b.y = t.u) JOIN m ON m.structure_id = t.structure_id AND m.u = t.u AND m.v = t.v AND m.x = b.y AND m.d = t.d - 1),
+o AS (SELECT structure_id, len(r) AS k, list_concat(r[list_position(r, list_min(r)):], r[:list_position(r, list_min(r)) - 1]) AS r FROM t WHERE d = 0)
+SELECT structure_id, CAST(k AS INT) AS size, count(DISTINCT CASE WHEN r[2] < r[k] THEN r ELSE list_concat(r[:1], list_reverse(r[2:])) END) AS n FROM o GROUP BY structure_id, k"""
+
+
+def ring_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by the size of the smallest ring that each closes, and the shortest paths that close them."""
+    _, p = _found(spark, d, 3.0)
+    c = graph.ring_counts(graph.former_edges(p, [SI, NA]))
+    return c.groupBy("structure_id", "size").agg(F.count("*").alias("edges"), F.sum("n").cast("bigint").alias("paths"))
+
+
+RING_COUNTS = f"{RINGS[: RINGS.index(',' + chr(10) + 'o AS')]} SELECT structure_id, CAST(len(r) AS INT) AS size, count(DISTINCT (u, v)) AS edges, count(*) AS paths FROM t WHERE d = 0 GROUP BY ALL"
+
+
 def cavities(spark: SparkSession, d: str) -> DataFrame:
     a = atoms(spark, d)
     return voxels.cavities(a, frames(a), {O: 1.52, SI: 2.1, NA: 2.27}, 32, keep_percolating=True).drop("frame")
@@ -306,13 +327,13 @@ QUERIES = {
     "neighbor_coordination": coordination, "neighbor_pair_cutoffs": pair_cutoffs, "neighbor_lists": lists, "rdf_partial": rdf, "cn_cumulative": cumulative,
     "structure_factor": structure_factor, "bond_angles": angles, "oxygen_classes": oxygens, "qn_distribution": qn, "network_connectivity": connectivity,
     "former_edges": edges, "rings_3": triangles, "rings": rings, "cavities": cavities, "rdf_minima": minima, "atom_roles": roles, "number_density": density,
-    "min_distance": free_space, "replicate": replicas, "random_structure": random_structure, "structure_text": xyz, "structure_factor_total": xray, "rings_small": small_rings,
+    "min_distance": free_space, "replicate": replicas, "random_structure": random_structure, "structure_text": xyz, "structure_factor_total": xray, "rings_small": small_rings, "ring_counts": ring_counts,
 }
 ORACLES = {
     "neighbor_coordination": COORDINATION, "neighbor_pair_cutoffs": PAIR_CUTOFFS, "neighbor_lists": LISTS, "rdf_partial": RDF, "cn_cumulative": CUMULATIVE,
     "structure_factor": STRUCTURE_FACTOR, "bond_angles": ANGLES, "oxygen_classes": OXYGENS, "qn_distribution": QN, "network_connectivity": CONNECTIVITY,
     "former_edges": EDGES, "rings_3": TRIANGLES, "atom_roles": ROLES, "number_density": DENSITY, "min_distance": FREE_SPACE, "replicate": REPLICAS,
-    "random_structure": RANDOM, "structure_text": XYZ, "structure_factor_total": XRAY, "rings_small": SMALL_RINGS,
+    "random_structure": RANDOM, "structure_text": XYZ, "structure_factor_total": XRAY, "rings_small": SMALL_RINGS, "rings": RINGS, "ring_counts": RING_COUNTS,
 }
 
 
