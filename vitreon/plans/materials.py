@@ -1,67 +1,72 @@
-"""Queries over compositions: literal glasses, and the parts of every order as mixtures."""
+"""Queries over compositions: the deliveries of every supplier as a glass, and the parts of every order as mixtures."""
 
 from __future__ import annotations
 
-import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import lookup as L
 from ..operators import composition as K
+from ..operators import neighbors, series
 from ..operators import potentials as P
 
-GLASSES = {
-    "window": {"SiO2": 72.0, "Na2O": 14.0, "CaO": 9.0, "MgO": 4.0, "Al2O3": 1.0},
-    "boro": {"SiO2": 81.0, "B2O3": 13.0, "Na2O": 4.0, "Al2O3": 2.0},
-    "nbs": {"SiO2": 70.0, "B2O3": 10.0, "Na2O": 20.0},
-    "cas": {"CaO": 0.25, "Al2O3": 0.25, "SiO2": 0.5},
-    "ns": {"SiO2": 80.0, "Na2O": 20.0},
-    "lead": {"SiO2": 60.0, "PbO": 25.0, "K2O": 15.0},
-    "bad_sum": {"SiO2": 60.0, "Na2O": 20.0},
-    "bad_sign": {"SiO2": 110.0, "Na2O": -10.0},
-    "bad_element": {"SiO2": 90.0, "Xx2O": 10.0},
-    "bad_charge": {"SiO2": 90.0, "NaO3": 10.0},
-}
-_ROWS = [(g, i, o, a) for g, c in GLASSES.items() for i, (o, a) in enumerate(c.items())]
-_VALUES = ", ".join(f"('{g}', {i}, '{o}', {a})" for g, i, o, a in _ROWS)
+#: What the parts of a supplier stand for: three of these, chosen by supplier, and silica.
+OXIDES = ["Na2O", "CaO", "Al2O3", "B2O3", "MgO", "K2O", "Li2O", "PbO", "SrO", "ZnO"]
 
 
-def glasses(spark: SparkSession, good: bool = True) -> DataFrame:
-    df = spark.sql(f"SELECT comp_id, pos, oxide, CAST(amount AS DOUBLE) AS amount FROM VALUES {_VALUES} AS t(comp_id, pos, oxide, amount)")
-    return df.where("comp_id not like 'bad%'") if good else df
+def glasses(spark: SparkSession, d: str, good: bool = True) -> DataFrame:
+    """comp_id, pos, oxide, amount: a glass for every supplier, in percent of the quantities that it delivered.
 
+    Of every seven suppliers' glasses four are faulty, by their sum, a sign, an element, or a charge; good leaves these out.
+    """
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    q = li.groupBy(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 4).cast("int").alias("pos")).agg(F.sum("l_quantity").cast("double").alias("q"))
+    amount = F.floor(10_000 * F.col("q") / F.sum("q").over(W.partitionBy("s"))) / 100
+    odd, first = F.col("s") % 7, F.col("pos") == 0
+    fine = F.when(F.col("pos") == 3, "SiO2").otherwise(F.get(F.array(*map(F.lit, OXIDES)), ((F.col("s") * 3 + F.col("pos")) % len(OXIDES)).cast("int")))
+    oxide = F.when((odd == 5) & first, "Xx2O").when((odd == 6) & first, "NaO3").otherwise(fine)
+    amount = F.when((odd == 4) & first, -amount).when(odd == 3, amount * 0.75).otherwise(amount)
+    df = q.select("s", F.concat(F.when(odd < 3, "g").otherwise("bad"), F.col("s").cast("string")).alias("comp_id"), "pos", oxide.alias("oxide"), amount.alias("amount"))
+    return (df.where("s % 7 < 3") if good else df).drop("s")
 
-G = f"g AS (SELECT comp_id, pos, oxide, CAST(amount AS DOUBLE) AS amount FROM (VALUES {_VALUES}) AS t(comp_id, pos, oxide, amount))"
+
+G = f"""q0 AS (SELECT l_suppkey AS s, CAST(l_partkey % 4 AS INT) AS pos, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY ALL), q1 AS (SELECT *, floor(10000 * q / sum(q) OVER (PARTITION BY s)) / 100 AS a FROM q0),
+g AS (SELECT CASE WHEN s % 7 < 3 THEN 'g' ELSE 'bad' END || s AS comp_id, pos, CASE WHEN s % 7 = 5 AND pos = 0 THEN 'Xx2O' WHEN s % 7 = 6 AND pos = 0 THEN 'NaO3' WHEN pos = 3 THEN 'SiO2' ELSE ({OXIDES!r})[(s * 3 + pos) % {len(OXIDES)} + 1] END AS oxide,
+  CASE WHEN s % 7 = 4 AND pos = 0 THEN -a WHEN s % 7 = 3 THEN a * 0.75 ELSE a END AS amount FROM q1)"""
 OK = f"{G}, ok AS (SELECT *, amount / sum(amount) OVER (PARTITION BY comp_id) AS fraction FROM g WHERE comp_id NOT LIKE 'bad%')"
 PARSE = """ox AS (SELECT DISTINCT oxide FROM g), px AS (SELECT oxide, unnest(regexp_extract_all(oxide, '([A-Z][a-z]*)(\\d*)', 1)) AS element, unnest(regexp_extract_all(oxide, '([A-Z][a-z]*)(\\d*)', 2)) AS n FROM ox),
 el AS (SELECT oxide, element, CAST(sum(CAST(coalesce(nullif(n, ''), '1') AS BIGINT)) AS BIGINT) AS cnt FROM px GROUP BY ALL)"""
-_USED = sorted({e for g in GLASSES.values() for o in g for e in C.MASSES if e in o})
+_USED = sorted({e for o in OXIDES + ["SiO2"] for e in C.MASSES if e in re.findall("[A-Z][a-z]?", o)})
 M = "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', {C.MASSES[e]!r}::DOUBLE)" for e in _USED) + ") AS t(element, mass))"
 FM = "fm AS (SELECT oxide, sum(cnt * mass) AS mass FROM el JOIN m USING (element) GROUP BY ALL)"
 
 
 def formula_parse(spark: SparkSession, d: str) -> DataFrame:
-    return K.parse(glasses(spark, False).select(F.col("oxide").alias("formula")))
+    return K.parse(glasses(spark, d, False).select(F.col("oxide").alias("formula")))
 
 
 def formula_mass(spark: SparkSession, d: str) -> DataFrame:
-    df = K.formula_mass(glasses(spark, False).select(F.col("oxide").alias("formula")))
+    df = K.formula_mass(glasses(spark, d, False).select(F.col("oxide").alias("formula")))
     return df.select("formula", F.round("mass", 6).alias("mass"))
 
 
 def check(spark: SparkSession, d: str) -> DataFrame:
-    return K.check(glasses(spark, False)).select("comp_id", "status", F.round("total", 6).alias("total"))
+    return K.check(glasses(spark, d, False)).select("comp_id", "status", F.round("total", 6).alias("total"))
 
 
-CHECK = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{g}', '{dict(bad_sum='sum', bad_sign='negative', bad_element='element', bad_charge='neutral').get(g, 'ok')}', round({sum(c.values())!r}::DOUBLE, 6))" for g, c in GLASSES.items()
-) + ") AS t(comp_id, status, total)"
+_STATES = "st AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', {q})" for e in _USED for q in C.OXIDATION_STATES.get(e, ())) + ") AS t(element, charge))"
+CHECK = f"""WITH {G}, {PARSE}, {_STATES}, known AS (SELECT oxide, bool_and(element IN (SELECT element FROM st)) AS known FROM el GROUP BY ALL),
+two AS (SELECT DISTINCT a.oxide FROM el AS a JOIN el AS b ON a.oxide = b.oxide AND a.element < b.element JOIN st AS x ON x.element = a.element JOIN st AS y ON y.element = b.element WHERE a.cnt * x.charge + b.cnt * y.charge = 0),
+t AS (SELECT comp_id, min(amount) AS least, sum(amount) AS total, bool_and(known) AS known, bool_and(g.oxide IN (SELECT oxide FROM two)) AS neutral FROM g JOIN known USING (oxide) GROUP BY ALL)
+SELECT comp_id, CASE WHEN least < 0 THEN 'negative' WHEN NOT known THEN 'element' WHEN NOT neutral THEN 'neutral' WHEN abs(total - 1) > 0.001 AND abs(total - 100) > 0.1 THEN 'sum' ELSE 'ok' END AS status, round(total, 6) AS total FROM t"""
 
 
 def weight_to_mol(spark: SparkSession, d: str) -> DataFrame:
-    return K.weight_to_mol(glasses(spark)).select("comp_id", "oxide", F.round("fraction", 9).alias("fraction"))
+    return K.weight_to_mol(glasses(spark, d)).select("comp_id", "oxide", F.round("fraction", 9).alias("fraction"))
 
 
 WEIGHT = f"""WITH {OK}, {PARSE}, {M}, {FM}, w AS (SELECT comp_id, oxide, amount / mass AS x FROM ok JOIN fm USING (oxide))
@@ -69,7 +74,7 @@ SELECT comp_id, oxide, round(x / sum(x) OVER (PARTITION BY comp_id), 9) AS fract
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
-    return K.element_fractions(K.extract(glasses(spark, False)).withColumn("amount", F.col("fraction"))).select("comp_id", "element", F.round("fraction", 9).alias("fraction"))
+    return K.element_fractions(K.extract(glasses(spark, d, False)).withColumn("amount", F.col("fraction"))).select("comp_id", "element", F.round("fraction", 9).alias("fraction"))
 
 
 _EF = f"{OK}, {PARSE}, e1 AS (SELECT comp_id, element, sum(fraction * cnt) AS atoms FROM ok JOIN el USING (oxide) GROUP BY ALL), ef AS (SELECT comp_id, element, atoms / sum(atoms) OVER (PARTITION BY comp_id) AS fraction FROM e1)"
@@ -77,7 +82,7 @@ ELEMENTS = f"WITH {_EF} SELECT comp_id, element, round(fraction, 9) AS fraction
 
 
 def vector(spark: SparkSession, d: str) -> DataFrame:
-    v = K.vectors(K.element_fractions(glasses(spark)))
+    v = K.vectors(K.element_fractions(glasses(spark, d)))
     back = K.devector(v)
     return back.groupBy("comp_id").agg(F.count("*").alias("n"), F.round(F.sum("fraction"), 9).alias("total"), F.round(F.max("fraction"), 9).alias("most"))
 
@@ -86,19 +91,22 @@ VECTOR = f"WITH {_EF} SELECT comp_id, count(*) AS n, round(sum(fraction), 9) AS
 
 
 def distances(spark: SparkSession, d: str) -> DataFrame:
-    e = K.element_fractions(glasses(spark))
-    ids = e.select("comp_id").distinct()  # a handful of glasses
-    pairs = ids.select(F.col("comp_id").alias("id_a")).join(ids.select(F.col("comp_id").alias("id_b")), F.col("id_a") < F.col("id_b"))
+    """Between the glasses of suppliers whose lines follow each other in an order."""
+    e = K.element_fractions(glasses(spark, d))
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.concat(F.lit("g"), F.col("l_suppkey").cast("string")).alias("g"), (F.col("l_suppkey") % 7).alias("odd")).where("odd < 3")
+    other = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("g").alias("h"))
+    pairs = li.join(other, ["l_orderkey", "l_linenumber"]).where("g <> h").select(F.least("g", "h").alias("id_a"), F.greatest("g", "h").alias("id_b")).distinct()
     return K.distance(e, e, pairs).select("id_a", "id_b", F.round("distance", 6).alias("distance"))
 
 
-DISTANCES = f"""WITH {_EF}, ids AS (SELECT DISTINCT comp_id FROM ef), al AS (SELECT DISTINCT element FROM ef)
-SELECT a.comp_id AS id_a, b.comp_id AS id_b, round(sqrt(sum(pow(coalesce(x.fraction, 0) - coalesce(y.fraction, 0), 2))), 6) AS distance FROM ids AS a JOIN ids AS b ON a.comp_id < b.comp_id CROSS JOIN al
-LEFT JOIN ef AS x ON x.comp_id = a.comp_id AND x.element = al.element LEFT JOIN ef AS y ON y.comp_id = b.comp_id AND y.element = al.element GROUP BY ALL"""
+DISTANCES = f"""WITH {_EF}, li AS (SELECT l_orderkey AS o, l_linenumber AS n, 'g' || l_suppkey AS g FROM lineitem WHERE l_suppkey % 7 < 3),
+pr AS (SELECT DISTINCT least(a.g, b.g) AS a, greatest(a.g, b.g) AS b FROM li AS a JOIN li AS b ON a.o = b.o AND b.n = a.n + 1 AND a.g <> b.g),
+x AS (SELECT a, b, element, fraction AS f FROM pr JOIN ef ON comp_id = a UNION ALL SELECT a, b, element, -fraction FROM pr JOIN ef ON comp_id = b), y AS (SELECT a, b, element, sum(f) AS f FROM x GROUP BY ALL)
+SELECT a AS id_a, b AS id_b, round(sqrt(sum(f * f)), 6) AS distance FROM y GROUP BY ALL"""
 
 
 def density(spark: SparkSession, d: str) -> DataFrame:
-    return K.density(K.extract(glasses(spark, False))).select("comp_id", F.round("density", 8).alias("density"))
+    return K.density(K.extract(glasses(spark, d, False))).select("comp_id", F.round("density", 8).alias("density"))
 
 
 def _density_sql() -> str:
@@ -114,7 +122,7 @@ s AS (SELECT i.comp_id, v * {c(1)} * {c(2)} * {c(3)} AS x FROM i CROSS JOIN t) S
 
 
 def canonical(spark: SparkSession, d: str) -> DataFrame:
-    c = K.canonical(glasses(spark))
+    c = K.canonical(glasses(spark, d))
     back = K.from_canonical(c).groupBy("comp_id").agg(F.round(F.sum("amount"), 6).alias("total"))
     return c.join(back, "comp_id")
 
@@ -124,7 +132,7 @@ SELECT comp_id, string_agg(oxide || ' ' || a, ' - ' ORDER BY oxide) AS canonical
 
 
 def fu_search(spark: SparkSession, d: str) -> DataFrame:
-    p = K.plan(glasses(spark), 1000)
+    p = K.plan(glasses(spark, d), 1000)
     return p.select("comp_id", "oxide", "units", "n_units", "n_atoms")
 
 
@@ -140,7 +148,7 @@ SELECT u.comp_id, oxide, units, u.n_units, n_atoms FROM u JOIN k ON u.comp_id =
 
 
 def from_molecules(spark: SparkSession, d: str) -> DataFrame:
-    p = K.plan(glasses(spark), 333, "molecules")
+    p = K.plan(glasses(spark, d), 333, "molecules")
     return p.select("comp_id", "oxide", "units")
 
 
@@ -149,7 +157,7 @@ SELECT comp_id, oxide, CAST(u + CASE WHEN k = 1 THEN 333 - sum(u) OVER (PARTITIO
 
 
 def box(spark: SparkSession, d: str) -> DataFrame:
-    g = glasses(spark)
+    g = glasses(spark, d)
     units = K.plan(g, 333, "molecules")
     return K.box_length(units, K.density(K.extract(g))).select("comp_id", F.round("box", 6).alias("box"))
 
@@ -159,7 +167,7 @@ SELECT u.comp_id, round(cbrt(sum(units * mass) / {C.AVOGADRO!r} / any_value(dens
 
 
 def potentials(spark: SparkSession, d: str) -> DataFrame:
-    e = K.element_fractions(glasses(spark)).select("comp_id", "element")
+    e = K.element_fractions(glasses(spark, d)).select("comp_id", "element")
     return K.compatible(e).select("comp_id", F.concat_ws(",", "potentials").alias("potentials"), F.try_element_at("potentials", F.lit(1)).alias("best"))
 
 
@@ -170,7 +178,7 @@ SELECT n.comp_id, coalesce(string_agg(potential, ',' ORDER BY pref), '') AS pote
 
 
 def configs(spark: SparkSession, d: str) -> DataFrame:
-    g = glasses(spark)
+    g = glasses(spark, d)
     e = K.element_fractions(g).select("comp_id", "element")
     counts = K.element_counts(K.plan(g, 333, "molecules"))
     df = None
@@ -182,7 +190,7 @@ def configs(spark: SparkSession, d: str) -> DataFrame:
 
 def config_lines(spark: SparkSession, d: str) -> DataFrame:
     """The inputs of the two potentials whose numbers are all fixed, line by line."""
-    e = K.element_fractions(glasses(spark)).select("comp_id", "element")
+    e = K.element_fractions(glasses(spark, d)).select("comp_id", "element")
     both = P.config(e, "pmmcs").unionByName(P.config(e, "bjp"))
     return both.select("comp_id", "name", F.posexplode("config").alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
@@ -211,69 +219,88 @@ CONFIG_LINES = _config_sql()
 
 
 def charge(spark: SparkSession, d: str) -> DataFrame:
-    counts = K.element_counts(K.plan(glasses(spark).where("comp_id in ('ns', 'cas', 'nbs')"), 333, "molecules"))
+    counts = K.element_counts(K.plan(glasses(spark, d), 333, "molecules"))
     return K.oxygen_charge(counts).select("comp_id", F.round("charge", 9).alias("charge"))
 
 
 _SQ = "q AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', {v!r}::DOUBLE)" for e, v in C.SHIK_CHARGES.items()) + ") AS t(element, q))"
-CHARGE = f"""WITH u AS ({MOLECULES}), {G}, {PARSE}, {_SQ}, c AS (SELECT comp_id, element, sum(units * cnt) AS n FROM u JOIN el USING (oxide) WHERE comp_id IN ('ns', 'cas', 'nbs') GROUP BY ALL)
-SELECT comp_id, round(-sum(CASE WHEN element <> 'O' THEN q * n ELSE 0 END) / sum(CASE WHEN element = 'O' THEN n ELSE 0 END), 9) AS charge FROM c JOIN q USING (element) GROUP BY ALL"""
+CHARGE = f"""WITH u AS ({MOLECULES}), {G}, {PARSE}, {_SQ}, c AS (SELECT comp_id, element, sum(units * cnt) AS n FROM u JOIN el USING (oxide) GROUP BY ALL)
+SELECT comp_id, round(-sum(CASE WHEN element <> 'O' THEN q * n ELSE 0 END) / sum(CASE WHEN element = 'O' THEN n ELSE 0 END), 9) AS charge FROM c LEFT JOIN q USING (element) GROUP BY ALL"""
+
 
+def pair_energies(spark: SparkSession, d: str) -> DataFrame:
+    """Energy and force of the silicon-oxygen potential, summed over the pairs of each structure by half angstroms."""
+    from . import structures as S
 
-def pair_table(spark: SparkSession, d: str) -> DataFrame:
-    t = P.pair_table(spark, ("Si", "O"), n=2000)
-    return t.where("r > 1").select("i", F.round("r", 9).alias("r"), F.round("energy", 6).alias("energy"), F.round("force", 6).alias("force"))
+    a = S.atoms(spark, d)
+    r = F.sqrt("d2")
+    v, f = P.energy_force(F.col("r"), *(F.lit(float(x)) for x in C.SHIK["O", "Si"]))
+    p = neighbors.pairs(a, S.frames(a), 3.0, centers=[S.SI], neighbors=[S.O]).select("structure_id", r.alias("r")).where("r >= 1")
+    return p.groupBy("structure_id", F.floor(F.col("r") * 2).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.sum(v), 5).alias("energy"), F.round(F.sum(f), 5).alias("force"))
 
 
 _A, _B, _C, _D = C.SHIK["O", "Si"]
-PAIR_TABLE = f"""WITH t AS (SELECT range AS i, sqrt(0.01 + (range - 1) / 1999.0 * (110.25 - 0.01)) AS r FROM range(1, 2001))
-SELECT i, round(r, 9) AS r, round({_A} * exp(-{_B} * r) - {_C} / pow(r, 6) + {_D} / pow(r, 24), 6) AS energy, round({_A * _B!r} * exp(-{_B} * r) - 6 * {_C} / pow(r, 7) + 24 * {_D} / pow(r, 25), 6) AS force FROM t WHERE r > 1"""
 
 
-def protocols(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import series
+def _energies_sql() -> str:
+    from . import structures as S
 
-    s = spark.sql(f"""SELECT p AS id, p AS potential, CASE p WHEN 'shik' THEN {C.MELT_K['shik']}D ELSE {C.MELT_K['pmmcs']}D END AS t_high, 300D AS t_low, 1e12D AS heating_rate, 5e12D AS cooling_rate, 1D AS timestep,
-      CAST(NULL AS BIGINT) AS equilibration_steps FROM VALUES ('pmmcs'), ('bjp'), ('shik') AS t(p)""")
-    return series.protocol(s, L.protocol_stages(spark)).select("id", "stage", "t_from", "t_to", "steps", "first_step", "p_from", "p_to")
+    return f"""WITH {S._pairs_sql(3.0)}, t AS (SELECT structure_id, sqrt(d2) AS r FROM p WHERE zi = {S.SI} AND zj = {S.O} AND sqrt(d2) >= 1)
+SELECT structure_id, CAST(floor(r * 2) AS INT) AS bin, count(*) AS n, round(sum({_A} * exp(-{_B} * r) - {_C} / pow(r, 6) + {_D} / pow(r, 24)), 5) AS energy, round(sum({_A * _B!r} * exp(-{_B} * r) - 6 * {_C} / pow(r, 7) + 24 * {_D} / pow(r, 25)), 5) AS force FROM t GROUP BY ALL"""
 
 
-def temperatures(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import series
+def _schedules(spark: SparkSession, d: str) -> DataFrame:
+    """A melt-quench schedule for every supplier."""
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(
+        k.cast("string").alias("id"), F.get(F.array(*map(F.lit, C.POTENTIAL_ORDER)), (k % 3).cast("int")).alias("potential"), (3000.0 + k % 17 * 100).alias("t_high"), (300.0 + k % 5 * 10).alias("t_low"),
+        (1e12 * (1 + k % 4)).alias("heating_rate"), (1e12 * (1 + k % 9)).alias("cooling_rate"), (1.0 + k % 2).alias("timestep"), F.when(k % 4 == 1, k % 11 * 1000).cast("bigint").alias("equilibration_steps"),
+    )
+
+
+def protocols(spark: SparkSession, d: str) -> DataFrame:
+    return series.protocol(_schedules(spark, d), L.protocol_stages(spark)).select("id", "stage", "t_from", "t_to", "steps", "first_step", "p_from", "p_to")
+
 
+def temperatures(spark: SparkSession, d: str) -> DataFrame:
     return series.temperature_program(protocols(spark, d).withColumn("potential", F.col("id")))
 
 
+def _protocol_sql() -> str:
+    stages = ", ".join(
+        f"('{p}', {i + 1}, '{a}', '{b}', '{n if isinstance(n, str) else 'hold'}', {n if isinstance(n, int) else 'NULL'}, {p in C.PROTOCOL_FS}, {'NULL' if p0 is None else p0}::DOUBLE, {'NULL' if p1 is None else p1}::DOUBLE)"
+        for p, rows in C.PROTOCOLS.items() for i, (a, b, n, p0, p1) in enumerate(rows)
+    )
+    return f"""SELECT id, stage, t_from, t_to, steps, CAST(sum(steps) OVER (PARTITION BY id ORDER BY stage) - steps AS BIGINT) AS first_step, p_from, p_to FROM (
+  SELECT id, stage, CASE a WHEN 'high' THEN hi ELSE lo END AS t_from, CASE b WHEN 'high' THEN hi ELSE lo END AS t_to, p_from, p_to,
+    CAST(CASE kind WHEN 'heating' THEN floor((hi - lo) / (dt * heat) * 1e15) WHEN 'cooling' THEN floor((hi - lo) / (dt * cool) * 1e15) ELSE coalesce(eq, CASE WHEN in_fs THEN floor(n / dt) ELSE n END) END AS BIGINT) AS steps
+  FROM (SELECT CAST(s_suppkey AS VARCHAR) AS id, ({list(C.POTENTIAL_ORDER)!r})[s_suppkey % 3 + 1] AS potential, 3000.0::DOUBLE + s_suppkey % 17 * 100 AS hi, 300.0::DOUBLE + s_suppkey % 5 * 10 AS lo, 1e12::DOUBLE * (1 + s_suppkey % 4) AS heat,
+    1e12::DOUBLE * (1 + s_suppkey % 9) AS cool, 1.0::DOUBLE + s_suppkey % 2 AS dt, CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey % 11 * 1000 END AS eq FROM supplier)
+  JOIN (VALUES {stages}) AS t(potential, stage, a, b, kind, n, in_fs, p_from, p_to) USING (potential))"""
+
+
 def choices(spark: SparkSession, d: str) -> DataFrame:
-    g = glasses(spark)
+    g = glasses(spark, d)
     e = K.element_fractions(g).select("comp_id", "element")
-    asked = g.select("comp_id").distinct().withColumn("potential", F.when(F.col("comp_id").isin("cas", "ns"), F.lit("bjp")))
+    asked = g.select("comp_id").distinct().withColumn("potential", F.when(F.substring("comp_id", -1, 1).isin("1", "4"), F.lit("shik")).when(F.substring("comp_id", -1, 1) == "2", F.lit("bjp")))
     return K.choose_potential(asked, e)
 
 
-CHOICES = """SELECT * FROM (VALUES ('window', 'pmmcs', 'ok'), ('boro', 'shik', 'ok'), ('nbs', 'shik', 'ok'), ('cas', 'bjp', 'ok'), ('ns', NULL, 'unsupported'), ('lead', NULL, 'none')) AS t(comp_id, chosen, status)"""
+CHOICES = f"""WITH {_EF}, {_PE}, n AS (SELECT comp_id, count(*) AS need, CASE WHEN right(comp_id, 1) IN ('1', '4') THEN 'shik' WHEN right(comp_id, 1) = '2' THEN 'bjp' END AS named FROM ef GROUP BY ALL),
+h AS (SELECT comp_id, potential, pref FROM ef JOIN pe USING (element) JOIN n USING (comp_id) GROUP BY comp_id, potential, pref, need HAVING count(*) = need),
+r AS (SELECT n.comp_id, coalesce(any_value(named), 'pmmcs') AS asked, coalesce(bool_or(h.potential = coalesce(named, 'pmmcs')), false) AS covers, arg_min(h.potential, pref) AS best FROM n LEFT JOIN h ON h.comp_id = n.comp_id GROUP BY n.comp_id),
+c AS (SELECT comp_id, asked, CASE WHEN covers THEN asked WHEN asked = 'pmmcs' THEN best END AS chosen FROM r)
+SELECT comp_id, chosen, CASE WHEN chosen IS NOT NULL THEN 'ok' WHEN asked = 'pmmcs' THEN 'none' ELSE 'unsupported' END AS status FROM c"""
 
 
 def actual(spark: SparkSession, d: str) -> DataFrame:
-    return K.actual_composition(K.element_counts(K.plan(glasses(spark), 333, "molecules")))
+    return K.actual_composition(K.element_counts(K.plan(glasses(spark, d), 333, "molecules")))
 
 
 ACTUAL = f"""WITH u AS ({MOLECULES}), {G}, {PARSE}, c AS (SELECT comp_id, element, CAST(sum(units * cnt) AS BIGINT) AS n FROM u JOIN el USING (oxide) GROUP BY ALL)
 SELECT comp_id, CAST(sum(n) AS BIGINT) AS atoms, string_agg(element || ' ' || n, ', ' ORDER BY element) AS text FROM c GROUP BY ALL"""
 
 
-def _protocol_sql() -> str:
-    rows = []
-    for p, stages in C.PROTOCOLS.items():
-        high, at = C.MELT_K[p], 0
-        for i, (a, b, n, p0, p1) in enumerate(stages):
-            steps = n if isinstance(n, int) else math.floor((high - 300) / (1e12 if n == "heating" else 5e12) * 1e15)
-            t = lambda x, high=high: high if x == "high" else 300.0
-            rows.append(f"('{p}', {i + 1}, {t(a)}::DOUBLE, {t(b)}::DOUBLE, {steps}::BIGINT, {at}::BIGINT, {'NULL' if p0 is None else p0}::DOUBLE, {'NULL' if p1 is None else p1}::DOUBLE)")
-            at += steps
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(id, stage, t_from, t_to, steps, first_step, p_from, p_to)"
-
-
 # --- mixtures of orders -----------------------------------------------------------------------------------
 
 
@@ -304,14 +331,14 @@ QUERIES = {
     "formula_parse": formula_parse, "formula_mass": formula_mass, "composition_check": check, "weight_to_mol": weight_to_mol, "element_fractions": elements,
     "elemental_vector": vector, "composition_distance": distances, "density_model": density, "canonical_composition": canonical, "fu_search": fu_search,
     "molecule_counts": from_molecules, "box_length": box, "compatible_potentials": potentials, "potential_configs": configs, "potential_config_lines": config_lines, "oxygen_charge": charge,
-    "pair_table": pair_table, "melt_quench_schedule": protocols, "temperature_program": temperatures, "choose_potential": choices, "actual_composition": actual, "composition_share": shares, "largest_remainder": remainders,
+    "pair_energies": pair_energies, "melt_quench_schedule": protocols, "temperature_program": temperatures, "choose_potential": choices, "actual_composition": actual, "composition_share": shares, "largest_remainder": remainders,
 }
 ORACLES = {
     "formula_parse": f"WITH {G}, {PARSE} SELECT oxide AS formula, element, cnt FROM el",
     "formula_mass": f"WITH {G}, {PARSE}, {M}, t AS (SELECT oxide, sum(cnt * mass) AS s, count(mass) = count(*) AS whole FROM el LEFT JOIN m USING (element) GROUP BY ALL) SELECT oxide AS formula, round(CASE WHEN whole THEN s END, 6) AS mass FROM t",
     "composition_check": CHECK, "weight_to_mol": WEIGHT, "element_fractions": ELEMENTS, "elemental_vector": VECTOR, "composition_distance": DISTANCES,
     "density_model": _density_sql(), "canonical_composition": CANONICAL, "fu_search": FU_SEARCH, "molecule_counts": MOLECULES, "box_length": BOX,
-    "compatible_potentials": POTENTIALS, "potential_config_lines": CONFIG_LINES, "oxygen_charge": CHARGE, "pair_table": PAIR_TABLE, "melt_quench_schedule": _protocol_sql(), "choose_potential": CHOICES, "actual_composition": ACTUAL,
+    "compatible_potentials": POTENTIALS, "potential_config_lines": CONFIG_LINES, "oxygen_charge": CHARGE, "pair_energies": _energies_sql(), "melt_quench_schedule": _protocol_sql(), "choose_potential": CHOICES, "actual_composition": ACTUAL,
     "temperature_program": f"WITH p AS ({_protocol_sql()}) SELECT id, first_step AS step, t_from AS temperature FROM p UNION SELECT id, first_step + steps, t_to FROM p",
     "composition_share": SHARES, "largest_remainder": REMAINDERS,
 }

@@ -192,19 +192,21 @@ def divisors(spark: SparkSession, d: str) -> DataFrame:
 DIVISORS = """WITH x AS (SELECT DISTINCT event_id % 997 + 1 AS target, event_id % 50 AS near FROM events)
 SELECT target, near, (SELECT arg_min(r.range, (abs(r.range - near), r.range)) FROM range(1, 998) AS r WHERE r.range <= target AND target % r.range = 0) AS divisor FROM x"""
 
-_CIJ = [("glass", 70.0, 30.0, 20.0), ("soft", 25.0, 12.0, 6.5)]
-_CROWS = [(n, i, j, a if i == j and i <= 3 else c if i == j else b if i <= 3 and j <= 3 else 0.0) for n, a, b, c in _CIJ for i in range(1, 7) for j in range(1, 7) if (i <= 3 and j <= 3) or i == j]
-_CV = ", ".join(f"('{n}', {i}, {j}, CAST({c} AS DOUBLE))" for n, i, j, c in _CROWS)
-
-
 def moduli(spark: SparkSession, d: str) -> DataFrame:
-    m = S.moduli(spark.sql(f"SELECT * FROM VALUES {_CV} AS t(id, i, j, c)"))
-    return m.select("id", *(F.round(c, 9).alias(c) for c in ("bulk", "shear", "young", "poisson")))
-
-
-MODULI = f"""WITH c AS (SELECT * FROM (VALUES {_CV}) AS t(id, i, j, c)), a AS (SELECT id, avg(c) FILTER (WHERE i = j AND i <= 3) AS p, avg(c) FILTER (WHERE i <> j) AS q, avg(c) FILTER (WHERE i > 3) AS s FROM c GROUP BY ALL),
+    """Of a matrix for every supplier: its deliveries by line number and part give the elements, above those of a stiff body."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    i, j = (F.col("l_linenumber") % 6 + 1).cast("int"), (F.col("l_partkey") % 6 + 1).cast("int")
+    c = li.select(F.col("l_suppkey").alias("id"), i.alias("i"), j.alias("j"), F.col("l_quantity").cast("double").alias("q")).where("i <= 3 and j <= 3 or i = j")
+    base = F.when((F.col("i") == F.col("j")) & (F.col("i") <= 3), 200.0).when(F.col("i") == F.col("j"), 60.0).otherwise(50.0)
+    m = S.moduli(c.groupBy("id", "i", "j").agg(F.avg("q").alias("c")).withColumn("c", F.col("c") + base))
+    return m.select("id", *(F.round(c, 8).alias(c) for c in ("bulk", "shear", "young", "poisson")))
+
+
+MODULI = """WITH q AS (SELECT l_suppkey AS id, l_linenumber % 6 + 1 AS i, l_partkey % 6 + 1 AS j, avg(CAST(l_quantity AS DOUBLE)) AS q FROM lineitem GROUP BY ALL),
+c AS (SELECT id, i, j, q + CASE WHEN i = j AND i <= 3 THEN 200.0 WHEN i = j THEN 60.0 ELSE 50.0 END AS c FROM q WHERE i <= 3 AND j <= 3 OR i = j),
+a AS (SELECT id, avg(c) FILTER (WHERE i = j AND i <= 3) AS p, avg(c) FILTER (WHERE i <> j) AS q, avg(c) FILTER (WHERE i > 3) AS s FROM c GROUP BY ALL),
 b AS (SELECT id, (p + 2 * q) / 3 AS bulk, ((p - q + 3 * s) / 5 + 5 * s * (p - q) / (4 * s + 3 * (p - q))) / 2 AS shear FROM a)
-SELECT id, round(bulk, 9) AS bulk, round(shear, 9) AS shear, round(9 * bulk * shear / (3 * bulk + shear), 9) AS young, round((3 * bulk - 2 * shear) / (2 * (3 * bulk + shear)), 9) AS poisson FROM b"""
+SELECT id, round(bulk, 8) AS bulk, round(shear, 8) AS shear, round(9 * bulk * shear / (3 * bulk + shear), 8) AS young, round((3 * bulk - 2 * shear) / (2 * (3 * bulk + shear)), 8) AS poisson FROM b"""
 
 
 def stiffness(spark: SparkSession, d: str) -> DataFrame:
@@ -218,25 +220,41 @@ m AS (SELECT id, j, (avg(y) FILTER (WHERE sign > 0) - avg(y) FILTER (WHERE sign
 SELECT id, CAST(i.range AS INT) AS i, j, round(c * i.range, 4) AS c FROM m CROSS JOIN range(1, 7) AS i WHERE (i.range <= 3 AND j <= 3) OR i.range = j"""
 
 
+_A, _B, _T0 = "(-2.5 - id % 5 * 0.25)", "(4000.0 + id % 7 * 300)", "(350.0 + id % 11 * 15)"
+
+
 def vft_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Fits to points on three exact curves; the parameters come back."""
-    t = spark.sql("SELECT id, a, b, t0, CAST(t AS DOUBLE) AS t FROM VALUES ('x', -2.5D, 4500D, 480D), ('y', -1.2D, 3100D, 550D), ('z', -4.0D, 6200D, 300D) AS f(id, a, b, t0) LATERAL VIEW explode(sequence(900, 1800, 50)) e AS t")
-    pts = t.withColumn("l", S.vft(F.col("t"), F.col("a"), F.col("b"), F.col("t0"), natural=False))
-    f = S.fit_vft(pts, ["id"], "t", "l")
+    """A curve for every supplier, through points at its parts' temperatures, which its quantities move off the law."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    p = li.select(F.col("l_suppkey").alias("id"), (800.0 + F.col("l_partkey") % 101 * 10).alias("t"), ((F.col("l_quantity").cast("double") - 25) * 0.002).alias("off"))
+    pts = p.withColumn("l", F.expr(f"{_A} + {_B} / (t - {_T0}) + off"))
+    f = S.fit_vft(pts.select("id", "t", "l"), ["id"], "t", "l")
     t4 = S.vft_inverse(F.lit(4.0), F.col("a"), F.col("b"), F.col("t0"))
-    return f.select("id", F.round("a", 3).alias("a"), F.round("b", 0).alias("b"), F.round("t0", 1).alias("t0"), F.round(t4, 1).alias("t4"))
+    return f.select("id", F.round("a", 2).alias("a"), F.round("b", 0).alias("b"), F.round("t0", 1).alias("t0"), F.round(t4, 1).alias("t4"), F.round("rmse", 7).alias("rmse"))
 
 
-VFT_FIT = "SELECT id, round(a, 3) AS a, round(b, 0) AS b, round(t0, 1) AS t0, round(t0 + b / (4 - a), 1) AS t4 FROM (VALUES ('x', -2.5::DOUBLE, 4500::DOUBLE, 480::DOUBLE), ('y', -1.2, 3100, 550), ('z', -4.0, 6200, 300)) AS f(id, a, b, t0)"
+# For a given t0 the law is a line in 1 / (t - t0); the best t0 is found by golden sections.
+_GOLD = 0.6180339887498949
+VFT_FIT = f"""WITH RECURSIVE p AS (SELECT l_suppkey AS id, 800.0 + l_partkey % 101 * 10 AS t, (CAST(l_quantity AS DOUBLE) - 25) * 0.002 AS off FROM lineitem),
+q AS (SELECT id, t::DOUBLE AS t, {_A}::DOUBLE + {_B}::DOUBLE / (t - {_T0}::DOUBLE) + off AS l FROM p),
+g AS (SELECT id, 0 AS k, 0.0::DOUBLE AS lo, min(t) - 1 AS hi FROM q GROUP BY id UNION ALL
+  SELECT id, k + 1, CASE WHEN s1 <= s2 THEN lo ELSE x1 END, CASE WHEN s1 <= s2 THEN x2 ELSE hi END FROM (
+    SELECT g.id, k, lo, hi, hi - {_GOLD} * (hi - lo) AS x1, lo + {_GOLD} * (hi - lo) AS x2, regr_syy(l, 1 / (t - (hi - {_GOLD} * (hi - lo)))) * (1 - regr_r2(l, 1 / (t - (hi - {_GOLD} * (hi - lo))))) AS s1,
+      regr_syy(l, 1 / (t - (lo + {_GOLD} * (hi - lo)))) * (1 - regr_r2(l, 1 / (t - (lo + {_GOLD} * (hi - lo))))) AS s2
+    FROM g JOIN q ON q.id = g.id WHERE k < 45 GROUP BY g.id, k, lo, hi)),
+b AS (SELECT id, (lo + hi) / 2 AS t0 FROM g WHERE k = 45),
+f AS (SELECT b.id, t0, regr_intercept(l, 1 / (t - t0)) AS a, regr_slope(l, 1 / (t - t0)) AS b FROM b JOIN q ON q.id = b.id GROUP BY b.id, t0)
+SELECT f.id, round(any_value(a), 2) AS a, round(any_value(b), 0) AS b, round(any_value(t0), 1) AS t0, round(any_value(CASE WHEN a < 4 AND b > 0 THEN t0 + b / (4 - a) END), 1) AS t4, round(sqrt(avg(pow(a + b / (t - t0) - l, 2))), 7) AS rmse FROM f JOIN q ON q.id = f.id GROUP BY f.id"""
 
 
 def vft_curve(spark: SparkSession, d: str) -> DataFrame:
-    f = spark.sql("SELECT * FROM VALUES ('x', -2.5D, 4500D, 480D), ('y', -1.2D, 3100D, 550D) AS f(id, a, b, t0)")
-    return S.vft_curve(f, 400.0, 1600.0, 50).select("id", "k", F.round("t", 6).alias("t"), F.round("log_eta", 6).alias("log_eta"))
+    """The laws of the suppliers themselves, and two reference temperatures."""
+    f = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id")).selectExpr("id", f"CAST({_A} AS DOUBLE) AS a", f"CAST({_B} AS DOUBLE) AS b", f"CAST({_T0} AS DOUBLE) AS t0")
+    return S.vft_curve(S.reference_temperatures(f), 400.0, 1600.0, 50).select("id", "k", F.round("t", 6).alias("t"), F.round("log_eta", 6).alias("log_eta"), "t4", "t7_6")
 
 
-VFT_CURVE = f"""WITH f AS (SELECT * FROM (VALUES ('x', -2.5::DOUBLE, 4500::DOUBLE, 480::DOUBLE), ('y', -1.2, 3100, 550)) AS f(id, a, b, t0)), c AS (SELECT *, CAST(range AS INT) AS k, 400.0 + range * {1200.0 / 49!r} AS t FROM f CROSS JOIN range(50))
-SELECT id, k, round(t, 6) AS t, round(a + b / (t - t0), 6) AS log_eta FROM c WHERE t > t0 + 1"""
+VFT_CURVE = f"""WITH i AS (SELECT s_suppkey AS id FROM supplier), f AS (SELECT id, {_A}::DOUBLE AS a, {_B}::DOUBLE AS b, {_T0}::DOUBLE AS t0 FROM i), c AS (SELECT *, CAST(range AS INT) AS k, 400.0 + range * {1200.0 / 49!r} AS t FROM f CROSS JOIN range(50))
+SELECT id, k, round(t, 6) AS t, round(a + b / (t - t0), 6) AS log_eta, round(t0 + b / (4.0 - a) - 273.15, 1) AS t4, round(t0 + b / (7.6 - a) - 273.15, 1) AS t7_6 FROM c WHERE t > t0 + 1"""
 
 
 def viscosity(spark: SparkSession, d: str) -> DataFrame:
