@@ -321,7 +321,7 @@ def test_surrogates_leave_nothing():
         assert x == z != y
         short, long = out[4].removeprefix("host ").split(" is ")
         assert surrogates.normal("ip6", short) == long
-    days = [surrogates.date(1900, 1, 1) + surrogates.timedelta(i) for i in range(0, surrogates._DAYS, 7)]
+    days = [surrogates._FIRST_DAY + surrogates.timedelta(i) for i in range(0, surrogates._DAYS, 7)]
     new = {surrogates._other_day(b"k", d) for d in days}
     assert len(new) == len(days) and all(surrogates._other_day(b"k", d) != d for d in days)
 
@@ -336,6 +336,64 @@ def test_surrogates_of_small_spaces(spark):
     assert len({r.text for r in got}) == len(rows) and not {r.text for r in got} & {t for _, t in rows}
 
 
+LEFT_ALONE = [
+    "The New York Times said so.", "United Nations said no.", "Yesterday the Central Bank wrote to us.", "In May we left.", "On Monday Parliament called.", "La Universidad Nacional dijo que no.",
+    "Dear Sir or Madam, hello.", "Die Deutsche Bank sagte nein.", "Le Monde Diplomatique a dit non.", "Hello World Team", "Mr. said nothing", "We May Say said he.", "ratio 1:2:3 at 10:20:30", "call 0123456789 now", "see 2001-02-03.",
+]
+
+
+@pytest.mark.parametrize("text", LEFT_ALONE)
+def test_surrogates_leave_ordinary_sentences(text):
+    assert surrogates.replace(text, b"k", {}) == (text, [])
+
+
+#: Text, what must stay, what must go, and pairs of words that must get the same surrogate.
+PEOPLE = [
+    ("Mr John Smith said hello. Mr. John Smith said bye.", ["Mr ", "Mr. ", " said hello. "], ["John", "Smith"], [(1, 6), (2, 7)]),
+    ("Mrs Anna Berg wrote. Frau Berg ging, Anna blieb.", ["Mrs ", " wrote. Frau ", " ging, "], ["Anna", "Berg"], [(2, 5), (1, 7)]),
+    ("Herr Schmidt sagte ja. Schmidt ging. SCHMIDT kam.", ["Herr ", " sagte ja. "], ["Schmidt", "SCHMIDT"], [(1, 4), (1, 6)]),
+    ("Yesterday Anna Berg called. Then Berg left.", ["Yesterday ", " called. Then "], ["Anna", "Berg"], [(2, 5)]),
+    ("Maria May said no. In May we left.", [" said no. In May we left."], ["Maria"], []),
+    ("WILLIAM SMITH wrote. William Smith said.", [" wrote. ", " said."], ["WILLIAM", "William", "Smith"], [(0, 3), (1, 4)]),
+    ("Mr Chris Miller came. Chris Miller said no. Chris left Miller's house.", ["Mr ", " came. ", "'s house."], ["Chris", "Miller"], [(1, 4), (1, 8), (2, 5)]),
+    ("Dear Mr Smith, Señora Carmen Ruiz escribió. Ruiz dijo.", ["Dear Mr ", ", Señora ", " escribió. "], ["Smith", "Carmen", "Ruiz"], [(5, 7)]),
+    ("господин Иван Петров сказал. Петров ушёл.", ["господин ", " сказал. ", " ушёл."], ["Иван", "Петров"], [(2, 4)]),
+]
+
+
+@pytest.mark.parametrize(("text", "stay", "go", "same_"), PEOPLE)
+def test_surrogates_of_one_person_agree(text, stay, go, same_):
+    import re
+
+    new = surrogates.replace(text, b"k", {})[0]
+    assert all(x in new for x in stay) and not any(re.search(rf"\b{x}\b", new) for x in go if x not in "".join(stay)), new
+    words = re.findall(r"[^\W_]+", new)
+    for a, b in same_:
+        assert words[a].lower() == words[b].lower(), new
+
+
+def test_surrogates_of_written_dates_and_numbers():
+    import re
+
+    for text, form in [
+        ("geboren am 3. Mai 1975", rf"geboren am \d+\. (?:{'|'.join(surrogates.MONTHS[1])}) \d{{4}}"), ("née le 3 mars 1980", rf"née le \d+ (?:{'|'.join(surrogates.MONTHS[2])}) \d{{4}}"),
+        ("nacido el 3 de mayo de 1975", rf"nacido el \d+ de (?:{'|'.join(surrogates.MONTHS[3])}) de \d{{4}}"), ("дата рождения: 3 мая 1975", rf"дата рождения: \d+ (?:{'|'.join(surrogates.MONTHS[4])}) \d{{4}}"),
+        ("born 1875-02-03", r"born \d{4}-\d\d-\d\d"), ("Ruf 030 1234567", r"Ruf 0\d\d \d{7}"), ("tél 06 12 34 56 78", r"tél 0\d \d\d \d\d \d\d \d\d"), ("at 00:1A:2B:3C:4D:5E", r"at 00(?::[0-9A-F]{2}){5}"),
+        ("00-1a-2b-3c-4d-5e", r"00(?:-[0-9a-f]{2}){5}"), ("an müller@münchen.de", r"an \w+@\w+\.de"), ("password=abc1", r"password=\w{4}"),
+    ]:
+        new, kinds = surrogates.replace(text, b"k", {})
+        assert new != text and re.fullmatch(form, new) and len(kinds) == 1, new
+
+
+@pytest.mark.parametrize("text", ["x 1 " + "a:" * 500_000 + "g", "1 " + "::" * 500_000, "00:" * 300_000, "a@" * 300_000, "1 " * 500_000, "Anna Berg said a1.b1@x.org " * 20_000])
+def test_surrogates_search_in_linear_time(text):
+    import time
+
+    t = time.process_time()
+    surrogates.find(text)
+    assert time.process_time() - t < 10  # the quadratic search took minutes
+
+
 def test_iban_before_words():
     """Upper-case words and other numbers beside an IBAN leave it whole."""
     iban = "ES91 2100 0418 4502 0005 1332"

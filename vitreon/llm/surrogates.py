@@ -60,36 +60,63 @@ SYLLABLES = {
 ENDINGS = [(("ова", "ева", "ина", "ая"), "ова"), (("ов", "ев", "ин", "ий"), "ов")]
 #: Country calling codes of one and two digits; all others have three.
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
-MONTHS = "January February March April May June July August September October November December".split()
-GENDER = {n: (s, g) for (s, g), names in NAMES.items() if g != "n" for n in names}
+#: Months by language, as they stand in dates.
+MONTHS = [
+    "January February March April May June July August September October November December".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split(),
+]
+#: Capitalised words that aren't names by themselves, lower-cased: with one of the first kind before it, what follows may still be a
+#: name; an article or a word of the last kind makes it the name of something else.
+_OPENERS = """yesterday today tomorrow now then when while after before although because since if but and or so as at by for from in of on to with later meanwhile however also once here there
+he she it we you they i his her my our their who what where why how this that these those monday tuesday wednesday thursday friday saturday sunday
+gestern heute morgen dann als nachdem während aber und oder er sie es wir ihr ich montag dienstag mittwoch donnerstag freitag samstag sonntag
+hier aujourd'hui demain puis quand après mais et ou il elle nous vous ils elles je lundi mardi mercredi jeudi vendredi samedi dimanche
+ayer hoy mañana luego cuando después pero y o él ella nosotros ellos ellas yo lunes martes miércoles jueves viernes sábado domingo
+вчера сегодня завтра потом когда после но и или он она они мы вы я понедельник вторник среда четверг пятница суббота воскресенье
+sir madam all everyone everybody team world colleagues friends president minister chairman speaker judge king queen""".split()
+_ARTICLES = "the a an der die das ein eine le la les l' un une los las el una".split()
+_BODIES = """times post news press journal gazette nations university college school institute academy company corporation corp inc ltd llc plc gmbh ag bank ministry department agency office bureau
+council committee commission board party union association society foundation group team club court parliament senate congress government police army church museum hospital states kingdom republic federation
+city county street road avenue river lake mountain island airport station hotel conference project system service services
+universität hochschule gesellschaft verein ministerium amt gericht zeitung partei regierung université société ministère tribunal parti gouvernement journal universidad sociedad ministerio partido gobierno
+университет компания банк министерство институт партия газета правительство""".split()
+STOPS = frozenset(_OPENERS) | frozenset(_ARTICLES) | {m.lower() for some in MONTHS for m in some}
+BODIES = frozenset(_BODIES)
+GENDER = {n.lower(): (s, g) for (s, g), names in NAMES.items() if g != "n" for n in names}
 
 _HINT = re.compile(r"[\d@=:]")
+_MONTH = "|".join(sorted({m for some in MONTHS for m in some}, key=len, reverse=True))
 PATTERNS = [
-    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{6,})")),
+    ("email", re.compile(r"(?<![\w.+%-])[^\W_][\w.+%-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
+    ("secret", re.compile(r"(?i)\b(?:(?:password|passwd|pwd)\s*[=:]\s*[\"']?([^\s\"']{4,})|(?:token|secret|api[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{6,}))")),
     ("key", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b")),
     ("token", re.compile(r"(?<![\w-])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
-    ("ip6", re.compile(r"(?<![\w:.])[0-9A-Fa-f:]*:[0-9A-Fa-f]*:[0-9A-Fa-f:]*[0-9A-Fa-f](?![\w:])")),
-    ("date", re.compile(rf"(?i)\b(?:born|birth ?(?:day|date)?|date of birth|d\.?o\.?b\.?|geboren|geburtsdatum|née? le|nacid[oa]|рождения|родил(?:ся|ась))\W{{1,3}}(?:on |am |el )?(\d{{4}}-\d\d?-\d\d?|\d\d?([./-])\d\d?\2\d{{4}}|\d\d? (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d\d?, \d{{4}})(?!\d)")),
+    ("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![\w:-])")),
+    ("ip6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("date", re.compile(rf"(?i)\b(?:born|birth ?(?:day|date)?|date of birth|d\.?o\.?b\.?|geboren|geburtsdatum|née? le|nacid[oa]|рождения|родил(?:ся|ась))\W{{1,3}}(?:on |am |el |le )?(\d{{4}}-\d\d?-\d\d?|\d\d?([./-])\d\d?\2\d{{4}}|\d\d?\.? (?:de )?(?:{_MONTH}) (?:de )?\d{{4}}|(?:{_MONTH}) \d\d?, \d{{4}})(?!\d)")),
     ("card", re.compile(r"(?<![\d.+])\d(?:[ -]?\d){12,18}(?![\d])")),
-    ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d+.])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)")),
+    ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d+.])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)|(?<![\w+.,/-])0\d(?: \d\d){4}(?![\d])|(?<![\w+.,/-])0\d{2,4}[ /]\d{5,8}(?![\d])")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
 ]
-_NEEDS = {"email": "@", "ip6": ":", "key": "IA"}
+_NEEDS = {"email": "@", "ip6": ":", "key": "IA"}  # what a text must hold for a kind
 _UP = r"[^\W\d_a-zа-яёß-öø-ÿ]"
 _NAME = rf"{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*"
 _FULL = rf"{_NAME}(?: (?:{_UP}\. )?{_NAME}){{1,2}}"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? (?:(?:Dr|Prof)\.? )?({_NAME}(?: {_NAME}){{0,2}})")
-_NAMED = re.compile(rf"(?<!\w)((?:{'|'.join(GENDER)}) {_NAME})(?!\w)")
+_LISTED = [n for (_, g), names in NAMES.items() if g != "n" for n in names]
+_NAMED = re.compile(rf"(?<!\w)((?:{'|'.join([*_LISTED, *map(str.upper, _LISTED)])}) {_NAME})(?!\w)")
 _LABELS = ["name is", "Name:", "name:", "Patient:", "Customer:", "Contact:", "Employee:", "heiße", "Name ist", "me llamo", "Me llamo", "nombre es", "Nombre:", "m'appelle", "Nom:", "Nom :", "меня зовут", "Меня зовут", "Имя:"]
 _GREETINGS = ["Dear", "Hello", "Sincerely,", "Regards,", "regards,", "Signed,", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Уважаемый", "Уважаемая"]
 _SPEECH = ["said", "says", "wrote", "writes", "called", "asked", "replied", "signed", "sagte", "schrieb", "dijo", "escribió", "a dit", "a écrit", "сказал", "сказала", "написал", "написала"]
 #: What a text must hold somewhere for a pattern of names to be tried, and the pattern.
 _CONTEXT = [
     (list(TITLES), _TITLED),
-    (list(GENDER), _NAMED),
+    ([*_LISTED, *map(str.upper, _LISTED)], _NAMED),
     (_LABELS, re.compile(rf"(?<!\w)(?:{'|'.join(_LABELS)}) *({_FULL})")),
     (_GREETINGS, re.compile(rf"(?<!\w)(?:{'|'.join(_GREETINGS)})\s+({_FULL})")),
     (_SPEECH, re.compile(rf"(?<!\w)({_FULL}),? (?:{'|'.join(_SPEECH)})(?!\w)")),
@@ -118,11 +145,10 @@ def _digits(s: str) -> str:
 def _day(found: str) -> tuple[date, str] | None:
     """A written date and its form: y, d or m first, or a month's name second (D) or first (M)."""
     n = [int(x) for x in re.findall(r"\d+", found)]
-    word = re.search(r"[A-Za-z]+", found)
-    if word:
-        form = "M" if word.start() == 0 else "D"
-        y, m, d = n[1], [x.lower() for x in MONTHS].index(word[0].lower()) + 1, n[0]
-    elif len(n) == 3 and n[0] > 999:
+    if len(n) == 2:
+        form = "D" if found[0].isdigit() else "M"
+        y, m, d = n[1], _month(found)[1] + 1, n[0]
+    elif n[0] > 999:
         form, (y, m, d) = "y", n
     else:
         form = "m" if n[1] > 12 or "/" in found and n[0] <= 12 else "d"
@@ -134,6 +160,12 @@ def _day(found: str) -> tuple[date, str] | None:
     return (day, form) if _FIRST_DAY <= day < _FIRST_DAY + timedelta(_DAYS) else None
 
 
+def _month(found: str) -> tuple[str, int, int]:
+    """The name of a month in a date, its number from 0, and its language."""
+    name = next(w for w in re.findall(r"[^\W\d_]+", found) if w.lower() != "de")
+    return next((name, [m.lower() for m in some].index(name.lower()), k) for k, some in enumerate(MONTHS) if name.lower() in (m.lower() for m in some))
+
+
 def _valid(kind: str, found: str) -> bool:
     if kind == "card":
         d = _digits(found)
@@ -168,6 +200,8 @@ def _iban_end(found: str) -> int:
 def normal(kind: str, found: str) -> str:
     if kind == "phone":
         d = _digits(found)
+        if found.startswith("0"):  # a national form
+            return f"0-{d[1:]}"
         if not found.startswith("+"):  # the pattern's other form is North American
             return f"1-{d}"
         n = next((n for n in (1, 2) if d[:n] in CALLING), 3)
@@ -178,6 +212,8 @@ def normal(kind: str, found: str) -> str:
         return found.lower()
     if kind == "iban":
         return found.replace(" ", "")
+    if kind == "mac":
+        return re.sub("[:-]", "", found).lower()
     if kind == "ip6":
         return ipaddress.IPv6Address(found).exploded
     if kind == "date":
@@ -189,14 +225,41 @@ def _script(name: str) -> str:
     return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
 
 
-def _person(text: str, a: int, b: int, gender: str = "n") -> Iterator[tuple[int, int, str, str]]:
-    """First names and surname of the words text[a:b]; one word alone is a surname."""
+def _person(text: str, a: int, b: int, gender: str = "n", least: int = 1) -> Iterator[tuple[int, int, str, str]]:
+    """First names and surname of the words text[a:b]; one word alone is a surname.
+
+    Titles in front go, and tell the gender; so do words that open sentences, and months and weekdays. Nothing is found where
+    an article stands in front, a word is that of a body, or fewer than the least number of words are left.
+    """
     words = [(a + m.start(), a + m.end(), m[0]) for m in re.finditer(_NAME, text[a:b])]
+    words = [(i, j - 2, w[:-2]) if w[-2:] in ("'s", "’s") else (i, j, w) for i, j, w in words]
+    if any(w.lower() in BODIES for _, _, w in words):
+        return
+    while words and (words[0][2] in TITLES or words[0][2].lower() in STOPS):
+        w = words.pop(0)[2]
+        if w in TITLES:
+            gender, least = TITLES[w], 1
+        elif w.lower() in _ARTICLES:
+            return
+    while len(words) > 2 and words[-1][2].lower() in STOPS:
+        words.pop()
+    if len(words) < least:
+        return
     for k, (i, j, w) in enumerate(words):
         if k == len(words) - 1:
             yield i, j, f"last:{_script(w)}", w.lower()
         elif len(w) > 1:
-            yield i, j, f"first:{_script(w)}:{GENDER.get(w, ('', gender))[1]}", w.lower()
+            yield i, j, f"first:{_script(w)}:{gender}", w.lower()
+
+
+def _one_gender(names: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The same names, with one gender for a first name throughout the document: the listed one, or what a title tells."""
+    told: dict[str, str] = {}
+    for _, _, kind, norm in names:
+        if kind.startswith("first:") and kind[-1] != "n":
+            told.setdefault(norm, kind[-1])
+    gender = lambda norm: GENDER.get(norm, ("", told.get(norm, "n")))[1]
+    return [(a, b, f"{kind[:-1]}{gender(norm)}" if kind.startswith("first:") else kind, norm) for a, b, kind, norm in names]
 
 
 @functools.cache
@@ -216,19 +279,23 @@ def _persons(text: str, others: list[tuple[int, int, str, str]]) -> Iterator[tup
     for k in sorted({k for _, ks in _hints().iter(text) for k in ks}):
         for m in _CONTEXT[k][1].finditer(text):
             if k > 0:
-                yield from _person(text, *m.span(1))
+                yield from _person(text, *m.span(1), least=2)
             elif len(m[2]) > 1:
                 yield from _person(text, *m.span(2), TITLES[m[1]])
+    owners: set[tuple[str, str]] = set()
     for a, b, kind, norm in others:
         if kind in ("email", "phone", "card", "iban", "ssn", "date") and (m := _BEFORE.search(text, max(0, a - 80), a)):
-            yield from _person(text, *m.span(1))
+            yield from _person(text, *m.span(1), least=2)
         if kind == "email":
             parts = [p for p in re.split(r"[\d._+%-]+", norm[: norm.rindex("@")]) if len(p) > 1 and p.isalpha()]
             if len(parts) == 2:
-                one, two = map(re.escape, parts)
-                for m in re.finditer(rf"(?i)(?<!\w)(?:{one} {two}|{two} {one})(?!\w)", text):
-                    if all(w[0].isupper() for w in m[0].split()):
-                        yield from _person(text, *m.span())
+                owners |= {(parts[0], parts[1]), (parts[1], parts[0])}
+    if owners:  # pairs of words that an address is made of, in one pass
+        last = None
+        for m in re.finditer(_NAME, text):
+            if last and m.start() == last.end() + 1 and text[last.end()] == " " and (last[0].lower(), m[0].lower()) in owners:
+                yield from _person(text, last.start(), m.end())
+            last = m
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -243,22 +310,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             at = 0
             while m := pattern.search(text, at):
                 at = m.end()
-                a, b = m.span(min(m.lastindex or 0, 1))
+                a, b = m.span(m.lastindex if kind == "secret" else 1 if kind == "date" else 0)
                 if kind == "iban":  # what follows the valid part, or the first group if none is, may be the next one
                     n = _iban_end(m[0])
                     at, b = (a + n, a + n) if n else (a + 4, b)
                 if _valid(kind, text[a:b]):
                     out.append((a, b, kind, normal(kind, text[a:b])))
-    names = list(_persons(text, out))
+    names = _one_gender(list(_persons(text, out)))
     if names:  # wherever they stand alone
         known: dict[str, tuple[str, str]] = {}
         for a, b, kind, norm in names:
-            if b - a > 1:
-                known.setdefault(text[a:b], (kind, norm))
-                known.setdefault(text[a:b].upper(), (kind, norm))
-        bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)")
+            if b - a > 1 and norm not in STOPS:
+                known.setdefault(norm, (kind, norm))
         taken = {e[0] for e in names}
-        out += names + [(*m.span(), *known[m[0]]) for m in bare.finditer(text) if m.start() not in taken]
+        out += names
+        for m in re.finditer(_NAME, text):
+            whole = [m] if m[0].lower() in known else re.finditer(r"[^\W\d_]+", m[0])
+            for w in whole:
+                a = m.start() + (w.start() if w is not m else 0)
+                if w[0].lower() in known and w[0][0].isupper() and a not in taken and (w[0].isupper() or not w[0][1:].isupper()):
+                    out.append((a, a + len(w[0]), *known[w[0].lower()]))
     out.sort(key=lambda e: (e[0], -e[1]))
     kept, end = [], 0
     for e in out:
@@ -312,7 +383,7 @@ def _like(s: str, rng: Stream, signs: bool = False) -> str:
 
 
 # Birth dates: a keyed permutation of these days.
-_FIRST_DAY, _DAYS = date(1900, 1, 1), 46_751
+_FIRST_DAY, _DAYS = date(1870, 1, 1), 1 << 16
 
 
 def _mixed(key: bytes, n: int, back: bool = False) -> int:
@@ -363,6 +434,9 @@ def _drawn(kind: str, norm: str, rng: Stream, attempt: int, more: int) -> str:
     if kind == "token":
         n = re.match(r"[a-z]+_(?:pat_)?|sk-|xox\w-|AIza|eyJ", norm).end()
         return norm[:n] + _like(norm[n:], rng) + extra("abcdefghijklmnopqrstuvwxyz")
+    if kind == "mac":
+        # the first octet says whether an address is a single one's and a maker's
+        return norm[:2] + "".join(rng.of("0123456789abcdef") for _ in norm[2:]) + "".join(rng.of("0123456789abcdef") for _ in range(2 * more))
     if kind == "ip":
         if attempt >= 64:
             return _drawn("ip6", "2001:0db8:1111:1111:1111:1111:1111:1111", rng, attempt, 0)
@@ -401,19 +475,24 @@ def _drawn(kind: str, norm: str, rng: Stream, attempt: int, more: int) -> str:
 def rendered(kind: str, found: str, norm: str, new: str) -> str:
     """The surrogate in the form in which the entity was written."""
     if kind in ("phone", "card", "ssn", "iban"):
-        src = new if kind != "phone" else new.replace("-", "", 1) if found.startswith("+") else new[new.index("-") + 1 :]
+        src = new if kind != "phone" else new.replace("-", "", 1) if found[0] in "+0" else new[new.index("-") + 1 :]
         at = iter(src)
         return "".join(next(at, "") if c.isalnum() else c for c in found) + "".join(at)
     if kind == "email":
         return new.upper() if found.isupper() else new
+    if kind == "mac":
+        out = found[2].join(new[i : i + 2] for i in range(0, len(new), 2))
+        return out.upper() if found.isupper() else out
     if kind == "ip6":
         short = new if len(found) == 39 else str(ipaddress.IPv6Address(new))
         return short.upper() if found.isupper() else short
     if kind == "date":
         day, form = date.fromisoformat(new), _day(found)[1]
         if form in "DM":
-            name = MONTHS[day.month - 1]
-            return f"{day.day} {name} {day.year}" if form == "D" else f"{name} {day.day}, {day.year}"
+            name, _, language = _month(found)
+            month = MONTHS[language][day.month - 1]
+            numbers = iter((str(day.day), str(day.year)))
+            return re.sub(r"\d+", lambda _: next(numbers), found.replace(name, month.upper() if name.isupper() else month.capitalize() if name[0].isupper() else month.lower(), 1))
         at = iter({"y": (day.year, day.month, day.day), "d": (day.day, day.month, day.year), "m": (day.month, day.day, day.year)}[form])
         return re.sub(r"\d+", lambda m: f"{next(at):0{len(m[0]) if m[0][0] == '0' or len(m[0]) > 2 else 1}d}", found)
     if kind.startswith(("first:", "last:")):
