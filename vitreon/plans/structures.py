@@ -9,7 +9,8 @@ from ..constants import NEUTRON_B, XRAY_TERMS
 from ..functions import lookup as L
 from ..operators import graph, neighbors, placement, structure, voxels
 from ..schemas import CELL, KEY
-from ..sources import trajectories
+from ..sources import dumps, trajectories
+from ..streaming.jobs import folder
 
 BOX, CUTOFF = 10.0, 3.0
 O, SI, NA = 8, 14, 11
@@ -273,6 +274,48 @@ def xyz(spark: SparkSession, d: str) -> DataFrame:
     return trajectories.to_text(a, frames(a), "extxyz").select("structure_id", "text")
 
 
+_FRAMES = 7
+
+
+def dump_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Two frames of dumps that the atoms were written to, in seven frames a file: only their bytes are read."""
+    a = _on_grid(atoms(spark, d)).withColumns({"frame": (F.col("atom_id") % _FRAMES).cast("int"), "type": F.col("atomic_number"), "element": F.when(F.col("atomic_number") == O, "O").when(F.col("atomic_number") == SI, "Si").otherwise("Na")})
+    f = frames(a).withColumns({"step": F.col("frame") * 100, "file": F.concat(F.lit("run"), F.col("structure_id"), F.lit(".dump"))})
+    where = folder(spark, "dumps")
+    dumps.write_files(dumps.dump_texts(a, f, "file"), f"{where}/files")
+    dumps.write_index(spark, f"{where}/files", f"{where}/index")
+    got = dumps.read_frames(spark, f"{where}/index").where("frame in (2, 5)")
+    name = F.regexp_extract("structure_id", r"run(.*)\.dump$", 1).alias("structure_id")
+    return got.groupBy(name, "frame", "step", "element").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("z").alias("z"), F.min("atom_id").alias("first"), F.max(F.col("cell")[8]).alias("edge"))
+
+
+DUMP_FRAMES = f"""WITH {ATOMS}, r AS (SELECT DENSE_RANK() OVER (PARTITION BY structure_id ORDER BY id % {_FRAMES}) - 1 AS k, * FROM a)
+SELECT structure_id, CAST(k AS INT) AS frame, id % {_FRAMES} * 100 AS step, CASE zn WHEN {O} THEN 'O' WHEN {SI} THEN 'Si' ELSE 'Na' END AS element, count(*) AS n, sum(floor(x * 64) / 64) AS x, sum(floor(z * 64) / 64) AS z, min(id) AS first, 10.0::DOUBLE AS edge
+FROM r WHERE k IN (2, 5) GROUP BY ALL"""
+
+
+def histogram_files(spark: SparkSession, d: str) -> DataFrame:
+    """Coordination and angles as files, one a structure, read back."""
+    a, p = _found(spark, d)
+    cn = structure.histogram(structure.coordination(a, p, SI), "cn", ["structure_id"])
+    where = folder(spark, "histograms")
+    dumps.write_files(dumps.histogram_texts(cn, "structure_id", "cn", "n", "Si"), where)
+    ang = structure.angles(p, SI, O, 6)
+    dumps.write_files(dumps.angle_texts(ang, "structure_id", "bin", "density", [15.0 + 30 * k for k in range(6)]), where)
+    raw = spark.read.text(where, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file"), F.split("value", "\n").alias("l"))
+    return raw.select("file", F.col("l")[0].alias("head"), F.col("l")[1].alias("line"))
+
+
+HISTOGRAM_FILES = f"""WITH {_pairs_sql(CUTOFF)}, c AS (SELECT a.structure_id, a.id, count(p.j) AS cn FROM a LEFT JOIN p ON p.structure_id = a.structure_id AND p.i = a.id WHERE a.zn = {SI} GROUP BY ALL),
+h AS (SELECT structure_id, cn, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT structure_id, unnest(range(max(cn) + 1)) AS k FROM h GROUP BY structure_id), t AS (SELECT m.structure_id, k, coalesce(n, 0) AS n FROM m LEFT JOIN h ON h.structure_id = m.structure_id AND cn = k),
+s AS (SELECT s.structure_id, CAST(least(floor(degrees(acos(greatest(-1, least(1, (s.dx / sqrt(s.d2)) * (t.dx / sqrt(t.d2)) + (s.dy / sqrt(s.d2)) * (t.dy / sqrt(t.d2)) + (s.dz / sqrt(s.d2)) * (t.dz / sqrt(t.d2)))))) / 30.0), 5) AS INT) AS bin
+  FROM p AS s JOIN p AS t ON s.structure_id = t.structure_id AND s.i = t.i AND s.j < t.j WHERE s.zi = {SI} AND s.zj = {O} AND t.zj = {O}),
+g AS (SELECT structure_id, bin, count(*) / (sum(count(*)) OVER (PARTITION BY structure_id) * 30.0) AS v FROM s GROUP BY structure_id, bin), w AS (SELECT structure_id, b.range AS bin FROM (SELECT DISTINCT structure_id FROM g), range(6) AS b),
+f AS (SELECT structure_id, string_agg(printf('%.6f', coalesce(v, 0)), ' ' ORDER BY bin) AS t FROM w LEFT JOIN g USING (structure_id, bin) GROUP BY structure_id)
+SELECT structure_id || '.Si.txt' AS file, 'composition ' || string_agg('Si_' || k, ' ' ORDER BY k) || ' Si_tot' AS head, structure_id || ' ' || string_agg(n, ' ' ORDER BY k) || ' ' || sum(n) AS line FROM t GROUP BY structure_id
+UNION ALL SELECT structure_id || '.angles.txt', 'composition 15.00 45.00 75.00 105.00 135.00 165.00', structure_id || ' ' || t FROM f"""
+
+
 def _on_grid(a: DataFrame) -> DataFrame:
     return a.withColumns({c: F.floor(F.col(c) * 64) / 64 for c in "xyz"})
 
@@ -328,12 +371,14 @@ QUERIES = {
     "structure_factor": structure_factor, "bond_angles": angles, "oxygen_classes": oxygens, "qn_distribution": qn, "network_connectivity": connectivity,
     "former_edges": edges, "rings_3": triangles, "rings": rings, "cavities": cavities, "rdf_minima": minima, "atom_roles": roles, "number_density": density,
     "min_distance": free_space, "replicate": replicas, "random_structure": random_structure, "structure_text": xyz, "structure_factor_total": xray, "rings_small": small_rings, "ring_counts": ring_counts,
+    "dump_frames": dump_frames, "histogram_files": histogram_files,
 }
 ORACLES = {
     "neighbor_coordination": COORDINATION, "neighbor_pair_cutoffs": PAIR_CUTOFFS, "neighbor_lists": LISTS, "rdf_partial": RDF, "cn_cumulative": CUMULATIVE,
     "structure_factor": STRUCTURE_FACTOR, "bond_angles": ANGLES, "oxygen_classes": OXYGENS, "qn_distribution": QN, "network_connectivity": CONNECTIVITY,
     "former_edges": EDGES, "rings_3": TRIANGLES, "atom_roles": ROLES, "number_density": DENSITY, "min_distance": FREE_SPACE, "replicate": REPLICAS,
     "random_structure": RANDOM, "structure_text": XYZ, "structure_factor_total": XRAY, "rings_small": SMALL_RINGS, "rings": RINGS, "ring_counts": RING_COUNTS,
+    "dump_frames": DUMP_FRAMES, "histogram_files": HISTOGRAM_FILES,
 }
 
 
