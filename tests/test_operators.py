@@ -481,7 +481,7 @@ def test_job_days(spark, tmp_path):
 
     s = JobStore(spark, str(tmp_path / "jobs"))
     s.create(spark.sql("SELECT * FROM VALUES ('a', 'h', 'x', TIMESTAMP '2024-01-02 03:04:05'), ('b', 'h', 'y', TIMESTAMP '2024-01-03 00:00:00') AS t(job_id, request_hash, result_data, created_at)"))
-    assert sorted(p.name for p in (tmp_path / "jobs").iterdir() if p.is_dir()) == ["day=2024-01-02", "day=2024-01-03"]
+    assert sorted(p.name for p in (tmp_path / "jobs" / "data").glob("*/day=*")) == ["day=2024-01-02", "day=2024-01-03"]
     s.clear_results("h")
     rows = {r.job_id: (r.version, r.result_data) for r in s.jobs().collect()}
     assert rows == {"a": (2, None), "b": (2, None)}
@@ -628,3 +628,62 @@ def test_all_values_settle(spark, tmp_path):
         last = max((r for r in got if r.run_id == run), key=lambda r: r.batch)
         assert last.n == stop and last.done and list(last.mean) == pytest.approx(list(x[:stop].mean(0)))
         assert list(last.sem) == pytest.approx(list(x[:stop].std(0, ddof=1) / stop**0.5))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Writers that meet try again: every update gets a version of its own, a cancelled job stays so, reads stay short."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from vitreon.sources.jobstore import JobStore
+
+    store = JobStore(spark, str(tmp_path / "jobs"), snapshot_after=4)
+    store.create(spark.createDataFrame([("a", "running"), ("b", "pending")], "job_id string, status string"))
+    with pytest.raises(ValueError):
+        store.create(spark.createDataFrame([("a", "running")], "job_id string, status string"))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: JobStore(spark, str(tmp_path / "jobs"), snapshot_after=4).update("a", request_data=str(k)), range(8)))
+    assert store.get("a").first().version == 9
+    assert len(store._tail()[1]) <= 6 and len(store.commits()) > 9  # a snapshot and a few commits
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda f: f(), [lambda: store.cancel("b"), lambda: store.cancel("b")]))
+    assert sorted(done) == [False, True] and store.get("b").first().version == 2
+    assert not store.update("nobody", status="failed")
+    n = store.commits()[-1]
+    assert not store._put(n, {}) and store.jobs().count() == 2
+
+
+def test_dump_reads_only_its_frames(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
+
+    from vitreon.sources import dumps
+
+    text = "".join(f"ITEM: TIMESTEP\n{k * 10}\nITEM: NUMBER OF ATOMS\n50\nITEM: BOX BOUNDS pp pp pp\n0 10\n0 10\n0 10\nITEM: ATOMS id type x y z\n" + "".join(f"{i} 1 {k}.5 {i % 10} 1\n" for i in range(1, 51)) for k in range(40))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.dump").write_text(text)
+    dumps.write_index(spark, str(tmp_path / "in"), str(tmp_path / "index"), reach=777)  # ranges that cut headers
+    index = spark.read.parquet(str(tmp_path / "index")).orderBy("frame").collect()
+    assert [r.frame for r in index] == list(range(40)) and sum(r.length for r in index) == len(text)
+    read = []
+    monkeypatch.setattr(dumps, "_read", lambda p, start, n, f=dumps._read: read.append(n) or f(p, start, n))
+    one = dumps.DumpReader({"index": str(tmp_path / "index"), "types": "1=Si"})
+    rest = list(one.pushFilters([EqualTo(("frame",), 7), GreaterThan(("x",), 1.0), IsNotNull(("frame",))]))
+    rows = [r for p in one.partitions() for r in one.read(p)]
+    assert len(rows) == 50 and sum(read) == index[7].length < len(text) / 30 and len(rest) == 2
+    df = dumps.read_frames(spark, str(tmp_path / "index"), {1: "Si"})
+    assert {(r.frame, r.step, r.n, r.x) for r in df.where("frame >= 38 and x > 0").groupBy("frame", "step").agg(F.count("*").alias("n"), F.max("x").alias("x")).collect()} == {(38, 380, 50, 38.5), (39, 390, 50, 39.5)}
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    from vitreon.sources import dumps
+
+    rows = spark.range(6).select(F.concat(F.lit("f"), "id").alias("file"), F.concat(F.lit("text "), "id").alias("text")).repartition(3, "file")
+    bad = rows.withColumn("text", F.when(F.col("file") == "f4", F.raise_error(F.lit("no"))).otherwise(F.col("text")))
+    path = tmp_path / "out"
+    for df in (bad, rows.unionByName(rows.limit(1))):
+        with pytest.raises(Exception):
+            dumps.write_files(df, str(path))
+        assert not [f for f in path.rglob("*") if f.is_file()]
+    dumps.write_files(rows, str(path))
+    assert {f.name: f.read_text() for f in path.iterdir()} == {f"f{i}": f"text {i}" for i in range(6)}
+    with pytest.raises(Exception):
+        dumps.write_files(rows.limit(1), str(path), overwrite=False)
