@@ -687,3 +687,44 @@ def test_files_are_written_all_or_none(spark, tmp_path):
     assert {f.name: f.read_text() for f in path.iterdir()} == {f"f{i}": f"text {i}" for i in range(6)}
     with pytest.raises(Exception):
         dumps.write_files(rows.limit(1), str(path), overwrite=False)
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_long_runs(spark, block):
+    """Blocks of any size give what one pass over a run gives, for runs of many lengths, repeated times and a null run."""
+    from vitreon.operators import longruns as LR
+    from vitreon.operators import series as S
+
+    rng = np.random.default_rng(block)
+    rows = [(g, int(rng.integers(0, 50)), k, float(x)) for g, n in (("a", 150), ("b", 1), ("c", 7), (None, 20), ("d", 65)) for k, x in enumerate(rng.normal(3, 1, n))]
+    df = spark.createDataFrame(rows, "run string, t int, k int, y double")
+    p = LR.placed(df.repartition(5), ["run"], ["t", "k"]).cache()
+    for g in ("a", "b", "c", None, "d"):
+        y = np.array([r[3] for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:3])])
+        of = lambda d, g=g: [tuple(r) for r in d.where(F.col("run").eqNullSafe(F.lit(g))).orderBy(d.columns[1]).collect()]
+        assert [r[1:] for r in of(p.select("run", "_pos", "y"))] == list(enumerate(y.tolist()))
+        n = len(y)
+        got = of(LR.running_mean(p, ["run"], "y", 5, "m", block).select("run", "_pos", "m"))
+        assert [r[2] for r in got] == [pytest.approx(y[i - 2 : i + 3].mean()) if 2 <= i < n - 2 else None for i in range(n)]
+        got = of(LR.cumulative_trapezoid(p, ["run"], "y", F.lit(0.5), "i", block).select("run", "_pos", "i"))
+        assert [r[2] for r in got] == pytest.approx([0.0, *np.cumsum((y[1:] + y[:-1]) / 4)])
+        got = of(LR.cumulative_sem(p, ["run"], "y", block).select("run", "_pos", "mean", "sem"))
+        assert [r[2] for r in got] == pytest.approx([y[: i + 1].mean() for i in range(n)])
+        assert [r[3] for r in got] == pytest.approx([y[: i + 1].std(ddof=1) / (i + 1) ** 0.5 if i else 0.0 for i in range(n)], abs=1e-9)
+        for most in (None, 10):
+            got = of(LR.acf(p, ["run"], "y", most, block))
+            assert [r[1] for r in got] == list(range(min(n, most or n))) and [r[2] for r in got] == pytest.approx(S.autocorrelation(y, most or n).tolist())
+    p.unpersist()
+    with pytest.raises(ValueError):
+        LR.running_mean(p, ["run"], "y", 2 * block + 3, "m", block)
+
+
+def test_pair_table(spark):
+    """The table of a pair: even in r squared, the force minus the derivative of the energy."""
+    from vitreon.operators import potentials as P
+
+    t = P.pair_table(spark, ("Si", "O"), n=4001).orderBy("i").toPandas()
+    assert t["r"].iloc[0] == pytest.approx(0.1) and t["r"].iloc[-1] == pytest.approx(10.5) and np.diff(t["r"] ** 2) == pytest.approx((10.5**2 - 0.01) / 4000)
+    far = t[t["r"] > 1.5]
+    slope = np.gradient(far["energy"].to_numpy(), far["r"].to_numpy())
+    assert far["force"].to_numpy()[5:-5] == pytest.approx(-slope[5:-5], rel=5e-3, abs=2e-3)

@@ -13,6 +13,8 @@ from ..functions import lookup as L
 from ..operators import composition as K
 from ..operators import neighbors, series
 from ..operators import potentials as P
+from ..schemas import JOBS
+from . import submit
 
 #: What the parts of a supplier stand for: three of these, chosen by supplier, and silica.
 OXIDES = ["Na2O", "CaO", "Al2O3", "B2O3", "MgO", "K2O", "Li2O", "PbO", "SrO", "ZnO"]
@@ -293,6 +295,28 @@ c AS (SELECT comp_id, asked, CASE WHEN covers THEN asked WHEN asked = 'pmmcs' TH
 SELECT comp_id, chosen, CASE WHEN chosen IS NOT NULL THEN 'ok' WHEN asked = 'pmmcs' THEN 'none' ELSE 'unsupported' END AS status FROM c"""
 
 
+def submission(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for all suppliers' glasses, after those of even suppliers have been submitted and finished: what becomes of each."""
+    g = glasses(spark, d, False)
+    ask = g.select("comp_id").distinct().select("comp_id", F.lit(None).cast("string").alias("potential"), F.lit(None).cast("double").alias("density"), F.lit(None).cast("map<string,string>").alias("settings"), F.array(F.lit("all")).alias("tags"))
+    first = submit.submit(ask.where("cast(regexp_extract(comp_id, '[0-9]+', 0) as bigint) % 2 = 0"), g, spark.createDataFrame([], JOBS), "one")
+    done = first.where("error is null").select("job_id", "request_hash", F.lit("completed").alias("status"), F.lit("{}").alias("result_data"), "tags", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    got = submit.submit(ask, g, done, "two")
+    return got.select("comp_id", "error", "composition", "potential", F.round("density", 6).alias("density"), "status", "hit", F.size("tags").alias("n_tags"))
+
+
+def _submission_sql() -> str:
+    # the same SQL as of the parts, with the wider tolerance of requests
+    check = CHECK.replace("> 0.001", "> 0.03").replace("> 0.1", "> 3.0")
+    canonical = CANONICAL.replace("printf('%.2f', amount)", "printf('%.2f', 100 * fraction)")
+    choices = CHOICES.replace("'shik' WHEN right", "NULL WHEN right").replace("'2' THEN 'bjp'", "'2' THEN NULL")
+    return f"""WITH k AS ({check}), n AS (SELECT comp_id, canonical FROM ({canonical})), p AS ({choices}), y AS ({_density_sql().replace(", 8) AS density", ", 6) AS density")}),
+r AS (SELECT k.comp_id, CASE WHEN k.status <> 'ok' THEN 'composition: ' || k.status WHEN p.status <> 'ok' THEN 'potential: ' || p.status WHEN density IS NULL THEN 'density: unknown to the model' END AS error, canonical, chosen, density
+  FROM k LEFT JOIN n USING (comp_id) LEFT JOIN p USING (comp_id) LEFT JOIN y USING (comp_id))
+SELECT comp_id, error, canonical AS composition, chosen AS potential, density, CASE WHEN error IS NULL THEN CASE WHEN CAST(regexp_extract(comp_id, '[0-9]+') AS BIGINT) % 2 = 0 THEN 'completed' ELSE 'pending' END END AS status,
+error IS NULL AND CAST(regexp_extract(comp_id, '[0-9]+') AS BIGINT) % 2 = 0 AS hit, 1 AS n_tags FROM r"""
+
+
 def actual(spark: SparkSession, d: str) -> DataFrame:
     return K.actual_composition(K.element_counts(K.plan(glasses(spark, d), 333, "molecules")))
 
@@ -331,7 +355,7 @@ QUERIES = {
     "formula_parse": formula_parse, "formula_mass": formula_mass, "composition_check": check, "weight_to_mol": weight_to_mol, "element_fractions": elements,
     "elemental_vector": vector, "composition_distance": distances, "density_model": density, "canonical_composition": canonical, "fu_search": fu_search,
     "molecule_counts": from_molecules, "box_length": box, "compatible_potentials": potentials, "potential_configs": configs, "potential_config_lines": config_lines, "oxygen_charge": charge,
-    "pair_energies": pair_energies, "melt_quench_schedule": protocols, "temperature_program": temperatures, "choose_potential": choices, "actual_composition": actual, "composition_share": shares, "largest_remainder": remainders,
+    "pair_energies": pair_energies, "melt_quench_schedule": protocols, "temperature_program": temperatures, "choose_potential": choices, "actual_composition": actual, "composition_share": shares, "largest_remainder": remainders, "job_submission": submission,
 }
 ORACLES = {
     "formula_parse": f"WITH {G}, {PARSE} SELECT oxide AS formula, element, cnt FROM el",
@@ -340,5 +364,5 @@ ORACLES = {
     "density_model": _density_sql(), "canonical_composition": CANONICAL, "fu_search": FU_SEARCH, "molecule_counts": MOLECULES, "box_length": BOX,
     "compatible_potentials": POTENTIALS, "potential_config_lines": CONFIG_LINES, "oxygen_charge": CHARGE, "pair_energies": _energies_sql(), "melt_quench_schedule": _protocol_sql(), "choose_potential": CHOICES, "actual_composition": ACTUAL,
     "temperature_program": f"WITH p AS ({_protocol_sql()}) SELECT id, first_step AS step, t_from AS temperature FROM p UNION SELECT id, first_step + steps, t_to FROM p",
-    "composition_share": SHARES, "largest_remainder": REMAINDERS,
+    "composition_share": SHARES, "largest_remainder": REMAINDERS, "job_submission": _submission_sql(),
 }

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import constants as C
+from ..operators import longruns as LR
 from ..operators import moments as M
 from ..operators import series as S
 from ..streaming.jobs import folder
 
-#: Lags reach over a whole run; the SQL counts up to more than any run has.
-BY, LAGS = ["run"], 1_000
+BY = ["run"]
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -48,18 +48,18 @@ FROM e WINDOW w AS (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING)"""
 
 
 def acf(spark: SparkSession, d: str) -> DataFrame:
-    c = S.acf(runs(spark, d), BY, "t", "y", LAGS)
+    c = LR.acf(runs(spark, d).withColumnRenamed("t", "_pos"), BY, "y")
     zero = F.first("acf").over(W.partitionBy("run").orderBy("lag").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return c.select("run", "lag", F.round(F.col("acf") / zero, 9).alias("acf"))
 
 
-_ACF = f"""{E}, n AS (SELECT run, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT CAST(range AS INT) AS lag FROM range({LAGS})),
-c AS (SELECT n.run, k.lag, sum(a.y * b.y) / any_value(n.n - k.lag) AS acf FROM n JOIN k ON k.lag < n.n JOIN e AS a ON a.run = n.run JOIN e AS b ON b.run = a.run AND b.t = a.t + k.lag GROUP BY n.run, k.lag)"""
+_ACF = f"""{E}, n AS (SELECT run, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT run, CAST(unnest(range(n)) AS INT) AS lag FROM n),
+c AS (SELECT n.run, k.lag, sum(a.y * b.y) / any_value(n.n - k.lag) AS acf FROM n JOIN k ON k.run = n.run JOIN e AS a ON a.run = n.run JOIN e AS b ON b.run = a.run AND b.t = a.t + k.lag GROUP BY n.run, k.lag)"""
 ACF = f"WITH {_ACF} SELECT c.run, c.lag, round(c.acf / z.acf, 9) AS acf FROM c JOIN c AS z ON z.run = c.run AND z.lag = 0"
 
 
 def green_kubo(spark: SparkSession, d: str) -> DataFrame:
-    c = S.acf(runs(spark, d), BY, "t", "y", LAGS)
+    c = LR.acf(runs(spark, d).withColumnRenamed("t", "_pos"), BY, "y")
     return S.cumulative_trapezoid(c, BY, "lag", "acf", F.lit(0.001)).select("run", "lag", F.round("integral", 6).alias("integral"))
 
 
@@ -67,6 +67,38 @@ GREEN_KUBO = f"""WITH {_ACF}, s AS (SELECT *, coalesce((acf + lag(acf) OVER (PAR
 SELECT run, lag, round(sum(s) OVER (PARTITION BY run ORDER BY lag ROWS UNBOUNDED PRECEDING), 6) AS integral FROM s"""
 
 
+_SMALL = 1 << 10
+
+
+def _one_run(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one run, numbered without a task that sees them all."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("run"), "ts", "event_id", F.col("value").alias("y"))
+    return LR.placed(e, BY, ["ts", "event_id"])
+
+
+def long_run(spark: SparkSession, d: str) -> DataFrame:
+    """Running mean, trapezoid, mean and error of all events as one run, in blocks; means over pi, so that none lies between two roundings."""
+    r = LR.running_mean(_one_run(spark, d), BY, "y", 101, "smooth", _SMALL)
+    r = LR.cumulative_sem(LR.cumulative_trapezoid(r, BY, "y", F.lit(0.31830988618), "integral", _SMALL), BY, "y", _SMALL).withColumns({c: F.col(c) * 0.31830988618 for c in ("mean", "smooth")})
+    return r.select(F.col("_pos").alias("t"), "event_id", F.round("smooth", 6).alias("smooth"), F.round("integral", 4).alias("integral"), F.round("mean", 7).alias("mean"), F.round("sem", 6).alias("sem"))
+
+
+_ALL = "a AS (SELECT event_id, value AS y, row_number() OVER (ORDER BY ts, event_id) - 1 AS t FROM events)"
+LONG_RUN = f"""WITH {_ALL}, s AS (SELECT *, coalesce((y + lag(y) OVER (ORDER BY t)) * 0.5 * 0.31830988618::DOUBLE, 0) AS s FROM a)
+SELECT t, event_id, CASE WHEN count(*) OVER c = 101 THEN round(avg(y) OVER c * 0.31830988618::DOUBLE, 6) END AS smooth, round(sum(s) OVER w, 4) AS integral, round(avg(y) OVER w * 0.31830988618::DOUBLE, 7) AS mean, round(CASE WHEN count(*) OVER w > 1 THEN stddev_samp(y) OVER w / sqrt(count(*) OVER w) ELSE 0 END, 6) AS sem
+FROM s WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING), c AS (ORDER BY t ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)"""
+
+
+def long_acf(spark: SparkSession, d: str) -> DataFrame:
+    """Autocorrelation of all events as one run at every lag, from pairs of blocks, over that at lag 0."""
+    r = _one_run(spark, d)
+    zero = r.groupBy("run").agg(F.avg(F.col("y") * F.col("y")).alias("zero"))
+    return LR.acf(r, BY, "y", block=_SMALL).join(zero, "run").select("lag", F.round(F.col("acf") / F.col("zero"), 6).alias("acf"))
+
+
+LONG_ACF = f"WITH {_ALL} SELECT CAST(b.t - a.t AS INT) AS lag, round(sum(a.y * b.y) / count(*) / (SELECT avg(y * y) FROM a), 6) AS acf FROM a JOIN a AS b ON b.t >= a.t GROUP BY b.t - a.t"
+
+
 def noise_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return S.noise_cutoff(runs(spark, d), BY, "t", "y", 0.5, 3)
 
@@ -95,14 +127,14 @@ def helfand(spark: SparkSession, d: str) -> DataFrame:
     """Mean square displacement of the running sum over lags up to half a run: 2 (C0 - C[lag])."""
     r = runs(spark, d)
     r = r.withColumn("chi", F.sum("y").over(W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    c = S.acf(r, BY, "t", "chi", LAGS)
+    c = LR.acf(r.withColumnRenamed("t", "_pos"), BY, "chi")
     n = r.groupBy("run").agg(F.count("*").alias("n"))
     first = F.first("acf").over(W.partitionBy("run").orderBy("lag").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return c.select("run", "lag", (2 * (first - F.col("acf"))).alias("msd")).join(n, "run").where("lag > 0 and lag <= n div 2").select("run", "lag", F.round("msd", 2).alias("msd"))
 
 
-HELFAND = f"""WITH {E}, x AS (SELECT run, t, sum(y) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS y FROM e), n AS (SELECT run, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT CAST(range AS INT) AS lag FROM range({LAGS})),
-c AS (SELECT n.run, k.lag, sum(a.y * b.y) / any_value(n.n - k.lag) AS acf FROM n JOIN k ON k.lag < n.n JOIN x AS a ON a.run = n.run JOIN x AS b ON b.run = a.run AND b.t = a.t + k.lag GROUP BY n.run, k.lag)
+HELFAND = f"""WITH {E}, x AS (SELECT run, t, sum(y) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS y FROM e), n AS (SELECT run, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT run, CAST(unnest(range(n)) AS INT) AS lag FROM n),
+c AS (SELECT n.run, k.lag, sum(a.y * b.y) / any_value(n.n - k.lag) AS acf FROM n JOIN k ON k.run = n.run JOIN x AS a ON a.run = n.run JOIN x AS b ON b.run = a.run AND b.t = a.t + k.lag GROUP BY n.run, k.lag)
 SELECT c.run, c.lag, round(2 * (z.acf - c.acf), 2) AS msd FROM c JOIN c AS z ON z.run = c.run AND z.lag = 0 JOIN n ON n.run = c.run WHERE c.lag > 0 AND c.lag <= n.n // 2"""
 
 
@@ -269,9 +301,11 @@ QUERIES = {
     "running_mean": running_mean, "trapezoid": trapezoid, "cumulative_sem": sem, "acf": acf, "green_kubo": green_kubo, "noise_cutoff": noise_cutoff, "integral_cutoff": integral_cutoff,
     "helfand_msd": helfand, "cte_fluctuations": fluctuations, "cte_regression": regression, "ensemble_stats": ensemble, "cte_convergence": convergence, "plateau": plateau,
     "log_downsample": downsample, "closest_divisor": divisors, "elastic_moduli": moduli, "stiffness": stiffness, "vft_fit": vft_fit, "vft_curve": vft_curve, "viscosity": viscosity, "cte_incremental": incremental,
+    "long_run": long_run, "long_acf": long_acf,
 }
 ORACLES = {
     "running_mean": RUNNING, "trapezoid": TRAPEZOID, "cumulative_sem": SEM, "acf": ACF, "green_kubo": GREEN_KUBO, "noise_cutoff": NOISE, "integral_cutoff": INTEGRAL,
     "helfand_msd": HELFAND, "cte_fluctuations": FLUCT, "cte_regression": REGRESSION, "ensemble_stats": ENSEMBLE, "cte_convergence": CONVERGENCE, "plateau": PLATEAU,
     "log_downsample": DOWNSAMPLE, "closest_divisor": DIVISORS, "elastic_moduli": MODULI, "stiffness": STIFFNESS, "vft_fit": VFT_FIT, "vft_curve": VFT_CURVE, "cte_incremental": INCREMENTAL,
+    "long_run": LONG_RUN, "long_acf": LONG_ACF,
 }
