@@ -728,3 +728,46 @@ def test_pair_table(spark):
     far = t[t["r"] > 1.5]
     slope = np.gradient(far["energy"].to_numpy(), far["r"].to_numpy())
     assert far["force"].to_numpy()[5:-5] == pytest.approx(-slope[5:-5], rel=5e-3, abs=2e-3)
+
+
+@pytest.mark.parametrize(("pivots", "rings"), [(1, 3), (5, 4), (64, 64)])
+def test_nearest_is_exact(spark, pivots, rings):
+    """Repeated rows and ties, one crowded place, vectors that are missing or too short, fewer rows than asked for."""
+    from vitreon.operators import nearest
+
+    rng = np.random.default_rng(pivots)
+    x = np.vstack([rng.normal(size=(60, 3)), np.repeat([[9.0, 9.0, 9.0]], 40, axis=0), rng.normal(size=(20, 3)) * 0.01 + 5])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (900, None), (901, [1.0])], "id long, vector array<double>")
+    q = df.where("id % 7 = 0 or id >= 900").withColumnRenamed("id", "query_id")
+    for k in (3, 500):
+        got = nearest.nearest(q, df, k, pivots, rings).collect()
+        for i, v in rows[::7]:
+            d = sorted((float(np.sqrt(((x[j] - v) ** 2).sum())), j) for j in range(len(x)) if j != i)[:k]
+            mine = sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])
+            assert [r.id for r in mine] == [j for _, j in d] and [r.distance for r in mine] == pytest.approx([e for e, _ in d])
+        assert {r.query_id for r in got} == set(range(0, len(x), 7))
+    if pivots > 1:
+        assert sum(r.compared for r in nearest.nearest(q, df, 3, pivots, rings).where("rank = 1").collect()) < len(rows[::7]) * len(x) * 0.8
+    assert nearest.nearest(q, df.limit(0), 3).collect() == []
+
+
+def test_bonds_longer_than_four(spark):
+    """A cutoff counts as it is, however long."""
+    from vitreon.plans import analyze
+
+    a = spark.createDataFrame([("s", 0, 1, 8, 0.0, 0.0, 0.0), ("s", 0, 2, 56, 4.6, 0.0, 0.0), ("s", 0, 3, 56, 0.0, 5.5, 0.0)], "structure_id string, frame int, atom_id long, atomic_number int, x double, y double, z double")
+    f = spark.createDataFrame([("s", 0, *(20.0 if i == j else 0.0 for i in range(3) for j in range(3)))], "structure_id string, frame int, " + ", ".join(f"c{i}{j} double" for i in range(3) for j in range(3)))
+    lim = spark.createDataFrame([("s", 0, 56, 5.0)], "structure_id string, frame int, atomic_number int, cutoff double")
+    assert sorted((r.i, r.j) for r in analyze.bonds(a, f, lim).collect()) == [(1, 2), (2, 1)]
+
+
+def test_documents(spark):
+    from vitreon.operators import jobs as J
+
+    texts = ['{"analyses":[{"type":"cte","n":1},{"n":2},{"type":"cte","n":3},7],"structure":{"numbers":[8,14]}}', '{"structure":"{\\"numbers\\":[1,2]}"}', '{"structure":"not json","analyses":"x"}', "{", "[]", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = J.documents(df, "t").orderBy("k").select("analyses", "numbers", J.first_parameter(F.col("v"), "cte", "n", "int").alias("n"), F.col("v").isNull().alias("broken")).collect()
+    assert [r.analyses for r in got] == [["cte", "cte"], [], [], [], [], [], []]
+    assert [r.numbers for r in got] == [[8, 14], [1, 2], None, None, None, None, None]
+    assert [r.n for r in got] == [1, *[None] * 6] and [r.broken for r in got][3] and got[6].broken

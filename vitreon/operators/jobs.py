@@ -83,6 +83,22 @@ def missing(present: Column, wanted: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, wanted)), present)
 
 
+def documents(rows: DataFrame, column: str) -> DataFrame:
+    """rows with v (the JSON document of a column as a variant, null if it is broken), analyses (the types of its list of that name) and
+    numbers (the atomic numbers of its structure, which may be an object or JSON in a string; null if there are none)."""
+    df = rows.withColumn("v", F.try_parse_json(column))
+    kinds = F.filter(F.transform(F.coalesce(F.try_variant_get("v", "$.analyses", "array<variant>"), F.array().cast("array<variant>")), lambda a: F.try_variant_get(a, "$.type", "string")), lambda t: t.isNotNull())
+    nested = F.try_parse_json(F.try_variant_get("v", "$.structure", "string"))
+    numbers = F.coalesce(F.try_variant_get("v", "$.structure.numbers", "array<int>"), F.try_variant_get(nested, "$.numbers", "array<int>"))
+    return df.withColumns({"analyses": kinds, "numbers": numbers})
+
+
+def first_parameter(document: Column, kind: str, name: str, as_type: str) -> Column:
+    """A parameter of the first analysis of a kind in a document (variant); null if there is none."""
+    fits = F.filter(F.try_variant_get(document, "$.analyses", "array<variant>"), lambda a: F.try_variant_get(a, "$.type", "string") == kind)
+    return F.try_variant_get(F.get(fits, F.lit(0)), f"$.{name}", as_type)
+
+
 def request_hash(fields: dict[str, Column]) -> Column:
     """First 16 hex digits of SHA-256 over the JSON of the fields in order of their names."""
     return F.substring(F.sha2(F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items())))), 256), 1, 16)

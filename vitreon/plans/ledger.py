@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import jobs as J
+from ..operators import nearest
 from ..streaming import correlator, lifecycle
 from ..streaming import jobs as streams
 
@@ -71,6 +72,37 @@ round(1 / (1 + list_distance(CAST(embedding AS DOUBLE[]), list_resize([]::DOUBLE
 ORDER BY list_distance(CAST(embedding AS DOUBLE[]), list_resize([]::DOUBLE[], 64, 0.125)), vec_id LIMIT 10"""
 
 
+def vector_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """For every vector whose id 20 divides, the five nearest others."""
+    v = _vectors(spark, d).select(F.col("job_id").alias("id"), F.col("elemental_vector").alias("vector"))
+    got = nearest.nearest(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 5)
+    return got.select("query_id", "rank", "id", F.round("distance", 7).alias("distance"))
+
+
+VECTOR_NEAREST = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.id AS query_id, v.id, list_distance(q.v, v.v) AS d FROM v AS q JOIN v ON v.id <> q.id WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM d) SELECT query_id, CAST(rank AS INT) AS rank, id, round(d, 7) AS distance FROM r WHERE rank <= 5"""
+
+
+def request_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as JSON of every customer's orders, some of them broken or nested in a string: their analyses, and the numbers
+    of the first of a kind and of a structure."""
+    c, o = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    one = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.substring("o_orderpriority", 1, 1).alias("type")))).alias("l"))
+    item = lambda x: F.concat(F.lit('{"type":"t'), x["type"], F.lit('","steps":'), x["k"].cast("string"), F.lit("}"))
+    body = F.concat(F.lit('{"analyses":['), F.array_join(F.transform(F.coalesce("l", F.array().cast(one.schema["l"].dataType)), item), ","), F.lit('],"structure":'))
+    numbers = F.concat(F.lit('{"numbers":['), "c_custkey", F.lit(","), "c_nationkey", F.lit("]}"))
+    k = F.col("c_custkey") % 4
+    inner = F.when(k == 0, F.concat(F.lit('"'), F.replace(numbers, F.lit('"'), F.lit('\\"')), F.lit('"'))).when(k == 1, numbers).otherwise(F.lit("null"))
+    docs = c.join(one, "c_custkey", "left").select("c_custkey", F.when(k == 3, F.substring(body, 1, 20)).otherwise(F.concat(body, inner, F.lit("}"))).alias("request"))
+    got = J.documents(docs, "request")
+    return got.select("c_custkey", F.concat_ws(",", "analyses").alias("analyses"), J.first_parameter(F.col("v"), "t1", "steps", "bigint").alias("steps"), F.element_at(F.col("numbers"), 1).cast("bigint").alias("number"), F.col("v").isNull().alias("broken"))
+
+
+REQUEST_DOCUMENTS = """WITH l AS (SELECT o_custkey AS c_custkey, o_orderkey AS k, 't' || substr(o_orderpriority, 1, 1) AS type FROM orders),
+a AS (SELECT c_custkey, string_agg(type, ',' ORDER BY k) AS analyses, min(k) FILTER (WHERE type = 't1') AS steps FROM l GROUP BY ALL)
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE coalesce(analyses, '') END AS analyses, CASE WHEN c_custkey % 4 <> 3 THEN steps END AS steps, CASE WHEN c_custkey % 4 < 2 THEN c_custkey END AS number, c_custkey % 4 = 3 AS broken FROM customer LEFT JOIN a USING (c_custkey)"""
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
     """Users whose event types hold purchase and error, with all their types as sorted tags."""
     t = steps(spark, d).groupBy("job_id").agg(J.merged_tags(F.collect_set("step"), F.lit(None).cast("array<string>")).alias("tags"))
@@ -258,10 +290,10 @@ SELECT vec_id AS job_id, 'exact' AS "match", 0.0::DOUBLE AS distance FROM v WHER
 QUERIES = {
     "jobs_search": search, "jobs_latest": latest, "jobs_cache_hit": hits, "jobs_list": listing, "vector_topk": topk, "tags_filter": tags, "missing_analyses": missing, "step_status": step_status,
     "job_status": status, "step_timings": timings, "request_hash": hashes, "merged_results": merged, "stream_status": stream_status, "stream_rates": stream_rates, "stream_settled": stream_settled,
-    "stream_lifecycle": stream_lifecycle, "stream_viscosity": stream_viscosity,
+    "stream_lifecycle": stream_lifecycle, "stream_viscosity": stream_viscosity, "vector_nearest": vector_nearest, "request_documents": request_documents,
 }
 ORACLES = {
     "jobs_search": SEARCH, "jobs_latest": LATEST, "jobs_cache_hit": HITS, "jobs_list": LISTING, "vector_topk": TOPK, "tags_filter": TAGS, "missing_analyses": MISSING, "step_status": STEP_STATUS,
     "job_status": STATUS, "step_timings": TIMINGS, "request_hash": HASHES, "merged_results": MERGED, "stream_status": STREAM_STATUS, "stream_rates": STREAM_RATES,
-    "stream_settled": STREAM_SETTLED, "stream_lifecycle": STREAM_LIFECYCLE, "stream_viscosity": STREAM_VISCOSITY,
+    "stream_settled": STREAM_SETTLED, "stream_lifecycle": STREAM_LIFECYCLE, "stream_viscosity": STREAM_VISCOSITY, "vector_nearest": VECTOR_NEAREST, "request_documents": REQUEST_DOCUMENTS,
 }

@@ -119,6 +119,17 @@ SELECT structure_id, 0, 0, k, round(q, 6), round(1 + sum(CASE WHEN za = zb THEN
 FROM s GROUP BY structure_id, k, q"""
 
 
+def rdf_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """g(r) of silicon with oxygen and with itself only."""
+    a = atoms(spark, d)
+    g = structure.rdf(a, frames(a), _RMAX, _BINS, [(SI, O), (SI, SI)])
+    return g.select("structure_id", "za", "zb", "bin", F.round("g", 6).alias("g"), F.round("n", 6).alias("n"))
+
+
+RDF_OF_PAIRS = f"""WITH {_GRID} SELECT structure_id, za, zb, bin, round(g, 6) AS g, round(sum(h * CASE WHEN za = zb THEN 2 ELSE 1 END) OVER (PARTITION BY structure_id, za, zb ORDER BY bin ROWS UNBOUNDED PRECEDING) / na, 6) AS n
+FROM gr WHERE (za, zb) IN (({SI}, {O}), ({O}, {SI}), ({SI}, {SI}))"""
+
+
 def angles(spark: SparkSession, d: str) -> DataFrame:
     _, p = _found(spark, d)
     return structure.angles(p, SI, O, 36).select("structure_id", "bin", F.col("count").alias("n"), F.round("density", 8).alias("density"))
@@ -371,14 +382,14 @@ QUERIES = {
     "structure_factor": structure_factor, "bond_angles": angles, "oxygen_classes": oxygens, "qn_distribution": qn, "network_connectivity": connectivity,
     "former_edges": edges, "rings_3": triangles, "rings": rings, "cavities": cavities, "rdf_minima": minima, "atom_roles": roles, "number_density": density,
     "min_distance": free_space, "replicate": replicas, "random_structure": random_structure, "structure_text": xyz, "structure_factor_total": xray, "rings_small": small_rings, "ring_counts": ring_counts,
-    "dump_frames": dump_frames, "histogram_files": histogram_files,
+    "rdf_of_pairs": rdf_of_pairs, "dump_frames": dump_frames, "histogram_files": histogram_files,
 }
 ORACLES = {
     "neighbor_coordination": COORDINATION, "neighbor_pair_cutoffs": PAIR_CUTOFFS, "neighbor_lists": LISTS, "rdf_partial": RDF, "cn_cumulative": CUMULATIVE,
     "structure_factor": STRUCTURE_FACTOR, "bond_angles": ANGLES, "oxygen_classes": OXYGENS, "qn_distribution": QN, "network_connectivity": CONNECTIVITY,
     "former_edges": EDGES, "rings_3": TRIANGLES, "atom_roles": ROLES, "number_density": DENSITY, "min_distance": FREE_SPACE, "replicate": REPLICAS,
     "random_structure": RANDOM, "structure_text": XYZ, "structure_factor_total": XRAY, "rings_small": SMALL_RINGS, "rings": RINGS, "ring_counts": RING_COUNTS,
-    "dump_frames": DUMP_FRAMES, "histogram_files": HISTOGRAM_FILES,
+    "rdf_of_pairs": RDF_OF_PAIRS, "dump_frames": DUMP_FRAMES, "histogram_files": HISTOGRAM_FILES,
 }
 
 
