@@ -109,36 +109,42 @@ def acf(df: DataFrame, by: list[str], value: str, max_lag: int | None = None, bl
     kinds = pairs.schema["run"].dataType
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}  # by run, its rows, and the least lag of the array
         runs: dict[tuple, object] = {}
+        size = 0
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([{"run": runs[k[0]], "n": k[1], "d": k[2], "s": v} for k, v in held.items()], columns=["run", "n", "d", "s"])
+            out = pd.DataFrame([{"run": runs[k[0]], "n": k[1], "low": k[2], "s": v} for k, v in held.items()], columns=["run", "n", "low", "s"])
             held.clear()
             return out
 
         for b in batches:
-            for run, n, d, x, z in zip(b["run"].tolist(), b["n"], b["d"], b["x"], b["z"], strict=True):
+            for run, n, d, x, z in zip(b["run"].tolist(), b["n"].tolist(), b["d"].tolist(), b["x"], b["z"], strict=True):
                 f = 1 << (len(x) + len(z) - 1).bit_length()
                 c = np.fft.irfft(np.conj(np.fft.rfft(x, f)) * np.fft.rfft(z, f), f)
-                s = np.zeros(2 * block - 1)  # distances from 1 - block on
-                s[block - 1 : block - 1 + len(z)] = c[: len(z)]
-                if len(x) > 1:
-                    s[block - len(x) : block - 1] = c[1 - len(x) :]
-                key = (tuple(run.values()) if isinstance(run, dict) else tuple(run), int(n), int(d))
+                # distances of a row of z from one of x run from 1 - len(x) to len(z) - 1, and len(x) is a block but for d = 0
+                low = d * block - (block - 1) if d else 0
+                s = np.zeros(min(n, d * block + block) - low)
+                s[d * block - low : d * block - low + len(z)] = c[: len(z)]
+                if d and len(x) > 1:
+                    s[d * block - low - len(x) + 1 : d * block - low] = c[1 - len(x) :]
+                key = (tuple(run.values()) if isinstance(run, dict) else tuple(run), n, low)
                 runs[key[0]] = run
-                held[key] = held[key] + s if key in held else s
-                if len(held) * block > 1 << 22:
+                if key in held:
+                    held[key] += s
+                else:
+                    held[key] = s
+                    size += len(s)
+                if size > 1 << 22:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
 
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-    schema = StructType([StructField("run", kinds), StructField("n", LongType()), StructField("d", LongType()), StructField("s", ArrayType(DoubleType()))])
-    sums = pairs.mapInPandas(products, schema).select("run", "n", "d", F.posexplode("s").alias("k", "s"))
-    lag = F.col("d") * block + F.col("k") - (block - 1)
-    # of a block with itself every product stands twice, but for distance 0
-    rows = sums.withColumn("lag", lag).where((F.col("lag") >= 0) & (F.col("lag") < F.least(F.col("n"), most)))
+    schema = StructType([StructField("run", kinds), StructField("n", LongType()), StructField("low", LongType()), StructField("s", ArrayType(DoubleType()))])
+    sums = pairs.mapInPandas(products, schema).select("run", "n", "low", F.posexplode("s").alias("k", "s"))
+    rows = sums.withColumn("lag", F.col("low") + F.col("k")).where(F.col("lag") < F.least(F.col("n"), most))
     out = rows.groupBy("run", "n", "lag").agg(F.sum("s").alias("s"))
     return out.select(*(F.col(f"run.{x}").alias(c) for x, c in zip(names, by, strict=True)), F.col("lag").cast("int").alias("lag"), (F.col("s") / (F.col("n") - F.col("lag"))).alias("acf"))
