@@ -35,7 +35,7 @@ from .common import BYTE_KEYS, PIECE, Scratch, mix, prefix_hash, span_hash, span
 K = 10
 #: A node covers so many of the level below: 2**FAN.
 FAN = 3
-#: Bytes of text and documents of a segment.
+#: Bytes of text and documents of a segment: its tree is a row, of which an executor's readers hold several.
 SEGMENT, SEGMENT_DOCS = 4 << 20, 1 << 16
 #: Items and bytes of their texts that a block has on average.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
