@@ -61,3 +61,10 @@ def test_entry(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(e.queries()) and set(registry.ORACLES) <= set(e.oracle_sql())
+
+
+def test_dump_frames_below_a_folder_named_run(spark, sf, sql, tmp_path, monkeypatch):
+    from vitreon.plans import structures
+
+    monkeypatch.setattr(structures, "folder", lambda *_: str(tmp_path / "run" / "a-run"))
+    assert rows(structures.dump_frames(spark, sf).toPandas()) == rows(sql.execute(structures.DUMP_FRAMES).df())
