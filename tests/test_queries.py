@@ -68,3 +68,18 @@ def test_dump_frames_below_a_folder_named_run(spark, sf, sql, tmp_path, monkeypa
 
     monkeypatch.setattr(structures, "folder", lambda *_: str(tmp_path / "run" / "a-run"))
     assert rows(structures.dump_frames(spark, sf).toPandas()) == rows(sql.execute(structures.DUMP_FRAMES).df())
+
+
+def test_settled_at_just_the_criterion(spark, tmp_path):
+    """Two results 24 apart have an error of 12, which rounding puts on the side where SQL puts it; the table may be a folder."""
+    from vitreon.plans import ledger
+
+    a = [k * 3 + k * k % 97 / 100 for k in range(200)]
+    at = pd.date_range("2024-01-01", periods=400, freq="s").astype("datetime64[us]")
+    df = pd.DataFrame({"event_id": range(400), "ts": at, "user_id": [k // 2 for k in range(400)], "event_type": "view", "value": [round(x + d, 2) for x in a for d in (0, 24)], "props": "{}"})
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(2):
+        df.iloc[i::2].to_parquet(tmp_path / "events.parquet" / f"part-{i}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(ledger.stream_settled(spark, str(tmp_path)).toPandas()) == rows(con.execute(ledger.STREAM_SETTLED).df())

@@ -167,7 +167,8 @@ MERGED = f"""WITH {STEPS} SELECT job_id, step, CASE WHEN step IN ('purchase', 'e
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern, since a stream's path may not be a file, and the table may be one or a folder of them
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drained(df: DataFrame, name: str, mode: str) -> DataFrame:
