@@ -771,3 +771,44 @@ def test_documents(spark):
     assert [r.analyses for r in got] == [["cte", "cte"], [], [], [], [], [], []]
     assert [r.numbers for r in got] == [[8, 14], [1, 2], None, None, None, None, None]
     assert [r.n for r in got] == [1, *[None] * 6] and [r.broken for r in got][3] and got[6].broken
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_crowded_rings_are_counted_by_bits(spark, monkeypatch, n):
+    """Triangles of a crowded structure are not listed; a ring of seven hangs on it, and a sparse structure beside it is searched as before."""
+    rng = np.random.default_rng(n)
+    dense = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.5 if n < 100 else 0.97)]
+    tail = [(0, n), *((n + k, n + k + 1) for k in range(5)), (1, n + 5), (n + 2, n + 90)]
+    sparse = [(i, (i + 1) % 9) for i in range(9)] + [(0, 2)]
+    rows = [("d", 0, *e) for e in (*dense, *tail)] + [("s", 1, *e) for e in sparse]
+    monkeypatch.setattr(graph, "TILE", 16 if n < 100 else 128)
+    edges = spark.createDataFrame(rows, "structure_id string, frame int, u long, v long")
+    m = np.zeros((n + 91, n + 91))
+    for u, v in (*dense, *tail):
+        m[u, v] = m[v, u] = 1
+    triangles = int(np.trace(m @ m @ m)) // 6
+    sizes = {(r.structure_id, r["size"]): r.n for r in graph.ring_sizes(edges).collect()}
+    assert sizes["d", 3] == triangles and sizes["s", 3] == 1 and sizes["s", 8] == 1
+    assert {(r.structure_id, r.n) for r in graph.triangle_numbers(edges).collect()} == {("d", triangles), ("s", 1)}
+    common = {(u, v): int((m @ m)[u, v]) for u, v in dense} if n < 100 else {}
+    got = graph.ring_counts(edges).collect()
+    for (u, v), c in common.items():
+        assert c == 0 or any((r.structure_id, r.u, r.v, r["size"], r.n) == ("d", u, v, 3, c) for r in got)
+    by = {}
+    for r in got:
+        e, p = by.get((r.structure_id, r["size"]), (0, 0))
+        by[r.structure_id, r["size"]] = e + 1, p + r.n
+    assert by == {(r.structure_id, r["size"]): (r.edges, r.paths) for r in graph.ring_totals(edges).collect()}
+    if n < 100:
+        assert sizes == {(r.structure_id, r["size"]): r.n for r in graph.ring_histogram(graph.rings(edges)).collect()}
+
+
+def test_crowded_former_edges(spark, monkeypatch):
+    """Formers that share many oxygens, in tiles, and a structure with few."""
+    monkeypatch.setattr(graph, "TILE", 16)
+    rng = np.random.default_rng(3)
+    shared = {("d", o, f) for o in range(1000, 1060) for f in range(50) if rng.random() < 0.2} | {("s", 1, 2), ("s", 1, 3), ("s", 2, 3), ("s", 2, 4)}
+    found = spark.createDataFrame([(s, 0, o, f, 8, 14) for s, o, f in shared], "structure_id string, frame int, i long, j long, zi int, zj int")
+    want = {(s, f, g) for s, o, f in shared for t, p, g in shared if s == t and o == p and f < g}
+    got = [(r.structure_id, r.u, r.v) for r in graph.former_edges(found, [14]).collect()]
+    assert len(got) == len(want) and set(got) == want
