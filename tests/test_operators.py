@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitreon import constants as C
 from vitreon.operators import composition as K
-from vitreon.operators import graph, jobs, neighbors, placement, potentials, series, structure, voxels
+from vitreon.operators import graph, jobs, longruns, neighbors, placement, potentials, series, structure, voxels
 from vitreon.schemas import ATOMS, FRAMES
 from vitreon.sources import trajectories as T
 
@@ -812,3 +812,23 @@ def test_crowded_former_edges(spark, monkeypatch):
     want = {(s, f, g) for s, o, f in shared for t, p, g in shared if s == t and o == p and f < g}
     got = [(r.structure_id, r.u, r.v) for r in graph.former_edges(found, [14]).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_crowded_rings_from_former_edges(spark, monkeypatch):
+    """The rows of bits of crowded structures give the rings that their edges give."""
+    monkeypatch.setattr(graph, "TILE", 16)
+    rng = np.random.default_rng(5)
+    shared = {("d", o, f) for o in range(1000, 1060) for f in range(50) if rng.random() < 0.2} | {("s", 1, 2), ("s", 1, 3), ("s", 2, 3), ("s", 2, 4), ("s", 3, 4), ("s", 3, 2)}
+    found = spark.createDataFrame([(s, 0, o, f, 8, 14) for s, o, f in shared], "structure_id string, frame int, i long, j long, zi int, zj int")
+    edges = graph.former_edges(found, [14])
+    pairs = {(r.u, r.v) for r in edges.collect() if r.structure_id == "d"}
+    m = np.zeros((50, 50))
+    for u, v in pairs:
+        m[u, v] = m[v, u] = 1
+    got = {(r.structure_id, r["size"]): r.n for r in graph.ring_sizes(edges).collect()}
+    assert len(pairs) > 16 * 50 / 2 and got["d", 3] == int(np.trace(m @ m @ m)) // 6 and got["s", 3] == 1
+
+
+def test_blocks_grow_with_the_run():
+    assert [longruns.block_for(n, 1024) for n in (10, 32768, 100_000, 6_000_000)] == [1024, 1024, 4096, 262144]
+    assert longruns.block_for(10**9) == 1 << 20
