@@ -89,11 +89,16 @@ def cumulative_sem(df: DataFrame, by: list[str], value: str, block: int = BLOCK)
     return got.withColumns({"mean": F.col("_x0") + F.col("_s1") / n, "sem": F.when(n > 1, F.sqrt(F.when(n > 1, var) / n)).otherwise(0.0)}).drop("_s1", "_s2", "_x0")
 
 
+def block_for(n: int, least: int = BLOCK) -> int:
+    """Rows of a block so that a run of n rows has at most 32 blocks, as pairs grow with their square; 2^20 rows at most."""
+    return max(least, min(1 << 20, 1 << max(0, -(-n // 32) - 1).bit_length()))
+
+
 def acf(df: DataFrame, by: list[str], value: str, max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
     """by, lag, acf of placed() rows: unbiased, the mean not removed, for all lags of a run below max_lag (null: all).
 
     A pair of blocks gives the products of its rows by their distance, through one Fourier transform; pairs are those at most as far
-    apart as the longest lag.
+    apart as the longest lag. Pairs of one distance are dealt together, so that their sums leave a task once.
     """
     spark_by = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
     names = [f"_by{i}" for i in range(len(by))]
@@ -105,7 +110,8 @@ def acf(df: DataFrame, by: list[str], value: str, max_lag: int | None = None, bl
     left = one.join(size, _same(names, [f"_n{c}" for c in names])).drop(*(f"_n{c}" for c in names))
     left = left.withColumn("d", F.explode(F.sequence(F.lit(0).cast("bigint"), reach))).withColumn("j", F.col("b") + F.col("d"))
     right = one.select(*(F.col(c).alias(f"_r{c}") for c in names), F.col("b").alias("_b"), F.col("x").alias("z"))
-    pairs = left.join(right, _same(names, [f"_r{c}" for c in names]) & (F.col("j") == F.col("_b"))).select(F.struct(*names).alias("run"), "n", "d", "x", "z")
+    pairs = left.join(right, _same(names, [f"_r{c}" for c in names]) & (F.col("j") == F.col("_b"))).select(F.struct(*names).alias("run"), "n", "d", "x", "z", (F.col("j") % 4).alias("_deal"))
+    pairs = pairs.repartition("run", "d", "_deal").drop("_deal")
     kinds = pairs.schema["run"].dataType
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -93,7 +93,8 @@ def long_acf(spark: SparkSession, d: str) -> DataFrame:
     """Autocorrelation of all events as one run at every lag, from pairs of blocks, over that at lag 0."""
     r = _one_run(spark, d)
     zero = r.groupBy("run").agg(F.avg(F.col("y") * F.col("y")).alias("zero"))
-    return LR.acf(r, BY, "y", block=_SMALL).join(zero, "run").select("lag", F.round(F.col("acf") / F.col("zero"), 6).alias("acf"))
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    return LR.acf(r, BY, "y", block=LR.block_for(n, _SMALL)).join(zero, "run").select("lag", F.round(F.col("acf") / F.col("zero"), 6).alias("acf"))
 
 
 LONG_ACF = f"WITH {_ALL} SELECT CAST(b.t - a.t AS INT) AS lag, round(sum(a.y * b.y) / count(*) / (SELECT avg(y * y) FROM a), 6) AS acf FROM a JOIN a AS b ON b.t >= a.t GROUP BY b.t - a.t"
