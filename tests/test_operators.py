@@ -832,3 +832,28 @@ def test_crowded_rings_from_former_edges(spark, monkeypatch):
 def test_blocks_grow_with_the_run():
     assert [longruns.block_for(n, 1024) for n in (10, 32768, 100_000, 6_000_000)] == [1024, 1024, 4096, 262144]
     assert longruns.block_for(10**9) == 1 << 20
+
+
+def test_angles_of_crowded_structures(spark):
+    """Counted in blocks, they are those that the join lists: at limits of bins, for few and for many neighbours, in one grid cell and in many."""
+    import math
+
+    from vitreon.operators import angles as A
+    from vitreon.operators import neighbors, structure
+
+    rng = np.random.default_rng(5)
+    axes = np.vstack([np.eye(3), -np.eye(3), [[1, 1, 0], [0, 1, 1], [-1, 1, 0]]])  # 45, 90, 180 degrees, on limits
+    u = np.vstack([axes / np.linalg.norm(axes, axis=1)[:, None], (v := rng.normal(size=(300, 3))) / np.linalg.norm(v, axis=1)[:, None]])
+    count = A.Counter(36)
+    count.add(u)
+    i, j = np.triu_indices(len(u), 1)
+    dots = u[i, 0] * u[j, 0] + u[i, 1] * u[j, 1] + u[i, 2] * u[j, 2]
+    want = np.bincount([min(math.floor(math.degrees(math.acos(max(-1.0, min(1.0, c)))) / 5.0), 35) for c in dots], minlength=36)
+    assert (count.total() == want).all()
+    rows = [("a", 0, k, 14 if k % 5 == 0 else 8, *(float(x) for x in p)) for k, p in enumerate(rng.uniform(0, 9, (900, 3)))]
+    rows += [("b", 0, k, 14 if k % 3 == 0 else 8, *(float(x) for x in p)) for k, p in enumerate(rng.uniform(0, 20, (150, 3)))]
+    a = spark.createDataFrame(rows, "structure_id string, frame int, atom_id long, atomic_number int, x double, y double, z double")
+    f = spark.createDataFrame([("a", 0, 9.0, 0.0, 0.0, 2.0, 9.0, 0.0, 0.0, 1.0, 9.0), ("b", 0, 20.0, 0.0, 0.0, 0.0, 20.0, 0.0, 0.0, 0.0, 20.0)], "structure_id string, frame int, " + ", ".join(f"c{i}{j} double" for i in range(3) for j in range(3)))
+    assert [r.structure_id for r in A.crowded(a, f, 3.0, 8).collect()] == ["a"]
+    both = [sorted(map(tuple, df.collect())) for df in (structure.angles(neighbors.pairs(a, f, 3.0), 14, 8, 36), A.angles_within(a, f, 3.0, 14, 8, 36))]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {"a", "b"}
