@@ -857,3 +857,18 @@ def test_angles_of_crowded_structures(spark):
     assert [r.structure_id for r in A.crowded(a, f, 3.0, 8).collect()] == ["a"]
     both = [sorted(map(tuple, df.collect())) for df in (structure.angles(neighbors.pairs(a, f, 3.0), 14, 8, 36), A.angles_within(a, f, 3.0, 14, 8, 36))]
     assert both[0] == both[1] and {r[0] for r in both[0]} == {"a", "b"}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Several blocks of queries and of rows: the same rows, and only the nearest of a pair of blocks go on."""
+    from vitreon.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(150, 4)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = nearest.nearest(df.where("id % 3 = 0").withColumnRenamed("id", "query_id"), df, 4, pivots=3).collect()
+    for i in range(0, 150, 3):
+        d = sorted((float(np.sqrt(np.add.accumulate((x[i] - x[j]) ** 2)[-1])), j) for j in range(150) if j != i)[:4]
+        mine = sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])
+        assert [(r.distance, r.id) for r in mine] == d and all(4 <= r.compared <= 149 for r in mine)
