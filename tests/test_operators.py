@@ -872,3 +872,19 @@ def test_nearest_in_blocks(spark, monkeypatch):
         d = sorted((float(np.sqrt(np.add.accumulate((x[i] - x[j]) ** 2)[-1])), j) for j in range(150) if j != i)[:4]
         mine = sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])
         assert [(r.distance, r.id) for r in mine] == d and all(4 <= r.compared <= 149 for r in mine)
+
+
+def test_totals_of_units_are_not_listed(spark):
+    """The plan of to_atoms makes no row for a total that competes, and equal remainders go by pos."""
+    import contextlib
+    import io
+
+    from vitreon.operators import composition as K
+
+    c = spark.createDataFrame([("a", 0, "SiO2", 0.5), ("a", 1, "Na2O", 0.25), ("a", 2, "CaO", 0.25), ("b", 0, "SiO2", 1.0)], "comp_id string, pos int, oxide string, fraction double")
+    df = K.to_atoms(c, 100, 40)
+    with contextlib.redirect_stdout(io.StringIO()) as text:
+        df.explain()
+    assert "sequence" not in text.getvalue()
+    got = {(r.comp_id, r.oxide): (r.units, r.n_units, r.n_atoms) for r in df.collect()}
+    assert got == {("a", "SiO2"): (18, 36, 99), ("a", "Na2O"): (9, 36, 99), ("a", "CaO"): (9, 36, 99), ("b", "SiO2"): (33, 33, 99)}

@@ -5,6 +5,8 @@ Tables are long: comp_id, pos, oxide, amount. Everything is an aggregation or wi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -175,6 +177,21 @@ def from_molecules(df: DataFrame, n_molecules: int) -> DataFrame:
     return df.withColumn("units", (u + F.when(first, gap).otherwise(0)).cast("bigint"))
 
 
+def _nearest_total(f: np.ndarray, apu: np.ndarray, guess: int, target: int, half_width: int) -> tuple[int, int | None]:
+    """Of all totals of units around the guess the best, and its atoms: largest_remainder of each, as one table of totals by oxides."""
+    n = np.arange(max(1, guess - half_width), guess + half_width + 1)
+    if np.isnan(f).any():
+        return int(n[0]), None
+    w = f * n[:, None]
+    whole = np.floor(w)
+    order = np.argsort(whole - w, axis=1, kind="stable")
+    more = np.zeros(w.shape, np.int64)
+    np.put_along_axis(more, order, (np.arange(1, len(f) + 1) <= (n - whole.sum(axis=1))[:, None]).astype(np.int64), axis=1)
+    atoms = ((whole.astype(np.int64) + more) * apu).sum(axis=1)
+    k = np.lexsort((n, atoms, np.abs(atoms - target)))[0]
+    return int(n[k]), int(atoms[k])
+
+
 def to_atoms(df: DataFrame, target: int, half_width: int = 1000) -> DataFrame:
     """df (comp_id, pos, oxide, fraction) with units, n_units, n_atoms closest to the target number of atoms.
 
@@ -182,12 +199,16 @@ def to_atoms(df: DataFrame, target: int, half_width: int = 1000) -> DataFrame:
     """
     per = parse(df.select("oxide"), "oxide").groupBy("oxide").agg(F.sum("cnt").alias("apu"))
     df = df.join(per, "oxide")
-    guess = df.groupBy("comp_id").agg(F.greatest(F.lit(1), F.rint(F.lit(float(target)) / F.sum(F.col("fraction") * F.col("apu")))).cast("bigint").alias("guess"))
-    tries = guess.select("comp_id", F.explode(F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("guess") - half_width), F.col("guess") + half_width)).alias("n_units"))
-    wide = largest_remainder(df.join(tries, "comp_id"), ["comp_id", "n_units"], "fraction", F.col("n_units"), "pos")
-    sums = wide.groupBy("comp_id", "n_units").agg(F.sum(F.col("units") * F.col("apu")).alias("n_atoms"))
-    key = F.struct(F.abs(F.col("n_atoms") - target).alias("d"), "n_atoms", "n_units")
-    best = sums.groupBy("comp_id").agg(F.min(key).alias("b")).select("comp_id", F.col("b.n_units").alias("n_units"), F.col("b.n_atoms").alias("n_atoms"))
+    part = F.array_sort(F.collect_list(F.struct("pos", "fraction", "apu")))
+    guess = F.greatest(F.lit(1), F.rint(F.lit(float(target)) / F.sum(F.col("fraction") * F.col("apu")))).cast("bigint")
+
+    @F.pandas_udf("struct<n_units:bigint,n_atoms:bigint>")
+    def nearest(fractions: pd.Series, apu: pd.Series, guesses: pd.Series) -> pd.DataFrame:
+        got = [_nearest_total(np.array(f, float), np.array(a, np.int64), int(g), target, half_width) for f, a, g in zip(fractions, apu, guesses, strict=True)]
+        return pd.DataFrame({"n_units": pd.array([g[0] for g in got], "Int64"), "n_atoms": pd.array([g[1] for g in got], "Int64")})
+
+    one = df.groupBy("comp_id").agg(part.alias("p"), guess.alias("guess"))
+    best = one.select("comp_id", nearest(F.col("p.fraction"), F.col("p.apu"), "guess").alias("b")).select("comp_id", "b.n_units", "b.n_atoms")
     return largest_remainder(df.join(best, "comp_id"), "comp_id", "fraction", F.col("n_units"), "pos").drop("apu")
 
 
