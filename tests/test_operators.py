@@ -888,3 +888,20 @@ def test_totals_of_units_are_not_listed(spark):
     assert "sequence" not in text.getvalue()
     got = {(r.comp_id, r.oxide): (r.units, r.n_units, r.n_atoms) for r in df.collect()}
     assert got == {("a", "SiO2"): (18, 36, 99), ("a", "Na2O"): (9, 36, 99), ("a", "CaO"): (9, 36, 99), ("b", "SiO2"): (33, 33, 99)}
+
+
+def test_viscosity_reads_runs_in_turn(spark):
+    """Many runs of a task, some across the batches that it gets, are those that each would be alone; no group is made of each."""
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i}", k, 3000.0, 8000.0, *rng.normal(size=3).tolist()) for i in range(9) for k in range(60 + i)]
+    th = spark.createDataFrame(rows, "run_id string, step long, temperature double, volume double, pxy double, pxz double, pyz double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = series.viscosity(th, 1000.0, "helfand")
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+        got = {r.run_id: r.viscosity for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i in range(9):
+        p = np.array([r[4:] for r in rows if r[0] == f"r{i}"])
+        assert got[f"r{i}"] == pytest.approx(series.helfand(p, 1000.0, 8000.0, 3000.0)["viscosity"])

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -282,7 +284,7 @@ def viscosity(thermo: DataFrame, dt_fs: float, method: str = "green_kubo", max_l
 
     green_kubo gives window, tau, and over lag_time sacf and the running integral; helfand the modulus, Maxwell time,
     fit_residual, slope and over lag_time msd. bulk_viscosity and mean_pressure come with helfand, null where thermo lacks
-    pxx, pyy or pzz. One group is one run.
+    pxx, pyy or pzz. A task reads its runs one after another, however many they are, and holds one.
     """
     if method not in ("green_kubo", "helfand"):
         raise ValueError(f"unknown method: {method}")
@@ -291,8 +293,7 @@ def viscosity(thermo: DataFrame, dt_fs: float, method: str = "green_kubo", max_l
     normals = [c for c in ("pxx", "pyy", "pzz") if c in thermo.columns]
     names = [c.split()[0] for c in VISCOSITY.split(",")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
+    def run(pdf: pd.DataFrame) -> dict:
         p, v, t = pdf[list(SHEARS)].to_numpy(float), float(pdf["volume"].mean()), float(pdf["temperature"].mean())
         row = dict.fromkeys(names) | {"run_id": pdf["run_id"].iloc[0], "temperature": t}
         if method == "helfand" and len(p) > 3:
@@ -303,9 +304,29 @@ def viscosity(thermo: DataFrame, dt_fs: float, method: str = "green_kubo", max_l
                 row["mean_pressure"] = float(pdf[normals].to_numpy(float).mean())
         elif method == "green_kubo" and (got := green_kubo_curves(p, dt_fs, v, t, max_lag or 1_000_000, method=cutoff)) is not None:
             row |= got | {"lag_time": np.arange(len(got["integral"])) * dt_fs / 1000}
-        return pd.DataFrame([row])
+        return row
 
-    return thermo.select("run_id", "step", "temperature", "volume", *SHEARS, *normals).groupBy("run_id").applyInPandas(run, VISCOSITY)
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: list[pd.DataFrame] = []  # of a run whose rows may go on in the next batch
+        for b in batches:
+            if not len(b):
+                continue
+            ids = b["run_id"].to_numpy()
+            ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(b)]
+            rows, lo = [], 0
+            if left and left[-1]["run_id"].iloc[0] != ids[0]:
+                rows, left = [run(pd.concat(left))], []
+            for hi in ends[:-1]:
+                rows.append(run(pd.concat([*left, b.iloc[lo:hi]]) if left else b.iloc[lo:hi]))
+                left, lo = [], hi
+            left.append(b.iloc[lo:])
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+        if left:
+            yield pd.DataFrame([run(pd.concat(left))], columns=names)
+
+    df = thermo.select("run_id", "step", "temperature", "volume", *SHEARS, *normals)
+    return df.repartition("run_id").sortWithinPartitions("run_id", "step").mapInPandas(runs, VISCOSITY)
 
 
 def ensemble(df: DataFrame, by: list[str], value: str) -> DataFrame:
