@@ -905,3 +905,22 @@ def test_viscosity_reads_runs_in_turn(spark):
     for i in range(9):
         p = np.array([r[4:] for r in rows if r[0] == f"r{i}"])
         assert got[f"r{i}"] == pytest.approx(series.helfand(p, 1000.0, 8000.0, 3000.0)["viscosity"])
+
+
+def test_ring_search_writes_a_table_a_layer(spark, monkeypatch):
+    """A ring of nine is found at length 8; each length writes one table, and the analysis keeps no plan of another part in its own."""
+    from vitreon import scratch
+    from vitreon.plans import analyze
+
+    edges = spark.createDataFrame([("s", 0, k, (k + 1) % 9) for k in range(9)], "structure_id string, frame int, u long, v long")
+    own, near, _, _ = graph._split(edges)
+    keep, kept = scratch.Stored.keep, []
+    monkeypatch.setattr(scratch.Stored, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    met, layers, _ = graph._met(own, 24, near)
+    assert {(r.u, r.v, r.size, int(r.n)) for r in met.collect()} == {(min(k, (k + 1) % 9), max(k, (k + 1) % 9), 9, 1) for k in range(9)}
+    assert layers.count() == 9 * 10  # the ends, and four layers of one node on each side; the ninth node is reached twice
+    assert len(kept) <= 2 + 8
+    a, f = make(spark, [(14, (4, 4, 10)), (8, (5.6, 4, 10))], cube(20))
+    out = analyze.analyze(a, f, 9.0, 20, n_q=3)
+    assert "InMemory" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().n_atoms == 2
