@@ -924,3 +924,67 @@ def test_ring_search_writes_a_table_a_layer(spark, monkeypatch):
     out = analyze.analyze(a, f, 9.0, 20, n_q=3)
     assert "InMemory" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.first().n_atoms == 2
+
+
+def _calls(monkeypatch):
+    """How often state was read, while the processors below run here on a store of their own."""
+    class Value:
+        def __init__(self):
+            self.v, self.reads, self.writes = None, 0, 0
+
+        def get(self):
+            self.reads += 1
+            return self.v
+
+        def exists(self):
+            self.reads += 1
+            return self.v is not None
+
+        def update(self, v):
+            self.v, self.writes = v, self.writes + 1
+
+        def clear(self):
+            self.v = None
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), set()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.value
+
+        def listTimers(self):  # noqa: N802
+            return iter(sorted(self.timers))
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers.add(t)
+
+        def deleteTimer(self, t):  # noqa: N802
+            self.timers.discard(t)
+
+    return Handle()
+
+
+def test_lifecycles_share_state_in_buckets(monkeypatch):
+    """A hundred jobs of a bucket cost one read and one write of state a batch, and one timer serves all that are due."""
+    from types import SimpleNamespace as N
+
+    from vitreon.streaming.lifecycle import Lifecycle
+
+    h = _calls(monkeypatch)
+    one = Lifecycle(10_000, 50_000)
+    one.init(h)
+    rows = [N(job_id=f"j{i}", at_us=i * 100, event_id=i, status="completed" if i % 10 == 0 else "running") for i in range(100)]
+    got = list(one.handleInputRows((7,), iter(rows), None))
+    assert len(got) == 100 and h.value.reads == h.value.writes == 1 and h.timers == {11}
+    assert {r.job_id for r in got if r.ended_us is not None} == {f"j{i}" for i in range(0, 100, 10)}
+    h.timers.discard(11)
+    # of the running jobs those time out that are due before the watermark; the next timer is for the first that is left
+    out = list(one.handleExpiredTimer((7,), N(getCurrentWatermarkInMs=lambda: 15), N(getExpiryTimeInMs=lambda: 11)))
+    assert {r.job_id for r in out} == {f"j{i}" for i in range(40) if i % 10} and all(r.status == "timed_out" for r in out) and h.timers == {15}
+    late = list(one.handleInputRows((7,), iter([N(job_id="j1", at_us=20_000, event_id=200, status="running"), N(job_id="j50", at_us=90_000, event_id=201, status="failed")]), None))
+    assert {(r.job_id, r.status) for r in late} == {("j1", "timed_out"), ("j50", "completed")}
+    # all are forgotten in the end
+    for at in (10**6, 2 * 10**6):
+        list(one.handleExpiredTimer((7,), N(getCurrentWatermarkInMs=lambda: at), N(getExpiryTimeInMs=lambda: at)))
+    assert h.value.v is None
