@@ -1018,3 +1018,40 @@ def test_viscosities_share_state_in_buckets(monkeypatch):
                 before, done = eta, before is not None and abs(eta - before) < 0.3 * abs(eta)
         assert (last[r].n, bool(last[r].done)) == (tau.n, done) and last[r].viscosity == pytest.approx(tau.integral() * 2.0)
     assert 0 < sum(bool(r.done) for r in last.values()) < 30
+
+
+def _crowd_of(seed, n=120):
+    """Formers and oxygens of a crowded structure in a sheared cell and of one in a cube, some oxygens in a third."""
+    rng = np.random.default_rng(seed)
+    cells = {"t": np.array([[8.0, 0, 0], [2, 7, 0], [1, 1, 9]]), "c": np.diag([8.0, 8, 8]), "s": np.diag([40.0, 40, 40])}
+    f = {s: rng.random((n, 3)) for s in cells}
+    z = [14 if k % 3 else 8 for k in range(n)]
+    atoms = [(s, 0, k, z[k], *(f[s][k] @ c).tolist()) for s, c in cells.items() for k in range(n)]
+    frames = [(s, 0, *c.ravel().tolist()) for s, c in cells.items()]
+    want = {}
+    for s, c in cells.items():
+        g = f[s][None] - f[s][:, None]
+        d = (g - np.rint(g)) @ c
+        want[s] = np.sqrt((d * d).sum(axis=2))
+    return atoms, frames, np.array(z), want
+
+
+@pytest.mark.parametrize("cutoff", [1.2, 2.6])
+def test_edges_of_crowded_structures_without_their_pairs(spark, monkeypatch, cutoff):
+    """Blocks of formers meet the oxygens in a task: no pair of a crowded structure is a row, and the edges are the same."""
+    from vitreon.operators import contacts
+
+    for name, v in {"SIDE": 32, "STRIP": 8, "_FIRST": 5, "_STEP": 7, "_MANY": 0.3, "_FULL": 600}.items():
+        monkeypatch.setattr(contacts, name, v)
+    atoms, frames, z, far = _crowd_of(7)
+    a = spark.createDataFrame(atoms, "structure_id string, frame int, atom_id long, atomic_number int, x double, y double, z double")
+    f = spark.createDataFrame(frames, "structure_id string, frame int, " + ", ".join(f"c{i}{j} double" for i in range(3) for j in range(3)))
+    found, dense = graph.apart(a, f, cutoff, [14])
+    assert {r.structure_id for r in found.select("structure_id").distinct().collect()} <= {"s"}
+    edges = graph.former_edges(found, [14], 8, dense)
+    near = {s: (d[z == 8] <= cutoff).astype(int) for s, d in far.items()}
+    want = {(s, int(u), int(v)) for s, m in near.items() for u, v in np.argwhere(np.triu(m.T @ m, 1)) if z[u] == z[v] == 14}
+    got = [(r.structure_id, r.u, r.v) for r in edges.collect()]
+    assert len(got) == len(want) and set(got) == want and {"t", "c"} <= {w[0] for w in want}
+    plain = graph.former_edges(neighbors.pairs(a, f, cutoff), [14])
+    assert {tuple(r) for r in graph.ring_sizes(edges, 5).collect()} == {tuple(r) for r in graph.ring_sizes(plain, 5).collect()}
