@@ -1055,3 +1055,25 @@ def test_edges_of_crowded_structures_without_their_pairs(spark, monkeypatch, cut
     assert len(got) == len(want) and set(got) == want and {"t", "c"} <= {w[0] for w in want}
     plain = graph.former_edges(neighbors.pairs(a, f, cutoff), [14])
     assert {tuple(r) for r in graph.ring_sizes(edges, 5).collect()} == {tuple(r) for r in graph.ring_sizes(plain, 5).collect()}
+
+
+def test_triangles_of_nearly_whole_structures(spark, monkeypatch):
+    """The pairs that a structure lacks give its triangles; rows of bits are multiplied for no structure that lacks few."""
+    from vitreon.operators import contacts
+
+    for name, v in {"SIDE": 32, "STRIP": 8, "_MANY": 0.3, "_FULL": 600}.items():
+        monkeypatch.setattr(contacts, name, v)
+    monkeypatch.setattr(graph, "_WHOLE", 5)
+    atoms, frames, z, far = _crowd_of(9)
+    a = spark.createDataFrame(atoms, "structure_id string, frame int, atom_id long, atomic_number int, x double, y double, z double").where("structure_id <> 's'")
+    f = spark.createDataFrame(frames, "structure_id string, frame int, " + ", ".join(f"c{i}{j} double" for i in range(3) for j in range(3))).where("structure_id <> 's'")
+    found, dense = graph.apart(a, f, 3.4, [14])
+    edges = graph.former_edges(found, [14], 8, dense)
+    want, lacks = {}, 0
+    for s in "tc":
+        near = (far[s][np.ix_(z == 8, z == 14)] <= 3.4).astype(int)
+        m = (near.T @ near > 0) & ~np.eye(near.shape[1], dtype=bool)
+        want[s], lacks = int(np.trace(np.linalg.matrix_power(m.astype(np.int64), 3))) // 6, lacks + (~m).sum() - len(m)
+    counted, rest = graph._by_gaps(edges)
+    assert lacks and {r.structure_id: r.n for r in counted.collect()} == want and rest.crowd[0].isEmpty()
+    assert {r.structure_id: r.n for r in graph.triangle_numbers(edges).collect()} == want
