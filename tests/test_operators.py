@@ -1077,3 +1077,27 @@ def test_triangles_of_nearly_whole_structures(spark, monkeypatch):
     counted, rest = graph._by_gaps(edges)
     assert lacks and {r.structure_id: r.n for r in counted.collect()} == want and rest.crowd[0].isEmpty()
     assert {r.structure_id: r.n for r in graph.triangle_numbers(edges).collect()} == want
+
+
+def test_analysis_of_crowded_structures_lists_no_pairs(spark, monkeypatch):
+    """Coordination, oxygen classes, Qn and angles of crowded structures are those of the distances, with no pair of an atom and an oxygen listed."""
+    from vitreon.operators import contacts
+    from vitreon.plans import analyze
+
+    for name, v in {"SIDE": 32, "STRIP": 8, "_MANY": 0.3, "_FULL": 10**6}.items():
+        monkeypatch.setattr(contacts, name, v)
+    bonds, listed = analyze.bonds, []
+    monkeypatch.setattr(analyze, "bonds", lambda *a: listed.append(bonds(*a)) or listed[-1])
+    atoms, frames, z, far = _crowd_of(11)
+    a = spark.createDataFrame(atoms, "structure_id string, frame int, atom_id long, atomic_number int, x double, y double, z double").where("structure_id <> 's'")
+    f = spark.createDataFrame(frames, "structure_id string, frame int, " + ", ".join(f"c{i}{j} double" for i in range(3) for j in range(3))).where("structure_id <> 's'")
+    got = analyze.analyze(a, f, 4.0, 40, 12, 4, n_q=3).select("structure_id", "cutoffs", "coordination", "oxygen", "qn", "angles").collect()
+    assert len(listed) == 1 and listed[0].isEmpty() and {r.structure_id for r in got} == {"t", "c"}
+    tally = lambda x: {str(k): n for k, n in zip(*(v.tolist() for v in np.unique(x, return_counts=True)), strict=True)}
+    for r in got:
+        near = far[r.structure_id][np.ix_(z == 14, z == 8)] <= r.cutoffs["Si"]
+        cn, k = near.sum(axis=1), near.sum(axis=0)
+        assert r.coordination["Si"] == tally(cn) and len(r.coordination["Si"]) > 1
+        assert r.oxygen == tally(np.array(["free", "NBO", "BO", "tri"])[np.minimum(k, 3)])
+        assert {n: c for n, c in r.qn.items() if c} == tally(near[:, k >= 2].sum(axis=1))
+        assert sum(r.angles.values()) == (cn * (cn - 1) // 2).sum()
